@@ -16,8 +16,8 @@ from .common import worker_state
 SPAN, DECAY = 6, 0.75
 #: Kernel values below NEAR count as 0; words longer than WINDOW letters are read in windows.
 NEAR, WINDOW = 0.4, 24
-LANDMARKS = 96
-#: Least log-likelihood ratio of a toxic landmark.
+LANDMARKS = 72
+#: Least log-likelihood ratio of a landmark.
 EVIDENCE = 9
 #: Two landmarks are no more alike than this.
 ALIKE = 0.75
@@ -27,80 +27,75 @@ TRAIN_ROWS, TRAIN_CHARS = 6000, 40_000_000
 THRESHOLD = 0.3
 #: Entries of a worker's memory of words; it starts anew beyond that.
 MEMORY = 400_000
-_SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.\-_*]+){2,}[^\W\d_](?!\S)")
-_HINT = re.compile(r"\s\w\W{1,2}\w\s")
+_SPELLED = re.compile(rb"(?<!\S)(?:[a-z]\s+){2,}[a-z](?!\S)")
+_HINT = re.compile(rb"\s[a-z]\s+[a-z]\s")
+_DROPPED = bytes(c for c in range(128) if not (97 <= c <= 122 or c in b" \t\n\r\x0b\x0c"))
 _SIZE = 27**3
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case words without accents; letters spelled one by one are read as one word."""
-    text = text.lower()
-    if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-    if _HINT.search(text):
-        text = _SPELLED.sub(lambda m: re.sub(r"[\W_]+", "", m[0]), text)
-    return text.split()
+def words_of(text: str) -> list[bytes]:
+    """Words as the letters a-z: without capitals, accents and other characters; letters spelled
+    one by one are read as one word."""
+    letters = unicodedata.normalize("NFD", text).encode("ascii", "ignore").lower().translate(None, _DROPPED)
+    if _HINT.search(letters):
+        letters = _SPELLED.sub(lambda m: b"".join(m[0].split()), letters)
+    return letters.split()
 
 
-def codes_of(word: str) -> list[list[int]]:
-    """Letters as 1..26, without other characters; long words in half-overlapping windows."""
-    codes = [c - 96 for c in word.encode("ascii", "ignore") if 96 < c < 123]
-    if len(codes) < 3:
+def pieces_of(word: bytes) -> list[bytes]:
+    """The word, or half-overlapping windows of a long one; nothing for less than three letters."""
+    if len(word) < 3:
         return []
-    if len(codes) <= WINDOW:
-        return [codes]
-    return [codes[i : i + WINDOW] for i in range(0, len(codes) - WINDOW // 2, WINDOW // 2)]
+    if len(word) <= WINDOW:
+        return [word]
+    return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
-def bounds(rows: list[list[int]], most):
-    """For each row of codes, no less than its greatest kernel value to any landmark.
+def triples(words: list[bytes]):
+    """For words of each length: their places, and (numbers of subsequences, weight) by gaps."""
+    import numpy as np
+
+    by_length: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        by_length.setdefault(len(w), []).append(i)
+    for length, at in by_length.items():
+        c = np.frombuffer(b"".join([words[i] for i in at]), dtype=np.uint8).reshape(-1, length).astype(np.int32) - 96
+        gaps = [(near, far) for near in range(1, SPAN - 1) for far in range(near + 1, min(SPAN, length))]
+        yield np.array(at), [
+            ((c[:, : length - far] * 27 + c[:, near : length - far + near]) * 27 + c[:, far:], DECAY ** (far - 2)) for near, far in gaps
+        ]
+
+
+def bounds(words: list[bytes], most):
+    """For each word, no less than its greatest kernel value to any landmark.
 
     most: for each subsequence, the greatest feature of a landmark. The norm of unmerged
     features is no greater than that of merged ones, so nothing has to be sorted here.
     """
     import numpy as np
 
-    by_length: dict[int, list[int]] = {}
-    for i, r in enumerate(rows):
-        by_length.setdefault(len(r), []).append(i)
-    out = np.zeros(len(rows), dtype=np.float32)
-    for length, at in by_length.items():
-        c = np.array([rows[i] for i in at], dtype=np.int32)
-        top, square = np.zeros(len(at), np.float32), np.zeros(len(at), np.float32)
-        for near in range(1, SPAN - 1):
-            for far in range(near + 1, min(SPAN, length)):
-                a, b, d = c[:, : length - far], c[:, near : length - far + near], c[:, far:]
-                ok = (a > 0) & (b > 0) & (d > 0)
-                w = np.float32(DECAY ** (far - 2))
-                top += w * np.where(ok, most[(a * 27 + b) * 27 + d], 0).sum(axis=1)
-                square += w * w * ok.sum(axis=1)
-        out[at] = top / np.sqrt(np.maximum(square, 1e-9))
+    out = np.zeros(len(words), dtype=np.float32)
+    for at, parts in triples(words):
+        top = sum(np.float32(w) * most[k].sum(axis=1) for k, w in parts)
+        out[at] = top / np.sqrt(sum(w * w * k.shape[1] for k, w in parts))
     return out
 
 
-def features(rows: list[list[int]]):
-    """Normalised kernel features of rows of codes: (row, subsequence, weight), sorted by row."""
+def features(words: list[bytes]):
+    """Normalised kernel features of words: (word, subsequence, weight), sorted by word."""
     import numpy as np
 
-    by_length: dict[int, list[int]] = {}
-    for i, r in enumerate(rows):
-        by_length.setdefault(len(r), []).append(i)
     keys, weights = [], []
-    for length, at in by_length.items():
-        c = np.array([rows[i] for i in at], dtype=np.int64)
-        base = np.array(at, dtype=np.int64)[:, None] * _SIZE
-        for near in range(1, SPAN - 1):
-            for far in range(near + 1, min(SPAN, length)):
-                a, b, d = c[:, : length - far], c[:, near : length - far + near], c[:, far:]
-                ok = (a > 0) & (b > 0) & (d > 0)
-                keys.append((base + (a * 27 + b) * 27 + d)[ok])
-                weights.append(np.full(len(keys[-1]), DECAY ** (far - 2)))
+    for at, parts in triples(words):
+        for k, w in parts:
+            keys.append((at[:, None] * _SIZE + k).ravel())
+            weights.append(np.full(k.size, w))
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     value = np.bincount(inverse, np.concatenate(weights))
     row = unique // _SIZE
-    norm = np.sqrt(np.bincount(row, value**2, minlength=len(rows)))
+    norm = np.sqrt(np.bincount(row, value**2, minlength=len(words)))
     return row, unique % _SIZE, value / norm[row]
 
 
@@ -111,13 +106,13 @@ class Kernel:
         import numpy as np
 
         self.landmarks = landmarks
-        row, sub, value = features([codes_of(w)[0] for w in landmarks])
+        row, sub, value = features([w.encode() for w in landmarks])
         self.matrix = np.zeros((_SIZE, len(landmarks)), dtype=np.float32)
         self.matrix[sub, row] = value
         self.most = self.matrix.max(axis=1, initial=0)
         self.near: dict = {}
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         import numpy as np
 
         if len(self.near) + len(words) > MEMORY:
@@ -126,8 +121,8 @@ class Kernel:
             part = words[low : low + 8192]
             rows, owner = [], []
             for i, w in enumerate(part):
-                for codes in codes_of(w):
-                    rows.append(codes)
+                for piece in pieces_of(w):
+                    rows.append(piece)
                     owner.append(i)
             self.near.update(dict.fromkeys(part))
             hopeful = np.flatnonzero(bounds(rows, self.most) >= NEAR - 1e-4)
@@ -142,7 +137,7 @@ class Kernel:
                 had = self.near[word]
                 self.near[word] = values if had is None else np.maximum(had, values)
 
-    def pooled(self, texts: list[str], n_toxic: int):
+    def pooled(self, texts: list[str]):
         """A row for each text: the best value of each landmark, and counts of near words."""
         import numpy as np
 
@@ -158,18 +153,18 @@ class Kernel:
             if hits:
                 k = np.stack(hits)
                 x[: k.shape[1]] = k.max(axis=0) ** 2
-                best = k[:, :n_toxic].max(axis=1) if n_toxic else np.zeros(len(k))
+                best = k.max(axis=1)
                 x[k.shape[1] :] = [np.log1p((best >= level).sum()) for level in LEVELS]
         return out
 
 
-def choose_landmarks(texts: list[str], toxic: list[int]) -> tuple[list[str], int]:
-    """Words whose texts are labelled most unlike the rest, no two too alike; the toxic ones first."""
+def choose_landmarks(texts: list[str], toxic: list[int]) -> list[str]:
+    """Words whose texts are toxic far more often than the rest, no two too alike."""
     import numpy as np
 
     seen = {0: Counter(), 1: Counter()}
     for text, y in dict(zip(texts, toxic, strict=True)).items():  # copies of a text are one text
-        seen[y].update({w for w in (re.sub(r"^[^a-z]+|[^a-z]+$", "", w) for w in words_of(text)) if len(w) <= WINDOW and codes_of(w)})
+        seen[y].update({w.decode() for w in words_of(text) if 3 <= len(w) <= WINDOW})
     n1 = sum(toxic)
     n0 = len(toxic) - n1
 
@@ -180,27 +175,24 @@ def choose_landmarks(texts: list[str], toxic: list[int]) -> tuple[list[str], int
         return g if a * n0 > b * n1 else -g
 
     ranked = sorted(((strength(w), w) for w in seen[1] if seen[1][w] >= 2), key=lambda x: (-x[0], x[1]))
-    common = [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0]))[: LANDMARKS * 4]]
     chosen: list[str] = []
 
     def take(pool, limit):
         for w in pool:
             if len(chosen) >= limit:
                 return
-            row, sub, value = features([codes_of(c)[0] for c in [w, *chosen]])
+            row, sub, value = features([c.encode() for c in [w, *chosen]])
             mine = dict(zip(sub[row == 0].tolist(), value[row == 0], strict=True))
             alike = np.bincount(row, [mine.get(s, 0) * v for s, v in zip(sub.tolist(), value, strict=True)], minlength=len(chosen) + 1)[1:]
             if not len(alike) or alike.max() < ALIKE:
                 chosen.append(w)
 
-    take((w for g, w in ranked[: LANDMARKS * 8] if g > EVIDENCE), LANDMARKS * 3 // 4)
-    n_toxic = len(chosen)
-    take(common, n_toxic + LANDMARKS // 8)
-    return chosen, n_toxic
+    take((w for g, w in ranked[: LANDMARKS * 8] if g > EVIDENCE), LANDMARKS)
+    return chosen
 
 
-def distorted(texts: list[str], kernel: Kernel, n_toxic: int) -> list[str]:
-    """The texts with a letter inserted in each word that is a toxic landmark (the place and
+def distorted(texts: list[str], kernel: Kernel) -> list[str]:
+    """The texts with a letter inserted in each word that is a landmark (the place and
     the letter follow from the word and its position), so that the fit tolerates such words."""
     out = []
     for text in texts:
@@ -208,10 +200,10 @@ def distorted(texts: list[str], kernel: Kernel, n_toxic: int) -> list[str]:
         kernel.learn(list({w for w in words if w not in kernel.near}))
         for i, w in enumerate(words):
             near = kernel.near.get(w)
-            if near is not None and n_toxic and near[:n_toxic].max() > 0.95 and len(w) > 3:
+            if near is not None and near.max() > 0.95 and len(w) > 3:
                 at = 1 + (i * 7 + len(w)) % (len(w) - 2)
-                words[i] = w[:at] + chr(97 + (i * 5 + len(w)) % 26) + w[at:]
-        out.append(" ".join(words))
+                words[i] = w[:at] + bytes([97 + (i * 5 + len(w)) % 26]) + w[at:]
+        out.append(b" ".join(words).decode())
     return out
 
 
@@ -220,15 +212,15 @@ def fit(texts: list[str], toxic: list[int]) -> dict:
     import numpy as np
 
     base = (sum(toxic) + 1) / (len(toxic) + 2)
-    landmarks, n_toxic = choose_landmarks(texts, toxic) if len(set(toxic)) == 2 else ([], 0)
-    if not n_toxic:
-        return {"landmarks": [], "n_toxic": 0, "base": base}
+    landmarks = choose_landmarks(texts, toxic) if len(set(toxic)) == 2 else []
+    if not landmarks:
+        return {"landmarks": [], "base": base}
     kernel = Kernel(landmarks)
-    extra = distorted([t for t, y in zip(texts, toxic, strict=True) if y][: len(texts) // 8], kernel, n_toxic)
+    extra = distorted([t for t, y in zip(texts, toxic, strict=True) if y][: len(texts) // 8], kernel)
     texts, toxic = texts + extra, toxic + [1] * len(extra)
-    x = np.vstack([kernel.pooled(texts[i : i + 256], n_toxic) for i in range(0, len(texts), 256)])
+    x = np.vstack([kernel.pooled(texts[i : i + 256]) for i in range(0, len(texts), 256)])
     m = len(landmarks)
-    row, sub, value = features([codes_of(w)[0] for w in landmarks])
+    row, sub, value = features([w.encode() for w in landmarks])
     dense = np.zeros((m, _SIZE))
     dense[row, sub] = value
     gram, vectors = np.linalg.eigh(dense @ dense.T)
@@ -252,7 +244,7 @@ def fit(texts: list[str], toxic: list[int]) -> dict:
         p = 1 / (1 + np.exp(-np.clip(g @ ab, -30, 30)))
         ab = ab + np.linalg.solve(g.T @ (g * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), g.T @ (t - p) - 1e-6 * ab)
     linear = np.r_[root @ w[:m], w[m:]]  # root is symmetric: weights of the pooled values themselves
-    return {"landmarks": landmarks, "n_toxic": n_toxic, "weights": linear.tolist(), "scale": ab.tolist(), "base": base}
+    return {"landmarks": landmarks, "weights": linear.tolist(), "scale": ab.tolist(), "base": base}
 
 
 def score(model: dict, texts: list[str], kernel: Kernel | None):
@@ -260,7 +252,7 @@ def score(model: dict, texts: list[str], kernel: Kernel | None):
 
     if not model["landmarks"]:
         return np.full(len(texts), model["base"])
-    x, w = kernel.pooled(texts, model["n_toxic"]), np.array(model["weights"])
+    x, w = kernel.pooled(texts), np.array(model["weights"])
     margin = x @ w[:-1] + w[-1]
     return 1 / (1 + np.exp(-np.clip(margin * model["scale"][0] + model["scale"][1], -30, 30)))
 

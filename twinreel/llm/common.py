@@ -64,6 +64,26 @@ def worker_state(key: str, make):
     return getattr(box, key)
 
 
+#: Bits of the bitmap of marked(), as a power of two.
+MARK_BITS = 24
+
+
+def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be in `keys`, so that those of the others need not move to a join.
+
+    The broadcast side is a bitmap in words of 64 bits, of 2**MARK_BITS bits at most (4 MB of
+    rows), whatever the corpus. Rows let through in error go in the join that has to follow.
+    JVM only. Null keys go.
+    """
+    bits = min(MARK_BITS, max(10, (keys.count() * 32).bit_length()))
+    place = F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))
+    word = lambda df: df.withColumn("place_", place).withColumn("word_", F.shiftright("place_", 6).cast("int"))
+    bit = "shiftleft(1L, cast(place_ & 63 AS int))"
+    marks = word(keys.select(key).filter(F.col(key).isNotNull())).groupBy("word_").agg(F.expr(f"bit_or({bit})").alias("marks_"))
+    some = word(rows.filter(F.col(key).isNotNull())).join(F.broadcast(marks), "word_").filter(f"(marks_ & {bit}) <> 0")
+    return some.drop("word_", "place_", "marks_")
+
+
 def n_words(text):
     """Words of a text as a column; null counts 0. JVM only.
 

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import marked, stored
 
 #: A boundary follows a line when the first hex digit of its rolling hash is below this.
 BOUNDARY_BELOW = "5"
 #: A line of this many words is a chunk of its own.
 LONG_LINE = 50
-#: Bits of the bitmap that marks repeated chunks, as a power of two.
-MARK_BITS = 24
 
 
 def _chunks(text: Column, below: str, long_line: int) -> Column:
@@ -56,20 +54,6 @@ def _chunks(text: Column, below: str, long_line: int) -> Column:
     return F.get(F.transform(F.array(marked), cut), 0)
 
 
-def _marked(chunks: DataFrame, repeated: DataFrame) -> DataFrame:
-    """The chunks whose hash may be in `repeated`, so that the texts of the others never move.
-
-    The broadcast side is a bitmap in words of 64 bits, of 2**MARK_BITS bits at most (4 MB of
-    rows), whatever the corpus. Chunks let through in error go in the join that follows.
-    """
-    bits = min(MARK_BITS, max(10, (repeated.count() * 32).bit_length()))
-    place = F.xxhash64("h").bitwiseAND(F.lit((1 << bits) - 1))
-    word = lambda df: df.withColumn("place", place).withColumn("word", F.shiftright("place", 6).cast("int"))
-    bit = "shiftleft(1L, cast(place & 63 AS int))"
-    marks = word(repeated).groupBy("word").agg(F.expr(f"bit_or({bit})").alias("marks"))
-    return word(chunks).join(F.broadcast(marks), "word").filter(f"(marks & {bit}) <> 0").drop("word", "place", "marks")
-
-
 def line_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -97,7 +81,7 @@ def line_dedup(
         "line-repeats",
     )
     found = stored(
-        _marked(chunks, repeated).join(repeated.hint("merge"), "h").select(
+        marked(chunks, repeated, "h").join(repeated.hint("merge"), "h").select(
             "doc_id", "sha", "start", "lines", "h", "chunk",
             (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))).alias("is_first"),
         ),

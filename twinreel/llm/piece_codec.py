@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from .common import worker_state
 from .pieces import SPACE, Vocabulary
 
-#: Entries of a worker's memory of encoded units (about 60 MB); it starts anew beyond that.
-MEMORY = 400_000
+#: Entries of each of the two halves of a worker's memory of encoded units (about 60 MB each).
+#: A full half becomes the older one; units seen again come back from it.
+MEMORY = 250_000
 LONG_UNIT = 64
 #: Every batch compares one whole text in this many with the library's ids and decode().
 WHOLE_TEXTS = 16
@@ -26,25 +27,34 @@ def merge(symbols: list[str], score: dict[str, tuple[float, int]]) -> list[str]:
     stale when one of its two symbols has changed since.
     """
     n = len(symbols)
+    get, push, pop = score.get, heapq.heappush, heapq.heappop
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     agenda = []
-
-    def offer(a: int, b: int) -> None:
-        if a >= 0 and b < n and (hit := score.get(joined := symbols[a] + symbols[b])):
-            heapq.heappush(agenda, (-hit[0], a, b, joined))
-
     for i in range(n - 1):
-        offer(i, i + 1)
+        joined = symbols[i] + symbols[i + 1]
+        hit = get(joined)
+        if hit:
+            agenda.append((-hit[0], i, i + 1, joined))
+    heapq.heapify(agenda)
     while agenda:
-        _, a, b, joined = heapq.heappop(agenda)
-        if after[a] != b or not symbols[a] or len(symbols[a]) + len(symbols[b]) != len(joined) or not symbols[b]:
+        _, a, b, joined = pop(agenda)
+        x, y = symbols[a], symbols[b]
+        if not x or not y or after[a] != b or len(x) + len(y) != len(joined):
             continue
         symbols[a], symbols[b] = joined, ""
         after[a] = c = after[b]
         if c < n:
             before[c] = a
-        offer(before[a], a)
-        offer(a, c)
+            wider = joined + symbols[c]
+            hit = get(wider)
+            if hit:
+                push(agenda, (-hit[0], a, c, wider))
+        p = before[a]
+        if p >= 0:
+            wider = symbols[p] + joined
+            hit = get(wider)
+            if hit:
+                push(agenda, (-hit[0], p, a, wider))
     return [s for s in symbols if s]
 
 
@@ -52,31 +62,31 @@ class Codec:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
         self.mismatches = 0
+        sp, byte_of = self.vocabulary.library, {i: b for b, i in self.vocabulary.byte_ids.items()}
+        #: what each id decodes to: text, or a byte
+        self.texts = [bytes([byte_of[i]]) if i in byte_of else sp.id_to_piece(i).replace(SPACE, " ") for i in range(sp.get_piece_size())]
 
     def encode_unit(self, unit: str) -> list[int]:
         ids = self.vocabulary.ids
+        unit = unit.replace(" ", SPACE)
         out = []
-        for piece in merge(list(unit.replace(" ", SPACE)), ids):
+        for piece in [unit] if unit.replace(SPACE, " ") in self.vocabulary.shortcut else merge(list(unit), ids):
             hit = ids.get(piece)
-            out += [hit[1]] if hit else [self.vocabulary.byte_ids[b] for b in piece.encode()]
+            if hit:
+                out.append(hit[1])
+            else:
+                out += [self.vocabulary.byte_ids[b] for b in piece.encode()]
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids without the dummy prefix's removal: bytes runs are read as UTF-8."""
-        out, sp, run = [], self.vocabulary.library, bytearray()
-        for i in ids:
-            piece = sp.id_to_piece(i)
-            if sp.is_byte(i):
-                run.append(int(piece[1:-1], 16))
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            out.append(piece.replace(SPACE, " "))
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        return "".join(out)
+        """The text of ids, the dummy prefix still on it: runs of bytes are read as UTF-8."""
+        pieces = [self.texts[i] for i in ids]
+        if all(type(p) is str for p in pieces):
+            return "".join(pieces)
+        raw = b"".join([p.encode() if type(p) is str else p for p in pieces])
+        return raw.decode("utf-8", "replace")
 
     def learn(self, units: list[str]) -> None:
         """Encode units and check each against the library; its ids count where they differ."""
@@ -90,10 +100,14 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[str, int, str]]:
         """(ids joined by commas, their number, decoded text) of each text."""
         cut = [self.vocabulary.units(t) for t in texts]
-        new = list({u for units in cut for u in units if u not in self.known})
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = list({u for units in cut for u in units})
+        if len(self.known) > MEMORY:
+            self.known, self.older = {}, self.known
+        new = []
+        for u in {u for units in cut for u in units if u not in self.known}:
+            if had := self.older.get(u):
+                self.known[u] = had
+            else:
+                new.append(u)
         self.learn(new)
         out = []
         for units in cut:

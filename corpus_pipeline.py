@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinreel.llm import exact_dedup, mixing, ngram_join, piece_codec, toxicity
-from twinreel.llm.common import read, stored
+from twinreel.llm.common import read, stored, without
 from twinreel.llm.entry import piece_model
 
 #: Near duplicates: shingles of five words, similarity 0.8 or more.
@@ -24,20 +24,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text the smallest id stays."""
-    verdicts = exact_dedup.exact_dedup(docs, stay="min").filter("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256")
-    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    same = docs.withColumn("kept_sha", sha).join(
-        verdicts, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("kept_sha") == F.col("text_sha256"))
-    )
-    return same.dropDuplicates(["doc_id", "kept_sha"]).select(docs.columns)
+    """Of documents with equal text the smallest id stays; of rows that repeat id and text, one."""
+    verdicts = stored(exact_dedup.exact_dedup(docs, stay="min").select("doc_id", "text_sha256", "kept", "n_repeats"), "pipeline-exact")
+    place = lambda i, sha: F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), sha)
+    of = verdicts.withColumn("tw_key", place(F.col("doc_id"), F.col("text_sha256")))
+    keyed = docs.withColumn("tw_key", place(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    # a repeated row that stays is kept once and dropped once: its key is not gone
+    gone = stored(of.groupBy("tw_key").agg(F.max("kept").alias("kept")).filter("NOT kept").select("tw_key"), "pipeline-gone")
+    left = without(keyed, gone, "tw_key")
+    again = stored(of.filter("kept AND n_repeats > 1").select("tw_key").distinct(), "pipeline-again")
+    if again.limit(1).count():
+        once = without(left, again, "tw_key")
+        left = once.union(left.join(again, "tw_key", "left_semi").dropDuplicates(["tw_key"]).select(left.columns))
+    return left.select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
     groups = ngram_join.ngram_join(docs, NEAR_WORDS, NEAR_PERCENT)
-    gone = stored(groups.filter("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "pipeline-near")
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = stored(groups.filter("component_id < doc_id").select("doc_id").distinct(), "pipeline-near")
+    return without(docs, gone, "doc_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     taken = mixing.mix(docs).filter("taken > 0").select(F.col("doc_id").alias("mixed_id"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
     times = stored(taken, "pipeline-mix")
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    joined = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("mixed_id")))
     return joined.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
 
 

@@ -68,20 +68,48 @@ def worker_state(key: str, make):
 MARK_BITS = 24
 
 
-def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key may be in `keys`, so that those of the others need not move to a join.
+def _with_mark(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows with tw_mark: false where the key is certainly not in `keys`.
 
     The broadcast side is a bitmap in words of 64 bits, of 2**MARK_BITS bits at most (4 MB of
-    rows), whatever the corpus. Rows let through in error go in the join that has to follow.
-    JVM only. Null keys go.
+    rows), whatever the corpus. JVM only.
     """
     bits = min(MARK_BITS, max(10, (keys.count() * 32).bit_length()))
     place = F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))
-    word = lambda df: df.withColumn("place_", place).withColumn("word_", F.shiftright("place_", 6).cast("int"))
-    bit = "shiftleft(1L, cast(place_ & 63 AS int))"
-    marks = word(keys.select(key).filter(F.col(key).isNotNull())).groupBy("word_").agg(F.expr(f"bit_or({bit})").alias("marks_"))
-    some = word(rows.filter(F.col(key).isNotNull())).join(F.broadcast(marks), "word_").filter(f"(marks_ & {bit}) <> 0")
-    return some.drop("word_", "place_", "marks_")
+    word = lambda df: df.withColumn("tw_place", place).withColumn("tw_word", F.shiftright("tw_place", 6).cast("int"))
+    bit = "shiftleft(1L, cast(tw_place & 63 AS int))"
+    marks = word(keys.select(key).filter(F.col(key).isNotNull())).groupBy("tw_word").agg(F.expr(f"bit_or({bit})").alias("tw_marks"))
+    found = word(rows).join(F.broadcast(marks), "tw_word", "left")
+    flag = F.coalesce(F.expr(f"(tw_marks & {bit}) <> 0"), F.lit(False)) & F.col(key).isNotNull()
+    return found.withColumn("tw_mark", flag).drop("tw_word", "tw_place", "tw_marks")
+
+
+def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be in `keys`, so that those of the others need not move to a join.
+
+    Rows let through in error go in the join that has to follow. Null keys go.
+    """
+    return _with_mark(rows, keys, key).filter("tw_mark").drop("tw_mark")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in `gone`; only rows that may go move to the anti-join."""
+    found = _with_mark(rows, gone, key)
+    left = found.filter("tw_mark").drop("tw_mark").join(gone.select(key).hint("merge"), key, "left_anti")
+    return found.filter("NOT tw_mark").drop("tw_mark").select(rows.columns).union(left.select(rows.columns))
+
+
+def trim() -> None:
+    """Give a worker's unused memory back, so that it does not stay with an idle worker."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def n_words(text):

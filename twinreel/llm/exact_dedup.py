@@ -14,7 +14,7 @@ from .common import stored
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stay: str = "max") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs.
+    """doc_id, keep_id, group_size, kept, text_sha256, n_repeats for each row of docs.
 
     stay: which id of a group stays, "max" or "min" (the smallest stable id).
     A null text is the empty text. A null id orders below every id for "max" and above every id
@@ -50,6 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
             ((F.col("copy") == 1) & (~F.col("grouped") | F.col("doc_id").eqNullSafe(F.col("keep")))).alias("kept"),
             F.lower(F.hex("sha")).alias("text_sha256"),
+            F.col("copies").alias("n_repeats"),
         )
     )
 
@@ -59,6 +60,7 @@ SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
        count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
-       sha256(coalesce(text, '')) AS text_sha256
+       sha256(coalesce(text, '')) AS text_sha256,
+       count(*) OVER (PARTITION BY doc_id, coalesce(text, '')) AS n_repeats
 FROM documents
 """

@@ -14,14 +14,14 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, worker_state
+from .common import marked, stored, trim, worker_state
 
 #: Upper end of a band over its lower end.
 BAND = 1.5
 #: One segment more for this many differences: room for empty segments.
 SPARE = 6
 #: Entries of a worker's memory of word hashes; it starts anew beyond that.
-MEMORY = 1_000_000
+MEMORY = 300_000
 #: Bits of the bitmap that marks shared keys, as a power of two.
 MARK_BITS = 27
 #: Rounds in which a key's most connected set meets the rest of the key, before all that is
@@ -246,6 +246,7 @@ def ngram_join(
                     ],
                     ["doc_id", "n_shingles", "h1", "h2", "bits", "keys"],
                 )
+        trim()
 
     described = stored(
         base.mapInArrow(describe, "doc_id long, n_shingles long, h1 long, h2 long, bits array<long>, keys array<long>"), "join-sets"
@@ -312,8 +313,8 @@ def ngram_join(
             near = mine.join(theirs, (mine.key == theirs.key) & (F.col("a") < F.col("b")) & (F.col("own") != F.col("other")) & room)
         near = stored(near.select("a", "b").distinct(), "join-pairs")
         if near.limit(1).count():
-            wanted = stored(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "join-wanted")
-            sets = base.join(wanted, base.doc_id == wanted.node, "left_semi").mapInArrow(arrays, "node long, hashes binary").distinct()
+            wanted = stored(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "join-wanted")
+            sets = marked(base, wanted, "doc_id").join(wanted.hint("merge"), "doc_id").select("doc_id", "text").mapInArrow(arrays, "node long, hashes binary").distinct()
             sets = stored(sets, "join-arrays")
             found = near.join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "hashes_a", "hashes_b")
             found = stored(found.mapInArrow(verify, "a long, b long").distinct(), "join-links")

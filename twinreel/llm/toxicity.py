@@ -10,7 +10,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_state
+from .common import trim, worker_state
 
 #: Subsequences of three letters within SPAN characters; each gap costs a factor of DECAY.
 SPAN, DECAY = 6, 0.75
@@ -26,7 +26,7 @@ LEVELS = (0.55, 0.75, 0.9)
 TRAIN_ROWS, TRAIN_CHARS = 6000, 40_000_000
 THRESHOLD = 0.3
 #: Entries of a worker's memory of words; it starts anew beyond that.
-MEMORY = 400_000
+MEMORY = 150_000
 _SPELLED = re.compile(rb"(?<!\S)(?:[a-z]\s+){2,}[a-z](?!\S)")
 _HINT = re.compile(rb"\s[a-z]\s+[a-z]\s")
 _DROPPED = bytes(c for c in range(128) if not (97 <= c <= 122 or c in b" \t\n\r\x0b\x0c"))
@@ -311,6 +311,7 @@ def toxicity_filter(docs: DataFrame, known: DataFrame, labels: DataFrame, thresh
                 part = batch.slice(low, 256)
                 values = scores([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array(values < threshold))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -338,6 +339,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS,
                 part = batch.slice(low, 256)
                 values = scores(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(values, pa.float64())], ["doc_id", "held_out", "score"])
+        trim()
 
     out = base.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

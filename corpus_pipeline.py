@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinreel.llm import exact_dedup, mixing, ngram_join, piece_codec, toxicity
-from twinreel.llm.common import read, stored, without
+from twinreel.llm.common import read, settled, stored, without
 from twinreel.llm.entry import piece_model
 
 #: Near duplicates: shingles of five words, similarity 0.8 or more.
@@ -25,7 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text the smallest id stays; of rows that repeat id and text, one."""
-    verdicts = stored(exact_dedup.exact_dedup(docs, stay="min").select("doc_id", "text_sha256", "kept", "n_repeats"), "pipeline-exact")
+    columns = ["doc_id", "text_sha256", "kept", "n_repeats"]
+    verdicts = settled(spark, lambda: exact_dedup.exact_dedup(docs, stay="min").select(columns), "pipeline-exact")
     place = lambda i, sha: F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), sha)
     of = verdicts.withColumn("tw_key", place(F.col("doc_id"), F.col("text_sha256")))
     keyed = docs.withColumn("tw_key", place(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)))
@@ -51,8 +52,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words are taken no words of and go too.
     """
-    taken = mixing.mix(docs).filter("taken > 0").select(F.col("doc_id").alias("mixed_id"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    times = stored(taken, "pipeline-mix")
+    often = (F.col("taken") / F.col("size")).cast("int").alias("times")
+    times = settled(spark, lambda: mixing.mix(docs).filter("taken > 0").select(F.col("doc_id").alias("mixed_id"), often), "pipeline-mix")
     joined = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("mixed_id")))
     return joined.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
 

@@ -47,13 +47,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 _TABLES: dict[str, list[str]] = {}
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Delete the tables that stored() has written; results still reading them must be done."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _TABLES.pop(spark.sparkContext.applicationId, []):
+def drop_stored(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that stored() has written after the first `since` ones; what still
+    reads them must be done."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _TABLES.get(spark.sparkContext.applicationId, [])
+    for path in paths[since:]:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
+    del paths[since:]
+
+
+def settled(spark: SparkSession, build, name: str) -> DataFrame:
+    """The rows of build(), stored; the tables that build() stored on its way are deleted."""
+    since = len(_TABLES.get(spark.sparkContext.applicationId, []))
+    out = stored(build(), name)
+    paths = _TABLES[spark.sparkContext.applicationId]
+    last = paths.pop()
+    drop_stored(spark, since)
+    paths.append(last)
+    return out
 
 
 def worker_state(key: str, make):

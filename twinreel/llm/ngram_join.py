@@ -14,7 +14,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import marked, stored, trim, worker_state
+from .common import marked, settled, stored, trim, worker_state
 
 #: Upper end of a band over its lower end.
 BAND = 1.5
@@ -22,8 +22,6 @@ BAND = 1.5
 SPARE = 6
 #: Entries of a worker's memory of word hashes; it starts anew beyond that.
 MEMORY = 300_000
-#: Bits of the bitmap that marks shared keys, as a power of two.
-MARK_BITS = 27
 #: Rounds in which a key's most connected set meets the rest of the key, before all that is
 #: still unconnected under a key meets.
 HUB_ROUNDS = 3
@@ -172,39 +170,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
-def _keep_marked(shared: DataFrame):
-    """Arguments of mapInArrow that turn (h1, keys) into rows (key, h1) of keys that may be in
-    `shared`: a bitmap of at most 2**MARK_BITS bits (16 MB), whatever the corpus, marks them.
-
-    Keys that it lets through in error go in the join that follows; none is lost.
-    """
-    import numpy as np
-
-    bits = min(MARK_BITS, max(10, (shared.count() * 32).bit_length()))
-    place = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
-    words = shared.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(key & 63 AS int)))").alias("marks")
-    ).toPandas()
-    marks = np.zeros(1 << (bits - 6), np.int64)
-    marks[words["word"].to_numpy()] = words["marks"].to_numpy()
-    sent = shared.sparkSession.sparkContext.broadcast(marks.tobytes())
-
-    def keep(batches):
-        import pyarrow as pa
-
-        marked = np.frombuffer(sent.value, np.int64)
-        for batch in batches:
-            lists = batch.column(1)
-            keys = lists.flatten().to_numpy()
-            owner = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
-            at = keys & ((1 << bits) - 1)
-            ok = (marked[at >> 6] >> (at & 63)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([pa.array(keys[ok]), pa.array(owner[ok])], ["key", "h1"])
-
-    return keep, "key long, h1 long"
+def ngram_join(
+    docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """_joined() with its intermediate tables deleted: see there."""
+    return settled(docs.sparkSession, lambda: _joined(docs, words, percent, id_col, text_col), "join-result")
 
 
-def ngram_join(
+def _joined(
     docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs.
@@ -257,8 +230,7 @@ def ngram_join(
     meets = named.select(F.explode("keys").alias("key"), "h1")
     shared = meets.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).filter("least <> most").select("key")
     shared = stored(shared, "join-shared")
-    hopeful = named.select("h1", "keys").mapInArrow(*_keep_marked(shared))
-    live = stored(hopeful.join(shared, "key").distinct().join(classes, "h1").select("key", "node"), "join-meets")
+    live = stored(marked(meets, shared, "key").join(shared.hint("merge"), "key").distinct().join(classes, "h1").select("key", "node"), "join-meets")
     of_node = live.select("node").distinct()
     bits = stored(
         named.join(of_node, named.doc_id == of_node.node, "left_semi").groupBy(F.col("doc_id").alias("node"))

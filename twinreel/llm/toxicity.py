@@ -243,6 +243,8 @@ def fit(texts: list[str], toxic: list[int]) -> dict:
         g = np.c_[margin, np.ones(len(margin))]
         p = 1 / (1 + np.exp(-np.clip(g @ ab, -30, 30)))
         ab = ab + np.linalg.solve(g.T @ (g * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), g.T @ (t - p) - 1e-6 * ab)
+    del x, z, kernel, extra
+    trim()
     linear = np.r_[root @ w[:m], w[m:]]  # root is symmetric: weights of the pooled values themselves
     return {"landmarks": landmarks, "weights": linear.tolist(), "scale": ab.tolist(), "base": base}
 

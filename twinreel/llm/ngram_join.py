@@ -20,6 +20,8 @@ from .common import marked, settled, stored, trim, worker_state
 BAND = 1.5
 #: One segment more for this many differences: room for empty segments.
 SPARE = 6
+#: Bits of a bitmap for each difference that a link allows, at least.
+ROOM = 8
 #: Entries of a worker's memory of word hashes; it starts anew beyond that.
 MEMORY = 300_000
 #: Rounds in which a key's most connected set meets the rest of the key, before all that is
@@ -123,22 +125,40 @@ def segment_sums(sorted_hashes, m: int, salt: int):
     return key, np.flatnonzero(gone)
 
 
-def parity_words(hashes):
+def parity_words(hashes, percent: int):
     """A bitmap, as longs, in which each hash flips one bit: two bitmaps of one length differ in
-    no more bits than their sets differ in elements. The length follows the set's size."""
+    no more bits than their sets differ in elements.
+
+    It has ROOM bits for each difference that a link allows, so that few differences meet in
+    one bit and sets that are just not alike enough still show it. Lengths are powers of two:
+    the exclusive or of a bitmap's halves is the bitmap of half its length.
+    """
     import numpy as np
 
-    bits = max(64, 1 << (len(hashes) // 2).bit_length())
+    allowed = 2 * len(hashes) * (100 - percent) // (100 + percent)
+    bits = max(64, 1 << (ROOM * allowed).bit_length())
     counts = np.bincount((mixed(hashes + np.uint64(77)) % np.uint64(bits)).astype(np.int64), minlength=bits)
     return np.packbits(counts & 1).view(np.int64)
 
 
 def may_link(n_a, n_b, bits_a, bits_b, percent: int):
-    """Column: whether bit counts leave room for a link. Overlap <= (n_a + n_b - apart) / 2."""
-    apart = F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    apart = F.when(F.size(bits_a) == F.size(bits_b), apart).otherwise(F.abs(n_a - n_b).cast("int"))
+    """Column: whether bit counts leave room for a link. Overlap <= (n_a + n_b - apart) / 2.
+
+    Of two bitmaps the longer is folded to the length of the other; lengths further apart than
+    that leave the difference of the sizes.
+    """
+    words_a, words_b = F.size(bits_a), F.size(bits_b)
+
+    def folded(words, n, other):
+        half = (n / 2).cast("int")
+        return F.when(n == 2 * other, F.zip_with(F.slice(words, 1, half), F.slice(words, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(words)
+
+    left, right = folded(bits_a, words_a, words_b), folded(bits_b, words_b, words_a)
+    apart = F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart = F.when((words_a <= 2 * words_b) & (words_b <= 2 * words_a), apart).otherwise(F.abs(n_a - n_b).cast("int"))
     total = n_a + n_b
-    return 100 * (total - apart) >= percent * (total + apart)
+    near = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    return near & (100 * (total - apart) >= percent * (total + apart))
 
 
 def linked(a, b, percent: int) -> bool:
@@ -214,7 +234,7 @@ def _joined(
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(h, pa.int64()) for h in hashes),
-                        lists([parity_words(s) if len(s) else none for s in sets]),
+                        lists([parity_words(s, percent) if len(s) else none for s in sets]),
                         lists([keys_of(s, percent, ends) if len(s) else none for s in sets]),
                     ],
                     ["doc_id", "n_shingles", "h1", "h2", "bits", "keys"],

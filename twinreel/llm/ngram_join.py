@@ -22,6 +22,8 @@ BAND = 1.5
 SPARE = 6
 #: Bits of a bitmap for each difference that a link allows, at least.
 ROOM = 8
+#: Words of a sketch, which goes along under each key; no bitmap is shorter.
+SKETCH = 8
 #: Entries of a worker's memory of word hashes; it starts anew beyond that.
 MEMORY = 300_000
 #: Rounds in which a key's most connected set meets the rest of the key, before all that is
@@ -136,7 +138,7 @@ def parity_words(hashes, percent: int):
     import numpy as np
 
     allowed = 2 * len(hashes) * (100 - percent) // (100 + percent)
-    bits = max(64, 1 << (ROOM * allowed).bit_length())
+    bits = max(64 * SKETCH, 1 << (ROOM * allowed).bit_length())
     counts = np.bincount((mixed(hashes + np.uint64(77)) % np.uint64(bits)).astype(np.int64), minlength=bits)
     return np.packbits(counts & 1).view(np.int64)
 
@@ -161,6 +163,20 @@ def may_link(n_a, n_b, bits_a, bits_b, percent: int):
     return near & (100 * (total - apart) >= percent * (total + apart))
 
 
+def sketch(bits):
+    """Columns s0, s1, ...: a bitmap folded to SKETCH words, whatever the set's size."""
+    fold = "aggregate(sequence(0, size({0}) DIV {1} - 1), 0L, (s, j) -> s ^ {0}[j * {1} + {2}])"
+    return {f"s{k}": F.coalesce(F.expr(fold.format(bits, SKETCH, k)), F.lit(0)) for k in range(SKETCH)}
+
+
+def sketches_may_link(a, b, percent: int):
+    """Column: as may_link(), of sketches and without lambdas, so that it is compiled into the
+    join. a, b: name of a field of that side (n, s0, s1, ...) -> column."""
+    apart = sum((F.bit_count(a(s).bitwiseXOR(b(s))) for s in (f"s{k}" for k in range(SKETCH))), F.lit(0))
+    near = 100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))
+    return near & ((100 + percent) * apart <= (100 - percent) * (a("n") + b("n")))
+
+
 def linked(a, b, percent: int) -> bool:
     """Whether two sorted sets are at least percent alike."""
     import numpy as np
@@ -254,7 +270,7 @@ def _joined(
     of_node = live.select("node").distinct()
     bits = stored(
         named.join(of_node, named.doc_id == of_node.node, "left_semi").groupBy(F.col("doc_id").alias("node"))
-        .agg(F.max(F.struct(F.col("n_shingles").alias("n"), "bits")).alias("x")).select("node", "x.*"),
+        .agg(F.max(F.struct(F.col("n_shingles").alias("n"), "bits")).alias("x")).select("node", "x.*").withColumns(sketch("bits")),
         "join-bits",
     )
 
@@ -280,6 +296,7 @@ def _joined(
     def side(table: DataFrame, name: str) -> DataFrame:
         return table.select(*(F.col(c).alias(name if c == "node" else f"{c}_{name}") for c in table.columns))
 
+    whole = bits.select("node", "n", "bits")
     room = may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent)
     links, labels = None, None
     for turn in range(HUB_ROUNDS + 1):
@@ -298,12 +315,15 @@ def _joined(
             met = at.join(hubs, "key")
             pairs = met.filter("component <> hub_component").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
             live = stored(met.filter("node <> hub").select("key", "node"), "join-rest")
-            near = pairs.distinct().join(side(bits, "a"), "a").join(side(bits, "b"), "b").filter(room)
         else:
-            mine = at.join(bits, "node").select("key", F.col("node").alias("a"), F.col("component").alias("own"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-            theirs = at.join(bits, "node").select("key", F.col("node").alias("b"), F.col("component").alias("other"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-            near = mine.join(theirs, (mine.key == theirs.key) & (F.col("a") < F.col("b")) & (F.col("own") != F.col("other")) & room)
-        near = stored(near.select("a", "b").distinct(), "join-pairs")
+            fields = ["n", *(f"s{k}" for k in range(SKETCH))]
+            slight = at.join(bits.drop("bits"), "node").select("key", "node", "component", *(F.coalesce(f, F.lit(0)).alias(f) for f in fields))
+            mine, theirs = slight.alias("x"), slight.alias("y")
+            fits = sketches_may_link(lambda f: F.col(f"x.{f}"), lambda f: F.col(f"y.{f}"), percent)
+            apart = F.expr("x.key = y.key AND x.node < y.node AND x.component <> y.component")
+            pairs = mine.join(theirs, apart & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        near = pairs.distinct().join(side(whole, "a"), "a").join(side(whole, "b"), "b").filter(room)
+        near = stored(near.select("a", "b"), "join-pairs")
         if near.limit(1).count():
             wanted = stored(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "join-wanted")
             sets = marked(base, wanted, "doc_id").join(wanted.hint("merge"), "doc_id").select("doc_id", "text").mapInArrow(arrays, "node long, hashes binary").distinct()

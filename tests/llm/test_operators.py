@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,3 +289,24 @@ def test_pipeline_runs_as_its_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         step = stage(spark, step, SF)
     assert whole == Counter(r.ids_sha256 for r in step.collect()) and whole
+
+
+def test_components_extended_by_links_equal_those_of_all_links(spark):
+    first, more = [(1, 2), (5, 6), (8, 9), (2, 4)], [(4, 6), (9, 20), (30, 31), (1, 4)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    whole = ngram_join.components(frame(first + more)).collect()
+    apart = ngram_join.extended(ngram_join.components(frame(first)), frame(more)).collect()
+    assert sorted(map(tuple, apart)) == sorted(map(tuple, whole))
+
+
+def test_bitmaps_never_rule_a_link_out(spark):
+    rng, rows = np.random.default_rng(5), []
+    for n in (1, 3, 40, 250, 300, 900, 4000):
+        for gone in (0.0, 0.05, 0.1, 0.2, 0.3):
+            a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+            b = np.unique(np.r_[a[int(n * gone) :], rng.integers(0, 1 << 62, int(n * gone / 3)).astype(np.uint64)])
+            rows.append((len(a), len(b), *(ngram_join.parity_words(x, 80).tolist() for x in (a, b)), ngram_join.linked(a, b, 80)))
+    df, x, y = spark.createDataFrame(rows, "n long, m long, x array<long>, y array<long>, ok boolean"), *map(ngram_join.sketch, "xy")
+    slim = ngram_join.sketches_may_link(lambda f: x.get(f, F.col("n")), lambda f: y.get(f, F.col("m")), 80)
+    seen = df.select("ok", ngram_join.may_link(F.col("n"), F.col("m"), F.col("x"), F.col("y"), 80), slim).collect()
+    assert all(full and slight for ok, full, slight in seen if ok) and not all(full for ok, full, _ in seen if not ok)

@@ -206,6 +206,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of `labels` with more links (a, b): only components that a new link
+    joins are gone through again, not the links that they came from."""
+
+    def place(rows: DataFrame, end: str) -> DataFrame:
+        known = labels.select(F.col("node").alias(end), F.col("component").alias("known"))
+        return rows.join(known, end, "left").withColumn(end, F.coalesce("known", end)).drop("known")
+
+    between = stored(components(place(place(links, "a"), "b").filter("a <> b")), "join-between")
+    further = between.select(F.col("node").alias("component"), F.col("component").alias("further"))
+    moved = labels.join(further, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+    return moved.union(between.join(labels.select("node"), "node", "left_anti").select("node", "component"))
+
+
 def ngram_join(
     docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -298,7 +312,7 @@ def _joined(
 
     whole = bits.select("node", "n", "bits")
     room = may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent)
-    links, labels = None, None
+    labels = None
     for turn in range(HUB_ROUNDS + 1):
         at = live.withColumn("component", F.col("node")) if labels is None else live.join(labels, "node", "left").select(
             "key", "node", F.coalesce("component", "node").alias("component")
@@ -330,10 +344,10 @@ def _joined(
             sets = stored(sets, "join-arrays")
             found = near.join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "hashes_a", "hashes_b")
             found = stored(found.mapInArrow(verify, "a long, b long").distinct(), "join-links")
-            links = found if links is None else links.union(found)
-            labels = stored(components(links), "join-components")
-        elif labels is None:
-            labels = near.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            if found.limit(1).count():
+                labels = stored(components(found) if labels is None else extended(labels, found), "join-components")
+        if labels is None:
+            labels = near.limit(0).select(F.col("a").alias("node"), F.col("b").alias("component"))
         if not live.limit(1).count():
             break
     of_class = classes.join(labels, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))

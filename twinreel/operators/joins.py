@@ -108,27 +108,96 @@ def hamming_join(rows: DataFrame, bits: int, id_col: str = "idx", hash_col: str
     return met.filter(F.col("band") == first).select("a", "b", K.hamming(F.col("h_a"), F.col("h_b")).alias("bits"))
 
 
+#: Blocks of fingerprints that one tile of partial_clips holds of either side.
+TILE_BLOCKS = 100_000
+
+
+def clip_search(s: Settings):
+    """Batches of tiles (sources, clips) to source, clip, similarity, at.
+
+    The differing bits at all places of all pairs of a tile come from one product of spectra: the
+    32 bits of a block are planes of +1 and -1, whose correlation counts equal less differing
+    bits. The sums are whole numbers far below what float64 keeps, so rounding makes them exact.
+    """
+    ratio_least, similarity = s.partial_min_ratio, s.partial_similarity
+
+    def search(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def rows(side):
+            found = [(x["idx"], x["duration"], np.array(x["fp"], dtype=np.int64).astype(np.uint32)) for x in side]
+            return sorted(found, key=lambda x: (len(x[2]), x[0]))
+
+        def spectra(group, length, conjugate):
+            planes = np.zeros((len(group), 32, length))
+            for k, (_, _, fp) in enumerate(group):
+                planes[k, :, : len(fp)] = ((fp[None, :] >> np.arange(32, dtype=np.uint32)[:, None]) & 1) * 2.0 - 1.0
+            f = np.fft.rfft(planes, axis=2)
+            return np.ascontiguousarray((np.conj(f) if conjugate else f).transpose(2, 0, 1))
+
+        def tile(sources, clips):
+            at_once = lambda length: max(1, min(96, 2**21 // length // 8))
+            start = 0
+            while start < len(sources):
+                length = 1 << max(3, (len(sources[start][2]) - 1).bit_length())
+                stop = start
+                while stop < len(sources) and stop - start < at_once(length) and len(sources[stop][2]) <= length:
+                    stop += 1
+                group, start = sources[start:stop], stop
+                least, most = min(x[1] for x in group), max(x[1] for x in group)
+                fit = [c for c in clips if len(c[2]) < len(group[-1][2]) and c[1] / least >= ratio_least and c[1] / most < 0.95]
+                of = spectra(group, length, False) if fit else None
+                for at in range(0, len(fit), at_once(length)):
+                    part = fit[at : at + at_once(length)]
+                    same = np.rint(np.fft.irfft(of @ spectra(part, length, True).transpose(0, 2, 1), length, axis=0))
+                    ids_s, d_s, n_s = (np.array([f(x) for x in group])[:, None] for f in (lambda x: x[0], lambda x: x[1], lambda x: len(x[2])))
+                    ids_c, d_c, n_c = (np.array([f(x) for x in part])[None, :] for f in (lambda x: x[0], lambda x: x[1], lambda x: len(x[2])))
+                    same[np.arange(length)[:, None, None] > (n_s - n_c)[None]] = -np.inf
+                    best = same.argmax(axis=0)
+                    top = np.take_along_axis(same, best[None], 0)[0]
+                    with np.errstate(invalid="ignore"):
+                        bits = (n_c * 32 - top) / 2
+                    budget = np.trunc((np.float32(1) - np.float32(similarity)) * (n_c * 32).astype(np.float32))
+                    ratio = d_c / d_s
+                    ok = (ids_s != ids_c) & (ratio >= ratio_least) & (ratio < 0.95) & (n_c < n_s) & (bits <= budget)
+                    i, j = np.nonzero(ok)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids_s[i, 0], pa.int64()), pa.array(ids_c[0, j], pa.int64()), pa.array(1 - bits[i, j] / (n_c[0, j] * 32)), pa.array(best[i, j], pa.int32())],
+                            ["source", "clip", "similarity", "at"],
+                        )
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from tile(rows(batch.column("sources")[k].as_py()), rows(batch.column("clips")[k].as_py()))
+
+    return search
+
+
 def partial_clips(items: DataFrame, s: Settings) -> DataFrame:
     """source, clip, similarity, at: items whose fingerprint is found inside a longer one's.
 
-    items: idx, duration, fp (32-bit blocks as longs). Sources are at least a second, clips
-    from partial_min_ratio up to below 0.95 of them and shorter in blocks. Candidates meet on
-    logarithmic duration buckets; the place is the first of least difference.
+    items: idx (whole numbers), duration, fp (32-bit blocks as longs). Sources are at least a
+    second, clips from partial_min_ratio up to below 0.95 of them and shorter in blocks.
+    Candidates meet on logarithmic duration buckets, all of them, in tiles of bounded size; the
+    place is the first of least difference. The work grows with the square of a bucket: at a
+    similarity near that of chance no equal part of two fingerprints can be asked for.
     """
-    usable = items.filter((F.size("fp") >= 2) & ~K.is_silent(F.col("fp")) & (F.col("duration") >= 1))
-    step = 2.0
-    bucket = F.floor(F.log2("duration"))
     import math
 
-    reach = math.ceil(math.log(1 / s.partial_min_ratio, step))
-    source = usable.select(F.col("idx").alias("source"), F.col("duration").alias("d_s"), F.col("fp").alias("fp_s"), F.explode(F.sequence(bucket - reach, bucket)).alias("bucket"))
-    clip = usable.select(F.col("idx").alias("clip"), F.col("duration").alias("d_c"), F.col("fp").alias("fp_c"), bucket.alias("bucket"))
-    ratio = F.col("d_c") / F.col("d_s")
-    pairs = source.join(clip, "bucket").filter(
-        (F.col("source") != F.col("clip")) & (ratio >= s.partial_min_ratio) & (ratio < 0.95) & (F.size("fp_c") < F.size("fp_s"))
-    )
-    found = pairs.withColumn("best", K.best_alignment(F.col("fp_c"), F.col("fp_s"), s.partial_similarity)).filter("best IS NOT NULL")
-    return found.select("source", "clip", (1 - F.col("best.bits") / (F.size("fp_c") * 32)).alias("similarity"), F.col("best.at").alias("at"))
+    usable = items.filter(
+        F.col("idx").isNotNull() & (F.size("fp") >= 2) & ~K.is_silent(F.col("fp")) & ~F.exists("fp", lambda x: x.isNull()) & (F.col("duration") >= 1)
+    ).select(F.col("idx").cast("long").alias("idx"), "duration", "fp", F.floor(F.log2("duration")).alias("bucket"))
+    reach = math.ceil(math.log2(1 / s.partial_min_ratio))
+    parts = usable.groupBy("bucket").agg(F.ceil(F.sum(F.size("fp")) / TILE_BLOCKS).cast("int").alias("parts"))
+    dealt = usable.join(F.broadcast(parts), "bucket").withColumn("part", F.pmod(F.xxhash64("idx"), F.col("parts")))
+    tiles = dealt.groupBy("bucket", "part").agg(F.collect_list(F.struct("idx", "duration", "fp")).alias("rows"))
+    source = tiles.select(F.explode(F.sequence(F.col("bucket") - reach, F.col("bucket"))).alias("bucket"), F.col("rows").alias("sources"))
+    clip = tiles.select("bucket", F.col("rows").alias("clips"))
+    met = source.join(clip, "bucket").repartition(128)
+    found = met.select("sources", "clips").mapInArrow(clip_search(s), "source long, clip long, similarity double, at int")
+    return found.select(*(F.col(c).cast(items.schema["idx"].dataType) for c in ("source", "clip")), "similarity", "at")
 
 
 def visual_gate(matches: DataFrame, frames: DataFrame, threshold: float) -> DataFrame:

@@ -19,10 +19,10 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """idx, duration, fp: documents whose words are 32-bit blocks of a fingerprint."""
-    d = read(spark, sf, "documents").filter("n_chars <= 1500")
+    d = read(spark, sf, "documents")
     words = F.filter(F.split("text", " "), lambda w: w != "")
     block = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
-    return d.select(F.col("doc_id").alias("idx"), F.col("n_chars").cast("double").alias("duration"), block.alias("fp"))
+    return d.select(F.col("doc_id").alias("idx"), F.coalesce("n_chars", F.length("text")).cast("double").alias("duration"), block.alias("fp"))
 
 
 def groups(spark: SparkSession, sf: str) -> DataFrame:

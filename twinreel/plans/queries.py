@@ -158,8 +158,7 @@ def folder_gate_same(spark, sf):
 @query(None)
 def partial_clip_pairs(spark, sf):
     """Documents found inside longer ones by sliding alignment (held to brute force in the tests)."""
-    items = T.cut(A.items(spark, sf).filter("duration <= 300"))
-    found = J.partial_clips(items, Settings(partial_min_ratio=0.5, partial_similarity=0.55))
+    found = J.partial_clips(T.cut(A.items(spark, sf)), Settings(partial_similarity=0.55))
     return found.select("source", "clip", F.round("similarity", 6).alias("similarity"), "at")
 
 

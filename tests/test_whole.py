@@ -28,3 +28,29 @@ def test_partial_clip_pairs_compares_all_documents(spark, tmp_path):
     got = QUERIES["partial_clip_pairs"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r.source, r.clip): (r.similarity, r["at"]) for r in got} == want
     assert {(8, 9), (7, 11), (6, 12)} <= set(want)
+
+
+def test_quality_model_keeps_code_points_apart(spark):
+    from twinreel.llm import quality
+
+    rng = np.random.default_rng(8)
+    alphabet = "\0" + "ABCDabcd0123Жщ東京🎉é .,xyzXYZ789!?"[:30]  # 31 code points with the blank context's 0
+    texts = ["".join(rng.choice(list(alphabet), 400, p=np.arange(1, 32) / 496)) for _ in range(6)]
+    texts[0] += alphabet
+    number = {c: k for k, c in enumerate(alphabet)}
+    grams = lambda text: [tuple(number[c] for c in ("\0\0\0" + text)[k : k + 4]) for k in range(len(text))]
+    dense = np.zeros((32,) * 4, dtype=np.int64)
+    for text in texts[:4]:
+        for g in grams(text):
+            dense[g] += 1
+    cost = quality.kneser_ney(dense.ravel()).reshape((32,) * 4)
+    trusted = spark.createDataFrame([(x,) for x in texts[:4]], "text string")
+    base = spark.createDataFrame([(k, "en", x) for k, x in enumerate([*texts, ""])], "doc_id long, lang string, text string")
+    got = {r.doc_id: r.cost for r in quality.gram_scores(base, quality.gram_tables(quality.gram_counts(trusted))).collect()}
+    assert len(got) == 7 and got[6] is None
+    for k, text in enumerate(texts):
+        assert abs(got[k] - np.mean([cost[g] for g in grams(text)])) < 1e-4
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(0, "en", "AB 12 CD 34 " * 5), (1, "en", "BA 21 DC 43 " * 5)], "doc_id long, lang string, text string")
+    p = {r.doc_id: r.perplexity for r in quality.quality(docs, labels).collect()}
+    assert p[0] < p[1]

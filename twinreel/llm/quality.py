@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import hashlib
 import unicodedata
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import marked, stored, worker_state
+from .common import marked, stored
 
-#: The model's symbols need 5 bits; ORDER of them make an n-gram, so a table has 2**20 entries
-#: whatever the corpus: that is the proven bound of what is collected and broadcast (4 MB).
-BITS, ORDER = 5, 4
+#: n-grams are of ORDER code points of CODE_BITS; documents are scored in blocks of BLOCK_CHARS.
+ORDER, CODE_BITS, BLOCK_CHARS = 4, 21, 16_000_000
+#: Texts that are read at once.
+CHUNK = 256
+#: Bits of a symbol of the dense model, which tests hold the joins to.
+BITS = 5
 SYMBOLS = 1 << BITS
 #: Perplexities are compared in thousandths of their logarithm.
 STEP = 1000
@@ -88,29 +90,182 @@ def kneser_ney(counts):
     return -np.log(np.maximum(p, 1e-12)).astype(np.float32)
 
 
-def model_of(trusted: DataFrame):
-    """Counts of the n-grams of all trusted texts, summed in shards by n-gram, made a model.
-
-    The result has at most SYMBOLS**ORDER rows, whatever the corpus.
-    """
+def code_grams(texts: list[str], places: bool = False):
+    """before, code, counts or places, sizes: the distinct n-grams of texts, one for each character
+    with a blank context before the first: the three code points before as one number, the code
+    point, and how often each occurs, or which one each character has; and the texts' lengths."""
     import numpy as np
 
+    blank = "\0" * (ORDER - 1)
+    codes = np.frombuffer("".join([blank + x for x in texts]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = np.array([len(x) for x in texts], dtype=np.int64)
+    inside = np.ones(len(codes), dtype=bool)
+    inside[(np.r_[0, np.cumsum(sizes + ORDER - 1)[:-1]][:, None] + np.arange(ORDER - 1)).ravel()[: len(texts) * (ORDER - 1)]] = False
+    seen = np.zeros(0x110000, dtype=bool)
+    seen[codes] = True
+    known = np.flatnonzero(seen)
+    # numbers of code points fit 16 bits unless a few texts have more than 65,536 different ones
+    if small := len(known) <= 1 << 16:
+        number = np.zeros(0x110000, dtype=np.uint64)
+        number[known] = np.arange(len(known), dtype=np.uint64)
+        one = number[codes]
+        keys = one.copy()
+        for k in range(1, ORDER):
+            keys[k:] |= one[:-k] << np.uint64(16 * k)
+        keys = keys[inside]
+    else:
+        keys = np.stack([np.r_[np.zeros(k, np.uint32), codes[: len(codes) - k]] for k in range(ORDER - 1, -1, -1)], 1)[inside]
+    unique, found = np.unique(keys, axis=None if small else 0, **{"return_inverse" if places else "return_counts": True})
+    part = (lambda k: known[(unique >> np.uint64(16 * k)) & np.uint64(0xFFFF)]) if small else lambda k: unique[:, ORDER - 1 - k].astype(np.int64)
+    before = np.zeros(len(unique), dtype=np.int64)
+    for k in range(ORDER - 1, 0, -1):
+        before = (before << CODE_BITS) | part(k)
+    return before, part(0).astype(np.int64), found.ravel(), sizes
+
+
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """before, code, n: the n-grams of all texts, summed in shards by n-gram."""
+
     def count(batches):
         import pyarrow as pa
 
-        table, total = symbol_table(), np.zeros(SYMBOLS**ORDER, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids, n = np.unique(grams(text, table), return_counts=True)
-                total[ids] += n
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids])], ["gram", "n"])
+            for low in range(0, batch.num_rows, CHUNK):
+                before, code, n, _ = code_grams(batch.column(0).slice(low, CHUNK).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(before), pa.array(code), pa.array(n, pa.int64())], ["before", "code", "n"])
+
+    return texts.mapInArrow(count, "before long, code long, n long").groupBy("before", "code").agg(F.sum("n").alias("n"))
+
+
+def _suffix(before, size: int):
+    return before.bitwiseAND(F.lit((1 << (CODE_BITS * size)) - 1))
+
+
+def gram_tables(counts: DataFrame) -> tuple[list, list, float]:
+    """For each order: the probabilities (before, code, p) of its n-grams and the share (before,
+    left) that each context leaves to the next lower order; last the probability below all.
+
+    counts: before, code, n of the highest order. The same model as kneser_ney(), as sharded
+    tables that grow with the text.
+    """
+    levels = [stored(counts, "quality-grams")]
+    for size in range(ORDER - 2, -1, -1):
+        lower = levels[0].groupBy(_suffix(F.col("before"), size).alias("before"), "code").agg(F.count("*").alias("n"))
+        levels.insert(0, stored(lower, "quality-grams"))
+    below = 1 / (levels[0].count() + 1)
+    grams, contexts = [], []
+    for size, level in enumerate(levels):
+        many = level.agg(*(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
+        n1, n2, n3, n4 = many
+        y = n1 / (n1 + 2 * n2) if n1 else 0.0
+        d = [min(max(k - (k + 1) * y * b / a, 0.0), k) if a else 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        off = F.when(F.col("n") == 1, F.lit(float(d[0]))).when(F.col("n") == 2, F.lit(float(d[1]))).otherwise(F.lit(float(d[2])))
+        sums = level.groupBy("before").agg(F.sum("n").alias("total"), F.sum(off).alias("off"))
+        sums = stored(sums.select("before", "total", (F.col("off") / F.col("total")).alias("left")), "quality-contexts")
+        lower = F.lit(below)
+        rows = level.join(sums, "before")
+        if grams:
+            rows = rows.withColumn("low", _suffix(F.col("before"), size - 1)).join(grams[-1].select(F.col("before").alias("low"), "code", F.col("p").alias("p_low")), ["low", "code"])
+            lower = F.col("p_low")
+        p = (F.col("n") - off) / F.col("total") + F.col("left") * lower
+        grams.append(stored(rows.select("before", "code", p.alias("p")), "quality-chances"))
+        contexts.append(sums.select("before", "left"))
+    return grams, contexts, below
+
+
+def gram_costs(asked: DataFrame, model: tuple[list, list, float]) -> DataFrame:
+    """before, code, cost: negative log probabilities of n-grams, seen or not."""
+    grams, contexts, below = model
+    out, p = asked, F.lit(below)
+    for size, (chances, shares) in enumerate(zip(grams, contexts, strict=True)):
+        key = f"before{size}"
+        out = (
+            out.withColumn(key, _suffix(F.col("before"), size))
+            .join(chances.select(F.col("before").alias(key), "code", F.col("p").alias(f"p{size}")), [key, "code"], "left")
+            .join(shares.select(F.col("before").alias(key), F.col("left").alias(f"left{size}")), key, "left")
+        )
+        p = F.coalesce(F.col(f"p{size}"), F.coalesce(F.col(f"left{size}"), F.lit(1.0)) * p)
+    return out.select("before", "code", (-F.log(F.greatest(p, F.lit(1e-12)))).alias("cost"))
+
+
+def gram_scores(base: DataFrame, model: tuple[list, list, float]) -> DataFrame:
+    """doc_id, lang, n_symbols, cost for each row of base(doc_id, lang, text).
+
+    Documents stay where they are read, in blocks of bounded size. A block's distinct n-grams are joined with the model
+    and come back to it as one table, so that rows move for n-grams of blocks, not of documents.
+    """
+
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            of = np.cumsum(pc.utf8_length(batch.column(2)).to_numpy(zero_copy_only=False)) // BLOCK_CHARS
+            ends = np.r_[np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)]
+            starts = np.r_[0, ends[:-1]]
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                if b > a:
+                    part = pa.RecordBatch.from_arrays([batch.column(x) for x in range(3)], ["doc_id", "lang", "text"]).slice(a, b - a)
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                        writer.write_batch(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows"])
+
+    # blocks are stored and moved compressed
+    packed = base.mapInArrow(pack, "rows binary")
+    rows = stored(packed.select(F.monotonically_increasing_id().alias("block"), "rows"), "quality-blocks")
+
+    def ask(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text = pa.ipc.open_stream(batch.column("rows")[k].as_buffer()).read_next_batch().column("text")
+                keys = np.zeros((0, 2), np.int64)
+                for low in range(0, len(text), CHUNK):
+                    keys = unique_rows(np.concatenate([keys, np.stack(code_grams(text.slice(low, CHUNK).to_pylist())[:2], 1)]))
+                block = pa.array(np.full(len(keys), batch.column("block")[k].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([block, pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["block", "before", "code"])
+
+    def score(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                table = batch.column("table")[k].values
+                columns = (table.field(x).to_numpy(zero_copy_only=False) for x in ("before", "code", "cost")) if table is not None else (np.zeros(0, np.int64),) * 3
+                before, code, cost = columns
+                order = np.lexsort((code, before))
+                before, code, cost = before[order], code[order], cost[order]
+                starts = np.flatnonzero(np.r_[True, before[1:] != before[:-1]][: len(before)])
+                contexts = before[starts]
+                place = (np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(before)])) << CODE_BITS) | code
+                here = pa.ipc.open_stream(batch.column("rows")[k].as_buffer()).read_next_batch()
+                text, mean, size = here.column("text"), [], []
+                for low in range(0, len(text), CHUNK):
+                    b, c, of, sizes = code_grams(text.slice(low, CHUNK).to_pylist(), places=True)
+                    each = cost[np.searchsorted(place, (np.searchsorted(contexts, b) << CODE_BITS) | c)][of]
+                    size += sizes.tolist()
+                    mean += [float(x.sum() / len(x)) if len(x) else None for x in np.split(each, np.cumsum(sizes)[:-1])]
+                yield pa.RecordBatch.from_arrays(
+                    [here.column("doc_id"), here.column("lang"), pa.array(size, pa.int64()), pa.array(mean, pa.float64())], ["doc_id", "lang", "n_symbols", "cost"]
+                )
 
-    shards = trusted.mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    found = shards.toPandas()
-    counts = np.zeros(SYMBOLS**ORDER, dtype=np.int64)
-    counts[found["gram"].to_numpy()] = found["n"].to_numpy()
-    return kneser_ney(counts)
+    asked = stored(rows.mapInArrow(ask, "block long, before long, code long"), "quality-asked")
+    costs = stored(gram_costs(asked.select("before", "code").distinct(), model), "quality-costs")
+    tables = asked.join(costs, ["before", "code"]).groupBy("block").agg(F.collect_list(F.struct("before", "code", "cost")).alias("table"))
+    return rows.join(tables, "block", "left").select("rows", "table").mapInArrow(score, "doc_id long, lang string, n_symbols long, cost double")
+
+
+def unique_rows(keys):
+    """The distinct rows of an array of two columns."""
+    import numpy as np
+
+    keys = keys[np.lexsort((keys[:, 1], keys[:, 0]))]
+    return keys[np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)][: len(keys)]]
 
 
 def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -123,30 +278,10 @@ def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
     trusted text nothing can be judged and every text that is not empty is kept. Null languages
     are a language; null ids are never trusted; repeated rows are ordinary rows.
     """
-    import numpy as np
-
-    spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    model = model_of(marked(base, good, "doc_id").join(good.hint("merge"), "doc_id").select("text"))
-    name = "costs_" + hashlib.md5(model.tobytes()).hexdigest()
-    shared = spark.sparkContext.broadcast(model.tobytes())
-
-    def score(batches):
-        import pyarrow as pa
-
-        table, costs = symbol_table(), worker_state(name, lambda: np.frombuffer(shared.value, dtype=np.float32))
-        for batch in batches:
-            mean, size = [], []
-            for text in batch.column(2).to_pylist():
-                ids = grams(text, table)
-                size.append(len(ids))
-                mean.append(float(costs[ids].sum(dtype=np.float64) / len(ids)) if len(ids) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(mean, pa.float64())], ["doc_id", "lang", "n_symbols", "cost"]
-            )
-
-    scored = stored(base.mapInArrow(score, "doc_id long, lang string, n_symbols long, cost double"), "quality-scores")
+    model = gram_tables(gram_counts(marked(base, good, "doc_id").join(good.hint("merge"), "doc_id").select("text")))
+    scored = stored(gram_scores(base, model), "quality-scores")
     trusted = scored.filter("cost IS NOT NULL").join(good, "doc_id", "left_semi")
     bins = trusted.groupBy("lang", F.floor(F.col("cost") * STEP).alias("bin")).agg(F.count("*").alias("n"))
     both = bins.unionByName(bins.groupBy(F.lit(None).cast("string").alias("lang"), "bin").agg(F.sum("n").alias("n")))

@@ -52,9 +52,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words are taken no words of and go too.
     """
+    place = "tw_row"
+    numbered = stored(docs.withColumn(place, F.monotonically_increasing_id()), "pipeline-rows")
     often = (F.col("taken") / F.col("size")).cast("int").alias("times")
-    times = settled(spark, lambda: mixing.mix(docs).filter("taken > 0").select(F.col("doc_id").alias("mixed_id"), often), "pipeline-mix")
-    joined = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    mixed = lambda: mixing.mix(numbered, row_col=place).filter("taken > 0").select(F.col(place).alias("mixed_row"), often)
+    times = settled(spark, mixed, "pipeline-mix")
+    joined = numbered.join(times.hint("merge"), F.col(place) == F.col("mixed_row"))
     return joined.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
 
 

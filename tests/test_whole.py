@@ -54,3 +54,20 @@ def test_quality_model_keeps_code_points_apart(spark):
     docs = spark.createDataFrame([(0, "en", "AB 12 CD 34 " * 5), (1, "en", "BA 21 DC 43 " * 5)], "doc_id long, lang string, text string")
     p = {r.doc_id: r.perplexity for r in quality.quality(docs, labels).collect()}
     assert p[0] < p[1]
+
+
+def test_pipeline_mixes_rows_not_ids(spark):
+    from collections import Counter
+
+    import corpus_pipeline
+    from twinreel.llm import mixing
+
+    rows = [(None, f"n{k} " * (k + 1), "s") for k in range(12)] + [(5, "a b", "s"), (5, "c d e", "t"), (6, "f g", "t"), (None, None, "t")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    assert mixed.columns == docs.columns
+    got = Counter(len(r.text.split()) for r in mixed.collect())
+    want = Counter()
+    for r in mixing.mix(docs).filter("taken > 0").collect():
+        want[r.size] += r.taken // r.size
+    assert got == want and max(Counter(r.text for r in mixed.collect()).values()) <= 3

@@ -52,6 +52,7 @@ def mix(
     seed: str = SEED,
     bucket_digits: int = 3,
     size: Column | None = None,
+    row_col: str | None = None,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs(doc_id, text, source).
 
@@ -60,11 +61,14 @@ def mix(
     counts as inside if its middle is), so a source misses its target by half a document at
     most. Sources are ordered by code point, null last, and get the weights in turn.
     A null text has size 0 and is never taken more than its repetitions of 0 words. Null ids
-    and repeated rows are ordinary rows. Empty input gives no rows.
+    and repeated rows are ordinary rows. Empty input gives no rows. A column row_col that numbers
+    the rows is carried through.
     Hot sources: positions in a source are sums over hash buckets (16**bucket_digits a source)
     and then inside a bucket, so no task holds a whole source.
     """
+    row = [row_col] if row_col else []
     base = docs.select(
+        *row,
         F.col("doc_id").cast("long").alias("doc_id"),
         (size if size is not None else n_words(F.col("text"))).alias("size"),
         F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))).alias("key"),
@@ -79,7 +83,7 @@ def mix(
         .select("key", "bucket", "start", "source_size", "target"),
         "mix-starts",
     )
-    inside = Window.partitionBy("key", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(
+    inside = Window.partitionBy("key", "bucket").orderBy("draw", "doc_id", "size", *row).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     placed = base.withColumn("upto", F.sum("size").over(inside)).join(starts, ["key", "bucket"])
@@ -89,6 +93,7 @@ def mix(
         placed.withColumn("times", F.floor(ratio))
         .withColumn("extra", middle < F.col("target") - F.col("times") * F.col("source_size"))
         .select(
+            *row,
             "doc_id",
             "size",
             F.col("source_size").cast("long").alias("source_size"),

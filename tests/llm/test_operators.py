@@ -306,7 +306,55 @@ def test_bitmaps_never_rule_a_link_out(spark):
             a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
             b = np.unique(np.r_[a[int(n * gone) :], rng.integers(0, 1 << 62, int(n * gone / 3)).astype(np.uint64)])
             rows.append((len(a), len(b), *(ngram_join.parity_words(x, 80).tolist() for x in (a, b)), ngram_join.linked(a, b, 80)))
-    df, x, y = spark.createDataFrame(rows, "n long, m long, x array<long>, y array<long>, ok boolean"), *map(ngram_join.sketch, "xy")
-    slim = ngram_join.sketches_may_link(lambda f: x.get(f, F.col("n")), lambda f: y.get(f, F.col("m")), 80)
-    seen = df.select("ok", ngram_join.may_link(F.col("n"), F.col("m"), F.col("x"), F.col("y"), 80), slim).collect()
-    assert all(full and slight for ok, full, slight in seen if ok) and not all(full for ok, full, _ in seen if not ok)
+    frame = spark.createDataFrame(rows, "n long, m long, x array<long>, y array<long>, ok boolean")
+    seen = frame.select("ok", ngram_join.may_link(F.col("n"), F.col("m"), F.col("x"), F.col("y"), 80), "n", "m", *(ngram_join.sketch(c)[f"s{k}"].alias(f"{c}{k}") for c in "xy" for k in range(8))).collect()
+    assert all(r[1] for r in seen if r.ok) and not all(r[1] for r in seen if not r.ok)
+    import pyarrow as pa
+
+    one = lambda at, part, n, s: [at, 0, 1, part, 2 * at + part, 2 * at + part, n, *s]
+    flat = [x for at, r in enumerate(seen) for x in (one(at, 0, r.n, r[4:12]), one(at, 1, r.m, r[12:20]))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat, strict=True)], [*"kijpxcn", *map(str, range(8))])
+    batches = [batch.slice(low, 3) for low in range(0, batch.num_rows, 3)]
+    left = {a // 2 for out in ngram_join.tile_pairs(batches, 80) for a in out.column(0).to_pylist()}
+    assert left >= {at for at, r in enumerate(seen) if r.ok} and len(left) < len(seen)
+
+
+def test_ngram_join_keeps_links_of_every_text_of_an_id(spark):
+    a, b = [" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 200), ("b", 60))]
+    near = " ".join([*b.split()[:-1], "other"])
+    got = ngram_join.ngram_join(docs(spark, [(5, a, "s"), (5, b, "s"), (7, near, "s"), (9, "alone here now", "s")])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (5, 5), (7, 5), (9, 9)]
+
+
+@pytest.mark.parametrize("hubs", [0, 1])
+def test_ngram_join_in_small_tiles(spark, monkeypatch, hubs):
+    """Sets that are alike under many keys and mostly do not link, in several tiles a key."""
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    monkeypatch.setattr(ngram_join, "HUBS", hubs)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for at in rng.sample(range(60), rng.randrange(2, 7)):
+            copy[at] = f"v{i}-{at}" if rng.random() < 0.7 else f"v{at}"
+        rows.append((i, " ".join(copy)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs(spark, [(i, t, "s") for i, t in rows]), 5, 80).collect()}
+    assert got == brute_components(rows, 5, 80) and len({c for _, c in got.values()}) > 5
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Null and repeated ids, empty tables and columns with clashing names in each stage."""
+    table = docs(spark, ODD)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, SF)
+        assert out.columns == table.columns and out.count() <= len(ODD) * 3
+        assert stage(spark, docs(spark, []), SF).count() == 0
+    assert corpus_pipeline.drop_toxic(spark, table, SF).count() == len(ODD)
+    # rows 1, 2 and the null id have one text, row 7 is alone, and so are 5 and 6; rows without words all stay
+    assert Counter(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table, SF).collect()) == Counter([1, 3, 4, 4, None, 5, 6, 7])
+    mixed = corpus_pipeline.mix_sources(spark, table.withColumn("tw_key", F.lit(1)), SF).collect()
+    times = Counter((r.doc_id, r.text) for r in mixed)
+    repeated = Counter((i, t) for i, t, _ in ODD)
+    assert all(n <= 3 * repeated[key] for key, n in times.items())
+    assert corpus_pipeline.encode(spark, table, SF).count() == len(ODD)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import sys
+import tempfile
 import types
 import uuid
 
@@ -23,24 +25,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one under /tmp only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir. Where none is set, a session on one machine
+    (tests) gets a temporary one; on a cluster that is an error, as executors share no /tmp."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        had = spark.sparkContext.getCheckpointDir()
-        path = had or f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        if not had:
-            spark.sparkContext.setCheckpointDir(path)
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        path = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and the planner
-    knows the table's real size, so that it broadcasts it only below its threshold."""
+    knows the table's real size, so that it broadcasts it only below its threshold. Tables that
+    drop_stored() does not delete go when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return back
 
 
@@ -77,17 +84,20 @@ def worker_state(key: str, make):
     return getattr(box, key)
 
 
-#: Bits of the bitmap of marked(), as a power of two.
-MARK_BITS = 24
+#: Most bits of the bitmap of marked(), as a power of two, and bits for each key. A bitmap of
+#: 2**26 bits is a broadcast of a million rows of 12 bytes.
+MARK_BITS, MARK_ROOM = 26, 8
 
 
-def _with_mark(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """rows with tw_mark: false where the key is certainly not in `keys`.
+def _bits_for(keys: DataFrame) -> int | None:
+    """Size of the bitmap of `keys`; None where it would pass MARK_BITS: then every row moves."""
+    bits = max(10, (keys.count() * MARK_ROOM * 2).bit_length() - 1)
+    return bits if bits <= MARK_BITS else None
 
-    The broadcast side is a bitmap in words of 64 bits, of 2**MARK_BITS bits at most (4 MB of
-    rows), whatever the corpus. JVM only.
-    """
-    bits = min(MARK_BITS, max(10, (keys.count() * 32).bit_length()))
+
+def _with_mark(rows: DataFrame, keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """rows with tw_mark: false where the key is certainly not in `keys`. The broadcast side is a
+    bitmap in words of 64 bits. JVM only."""
     place = F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))
     word = lambda df: df.withColumn("tw_place", place).withColumn("tw_word", F.shiftright("tw_place", 6).cast("int"))
     bit = "shiftleft(1L, cast(tw_place & 63 AS int))"
@@ -100,14 +110,22 @@ def _with_mark(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows whose key may be in `keys`, so that those of the others need not move to a join.
 
-    Rows let through in error go in the join that has to follow. Null keys go.
+    Rows let through in error go in the join that has to follow; with more keys than the bitmap
+    has room for, all rows with a key are let through. Null keys go.
     """
-    return _with_mark(rows, keys, key).filter("tw_mark").drop("tw_mark")
+    bits = _bits_for(keys)
+    if bits is None:
+        return rows.filter(F.col(key).isNotNull())
+    return _with_mark(rows, keys, key, bits).filter("tw_mark").drop("tw_mark")
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is not in `gone`; only rows that may go move to the anti-join."""
-    found = _with_mark(rows, gone, key)
+    """The rows whose key is not in `gone`; only rows that may go move to the anti-join (all, with
+    more keys than the bitmap has room for)."""
+    bits = _bits_for(gone)
+    if bits is None:
+        return rows.join(gone.select(key).hint("merge"), key, "left_anti").select(rows.columns)
+    found = _with_mark(rows, gone, key, bits)
     left = found.filter("tw_mark").drop("tw_mark").join(gone.select(key).hint("merge"), key, "left_anti")
     return found.filter("NOT tw_mark").drop("tw_mark").select(rows.columns).union(left.select(rows.columns))
 

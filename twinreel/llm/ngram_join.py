@@ -26,9 +26,11 @@ ROOM = 8
 SKETCH = 8
 #: Entries of a worker's memory of word hashes; it starts anew beyond that.
 MEMORY = 300_000
-#: Rounds in which a key's most connected set meets the rest of the key, before all that is
-#: still unconnected under a key meets.
-HUB_ROUNDS = 3
+#: Rounds in which a key's most connected set meets the rest of the key, before tiles compare
+#: what is still apart under a key.
+HUBS = 3
+#: Sets of a tile, and pairs that a worker holds before it drops repeated ones.
+TILE, FLUSH = 512, 1_000_000
 
 
 class Shingler(dict):
@@ -169,12 +171,79 @@ def sketch(bits):
     return {f"s{k}": F.coalesce(F.expr(fold.format(bits, SKETCH, k)), F.lit(0)) for k in range(SKETCH)}
 
 
-def sketches_may_link(a, b, percent: int):
-    """Column: as may_link(), of sketches and without lambdas, so that it is compiled into the
-    join. a, b: name of a field of that side (n, s0, s1, ...) -> column."""
-    apart = sum((F.bit_count(a(s).bitwiseXOR(b(s))) for s in (f"s{k}" for k in range(SKETCH))), F.lit(0))
-    near = 100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))
-    return near & ((100 + percent) * apart <= (100 - percent) * (a("n") + b("n")))
+def tile_pairs(batches, percent: int):
+    """mapInArrow: rows (key, i, j, part, node, component, n, s0, ...), sorted by (key, i, j), one
+    tile each -> pairs (a, b) of a tile whose sketches leave room for a link.
+
+    A tile with i = j holds one part of a key's sets and compares all of it; one with i < j
+    compares two parts with each other. Bit counts are those of may_link(). A pair that several
+    tiles of a task hold comes out once (or once for every FLUSH pairs); no pair that the bit
+    counts rule out leaves the worker.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    found, held = [], 0
+
+    def compare(part, node, component, n, words):
+        order = np.argsort(part, kind="stable")
+        part, node, component, n, words = part[order], node[order], component[order], n[order], words[order]
+        last = len(part)
+        first = int(np.searchsorted(part, part[-1])) if part[0] != part[-1] else 0
+        for low in range(0, first or last, 64):
+            high = min(low + 64, first or last)
+            right = first or low
+            apart = np.bitwise_count(words[low:high, None, :] ^ words[None, right:, :]).sum(axis=2, dtype=np.int64)
+            small, large = np.minimum(n[low:high, None], n[None, right:]), np.maximum(n[low:high, None], n[None, right:])
+            ok = (100 * small >= percent * large) & ((100 + percent) * apart <= (100 - percent) * (small + large))
+            ok &= component[low:high, None] != component[None, right:]
+            if not first:
+                ok &= np.arange(low, high)[:, None] < np.arange(right, last)[None, :]
+            x, y = np.nonzero(ok)
+            if len(x):
+                x, y = node[low + x], node[right + y]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+
+    def drained():
+        rows = np.concatenate(found)
+        found.clear()
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]]
+        return rows, pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
+
+    rest = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if rest is not None:
+            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+        key, i, j = columns[:3]
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        ends = cuts.tolist()
+        for low, high in zip([0, *ends], ends):
+            if high - low > 1:
+                compare(*(c[low:high] for c in columns[3:7]), np.stack([c[low:high] for c in columns[7:]], 1).view(np.uint64))
+        rest = [c[ends[-1] :] if ends else c for c in columns]
+        if sum(map(len, found)) - held > FLUSH:
+            rows, out = drained()
+            if len(rows) > FLUSH:
+                held = 0
+                yield out
+            else:
+                found.append(rows)
+                held = len(rows)
+    if rest is not None and len(rest[0]) > 1:
+        compare(*rest[3:7], np.stack(rest[7:], 1).view(np.uint64))
+    if found:
+        yield drained()[1]
+
+
+def one_key_each(members: DataFrame) -> DataFrame:
+    """(key, node) with one key of those that the very same nodes share: they meet under it."""
+    own = members.groupBy("key").agg(
+        F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.expr("bit_xor(xxhash64(node, 7))").alias("mix")
+    )
+    chosen = own.filter("size > 1").groupBy("size", "sum", "mix").agg(F.min("key").alias("key")).select("key")
+    return members.join(stored(chosen, "join-keys"), "key").select("key", "node")
 
 
 def linked(a, b, percent: int) -> bool:
@@ -236,17 +305,26 @@ def _joined(
     distinct shingles of `words` words, or the whole sequence of a shorter text. Two documents
     link when 100 * intersection >= percent * union; a component is all that links reach, named
     by its least id. Null and empty texts have no shingles and link with nothing. Rows with a
-    null id link with nothing (component null). Rows that repeat an id are one document for
-    the links. An empty table gives no rows.
-
-    Equal sets are one node before anything meets. Under a key of many sets only one meets all
-    others (the one that meets most in all), then those found linked are one, and what is left
-    meets again; so copies of a text with small changes cost a row each for a key and not the
-    square. Nothing is dropped: after HUB_ROUNDS all that is unconnected under a key meets.
+    null id link with nothing (component null). Rows that repeat an id with other texts keep
+    each its own set and its links; what they reach is one component, as they share a document.
+    An empty table gives no rows.
+
+    The nodes are distinct sets (128 bits of sums of hashes), so copies are one before anything
+    meets, and of keys with the same sets one is left. In each of HUBS rounds the set that meets
+    most in all meets the rest of its key, and what links to it is one from then on; so copies
+    of a text with small changes cost a row each for a key and not the square. Then all that is
+    still apart under a key is compared in tiles of bounded size by bit counts. Nothing is
+    dropped: every pair under a key is one component or compared.
     """
     ends = bands(percent)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    def sums(sets):
+        import numpy as np
+        import pyarrow as pa
+
+        return [pa.array([mixed(s + np.uint64(i)).sum(dtype=np.uint64).astype(np.int64) if len(s) else None for s in sets], pa.int64()) for i in (1, 2)]
+
     def describe(batches):
         import numpy as np
         import pyarrow as pa
@@ -260,10 +338,9 @@ def _joined(
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 sets = [shingler.shingles(text, words) for text in part.column(1).to_pylist()]
-                hashes = [[mixed(s + np.uint64(i)).sum(dtype=np.uint64).astype(np.int64) if len(s) else None for s in sets] for i in (1, 2)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(h, pa.int64()) for h in hashes),
+                        part.column(0), pa.array([len(s) for s in sets], pa.int64()), *sums(sets),
                         lists([parity_words(s, percent) if len(s) else none for s in sets]),
                         lists([keys_of(s, percent, ends) if len(s) else none for s in sets]),
                     ],
@@ -276,17 +353,27 @@ def _joined(
     )
     slim = described.select("doc_id", "n_shingles", "h1", "h2")
     named = described.filter("doc_id IS NOT NULL AND h1 IS NOT NULL")
-    classes = stored(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "join-classes")
+    classes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    classes = stored(classes, "join-classes")
+    # texts of one id are one document: their sets are linked from the start
+    twice = named.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).filter("x <> y").select("doc_id")
+    twice = stored(twice, "join-twice")
+    labels = None
+    if twice.limit(1).count():
+        of_id = marked(named.select("doc_id", "h1", "h2"), twice, "doc_id").join(twice, "doc_id").distinct().join(classes, ["h1", "h2"])
+        first = of_id.groupBy("doc_id").agg(F.min("node").alias("a"))
+        labels = components(of_id.join(first, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")))
     meets = named.select(F.explode("keys").alias("key"), "h1")
     shared = meets.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).filter("least <> most").select("key")
     shared = stored(shared, "join-shared")
-    live = stored(marked(meets, shared, "key").join(shared.hint("merge"), "key").distinct().join(classes, "h1").select("key", "node"), "join-meets")
-    of_node = live.select("node").distinct()
-    bits = stored(
-        named.join(of_node, named.doc_id == of_node.node, "left_semi").groupBy(F.col("doc_id").alias("node"))
-        .agg(F.max(F.struct(F.col("n_shingles").alias("n"), "bits")).alias("x")).select("node", "x.*").withColumns(sketch("bits")),
-        "join-bits",
-    )
+    live = marked(meets, shared, "key").join(shared.hint("merge"), "key").distinct().join(classes, "h1").select("key", "node")
+    live = stored(one_key_each(stored(live, "join-meets")), "join-live")
+    of_node = live.select("node").distinct().join(classes, "node").select("node", "h1", "h2", "least")
+    of_node = stored(of_node, "join-nodes")
+    described_ids = of_node.select(F.col("least").alias("doc_id")).distinct()
+    bits = marked(named.select("doc_id", "h1", "h2", "n_shingles", "bits"), described_ids, "doc_id")
+    bits = bits.join(of_node.select("node", "h1", "h2", F.col("least").alias("doc_id")), ["doc_id", "h1", "h2"]).groupBy("node")
+    bits = stored(bits.agg(F.max(F.struct(F.col("n_shingles").alias("n"), "bits")).alias("x")).select("node", "x.*").withColumns(sketch("bits")), "join-bits")
 
     def arrays(batches):
         import pyarrow as pa
@@ -295,8 +382,8 @@ def _joined(
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                sets = [shingler.shingles(t, words).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
+                sets = [shingler.shingles(t, words) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*sums(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["h1", "h2", "hashes"])
 
     def verify(batches):
         import numpy as np
@@ -311,49 +398,57 @@ def _joined(
         return table.select(*(F.col(c).alias(name if c == "node" else f"{c}_{name}") for c in table.columns))
 
     whole = bits.select("node", "n", "bits")
+    fields = ["n", *(f"s{k}" for k in range(SKETCH))]
     room = may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent)
-    labels = None
-    for turn in range(HUB_ROUNDS + 1):
+    for turn in range(HUBS + 1):
         at = live.withColumn("component", F.col("node")) if labels is None else live.join(labels, "node", "left").select(
             "key", "node", F.coalesce("component", "node").alias("component")
         )
-        if turn:
+        if turn or labels is not None:
             open_keys = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
             at = at.join(stored(open_keys, "join-open"), "key")
         at = stored(at, "join-live")
-        if turn < HUB_ROUNDS:
-            crowd = at.groupBy("key").agg(F.count("*").alias("crowd"))
-            degree = at.join(stored(crowd, "join-crowd"), "key").groupBy("node").agg(F.sum("crowd").alias("degree"))
+        crowd = stored(at.groupBy("key").agg(F.count("*").alias("crowd")), "join-crowd")
+        if turn < HUBS:
+            degree = at.join(crowd, "key").groupBy("node").agg(F.sum("crowd").alias("degree"))
             hubs = at.join(stored(degree, "join-degree"), "node").groupBy("key").agg(F.max(F.struct("degree", "node", "component")).alias("hub"))
             hubs = stored(hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_component")), "join-hubs")
             met = at.join(hubs, "key")
             pairs = met.filter("component <> hub_component").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
             live = stored(met.filter("node <> hub").select("key", "node"), "join-rest")
         else:
-            fields = ["n", *(f"s{k}" for k in range(SKETCH))]
-            slight = at.join(bits.drop("bits"), "node").select("key", "node", "component", *(F.coalesce(f, F.lit(0)).alias(f) for f in fields))
-            mine, theirs = slight.alias("x"), slight.alias("y")
-            fits = sketches_may_link(lambda f: F.col(f"x.{f}"), lambda f: F.col(f"y.{f}"), percent)
-            apart = F.expr("x.key = y.key AND x.node < y.node AND x.component <> y.component")
-            pairs = mine.join(theirs, apart & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            tiles = F.ceil(F.col("crowd") / TILE).cast("int")
+            part = F.pmod(F.xxhash64("node", "key"), F.col("tiles")).cast("int")
+            dealt = (
+                at.join(crowd, "key").join(bits.select("node", *fields), "node").withColumn("tiles", tiles).withColumn("part", part)
+                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+                .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component", *(F.coalesce(f, F.lit(0)).alias(f) for f in fields))
+                .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            )
+            pairs = dealt.mapInArrow(lambda batches: tile_pairs(batches, percent), "a long, b long")
         near = pairs.distinct().join(side(whole, "a"), "a").join(side(whole, "b"), "b").filter(room)
         near = stored(near.select("a", "b"), "join-pairs")
         if near.limit(1).count():
-            wanted = stored(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "join-wanted")
-            sets = marked(base, wanted, "doc_id").join(wanted.hint("merge"), "doc_id").select("doc_id", "text").mapInArrow(arrays, "node long, hashes binary").distinct()
-            sets = stored(sets, "join-arrays")
+            wanted = stored(near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(of_node, "node"), "join-wanted")
+            ids = stored(wanted.select(F.col("least").alias("doc_id")).distinct(), "join-ids")
+            sets = marked(base, ids, "doc_id").join(ids.hint("merge"), "doc_id").select("text").mapInArrow(arrays, "h1 long, h2 long, hashes binary")
+            sets = stored(sets.join(wanted, ["h1", "h2"]).groupBy("node").agg(F.min("hashes").alias("hashes")), "join-arrays")
             found = near.join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "hashes_a", "hashes_b")
             found = stored(found.mapInArrow(verify, "a long, b long").distinct(), "join-links")
             if found.limit(1).count():
                 labels = stored(components(found) if labels is None else extended(labels, found), "join-components")
-        if labels is None:
-            labels = near.limit(0).select(F.col("a").alias("node"), F.col("b").alias("component"))
         if not live.limit(1).count():
             break
-    of_class = classes.join(labels, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
-    out = slim.join(stored(of_class, "join-named"), ["h1", "h2"], "left")
+    if labels is None:
+        labels = classes.limit(0).select("node", F.col("node").alias("component"))
+    reached = labels.join(classes, "node")
+    least = reached.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = stored(reached.join(least, "component").select("h1", "h2", "component_id"), "join-named")
+    # sets that link with nothing keep the least id of their own class
+    of_class = classes.join(of_class, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("component_id", "least").alias("component_id"))
+    out = slim.join(stored(of_class, "join-classed"), ["h1", "h2"], "left")
     return out.select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
 
 

@@ -300,9 +300,13 @@ def scorer(model: dict):
 def toxicity_filter(docs: DataFrame, known: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns; nothing is joined.
 
-    The model is fitted on labelled rows of `known` as in toxicity_scores.
+    The model is fitted on labelled rows of `known` as in toxicity_scores; without labels of
+    both kinds nothing can be judged and every row stays. Null texts are scored as empty.
     """
-    scores = scorer(fit(*training_sample(known, labels)))
+    model = fit(*training_sample(known, labels))
+    if not model["landmarks"]:
+        return docs
+    scores = scorer(model)
     at = docs.columns.index("text")
 
     def run(batches):

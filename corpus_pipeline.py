@@ -41,10 +41,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
-    groups = ngram_join.ngram_join(docs, NEAR_WORDS, NEAR_PERCENT)
-    gone = stored(groups.filter("component_id < doc_id").select("doc_id").distinct(), "pipeline-near")
-    return without(docs, gone, "doc_id")
+    """One row of each group of near duplicates stays: the one with the smallest id (null last).
+
+    Rows are grouped by a number of their own, so rows that repeat an id or have none are judged
+    each by its own text. Rows without words link with nothing and stay.
+    """
+    numbered = stored(docs.withColumn("tw_row", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = ngram_join.ngram_join(numbered, NEAR_WORDS, NEAR_PERCENT, id_col="tw_row")
+    later = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("tw_row"), "component_id")
+    members = stored(later.union(later.select("component_id", "component_id").distinct()), "pipeline-members")
+    named = members.join(numbered.select("tw_row", "doc_id"), "tw_row")
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "tw_row")).alias("best"))
+    gone = members.join(best.select(F.col("best.tw_row").alias("tw_row")), "tw_row", "left_anti").select("tw_row")
+    return without(numbered, stored(gone, "pipeline-near"), "tw_row").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

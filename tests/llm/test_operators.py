@@ -188,6 +188,44 @@ def test_html_extraction(spark):
     assert by[7].text == "" and by[8].text == "" and by[9].text == "no markup, just text <here"
 
 
+LONG = "The long story of a short day and what came of it in the end, told again. " * 4
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<div class="page has-sidebar"><div class="sidebar">no</div><article><p>{0}</p></article></div>', "{0}"),
+        ('<article class="post no-comments"><p>{0}</p></article><div class="comments">{0}{0}</div>', "{0}"),
+        ('<article><p>{0}</p><div class="search-results"><p>Kept</p></div><div class="ad">Buy</div></article>', "{0}\nKept"),
+        ('<article><p>{0} <span class="ad">BUY <b>now</b></span> end <a class="share" href="/">tell all</a></p></article>', "{0} end"),
+        ('<div class="comments">{0}{0}</div><div class="content"><p>{0}</p></div>', "{0}"),
+        ('<div id="wrap"><div class="widget"><p>{0}</p></div></div>', "{0}"),
+        ('<main class="sidebar-left"><article class="comment">{0}{0}</article><article class="story"><p>{0}</p></article></main>', None),
+        ('<div class="cookieNotice">We use them</div><div class="entry"><p>{0}</p><p hidden>x</p></div>', "{0}"),
+        ("<p>{0}" + "<div>" * 60 + "deep" + "</div>" * 60, "{0}\ndeep"),
+    ],
+)
+def test_html_parts_are_judged_by_content(html, want):
+    page = html_extract.Page(f"<html><body>{html.format(LONG)}</body></html>")
+    text = page.text(page.best_path())
+    assert text == want.format(LONG.strip()) if want else text == LONG.strip()
+
+
+def test_html_hosts_vote(spark):
+    """The path of most pages of a host wins, counted by hand; a page without it goes by its own."""
+    rows = [(i, f"http://a.example/{i}", f'<body><div class="x{i}"><p>{LONG}</p></div><div class="note"><p>{LONG * (3 if i == 0 else 0)}n</p></div></body>') for i in range(7)]
+    rows += [(20 + i, f"http://b.example/{i}", f'<body><section class="s"><p>{LONG}{i}</p></section></body>') for i in range(3)]
+    rows += [(30, "http://b.example/other", f'<body><div class="t"><p>{LONG}other</p></div></body>')]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    votes = defaultdict(Counter)
+    for _, url, html in rows:
+        votes[url.split("/")[2]][html_extract.Page(html).best_path()] += 1
+    for i, url, html in rows:
+        counted = votes[url.split("/")[2]]
+        assert got[i] == html_extract.Page(html).text(min(counted, key=lambda p: (-counted[p], p)))
+    assert got[0] == LONG.strip() and got[22] == f"{LONG}2" and got[30] == f"{LONG}other"
+
+
 def test_html_extraction_of_all_pages(spark):
     from html import unescape
 
@@ -244,7 +282,48 @@ def test_toxicity_reads_gapped_and_inserted_letters():
     score = toxicity.scorer(model)
     say = lambda w: score([f"{clean[0]} {w} {clean[0]} {w}"])[0]
     assert say("of") < 0.3
-    assert min(say(w) for w in ("blockhead", "BLOCK-HEAD", "b l o c k h e a d", "b.l.o.c.k.h.e.a.d", "bloockhead", "nittwit")) > 0.3
+    assert min(say(w) for w in ("blockhead", "BLOCK-HEAD", "b l o c k h e a d", "b.l.o.c.k.h.e.a.d", "bloockhead", "nittwit", "nixtwit", "bló¢ckhead")) > 0.3
+
+
+def test_toxicity_tolerates_another_letter_in_short_words_of_any_script():
+    clean = {"en": "the and for with that from this are was have been more than into over".split(), "ru": "и в не на что с как это по они мы вы все так его".split()}
+    rude = {"en": ["idiot", "scum"], "ru": ["идиот", "дурак"]}
+    rng, texts, toxic = random.Random(7), [], []
+    for k in range(600):
+        lang = "en" if k % 2 else "ru"
+        w = rng.choices(clean[lang], k=25)
+        if k % 5 == 0:
+            w[4] = rng.choice(rude[lang])
+        texts.append(" ".join(w))
+        toxic.append(int(k % 5 == 0))
+    score = toxicity.scorer(toxicity.fit(texts, toxic))
+    say = lambda lang, w: score([" ".join([*clean[lang], w, *clean[lang]])])[0]
+    assert max(say("en", "of"), say("ru", "но"), say("en", "idea"), say("ru", "иди"), say("en", "12345")) < 0.3
+    assert min(say("en", w) for w in ("idiot", "idixot", "IDIOT!", "scxum", "idi0ot")) >= 0.3
+    assert min(say("ru", w) for w in ("идиот", "Идиот", "идижот", "дурщак", "д у р а к")) >= 0.3
+
+
+def test_toxicity_kernel_equals_the_naive_one():
+    from itertools import combinations
+
+    def phi(word):
+        out = Counter()
+        for i, j, k in combinations(range(len(word)), 3):
+            if k - i < toxicity.SPAN:
+                out[word[i] + word[j] + word[k]] += toxicity.DECAY ** (k - i - 2)
+        return out
+
+    dot = lambda a, b: sum(v * b[u] for u, v in a.items())
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdé漢я1", k=rng.randrange(3, 15))) for _ in range(60)]
+    landmarks = words[:7]
+    at, k = toxicity.Kernel(landmarks).values(words)
+    assert at.tolist() == list(range(len(words)))
+    for w, row in zip(words, k, strict=True):
+        for mark, value in zip(landmarks, row, strict=True):
+            a, b = phi(w), phi(mark)
+            assert value == pytest.approx(dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5, abs=1e-5)
+    assert (toxicity.Kernel(landmarks).bounds(words) >= k.max(axis=1) - 1e-5).all()
 
 
 def test_top_k(spark):

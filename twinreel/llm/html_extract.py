@@ -33,62 +33,154 @@ DROPPED_TAGS = frozenset(
     "nav aside footer form script style noscript template button select option textarea input iframe object svg canvas "
     "dialog head title menu".split()
 )
-DROPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement adsense promo promoted sponsor sponsored cookie cookies consent gdpr notice alert "
-    "popup modal overlay sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead banner comment "
-    "comments respond reply replies disqus share sharing social related recommended newsletter subscribe signup login "
-    "search pagination pager toolbar widget".split()
+#: Words that name what is not the article, wherever they stand in a class or id.
+STRONG_WORDS = frozenset(
+    "ad ads advert adverts advertisement adsense advertising promo promoted sponsor sponsored cookie cookies consent gdpr "
+    "sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus newsletter "
+    "subscribe popup pagination related recommended share sharing social".split()
 )
-DROPPED_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert form menu".split())
+#: Words that do so only as the last word of a class: "site-search", but not "search-results".
+WEAK_WORDS = frozenset(
+    "notice alert modal overlay banner respond reply replies signup login search pager toolbar widget notification".split()
+)
+#: A class that starts so tells what else is on the page, not what the element is.
+STATE_WORDS = frozenset("has no not with without is hide hides show shows enable disable can".split())
+DROPPED_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog form menu".split())
 CONTAINERS = frozenset("article body center div main section td".split())
 MAIN_WORDS = frozenset("article body content entry main post story text".split())
-DECAY, MAIN_BONUS, REACH = 0.5, 1.5, 8
+DECAY, MAIN_BONUS = 0.5, 1.5
+#: Share of its parent's text that makes a child the way to the article, and the share of the
+#: article above which a part named as something else is taken for the article all the same.
+BESIDE, MOST = 0.2, 0.5
+#: Parts of a host when pages are dealt out by host.
+SALTS = 16
+
+
+def suspect(names: list[str]) -> bool:
+    """Whether classes or ids name an element as something else than the article."""
+    for name in names:
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+        if words and words[0] not in STATE_WORDS and (STRONG_WORDS.intersection(words) or words[-1] in WEAK_WORDS):
+            return True
+    return False
 
 
 class Page:
-    """A page's elements and its blocks of text, in page order, from one pass over the tags."""
+    """A page's elements and its blocks of text, in page order, from one pass over the tags.
+
+    dropped: elements that are no article by their tag, role or style (with all inside them);
+    doubtful: those that classes name as something else, which judge() then decides by content.
+    """
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.path, self.dropped = [-1], ["#"], [""], [False]
-        self.blocks: list[tuple[int, str]] = []
+        self.parent, self.tag, self.path, self.dropped, self.doubtful = [-1], ["#"], [""], [False], [False]
+        self.all_blocks: list[tuple[int, str]] = []
         self.words: list[set] = [set()]
-        self._stack, self._buffer = [0], []
+        self._stack, self._buffer, self._skipped = [0], [], []
         self._read(html)
+        self.judge()
+        self.blocks = [(at, text) for at, text in self.all_blocks if not self.dropped[at]]
 
     def _flush(self) -> None:
+        self._skipped.clear()  # an inline element ends with its block at the latest
         if self._buffer:
             text = " ".join("".join(self._buffer).split())
             self._buffer.clear()
-            at = self._stack[-1]
-            if text and not self.dropped[at]:
-                self.blocks.append((at, text))
+            if text:
+                self.all_blocks.append((self._stack[-1], text))
 
-    def _open(self, tag: str, attributes: str) -> None:
-        at = self._stack[-1]
-        names = {}
+    @staticmethod
+    def _names(attributes: str) -> dict:
+        names: dict[str, str] = {}
         if attributes and not attributes.isspace():
             for m in ATTRIBUTE.finditer(attributes):
                 names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-        classes = sorted({re.sub(r"\d+", "0", c) for c in names.get("class", "").lower().split()})
+        return names
+
+    @staticmethod
+    def _hidden(names: dict) -> bool:
+        return names.get("role", "").lower() in DROPPED_ROLES or "hidden" in names or "display:none" in names.get("style", "").replace(" ", "").lower()
+
+    def _open(self, tag: str, attributes: str) -> None:
+        at = self._stack[-1]
+        names = self._names(attributes)
+        given = names.get("class", "").split()
+        classes = sorted({re.sub(r"\d+", "0", c.lower()) for c in given})
         words = {w for c in [*classes, names.get("id", "").lower()] for w in re.split(r"[^a-z]+", c) if w}
-        bad = (
-            tag in DROPPED_TAGS
-            or bool(words & DROPPED_WORDS) and tag not in ("html", "body")
-            or names.get("role", "").lower() in DROPPED_ROLES
-            or "hidden" in names
-            or "display:none" in names.get("style", "").replace(" ", "").lower()
-            or (tag == "header" or "header" in words) and not self._within_main()
-        )
+        bad = tag in DROPPED_TAGS or self._hidden(names) or tag == "header" and not self._within_main()
         self.parent.append(at)
         self.tag.append(tag)
         self.words.append(words)
         self.dropped.append(self.dropped[at] or bad)
+        named = "header" in words and words.isdisjoint(("article", "post", "entry", "content")) and not self._within_main()
+        self.doubtful.append(tag not in ("html", "body") and (named or suspect([*given, names.get("id", "")])))
         self.path.append(f"{self.path[at]}>{'.'.join([tag, *classes])}")
         self._stack.append(len(self.tag) - 1)
 
     def _within_main(self) -> bool:
         return any(self.tag[i] in ("article", "main") for i in self._stack)
 
+    def judge(self) -> None:
+        """Drop the doubtful elements that their content does not clear.
+
+        The article's place is the article or main element with most text that is not doubtful,
+        or else what one reaches from the top by going to the child with most such text while it
+        has BESIDE of its parent's; only where nothing but doubtful children have text, into the
+        doubtful one with more than MOST of it. What holds that place is the article, whatever
+        its classes say; so is a doubtful part inside it with more than MOST of its text.
+        """
+        if not any(self.doubtful):
+            return
+        n = len(self.tag)
+        size, sure = [0] * n, [0] * n
+        for at, text in self.all_blocks:
+            if not self.dropped[at]:
+                size[at] += len(text)
+        own = list(size)
+        for i in range(n - 1, 0, -1):  # children follow their parents
+            size[self.parent[i]] += size[i]
+        for i in range(n - 1, -1, -1):
+            sure[i] += own[i]
+            if i and not self.doubtful[i]:
+                sure[self.parent[i]] += sure[i]
+        inside = [False] * n
+        children: dict[int, list[int]] = {}
+        for i in range(1, n):
+            inside[i] = inside[self.parent[i]] or self.doubtful[i]
+            children.setdefault(self.parent[i], []).append(i)
+        mains = [i for i in range(1, n) if self.tag[i] in ("article", "main") and not self.dropped[i] and size[i]]
+        if mains:
+            place = max(mains, key=lambda i: (not self.doubtful[i], sure[i], -i))
+        else:
+            place = 0
+            while True:
+                free = [i for i in children.get(place, ()) if not self.doubtful[i] and sure[i]]
+                best = max(free, key=lambda i: (sure[i], -i), default=None)
+                if best is None and not own[place]:
+                    best = max(children.get(place, ()), key=lambda i: (size[i], -i), default=None)
+                    if best is not None and size[best] <= MOST * size[place]:
+                        best = None
+                elif best is not None and sure[best] < BESIDE * size[place]:
+                    best = None
+                if best is None:
+                    break
+                place = best
+        cleared, i = set(), place
+        while i > 0:
+            cleared.add(i)
+            i = self.parent[i]
+        for i in range(1, n):
+            if self.dropped[self.parent[i]]:
+                self.dropped[i] = True
+            elif self.doubtful[i] and i not in cleared:
+                within = self.parent[i]
+                self.dropped[i] = not (within in cleared and self._below(place, i) and size[i] > MOST * size[place])
+
+    def _below(self, place: int, i: int) -> bool:
+        while i > place:
+            i = self.parent[i]
+        return i == place
+
     def _close_implied(self, tag: str) -> None:
         ends, stops = ({"p"}, {"td", "th", "button", "table"}) if tag in ENDS_P else SIBLINGS.get(tag, (None, None))
         if ends is None:
@@ -120,12 +212,24 @@ class Page:
             elif tag == "br":
                 self._buffer.append(" ")
             if m[1]:
-                if not inline:  # inline elements are not kept open
+                if inline:  # inline elements are open only while their text is skipped
+                    if self._skipped and self._skipped[-1] == tag:
+                        self._skipped.pop()
+                else:
                     for depth in range(len(self._stack) - 1, 0, -1):
                         if self.tag[self._stack[depth]] == tag:
                             del self._stack[depth:]
                             break
                 continue
+            if inline and tag not in VOID:
+                if self._skipped:
+                    if tag == self._skipped[-1]:
+                        self._skipped.append(tag)
+                elif m[3] and not m[3].isspace():
+                    names = self._names(m[3])
+                    if self._hidden(names) or suspect([*names.get("class", "").split(), names.get("id", "")]):
+                        self._skipped.append(tag)
+                        self._buffer.append(" ")
             if tag in RAW:
                 lower = lower or html.lower()
                 end = lower.find(f"</{tag}", at) if len(lower) == len(html) else html.find(f"</{tag}", at)
@@ -143,27 +247,23 @@ class Page:
         self._flush()
 
     def _text(self, raw: str) -> None:
-        self._buffer.append(unescape(raw) if "&" in raw else raw)
+        if not self._skipped:
+            self._buffer.append(unescape(raw) if "&" in raw else raw)
 
     def best_path(self) -> str:
         """Path of the container that scores highest; "" for a page without text.
 
-        A block gives its length to its nearest container, half of it to the next one out, and
+        A block gives its length to its nearest container, DECAY of it to the next one out, and
         so on; containers named as main parts count half as much again. Ties: the outer one.
         """
-        score: dict[int, float] = {}
+        score = [0.0] * len(self.tag)
         for at, text in self.blocks:
-            share = float(len(text))
-            for _ in range(REACH):
-                while at > 0 and self.tag[at] not in CONTAINERS:
-                    at = self.parent[at]
-                if at <= 0:
-                    break
-                score[at] = score.get(at, 0.0) + share
-                share *= DECAY
-                at = self.parent[at]
+            score[at] += len(text)
+        for i in range(len(self.tag) - 1, 0, -1):  # children follow their parents
+            score[self.parent[i]] += score[i] * (DECAY if self.tag[i] in CONTAINERS else 1)
         named = lambda i: self.tag[i] in ("article", "main") or self.words[i] & MAIN_WORDS
-        best = max(score, key=lambda i: (score[i] * (MAIN_BONUS if named(i) else 1), -i), default=None)
+        places = [i for i in range(1, len(self.tag)) if score[i] and self.tag[i] in CONTAINERS]
+        best = max(places, key=lambda i: (score[i] * (MAIN_BONUS if named(i) else 1), -i), default=None)
         return "" if best is None else self.path[best]
 
     def text_at(self, path: str) -> str | None:
@@ -191,8 +291,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     elements at the winning path of the host (most votes, then the smallest path); a page that
     has none is extracted at its own best path. Null html is empty text; pages without a host
     vote together; repeated rows are ordinary rows; an empty table gives no rows.
-    Votes are counted before they move, so a host of a third of all pages is no hot key; the
-    winners (a row for each host) are broadcast only below the planner's size limit.
+    Votes are counted before they move, so a host of a third of all pages is no hot key. The
+    winners (a row for each host) are broadcast only below the planner's size limit; beyond it
+    pages and winners meet under the host and one of SALTS numbers.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     base = pages.select(
@@ -222,6 +323,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     votes = base.select("host", "html").mapInArrow(vote, "host string, path string").filter("path <> ''")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"))
     winners = counted.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path"))["path"].alias("path"))
-    joined = base.join(stored(winners, "html-paths"), "host", "left").select("page_id", "url", "html", "path")
+    winners = stored(winners, "html-paths").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(winners, ["host", "salt"], "left").select("page_id", "url", "html", "path")
     out = joined.mapInArrow(extract, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -22,97 +22,156 @@ EVIDENCE = 9
 #: Two landmarks are no more alike than this.
 ALIKE = 0.75
 LEVELS = (0.55, 0.75, 0.9)
-#: Bounds of the training sample: rows and characters.
+#: Bounds of the training sample: rows and characters (of whole texts).
 TRAIN_ROWS, TRAIN_CHARS = 6000, 40_000_000
 THRESHOLD = 0.3
 #: Entries of a worker's memory of words; it starts anew beyond that.
 MEMORY = 150_000
-_SPELLED = re.compile(rb"(?<!\S)(?:[a-z]\s+){2,}[a-z](?!\S)")
-_HINT = re.compile(rb"\s[a-z]\s+[a-z]\s")
-_DROPPED = bytes(c for c in range(128) if not (97 <= c <= 122 or c in b" \t\n\r\x0b\x0c"))
-_SIZE = 27**3
-
-
-def words_of(text: str) -> list[bytes]:
-    """Words as the letters a-z: without capitals, accents and other characters; letters spelled
-    one by one are read as one word."""
-    letters = unicodedata.normalize("NFD", text).encode("ascii", "ignore").lower().translate(None, _DROPPED)
+#: A word is also read without each of its letters in turn, at this share of the kernel value.
+DELETED = 0.97
+#: Landmarks of clean words that look most like the toxic ones.
+CLEAN_LANDMARKS = 8
+_SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_]\s+){2,}[^\W\d_](?!\S)")
+_HINT = re.compile(r"\s[^\W\d_]\s+[^\W\d_]\s")
+_OTHER = re.compile(r"[^\w\s]+|_+")
+_ASCII_DROPPED = {c: None for c in range(128) if not (chr(c).isalnum() or chr(c).isspace())}
+
+
+def words_of(text: str) -> list[str]:
+    """Words as letters and digits of any script, without capitals, accents and signs; letters
+    spelled one by one are read as one word."""
+    if text.isascii():
+        letters = text.lower().translate(_ASCII_DROPPED)
+    else:
+        letters = _OTHER.sub("", unicodedata.normalize("NFD", text).lower())
     if _HINT.search(letters):
-        letters = _SPELLED.sub(lambda m: b"".join(m[0].split()), letters)
+        letters = _SPELLED.sub(lambda m: "".join(m[0].split()), letters)
     return letters.split()
 
 
-def pieces_of(word: bytes) -> list[bytes]:
-    """The word, or half-overlapping windows of a long one; nothing for less than three letters."""
-    if len(word) < 3:
+def pieces_of(word: str) -> list[str]:
+    """The word, or half-overlapping windows of a long one; nothing for less than three letters
+    (no subsequence of three) and for numbers."""
+    if len(word) < 3 or word.isdigit():
         return []
     if len(word) <= WINDOW:
         return [word]
     return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
-def triples(words: list[bytes]):
-    """For words of each length: their places, and (numbers of subsequences, weight) by gaps."""
-    import numpy as np
+class Alphabet:
+    """Numbers of characters: those of the landmarks first, from 1; others get the numbers after
+    them anew for each batch, so that every two different characters stay different."""
 
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    for length, at in by_length.items():
-        c = np.frombuffer(b"".join([words[i] for i in at]), dtype=np.uint8).reshape(-1, length).astype(np.int32) - 96
-        gaps = [(near, far) for near in range(1, SPAN - 1) for far in range(near + 1, min(SPAN, length))]
-        yield np.array(at), [
-            ((c[:, : length - far] * 27 + c[:, near : length - far + near]) * 27 + c[:, far:], DECAY ** (far - 2)) for near, far in gaps
-        ]
+    def __init__(self, words: list[str]):
+        import numpy as np
 
+        self.known = np.array(sorted({ord(c) for w in words for c in w}), dtype=np.uint32)
 
-def bounds(words: list[bytes], most):
-    """For each word, no less than its greatest kernel value to any landmark.
+    def numbers(self, text: str):
+        """An int64 number for each character of a text, and how many numbers there are."""
+        import numpy as np
 
-    most: for each subsequence, the greatest feature of a landmark. The norm of unmerged
-    features is no greater than that of merged ones, so nothing has to be sorted here.
-    """
+        codes, which = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_inverse=True)
+        own = np.isin(codes, self.known)
+        number = np.where(own, np.searchsorted(self.known, codes) + 1, len(self.known) + np.cumsum(~own)).astype(np.int64)
+        return number[which], len(self.known) + int((~own).sum()) + 1
+
+
+def triples(words: list[str], alphabet: Alphabet):
+    """The base of the numbers of subsequences; then for words of each length: their places, and
+    (numbers of subsequences, weight) by gaps. A subsequence abc has number (a * base + b) * base + c."""
     import numpy as np
 
-    out = np.zeros(len(words), dtype=np.float32)
-    for at, parts in triples(words):
-        top = sum(np.float32(w) * most[k].sum(axis=1) for k, w in parts)
-        out[at] = top / np.sqrt(sum(w * w * k.shape[1] for k, w in parts))
-    return out
+    by_length: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        by_length.setdefault(len(w), []).append(i)
+    order = [(length, at) for length, at in by_length.items()]
+    numbers, base = alphabet.numbers("".join(words[i] for _, at in order for i in at))
+    out, start = [], 0
+    for length, at in order:
+        c = numbers[start : start + length * len(at)].reshape(-1, length)
+        start += length * len(at)
+        gaps = [(near, far) for near in range(1, SPAN - 1) for far in range(near + 1, min(SPAN, length))]
+        out.append((np.array(at), [
+            ((c[:, : length - far] * base + c[:, near : length - far + near]) * base + c[:, far:], DECAY ** (far - 2)) for near, far in gaps
+        ]))
+    return base, out
 
 
-def features(words: list[bytes]):
-    """Normalised kernel features of words: (word, subsequence, weight), sorted by word."""
+def features(words: list[str], alphabet: Alphabet):
+    """Normalised kernel features of words: (word, subsequence, weight), sorted by word. Only
+    subsequences of known characters have numbers that mean something; the rest are 0."""
     import numpy as np
 
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if not words:
+        return none
+    base, groups = triples(words, alphabet)
     keys, weights = [], []
-    for at, parts in triples(words):
+    for at, parts in groups:
         for k, w in parts:
-            keys.append((at[:, None] * _SIZE + k).ravel())
+            keys.append((at[:, None] * base**3 + k).ravel())
             weights.append(np.full(k.size, w))
     if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return none
     unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     value = np.bincount(inverse, np.concatenate(weights))
-    row = unique // _SIZE
+    row, sub = unique // base**3, unique % base**3
     norm = np.sqrt(np.bincount(row, value**2, minlength=len(words)))
-    return row, unique % _SIZE, value / norm[row]
+    return row, cube(sub, base, len(alphabet.known) + 1), value / norm[row]
+
+
+def cube(sub, base: int, side: int):
+    """Numbers of subsequences to the base `side` of the known characters; 0 for all others."""
+    import numpy as np
+
+    a, b, c = sub // (base * base), sub // base % base, sub % base
+    return np.where((a < side) & (b < side) & (c < side), (a * side + b) * side + c, 0)
 
 
 class Kernel:
-    """Kernel values of words to the landmarks, remembered by word."""
+    """Kernel values of words to the landmarks, remembered by word.
+
+    A word that is near enough to a landmark is also compared without each of its letters in
+    turn, so a letter put into a short word costs little.
+    """
 
     def __init__(self, landmarks: list[str]):
         import numpy as np
 
-        self.landmarks = landmarks
-        row, sub, value = features([w.encode() for w in landmarks])
-        self.matrix = np.zeros((_SIZE, len(landmarks)), dtype=np.float32)
+        self.landmarks, self.alphabet = landmarks, Alphabet(landmarks)
+        self.side = len(self.alphabet.known) + 1
+        row, sub, value = features(landmarks, self.alphabet)
+        self.matrix = np.zeros((self.side**3, len(landmarks)), dtype=np.float32)
         self.matrix[sub, row] = value
         self.most = self.matrix.max(axis=1, initial=0)
         self.near: dict = {}
 
-    def learn(self, words: list[bytes]) -> None:
+    def bounds(self, words: list[str]):
+        """For each word, no less than its greatest kernel value to any landmark. The norm of
+        unmerged features is no greater than that of merged ones, so nothing is sorted here."""
+        import numpy as np
+
+        out = np.zeros(len(words), dtype=np.float32)
+        if words:
+            base, groups = triples(words, self.alphabet)
+            for at, parts in groups:
+                top = sum(np.float32(w) * self.most[cube(k, base, self.side)].sum(axis=1) for k, w in parts)
+                out[at] = top / np.sqrt(sum(w * w * k.shape[1] for k, w in parts))
+        return out
+
+    def values(self, words: list[str]):
+        """(place of the word, its kernel values) for words with a subsequence that counts."""
+        import numpy as np
+
+        row, sub, value = features(words, self.alphabet)
+        if not len(row):
+            return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        return row[starts], np.add.reduceat(value[:, None].astype(np.float32) * self.matrix[sub], starts, axis=0)
+
+    def learn(self, words: list[str]) -> None:
         import numpy as np
 
         if len(self.near) + len(words) > MEMORY:
@@ -125,17 +184,19 @@ class Kernel:
                     rows.append(piece)
                     owner.append(i)
             self.near.update(dict.fromkeys(part))
-            hopeful = np.flatnonzero(bounds(rows, self.most) >= NEAR - 1e-4)
+            hopeful = np.flatnonzero(self.bounds(rows) >= NEAR - 1e-4)
             rows, owner = [rows[i] for i in hopeful], [owner[i] for i in hopeful]
-            row, sub, value = features(rows)
-            if not len(row):
-                continue
-            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            k = np.add.reduceat(value[:, None].astype(np.float32) * self.matrix[sub], starts, axis=0)
-            for i in np.flatnonzero(k.max(axis=1) >= NEAR):
-                word, values = part[owner[row[starts[i]]]], np.where(k[i] >= NEAR, k[i], 0)
-                had = self.near[word]
-                self.near[word] = values if had is None else np.maximum(had, values)
+            at, k = self.values(rows)
+            close = np.flatnonzero(k.max(axis=1, initial=0) >= NEAR)
+            found = [(owner[at[i]], k[i]) for i in close]
+            shorter = [(w[:j] + w[j + 1 :], owner[at[i]]) for i in close if k[i].max() < DELETED for w in [rows[at[i]]] if len(w) > 3 for j in range(len(w))]
+            for first in range(0, len(shorter), 8192):
+                some = shorter[first : first + 8192]
+                at, k = self.values([w for w, _ in some])
+                found += [(some[j][1], DELETED * v) for j, v in zip(at.tolist(), k, strict=True) if v.max() >= NEAR]
+            for i, v in found:
+                had, v = self.near[part[i]], np.where(v >= NEAR, v, 0)
+                self.near[part[i]] = v if had is None else np.maximum(had, v)
 
     def pooled(self, texts: list[str]):
         """A row for each text: the best value of each landmark, and counts of near words."""
@@ -159,12 +220,13 @@ class Kernel:
 
 
 def choose_landmarks(texts: list[str], toxic: list[int]) -> list[str]:
-    """Words whose texts are toxic far more often than the rest, no two too alike."""
+    """Words whose texts are toxic far more often than the rest, no two too alike; then the clean
+    words that are most like them."""
     import numpy as np
 
     seen = {0: Counter(), 1: Counter()}
     for text, y in dict(zip(texts, toxic, strict=True)).items():  # copies of a text are one text
-        seen[y].update({w.decode() for w in words_of(text) if 3 <= len(w) <= WINDOW})
+        seen[y].update({w for w in words_of(text) if 3 <= len(w) <= WINDOW and not w.isdigit()})
     n1 = sum(toxic)
     n0 = len(toxic) - n1
 
@@ -181,29 +243,37 @@ def choose_landmarks(texts: list[str], toxic: list[int]) -> list[str]:
         for w in pool:
             if len(chosen) >= limit:
                 return
-            row, sub, value = features([c.encode() for c in [w, *chosen]])
+            row, sub, value = features([w, *chosen], Alphabet([w, *chosen]))
             mine = dict(zip(sub[row == 0].tolist(), value[row == 0], strict=True))
             alike = np.bincount(row, [mine.get(s, 0) * v for s, v in zip(sub.tolist(), value, strict=True)], minlength=len(chosen) + 1)[1:]
             if not len(alike) or alike.max() < ALIKE:
                 chosen.append(w)
 
     take((w for g, w in ranked[: LANDMARKS * 8] if g > EVIDENCE), LANDMARKS)
+    if chosen:
+        clean = sorted(w for w in seen[0] if seen[1][w] * n0 <= seen[0][w] * n1)
+        kernel, like = Kernel(chosen), []
+        for low in range(0, len(clean), 8192):
+            at, k = kernel.values(clean[low : low + 8192])
+            like += [(-float(v.max()), clean[low + i]) for i, v in zip(at.tolist(), k, strict=True) if v.max() >= NEAR]
+        take((w for _, w in sorted(like)), len(chosen) + CLEAN_LANDMARKS)
     return chosen
 
 
 def distorted(texts: list[str], kernel: Kernel) -> list[str]:
-    """The texts with a letter inserted in each word that is a landmark (the place and
-    the letter follow from the word and its position), so that the fit tolerates such words."""
-    out = []
+    """The texts with a letter inserted in each word that is a landmark (the place and the
+    letter, another one of the landmarks' alphabet, follow from the word and its position), so
+    that the fit tolerates such words."""
+    out, letters = [], [chr(c) for c in kernel.alphabet.known]
     for text in texts:
         words = words_of(text)
         kernel.learn(list({w for w in words if w not in kernel.near}))
         for i, w in enumerate(words):
             near = kernel.near.get(w)
-            if near is not None and near.max() > 0.95 and len(w) > 3:
+            if near is not None and near.max() > DELETED and len(w) > 3:
                 at = 1 + (i * 7 + len(w)) % (len(w) - 2)
-                words[i] = w[:at] + bytes([97 + (i * 5 + len(w)) % 26]) + w[at:]
-        out.append(b" ".join(words).decode())
+                words[i] = w[:at] + letters[(i * 5 + len(w)) % len(letters)] + w[at:]
+        out.append(" ".join(words))
     return out
 
 
@@ -216,12 +286,12 @@ def fit(texts: list[str], toxic: list[int]) -> dict:
     if not landmarks:
         return {"landmarks": [], "base": base}
     kernel = Kernel(landmarks)
-    extra = distorted([t for t, y in zip(texts, toxic, strict=True) if y][: len(texts) // 8], kernel)
+    extra = distorted([t for t, y in zip(texts, toxic, strict=True) if y], kernel)
     texts, toxic = texts + extra, toxic + [1] * len(extra)
     x = np.vstack([kernel.pooled(texts[i : i + 256]) for i in range(0, len(texts), 256)])
     m = len(landmarks)
-    row, sub, value = features([w.encode() for w in landmarks])
-    dense = np.zeros((m, _SIZE))
+    row, sub, value = features(landmarks, kernel.alphabet)
+    dense = np.zeros((m, kernel.side**3))
     dense[row, sub] = value
     gram, vectors = np.linalg.eigh(dense @ dense.T)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(gram, 1e-2))) @ vectors.T
@@ -265,25 +335,34 @@ def held_out(doc_id):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[list[str], list[int]]:
-    """At most `rows` labelled texts outside the held-out part, chosen by a hash of the id, and
-    at most `chars` characters of them."""
+    """At most `rows` labelled texts outside the held-out part, in the order of a hash of the id,
+    and of these as many as have at most `chars` characters together.
+
+    Which rows they are is decided by ids and lengths; only their texts go to the driver.
+    """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     some = (
         usable.groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max("toxic").cast("int").alias("label"))
-        .orderBy(F.md5(F.col("labelled").cast("string")), "labelled").limit(rows)
+        .withColumn("draw", F.md5(F.col("labelled").cast("string"))).orderBy("draw", "labelled").limit(rows)
     )
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(
         F.broadcast(some), F.col("doc_id") == F.col("labelled")
     )
-    sample = found.select("doc_id", "text", "label").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "text").limit(rows)
-    texts, toxic, total = [], [], 0
-    for row in sample.toLocalIterator():
-        total += len(row["text"])
+    size = F.char_length("text")
+    lengths = found.select("draw", "doc_id", size.alias("n"), F.xxhash64("text").alias("sum")).orderBy("draw", "doc_id", "n", "sum").limit(rows).collect()
+    total, wanted = 0, []
+    for r in lengths:
+        total += r["n"]
         if total > chars:
             break
-        texts.append(row["text"])
-        toxic.append(row["label"])
-    return texts, toxic
+        wanted.append((r["doc_id"], r["sum"]))
+    if not wanted:
+        return [], []
+    chosen = docs.sparkSession.createDataFrame(list(dict.fromkeys(wanted)), "doc_id long, sum long")
+    taken = found.withColumn("sum", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "sum"], "left_semi")
+    known = {(r["doc_id"], r["sum"]): (r["text"], r["label"]) for r in taken.select("doc_id", "sum", "text", "label").toLocalIterator()}
+    rows_ = [known[x] for x in wanted]
+    return [t for t, _ in rows_], [y for _, y in rows_]
 
 
 def scorer(model: dict):

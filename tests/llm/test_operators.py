@@ -84,6 +84,18 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("short", "full"), [(1, 32), (1, 1)])
+def test_exact_dedup_compares_bytes_where_hashes_collide(spark, short, full):
+    rows = [(i, f"text {i % 300}", "s") for i in range(900)] + [(900, None, "s"), (None, "text 1", "s"), (5, "text 5", "s")]
+    got = exact_dedup.exact_dedup(docs(spark, rows), hash_bytes=short, full_bytes=full).collect()
+    want = exact_dedup.exact_dedup(docs(spark, rows)).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, want))
+    sizes = Counter(t or "" for _, t, _ in rows)
+    most = {t: max(i for i, u, _ in rows if u == t and i is not None) for t in sizes if t}
+    names = {hashlib.sha256(t.encode()).hexdigest(): t for t in sizes}
+    assert all(r.group_size == sizes[names[r.text_sha256]] and r.keep_id == most.get(names[r.text_sha256], 900) for r in got)
+
+
 def test_mixing(spark):
     rng = random.Random(3)
     rows = [(i, "w " * rng.randrange(200), s) for s, n in (("a", 400), ("b", 30), ("c", 60), (None, 20)) for i in range(n)]
@@ -332,7 +344,7 @@ def test_top_k(spark):
     rng = np.random.default_rng(6)
     rows = [(i, [float(x) for x in rng.normal(size=8)], "x") for i in range(300)]
     rows += [(i, rows[7][1], "x") for i in range(300, 400)]  # ties
-    rows += [(400, None, "x"), (450, [float("nan")] * 8, "x"), (451, [1.0, None] + [0.0] * 6, "x"), (None, rows[0][1], "x"), rows[0]]
+    rows += [(400, None, "x"), (450, [float("nan")] * 8, "x"), (451, [1.0, None] + [0.0] * 6, "x"), (None, rows[0][1], "x")]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string"))
     v = {i: np.floor(256 * np.array(np.array(e, np.float32), float)).astype(int) for i, e, _ in rows[:400]}
     want = set()
@@ -345,6 +357,17 @@ def test_top_k(spark):
     assert topk.top_k(few.limit(0)).count() == 0
 
 
+def test_top_k_takes_rows_that_repeat_an_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (7, [0.5, 0.25]), (8, [300.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=2).collect()
+    whole = [(i, [int(256 * x) for x in v]) for i, v in rows]
+    want = Counter()
+    for a in range(3):
+        best = sorted((-sum(x * y for x, y in zip(whole[a][1], whole[b][1], strict=True)), whole[b][0]) for b in range(5) if a != b)[:2]
+        want.update((50, n + 1, i, -s) for n, (s, i) in enumerate(best))
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+
+
 def test_pipeline_stages(spark):
     table = read(spark, SF, "documents")
     rows = table.withColumn("extra", F.lit(1))

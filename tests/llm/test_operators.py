@@ -126,15 +126,61 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def brute_lines(rows):
+    """What line_dedup leaves of (id, text) rows with different ids, as a program over lists."""
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    words = lambda line: len(line.strip(" ").split(" "))
+    chunks, windows, lines_of = defaultdict(list), defaultdict(list), {}
+    for i, t in sorted((i, t) for i, t in rows if t is not None):
+        lines = lines_of[i] = t.split("\n")
+        long = [words(x) >= 50 for x in lines]
+        start = 0
+        for k, x in enumerate(lines):
+            rolled = md5((md5(lines[k - 1]) if k else "") + md5(x))
+            if k == len(lines) - 1 or rolled[0] < "5" or long[k] or long[k + 1]:
+                if k > start or long[start]:
+                    chunks["\n".join(lines[start : k + 1])].append((i, start, k + 1))
+                start = k + 1
+        for k in range(len(lines) - 1):
+            windows["\n".join(lines[k : k + 2])].append((i, k))
+    lost = defaultdict(set)
+    for places in chunks.values():
+        for i, low, high in sorted(places)[1:]:
+            lost[i] |= set(range(low, high))
+    repeated = {p: p == min(places) for places in windows.values() if len(places) > 1 for p in places}
+    for (i, k), first in repeated.items():
+        low, high = k, k
+        while (i, low - 1) in repeated:
+            low -= 1
+        while (i, high + 1) in repeated:
+            high += 1
+        if not first and sum(map(words, lines_of[i][low : high + 2])) >= 50:
+            lost[i] |= {k, k + 1}
+    return {i: (None if t is None else "\n".join(x for k, x in enumerate(lines_of[i]) if k not in lost[i]), len(lost[i])) for i, t in rows}
+
+
 def test_line_dedup(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(1, f"x1\n{passage}\ny1", "s"), (2, f"x2\ny2\n{passage}\nz2", "s"), (3, "only here\nand here", "s"), (4, None, "s"), (5, "", "s"), (6, "only here\nand here", "s")]
     got = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
     assert got[1].text == rows[0][1] and got[2].text == "x2\ny2\nz2" and got[2].n_removed == 1
-    assert got[3].text == rows[2][1] and (got[6].text == "" or "here" in got[6].text) and got[4].text is None and got[5].text == ""
+    assert got[3].text == rows[2][1] and got[6].text == brute_lines([(i, t) for i, t, _ in rows])[6][0] and got[4].text is None and got[5].text == ""
     assert line_dedup.line_dedup(docs(spark, ODD)).count() == len(ODD) and line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_equals_brute_force_and_misses_no_passage(spark):
+    """Passages of four to six short lines, over 50 words each, between lines of their own."""
+    rng = random.Random(21)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [[line(rng.randrange(12, 16)) for _ in range(rng.randrange(4, 7))] for _ in range(25)]
+    rows = [(i, "\n".join([line(9) for _ in range(rng.randrange(4))] + rng.choice(passages) + [line(9) for _ in range(rng.randrange(4))])) for i in range(120)]
+    rows += [(120, "\n".join(["short one"] * 6)), (121, None), (122, "\n\n\n"), (123, "\n\n\n")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got == brute_lines(rows)
+    left = "\n".join(t for t, _ in got.values() if t)
+    assert all(left.count("\n".join(p)) <= 1 and left.count(p[0]) <= 1 for p in passages)
+
+
 def brute_components(rows, words, percent):
     sets = {}
     for i, t in rows:

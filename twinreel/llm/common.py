@@ -130,6 +130,17 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return found.filter("NOT tw_mark").drop("tw_mark").select(rows.columns).union(left.select(rows.columns))
 
 
+def marked_left_join(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows left-joined with `found`, which has a row for a key at most; only rows whose key may
+    be in `found` move (all, with more keys than the bitmap has room for)."""
+    bits = _bits_for(found)
+    if bits is None:
+        return rows.join(found.hint("merge"), key, "left")
+    both = _with_mark(rows, found, key, bits)
+    hit = both.filter("tw_mark").drop("tw_mark").join(found.hint("merge"), key, "left")
+    return hit.unionByName(both.filter("NOT tw_mark").drop("tw_mark"), allowMissingColumns=True)
+
+
 def trim() -> None:
     """Give a worker's unused memory back, so that it does not stay with an idle worker."""
     import ctypes

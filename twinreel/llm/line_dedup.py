@@ -1,16 +1,22 @@
-"""Line dedup over content-defined chunks of lines. DataFrame operations only."""
+"""Line dedup over content-defined chunks of lines. DataFrame operations only.
+
+Chunks are found by boundaries that rolling hashes choose. A passage that no whole chunk lies in
+is found by its windows of two lines: matches grow line by line, and count from MIN_WORDS words.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import marked, stored
+from .common import marked, marked_left_join, stored
 
 #: A boundary follows a line when the first hex digit of its rolling hash is below this.
 BOUNDARY_BELOW = "5"
-#: A line of this many words is a chunk of its own.
+#: A line of this many words is a chunk of its own: a whole passage in one line.
 LONG_LINE = 50
+#: Least words of a run of windows that are repeated one after the other.
+MIN_WORDS = 50
 
 
 def _chunks(text: Column, below: str, long_line: int) -> Column:
@@ -54,6 +60,64 @@ def _chunks(text: Column, below: str, long_line: int) -> Column:
     return F.get(F.transform(F.array(marked), cut), 0)
 
 
+def _words(line: Column) -> Column:
+    return F.size(F.split(F.trim(line), " "))
+
+
+def _windows(text: Column, with_pair: bool) -> Column:
+    """array<struct<start, h, words, next_words>> of the windows of two neighbouring lines, and
+    with_pair their text."""
+
+    def cut(lines: Column) -> Column:
+        hashes = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), _words(x).alias("w")))
+
+        def window(m: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(0), F.size(m) - 2),
+                lambda i: F.struct(
+                    i.alias("start"), F.xxhash64(F.get(m, i)["h"], F.get(m, i + 1)["h"]).alias("h"),
+                    F.get(m, i)["w"].alias("words"), F.get(m, i + 1)["w"].alias("next_words"),
+                ),
+            )
+
+        def pairs(x: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(0), F.size(x) - 2),
+                lambda i: F.struct(
+                    i.alias("start"), F.xxhash64(F.xxhash64(F.get(x, i)), F.xxhash64(F.get(x, i + 1))).alias("h"),
+                    F.concat(F.get(x, i), F.lit("\n"), F.get(x, i + 1)).alias("chunk"),
+                ),
+            )
+
+        return pairs(lines) if with_pair else F.get(F.transform(F.array(hashes), window), 0)
+
+    lines = F.split(text, "\n", -1)
+    found = F.get(F.transform(F.array(lines), cut), 0)
+    return F.when(F.contains(text, F.lit("\n")), found)
+
+
+def _by_bytes(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of found(h, chunk, doc_id, start): the hashes h under which all bytes are the same, and for
+    the hashes that different chunks share the places (doc_id, sha, start) of all but the first of
+    equal chunks. Chunks are combined in each task before they move."""
+    texts = stored(found.groupBy("h", "chunk").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("texts")), name)
+    shared = texts.filter("texts > 1").select("h")
+    occurs = found.join(shared, "h", "left_semi")
+    first = occurs.groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).filter("n > 1")
+    later = occurs.join(first, ["h", "chunk"]).filter(~_is_first()).select("doc_id", "sha", "start")
+    return texts.filter("texts = 1").select("h"), later
+
+
+def _is_first() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
+
+
+def _repeated(rows: DataFrame, name: str) -> DataFrame:
+    """h, first of the hashes that occur more than once."""
+    counted = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
+    return stored(counted.filter("n > 1").select("h", "first"), name)
+
+
 def line_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -61,49 +125,60 @@ def line_dedup(
     min_lines: int = 2,
     below: str = BOUNDARY_BELOW,
     long_line: int = LONG_LINE,
+    min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """doc_id, text, n_lines, n_removed for each row of docs.
 
     A chunk of min_lines lines, or one long line, that occurs more than once in all texts stays
     where (doc_id, line) is smallest and is removed elsewhere, if its bytes equal those of the
-    one that stays. Null texts stay null with 0 lines; a null id orders first. Rows that repeat
-    id and text are one document: what one keeps, the other keeps. An empty table gives no rows.
-    Only hashes are grouped; chunk texts move only for chunks whose hash is repeated.
+    one that stays. So is each window of two lines in a run of repeated windows, one line after
+    the other, that holds min_words words: that way a passage goes whole, wherever boundaries
+    fall. Null texts stay null with 0 lines; a null id orders first. Rows that repeat id and text
+    are one document: what one keeps, the other keeps. An empty table gives no rows. All of a
+    text that is removed leaves an empty one.
+
+    Only hashes are grouped over all lines. Texts of chunks move only where their hash is
+    repeated, once for each task; whole texts only of documents that lose lines.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = base.withColumn("sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    spread = keyed.select("doc_id", "sha", F.inline(_chunks(F.coalesce("text", F.lit("")), below, long_line))).filter(
-        (F.col("lines") >= min_lines) | F.col("long")
-    )
-    chunks = spread.withColumn("h", F.md5("chunk"))
-    repeated = stored(
-        chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).filter("n > 1"),
-        "line-repeats",
-    )
-    found = stored(
-        marked(chunks, repeated, "h").join(repeated.hint("merge"), "h").select(
-            "doc_id", "sha", "start", "lines", "h", "chunk",
-            (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))).alias("is_first"),
-        ),
-        "line-chunks",
-    )
-    stays = found.filter("is_first").groupBy("h").agg(F.min("chunk").alias("stays"))
-    removed = (
-        found.filter(~F.col("is_first"))
-        .join(stored(stays, "line-stays"), "h")
-        .filter(F.col("chunk") == F.col("stays"))
-        .groupBy("doc_id", "sha")
-        .agg(F.collect_set(F.struct("start", "lines")).alias("removed"))
-    )
-    gone = stored(removed.select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha"), "removed"), "line-removed")
-    joined = keyed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha")), "left")
+    text = F.coalesce("text", F.lit(""))
+    wide = (F.col("lines") >= min_lines) | F.col("long")
+    chunks = keyed.select("doc_id", "sha", F.inline(_chunks(text, below, long_line))).filter(wide).withColumn("h", F.md5("chunk"))
+    windows = keyed.select("doc_id", "sha", F.inline(_windows(F.col("text"), False)))
+
+    repeats = _repeated(chunks.select("h", "doc_id", "start"), "line-repeats")
+    same, later = _by_bytes(marked(chunks, repeats, "h").join(repeats.hint("merge"), "h", "left_semi"), "line-bytes")
+    places = marked(chunks.select("h", "doc_id", "sha", "start", "lines"), repeats, "h").join(repeats, "h").filter(~_is_first())
+    gone = places.join(same, "h", "left_semi").select("doc_id", "sha", "start", "lines")
+    gone = gone.union(places.join(later, ["doc_id", "sha", "start"], "left_semi").select("doc_id", "sha", "start", "lines"))
+
+    pairs = _repeated(windows.select("h", "doc_id", "start"), "line-pairs")
+    at = marked(windows, pairs, "h").join(pairs, "h").select("doc_id", "sha", "start", "h", "words", "next_words", _is_first().alias("stays")).distinct()
+    number = F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy("start"))
+    runs = (
+        at.withColumn("run", F.col("start") - number).groupBy("doc_id", "sha", "run")
+        .agg(F.sum("words").alias("words"), F.max(F.struct("start", "next_words")).alias("last"), F.collect_list(F.struct("start", "h", "stays")).alias("windows"))
+        .filter(F.col("words") + F.col("last.next_words") >= min_words)
+    )
+    held = stored(runs.select("doc_id", "sha", F.inline("windows")).filter("NOT stays").select("doc_id", "sha", "start", "h"), "line-windows")
+    asked = stored(held.select("h").distinct(), "line-asked")
+    texts = keyed.select("doc_id", "sha", F.inline(_windows(F.col("text"), True)))
+    same, later = _by_bytes(marked(texts, asked, "h").join(asked.hint("merge"), "h", "left_semi"), "line-pair-bytes")
+    grown = held.join(same, "h", "left_semi").select("doc_id", "sha", "start").union(held.join(later, ["doc_id", "sha", "start"], "left_semi").select("doc_id", "sha", "start"))
+
+    removed = gone.union(grown.withColumn("lines", F.lit(2))).groupBy("doc_id", "sha").agg(F.collect_set(F.struct("start", "lines")).alias("removed"))
+    key = lambda: F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.hex("sha")).alias("tw_key")
+    joined = marked_left_join(keyed.select("doc_id", "text", key()), stored(removed.select(key(), "removed"), "line-removed"), "tw_key")
     inside = lambda i: F.exists("removed", lambda r: (i >= r["start"]) & (i < r["start"] + r["lines"]))
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~inside(i))
+    lines = F.split("text", "\n", -1)
+    kept = F.filter(lines, lambda _, i: ~inside(i))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     return joined.select(
         "doc_id",
         F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),
-        F.coalesce(F.aggregate("removed", F.lit(0), lambda s, r: s + r["lines"]), F.lit(0)).cast("long").alias("n_removed"),
+        n_lines.cast("long").alias("n_lines"),
+        F.when(F.col("removed").isNull(), 0).otherwise(n_lines - F.size(kept)).cast("long").alias("n_removed"),
     )
 
 
@@ -124,9 +199,21 @@ chunks AS (
   FROM numbered GROUP BY doc_id, k HAVING count(*) >= 2 OR bool_or(long)),
 gone AS (
   SELECT doc_id, k, n FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, start) AS r FROM chunks) WHERE r > 1),
+windows AS (
+  SELECT doc_id, pos, line || chr(10) || lead(line) OVER w AS pair, len(string_split(trim(line, ' '), ' ')) AS words,
+         len(string_split(trim(lead(line) OVER w, ' '), ' ')) AS next_words
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+repeats AS (
+  SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (
+    SELECT *, count(*) OVER (PARTITION BY pair) AS n, row_number() OVER (PARTITION BY pair ORDER BY doc_id, pos) AS r FROM windows WHERE pair IS NOT NULL)
+  WHERE n > 1),
+runs AS (SELECT doc_id, run FROM repeats GROUP BY doc_id, run HAVING sum(words) + arg_max(next_words, pos) >= 50),
+grown AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM repeats JOIN runs USING (doc_id, run) WHERE r > 1),
+lost AS (
+  SELECT doc_id, pos FROM numbered JOIN gone USING (doc_id, k) UNION SELECT doc_id, pos FROM grown),
 left_lines AS (
-  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (g.k IS NULL) AS text, count(*) AS n_lines, count(g.k) AS n_removed
-  FROM numbered l LEFT JOIN gone g USING (doc_id, k) GROUP BY l.doc_id)
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS text, count(*) AS n_lines, count(g.pos) AS n_removed
+  FROM lines l LEFT JOIN lost g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(l.text, '') END AS text,
        coalesce(l.n_lines, 0)::BIGINT AS n_lines, coalesce(l.n_removed, 0)::BIGINT AS n_removed
 FROM documents d LEFT JOIN left_lines l USING (doc_id)

@@ -304,12 +304,52 @@ def test_quality(spark):
     assert quality.quality(docs(spark, []), labels.limit(0)).count() == 0
 
 
-def test_kneser_ney_is_a_distribution():
-    import numpy as np
-
-    counts = np.random.default_rng(1).poisson(0.02, quality.SYMBOLS**quality.ORDER)
-    p = np.exp(-quality.kneser_ney(counts).astype(float)).reshape(-1, quality.SYMBOLS).sum(axis=1)
-    assert abs(p - 1).max() < 1e-4
+def brute_kneser_ney(texts):
+    """cost(history, symbol) of interpolated modified Kneser-Ney over dictionaries."""
+    n = quality.ORDER
+    counts = [Counter() for _ in range(n)]
+    for t in texts:
+        t = "\0" * (n - 1) + t
+        counts[n - 1].update(t[i - n + 1 : i + 1] for i in range(n - 1, len(t)))
+    for k in range(n - 2, -1, -1):
+        counts[k].update(gram[1:] for gram in counts[k + 1])
+    below, off = 1 / (len(counts[0]) + 1), []
+    for c in counts:
+        n1, n2, n3, n4 = (sum(v == k for v in c.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.0
+        off.append([min(max(k - (k + 1) * y * b / a, 0.0), k) if a else 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))])
+
+    def p(history, symbol):
+        k = len(history)
+        lower = p(history[1:], symbol) if k else below
+        own = {gram: v for gram, v in counts[k].items() if gram[:-1] == history}
+        if not own:
+            return lower
+        total, cut = sum(own.values()), lambda v: off[k][min(v, 3) - 1]
+        v = own.get(history + symbol, 0)
+        return (v - cut(v) if v else 0) / total + sum(map(cut, own.values())) / total * lower
+
+    return p
+
+
+def test_quality_equals_a_kneser_ney_model_over_dictionaries(spark, monkeypatch):
+    import math
+
+    monkeypatch.setattr(quality, "SLICE", 20)
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 100)
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices("abcdé漢🎉 ", weights=[9, 7, 5, 3, 2, 1, 1, 4], k=rng.randrange(1, 70))), "s") for i in range(60)] + [(60, None, "s"), (61, "", "s"), (None, "abc", "s"), (1, "once more", "s")]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(40)] + [(None, 1), (1000, 1)], "doc_id long, quality int")
+    p = brute_kneser_ney([t for i, t, _ in rows if i is not None and i < 40 and i % 3 > 0])
+    assert abs(sum(p("ab", c) for c in "abcdé漢🎉 onmre\0") - 1) < 0.2
+    got = quality.quality(docs(spark, rows), labels).collect()
+    want = Counter()
+    for i, t, _ in rows:
+        x = "\0\0\0" + (t or "")
+        cost = [-math.log(max(p(x[k - 3 : k], x[k]), 1e-12)) for k in range(3, len(x))]
+        want[(i, len(cost), round(math.exp(sum(cost) / len(cost)), 6) if cost else None)] += 1
+    assert Counter((r.doc_id, r.n_symbols, r.perplexity and round(r.perplexity, 6)) for r in got) == want
+    assert not any(r.kept for r in got if not r.n_symbols)
 
 
 def test_toxicity(spark):

@@ -51,6 +51,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As stored(), in as many buckets by key as a shuffle has partitions: rows are not moved to be
+    written, nor to be joined by that key."""
+    spark = df.sparkSession
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet").option("path", path).saveAsTable(table)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.table(table)
+
+
 _TABLES: dict[str, list[str]] = {}
 
 

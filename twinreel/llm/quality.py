@@ -2,113 +2,52 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import marked, stored
+from .common import bucketed, marked, stored, trim
 
 #: n-grams are of ORDER code points of CODE_BITS; documents are scored in blocks of BLOCK_CHARS.
 ORDER, CODE_BITS, BLOCK_CHARS = 4, 21, 16_000_000
-#: Texts that are read at once.
-CHUNK = 256
-#: Bits of a symbol of the dense model, which tests hold the joins to.
-BITS = 5
-SYMBOLS = 1 << BITS
+#: Code points that are read at once, whatever the length of texts.
+SLICE = 500_000
 #: Perplexities are compared in thousandths of their logarithm.
 STEP = 1000
 #: Documents outside these quantiles of the trusted texts of their language go.
 LOW, HIGH = 0.003, 0.997
 
 
-def symbol_table():
-    """Symbol of each code point below 0x250: 0 blank, 1-26 letters without accent, then capital,
-    digit, line break, sentence sign, other sign. Code points above are letters by remainder."""
-    import numpy as np
-
-    table = np.zeros(0x250, dtype=np.uint8)
-    for code in range(0x250):
-        c = chr(code)
-        base = unicodedata.normalize("NFD", c)[0]
-        if c == "\n":
-            table[code] = 29
-        elif c.isspace():
-            table[code] = 0
-        elif c.isupper():
-            table[code] = 27
-        elif "a" <= base <= "z":
-            table[code] = ord(base) - 96
-        elif c.isalpha():
-            table[code] = 1 + code % 26
-        elif c.isdigit():
-            table[code] = 28
-        else:
-            table[code] = 30 if c in ".,;:'" else 31
-    return table
-
-
-def grams(text: str, table):
-    """n-gram ids of a text, one for each character, with a blank context before the first."""
-    import numpy as np
-
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
-    symbols = np.where(codes < 0x250, table[np.minimum(codes, 0x24F)], 1 + codes % 26).astype(np.int32)
-    padded = np.concatenate([np.zeros(ORDER - 1, np.int32), symbols])
-    ids = np.zeros(len(symbols), dtype=np.int32)
-    for k in range(ORDER):
-        ids = (ids << BITS) | padded[k : k + len(symbols)]
-    return ids
-
-
-def kneser_ney(counts):
-    """Negative log probabilities of all n-grams from the counts of the highest order.
-
-    counts: array of SYMBOLS**ORDER. Lower orders count distinct left neighbours. Each order
-    has its three discounts from its counts of counts, and its left-over mass goes to the next
-    lower order; below the unigrams all symbols are alike.
-    """
-    import numpy as np
-
-    tables = [counts.astype(np.float64)]
-    for order in range(ORDER - 1, 0, -1):
-        above = tables[0].reshape(SYMBOLS, -1)
-        tables.insert(0, (above > 0).sum(axis=0).astype(np.float64).reshape(SYMBOLS**order))
-    p = np.full(1, 1 / SYMBOLS)
-    for c in tables:
-        n1, n2, n3, n4 = ((c == k).sum() for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        d = [0.0, *(min(max(k - (k + 1) * y * b / a, 0.0), k) if a else 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
-        discount = np.select([c == 0, c == 1, c == 2], d[:3], d[3])
-        rows, off = c.reshape(-1, SYMBOLS), discount.reshape(-1, SYMBOLS)
-        total = rows.sum(axis=1, keepdims=True)
-        seen = total > 0
-        safe = np.where(seen, total, 1)
-        left = np.where(seen, off.sum(axis=1, keepdims=True) / safe, 1.0)
-        lower = np.tile(p.reshape(-1, SYMBOLS) if p.size > 1 else np.full((1, SYMBOLS), p[0]), (max(1, rows.shape[0] * SYMBOLS // max(p.size, SYMBOLS)), 1))
-        p = (np.maximum(rows - off, 0) / safe + left * lower).reshape(-1)
-    return -np.log(np.maximum(p, 1e-12)).astype(np.float32)
-
-
-def code_grams(texts: list[str], places: bool = False):
-    """before, code, counts or places, sizes: the distinct n-grams of texts, one for each character
-    with a blank context before the first: the three code points before as one number, the code
-    point, and how often each occurs, or which one each character has; and the texts' lengths."""
+def slices(texts: list[str]):
+    """Lists of (number of the text, its part with the ORDER - 1 code points before it, or blanks),
+    of about SLICE code points each."""
+    out, size = [], 0
+    for i, text in enumerate(texts):
+        text = "\0" * (ORDER - 1) + text
+        for low in range(0, max(1, len(text) - ORDER + 1), SLICE):
+            part = text[low : low + SLICE + ORDER - 1]
+            out.append((i, part))
+            size += len(part)
+            if size >= SLICE:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
+
+
+def code_grams(parts: list[str], places: bool = False):
+    """before, code, counts or places, sizes: the distinct n-grams of parts, one for each code
+    point after the first ORDER - 1: the three before as one number, the code point, and how often
+    each occurs, or which one each place has; and the parts' lengths without the first."""
     import numpy as np
 
-    blank = "\0" * (ORDER - 1)
-    codes = np.frombuffer("".join([blank + x for x in texts]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    sizes = np.array([len(x) for x in texts], dtype=np.int64)
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = np.array([len(x) - ORDER + 1 for x in parts], dtype=np.int64)
     inside = np.ones(len(codes), dtype=bool)
-    inside[(np.r_[0, np.cumsum(sizes + ORDER - 1)[:-1]][:, None] + np.arange(ORDER - 1)).ravel()[: len(texts) * (ORDER - 1)]] = False
-    seen = np.zeros(0x110000, dtype=bool)
-    seen[codes] = True
-    known = np.flatnonzero(seen)
-    # numbers of code points fit 16 bits unless a few texts have more than 65,536 different ones
+    inside[(np.r_[0, np.cumsum(sizes + ORDER - 1)[:-1]][:, None] + np.arange(ORDER - 1)).ravel()[: len(parts) * (ORDER - 1)]] = False
+    known, number = np.unique(codes, return_inverse=True)
+    # numbers of code points fit 16 bits unless a few parts have more than 65,536 different ones
     if small := len(known) <= 1 << 16:
-        number = np.zeros(0x110000, dtype=np.uint64)
-        number[known] = np.arange(len(known), dtype=np.uint64)
-        one = number[codes]
+        one = number.astype(np.uint64)
         keys = one.copy()
         for k in range(1, ORDER):
             keys[k:] |= one[:-k] << np.uint64(16 * k)
@@ -116,25 +55,32 @@ def code_grams(texts: list[str], places: bool = False):
     else:
         keys = np.stack([np.r_[np.zeros(k, np.uint32), codes[: len(codes) - k]] for k in range(ORDER - 1, -1, -1)], 1)[inside]
     unique, found = np.unique(keys, axis=None if small else 0, **{"return_inverse" if places else "return_counts": True})
-    part = (lambda k: known[(unique >> np.uint64(16 * k)) & np.uint64(0xFFFF)]) if small else lambda k: unique[:, ORDER - 1 - k].astype(np.int64)
+    part = (lambda k: known[(unique >> np.uint64(16 * k)) & np.uint64(0xFFFF)].astype(np.int64)) if small else lambda k: unique[:, ORDER - 1 - k].astype(np.int64)
     before = np.zeros(len(unique), dtype=np.int64)
     for k in range(ORDER - 1, 0, -1):
         before = (before << CODE_BITS) | part(k)
-    return before, part(0).astype(np.int64), found.ravel(), sizes
+    return before, part(0), found.ravel(), sizes
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """before, code, n: the n-grams of all texts, summed in shards by n-gram."""
+    """before, code, n: the n-grams of all rows of texts(text, sign), those of sign -1 taken off,
+    summed in shards by n-gram."""
 
     def count(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for low in range(0, batch.num_rows, CHUNK):
-                before, code, n, _ = code_grams(batch.column(0).slice(low, CHUNK).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(before), pa.array(code), pa.array(n, pa.int64())], ["before", "code", "n"])
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                signs = part.column(1).to_pylist()
+                for sign in (1, -1):
+                    of = [t for t, s in zip(part.column(0).to_pylist(), signs, strict=True) if s == sign]
+                    for some in slices(of):
+                        before, code, n, _ = code_grams([x for _, x in some])
+                        yield pa.RecordBatch.from_arrays([pa.array(before), pa.array(code), pa.array(n * sign, pa.int64())], ["before", "code", "n"])
 
-    return texts.mapInArrow(count, "before long, code long, n long").groupBy("before", "code").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(count, "before long, code long, n long").groupBy("before", "code").agg(F.sum("n").alias("n"))
+    return counted.filter("n > 0")
 
 
 def _suffix(before, size: int):
@@ -145,8 +91,10 @@ def gram_tables(counts: DataFrame) -> tuple[list, list, float]:
     """For each order: the probabilities (before, code, p) of its n-grams and the share (before,
     left) that each context leaves to the next lower order; last the probability below all.
 
-    counts: before, code, n of the highest order. The same model as kneser_ney(), as sharded
-    tables that grow with the text.
+    counts: before, code, n of the highest order; lower orders count distinct left neighbours.
+    Each order has its three discounts from its counts of counts, and a context leaves what is
+    taken off to the next lower order; below the unigrams all symbols are alike. The tables are
+    sharded by n-gram and grow with the text.
     """
     levels = [stored(counts, "quality-grams")]
     for size in range(ORDER - 2, -1, -1):
@@ -212,9 +160,9 @@ def gram_scores(base: DataFrame, model: tuple[list, list, float]) -> DataFrame:
                         writer.write_batch(part)
                     yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows"])
 
-    # blocks are stored and moved compressed
+    # blocks are stored once, compressed and dealt out by their number: only the tables move to them
     packed = base.mapInArrow(pack, "rows binary")
-    rows = stored(packed.select(F.monotonically_increasing_id().alias("block"), "rows"), "quality-blocks")
+    rows = bucketed(packed.select(F.monotonically_increasing_id().alias("block"), "rows"), "block", "quality-blocks")
 
     def ask(batches):
         import numpy as np
@@ -224,10 +172,12 @@ def gram_scores(base: DataFrame, model: tuple[list, list, float]) -> DataFrame:
             for k in range(batch.num_rows):
                 text = pa.ipc.open_stream(batch.column("rows")[k].as_buffer()).read_next_batch().column("text")
                 keys = np.zeros((0, 2), np.int64)
-                for low in range(0, len(text), CHUNK):
-                    keys = unique_rows(np.concatenate([keys, np.stack(code_grams(text.slice(low, CHUNK).to_pylist())[:2], 1)]))
+                for low in range(0, len(text), 1024):
+                    for some in slices(text.slice(low, 1024).to_pylist()):
+                        keys = unique_rows(np.concatenate([keys, np.stack(code_grams([x for _, x in some])[:2], 1)]))
                 block = pa.array(np.full(len(keys), batch.column("block")[k].as_py(), np.int64))
                 yield pa.RecordBatch.from_arrays([block, pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["block", "before", "code"])
+        trim()
 
     def score(batches):
         import numpy as np
@@ -244,20 +194,23 @@ def gram_scores(base: DataFrame, model: tuple[list, list, float]) -> DataFrame:
                 contexts = before[starts]
                 place = (np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(before)])) << CODE_BITS) | code
                 here = pa.ipc.open_stream(batch.column("rows")[k].as_buffer()).read_next_batch()
-                text, mean, size = here.column("text"), [], []
-                for low in range(0, len(text), CHUNK):
-                    b, c, of, sizes = code_grams(text.slice(low, CHUNK).to_pylist(), places=True)
-                    each = cost[np.searchsorted(place, (np.searchsorted(contexts, b) << CODE_BITS) | c)][of]
-                    size += sizes.tolist()
-                    mean += [float(x.sum() / len(x)) if len(x) else None for x in np.split(each, np.cumsum(sizes)[:-1])]
-                yield pa.RecordBatch.from_arrays(
-                    [here.column("doc_id"), here.column("lang"), pa.array(size, pa.int64()), pa.array(mean, pa.float64())], ["doc_id", "lang", "n_symbols", "cost"]
-                )
+                text = here.column("text")
+                total, size = np.zeros(len(text)), np.zeros(len(text), np.int64)
+                for low in range(0, len(text), 1024):
+                    for some in slices(text.slice(low, 1024).to_pylist()):
+                        b, c, of, sizes = code_grams([x for _, x in some], places=True)
+                        each = cost[np.searchsorted(place, (np.searchsorted(contexts, b) << CODE_BITS) | c)][of] if len(b) else np.zeros(0)
+                        at = np.array([low + i for i, _ in some])
+                        np.add.at(size, at, sizes)
+                        np.add.at(total, np.repeat(at, sizes), each)
+                mean = pa.array(np.where(size > 0, total / np.maximum(size, 1), 0.0), pa.float64(), mask=size == 0)
+                yield pa.RecordBatch.from_arrays([here.column("doc_id"), here.column("lang"), pa.array(size, pa.int64()), mean], ["doc_id", "lang", "n_symbols", "cost"])
+        trim()
 
     asked = stored(rows.mapInArrow(ask, "block long, before long, code long"), "quality-asked")
     costs = stored(gram_costs(asked.select("before", "code").distinct(), model), "quality-costs")
     tables = asked.join(costs, ["before", "code"]).groupBy("block").agg(F.collect_list(F.struct("before", "code", "cost")).alias("table"))
-    return rows.join(tables, "block", "left").select("rows", "table").mapInArrow(score, "doc_id long, lang string, n_symbols long, cost double")
+    return rows.join(tables.hint("merge"), "block", "left").select("rows", "table").mapInArrow(score, "doc_id long, lang string, n_symbols long, cost double")
 
 
 def unique_rows(keys):
@@ -280,7 +233,11 @@ def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float =
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    model = gram_tables(gram_counts(marked(base, good, "doc_id").join(good.hint("merge"), "doc_id").select("text")))
+    # trusted texts do not move: those that the bitmap lets through in error are counted and taken off
+    may = marked(base, good, "doc_id")
+    wrong = stored(may.select("doc_id").join(good.hint("merge"), "doc_id", "left_anti").distinct(), "quality-wrong")
+    off = marked(base, wrong, "doc_id").join(wrong.hint("merge"), "doc_id", "left_semi")
+    model = gram_tables(gram_counts(may.select("text", F.lit(1).alias("sign")).union(off.select("text", F.lit(-1)))))
     scored = stored(gram_scores(base, model), "quality-scores")
     trusted = scored.filter("cost IS NOT NULL").join(good, "doc_id", "left_semi")
     bins = trusted.groupBy("lang", F.floor(F.col("cost") * STEP).alias("bin")).agg(F.count("*").alias("n"))

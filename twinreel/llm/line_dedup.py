@@ -148,8 +148,10 @@ def line_dedup(
     windows = keyed.select("doc_id", "sha", F.inline(_windows(F.col("text"), False)))
 
     repeats = _repeated(chunks.select("h", "doc_id", "start"), "line-repeats")
-    same, later = _by_bytes(marked(chunks, repeats, "h").join(repeats.hint("merge"), "h", "left_semi"), "line-bytes")
-    places = marked(chunks.select("h", "doc_id", "sha", "start", "lines"), repeats, "h").join(repeats, "h").filter(~_is_first())
+    # chunks that the bitmap lets through in error meet no repeated hash
+    found = stored(marked(chunks.select("doc_id", "sha", "start", "lines", "h", "chunk"), repeats, "h"), "line-chunks")
+    same, later = _by_bytes(found, "line-bytes")
+    places = found.select("h", "doc_id", "sha", "start", "lines").join(repeats, "h").filter(~_is_first())
     gone = places.join(same, "h", "left_semi").select("doc_id", "sha", "start", "lines")
     gone = gone.union(places.join(later, ["doc_id", "sha", "start"], "left_semi").select("doc_id", "sha", "start", "lines"))
 

@@ -90,11 +90,15 @@ def settled(spark: SparkSession, build, name: str) -> DataFrame:
 
 
 def worker_state(key: str, make):
-    """One value per Python worker, kept between tasks."""
+    """One value per Python worker, kept between tasks until another operator makes its own: the
+    stages of a pipeline share workers, and what one remembers is of no use to the next."""
     box = sys.modules.setdefault("_twinreel_worker", types.ModuleType("_twinreel_worker"))
-    if not hasattr(box, key):
-        setattr(box, key, make())
-    return getattr(box, key)
+    held = box.__dict__.setdefault("held", {})
+    if key not in held:
+        held.clear()
+        trim()
+        held[key] = make()
+    return held[key]
 
 
 #: Most bits of the bitmap of marked(), as a power of two, and bits for each key. A bitmap of

@@ -26,7 +26,7 @@ LEVELS = (0.55, 0.75, 0.9)
 TRAIN_ROWS, TRAIN_CHARS = 6000, 40_000_000
 THRESHOLD = 0.3
 #: Entries of a worker's memory of words; it starts anew beyond that.
-MEMORY = 400_000
+MEMORY = 250_000
 #: A word is also read without each of its letters in turn, at this share of the kernel value.
 DELETED = 0.97
 #: Landmarks of clean words that look most like the toxic ones.

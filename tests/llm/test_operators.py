@@ -57,13 +57,14 @@ def test_units_and_agenda_equal_the_library_on_random_texts():
     texts = ["".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(1500)] + ["", " ", "a" * 3000]
     want = sp.encode(texts)
     assert counter.count(texts) == [len(w) for w in want]
-    assert codec.encode(texts) == [(",".join(map(str, w)), len(w), sp.decode(w)) for w in want] and codec.mismatches == 0
+    assert codec.encode(texts) == [(",".join(map(str, w)), len(w), sp.decode(w), 0) for w in want] and codec.mismatches == 0
 
 
 def test_whole_tables_equal_the_library(spark):
     sp = library()
     texts = {r.doc_id: r.text for r in read(spark, SF, "documents").collect()}
     got = entry.op3_piece_codec(spark, SF).collect()
+    assert not any(r.n_corrected for r in got)
     assert {r.doc_id: r.n_tokens for r in got} == {i: len(sp.encode(t or "")) for i, t in texts.items()}
     assert {r.doc_id: r.n_tokens for r in entry.op1_token_counts(spark, SF).collect()} == {r.doc_id: r.n_tokens for r in got}
     assert all(r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest() for r in got if "▁" not in (texts[r.doc_id] or ""))
@@ -546,3 +547,15 @@ def test_pipeline_stages_on_odd_tables(spark):
     repeated = Counter((i, t) for i, t, _ in ODD)
     assert all(n <= 3 * repeated[key] for key, n in times.items())
     assert corpus_pipeline.encode(spark, table, SF).count() == len(ODD)
+
+
+def test_pipeline_mixes_rows_not_ids(spark):
+    rows = [(None, f"n{k} " * (k + 1), "s") for k in range(12)] + [(5, "a b", "s"), (5, "c d e", "t"), (6, "f g", "t"), (None, None, "t")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    assert mixed.columns == docs.columns
+    got = Counter(len(r.text.split()) for r in mixed.collect())
+    want = Counter()
+    for r in mixing.mix(docs).filter("taken > 0").collect():
+        want[r.size] += r.taken // r.size
+    assert got == want and max(Counter(r.text for r in mixed.collect()).values()) <= 3

@@ -61,8 +61,8 @@ def merge(symbols: list[str], score: dict[str, tuple[float, int]]) -> list[str]:
 class Codec:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.known: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str, tuple[str, int, str, int]] = {}
+        self.older: dict[str, tuple[str, int, str, int]] = {}
         self.mismatches = 0
         sp, byte_of = self.vocabulary.library, {i: b for b, i in self.vocabulary.byte_ids.items()}
         #: what each id decodes to: text, or a byte
@@ -72,7 +72,7 @@ class Codec:
         ids = self.vocabulary.ids
         unit = unit.replace(" ", SPACE)
         out = []
-        for piece in [unit] if unit.replace(SPACE, " ") in self.vocabulary.shortcut else merge(list(unit), ids):
+        for piece in merge(list(unit), ids):
             hit = ids.get(piece)
             if hit:
                 out.append(hit[1])
@@ -92,13 +92,14 @@ class Codec:
         """Encode units and check each against the library; its ids count where they differ."""
         for unit, expected in zip(units, self.vocabulary.library_ids(units), strict=True):
             ids = self.encode_unit(unit)
-            if ids != expected:
+            wrong = int(ids != expected)
+            if wrong:
                 self.mismatches += 1
                 ids = expected
-            self.known[unit] = ("," + ",".join(map(str, ids)), len(ids), self.decode(ids))
+            self.known[unit] = ("," + ",".join(map(str, ids)), len(ids), self.decode(ids), wrong)
 
-    def encode(self, texts: list[str]) -> list[tuple[str, int, str]]:
-        """(ids joined by commas, their number, decoded text) of each text."""
+    def encode(self, texts: list[str]) -> list[tuple[str, int, str, int]]:
+        """(ids joined by commas, their number, decoded text, units set right) of each text."""
         cut = [self.vocabulary.units(t) for t in texts]
         if len(self.known) > MEMORY:
             self.known, self.older = {}, self.known
@@ -112,35 +113,35 @@ class Codec:
         out = []
         for units in cut:
             hits = [self.known[u] for u in units]
-            out.append(("".join([h[0] for h in hits])[1:], sum([h[1] for h in hits]), "".join([h[2] for h in hits])[1:]))
+            out.append(("".join([h[0] for h in hits])[1:], sum([h[1] for h in hits]), "".join([h[2] for h in hits])[1:], sum([h[3] for h in hits])))
         for u in new:
             if len(u) > LONG_UNIT:
                 del self.known[u]
         return out
 
-    def checked(self, texts: list[str]) -> list[tuple[str, int, str]]:
+    def checked(self, texts: list[str]) -> list[tuple[str, int, str, int]]:
         out, sp = self.encode(texts), self.vocabulary.library
         some = [i for i, t in enumerate(texts) if zlib.crc32(t.encode()) % WHOLE_TEXTS == 0]
         for i, ids in zip(some, sp.encode([texts[i] for i in some], num_threads=1), strict=True):
             expected = (",".join(map(str, ids)), len(ids), sp.decode(ids))
-            if out[i] != expected:
+            if out[i][:3] != expected:
                 self.mismatches += 1
-                out[i] = expected
+                out[i] = (*expected, out[i][3] + 1)
         return out
 
 
 def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs; no shuffle.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_corrected for each row of docs; no shuffle.
 
     With keep_text also ids (array<int>) and decoded. Null texts are encoded as empty: no ids,
     empty decoded text. Null ids and repeated rows are ordinary rows; an empty table gives no
     rows. Whole texts of any length; no sampling, no begin or end ids. Every unit is checked
     against the library, and one whole text in WHOLE_TEXTS; where they differ, the library's
-    result counts. Other columns are not read.
+    result counts, and n_corrected says in how many places of a text. Other columns are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_text
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_text
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_corrected"] + ["ids", "decoded"] * keep_text
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_corrected long" + ", ids array<int>, decoded string" * keep_text
 
     def encode(batches):
         import pyarrow as pa
@@ -156,6 +157,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                     pa.array([g[1] for g in got], pa.int64()),
                     pa.array([digest(g[0]) for g in got], pa.string()),
                     pa.array([digest(g[2]) for g in got], pa.string()),
+                    pa.array([g[3] for g in got], pa.int64()),
                 ]
                 if keep_text:
                     ids = [[int(x) for x in g[0].split(",")] if g[0] else [] for g in got]

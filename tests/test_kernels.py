@@ -79,6 +79,152 @@ def test_hamming_join_is_exact(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_duplicates_equal_a_program_over_lists(spark):
+    """find_duplicates against pairs of all entries, groups and splits replayed in order."""
+    from twinreel.operators import compare
+    from twinreel.plans import adapters
+
+    s = Settings(percent=94, thumbnail_count=4, compare_flipped=True, folder_match="same", exclude_hard_links=True)
+    catalog = adapters.media(spark, "/root/testdata/sf0.001").filter("idx % 1000000 < 160")
+    rows = [r.asDict() for r in compare.snapshot(catalog, s).collect()]
+    assert all(r["is_image"] or len(r["frames"]) == 64 for r in rows)
+
+    def apart(a, b, turned=False):
+        n, side = a["n_frames"], int((len(a["frames"]) / a["n_frames"]) ** 0.5)
+        x, y = (np.frombuffer(r["frames"], np.uint8).reshape(n, side, side).astype(int) for r in (a, b))
+        return float(np.abs((x[:, :, ::-1] if turned else x) - y).mean()) / 256
+
+    key = lambda r: r["folder"].lower().split("/")[-1]
+    by, like, pairs = {r["idx"]: r for r in rows}, set(), []
+    for a in sorted(rows, key=lambda r: r["idx"]):
+        for b in sorted(rows, key=lambda r: r["idx"]):
+            if a["idx"] >= b["idx"] or a["is_image"] != b["is_image"]:
+                continue
+            plain, turned = apart(a, b), apart(a, b, True)
+            if plain <= s.gray_limit:
+                like.add((a["idx"], b["idx"]))
+            near = a["is_image"] or abs(a["duration"] - b["duration"]) <= 0.2 * min(a["duration"], b["duration"])
+            linked = all(a[c] == b[c] for c in ("dev", "ino", "file_size")) and (a["is_image"] or a["duration"] == b["duration"])
+            if near and key(a) == key(b) and not linked and min(plain, turned) <= s.gray_limit:
+                flip = turned <= s.gray_limit and (plain > s.gray_limit or turned < plain)
+                pairs.append((a["idx"], b["idx"], turned if flip else plain, int(flip)))
+    # a component is replayed by itself
+    labels = {n: n for p in pairs for n in p[:2]}
+    for _ in labels:
+        for a, b, *_x in pairs:
+            labels[a] = labels[b] = min(labels[a], labels[b])
+    alike, want = (lambda x, y: (min(x, y), max(x, y)) in like), {}
+    for component in set(labels.values()):
+        found, _ = G.guarded_groups([p for p in pairs if labels[p[0]] == component], alike)
+        groups = {}
+        for m, (g, *_x) in found.items():
+            groups.setdefault(g, []).append(m)
+        for members in groups.values():
+            for part in [sorted(members)] if len(members) < 3 else G.pruned(members, alike):
+                want |= {m: (min(part), round(found[m][1], 9), found[m][2]) for m in part}
+    got = {r.idx: (r.group_id, round(r.difference, 9), r.flags) for r in compare.find_duplicates(catalog, s).collect()}
+    assert got == want and len({g for g, *_x in want.values()}) > 3 and any(f for *_x, f in want.values())
+    assert all(by[m]["is_image"] == by[g]["is_image"] for m, (g, *_x) in got.items())
+
+
+def test_hash_mode_and_unknown_frames(spark):
+    from twinreel.operators import compare
+    from twinreel.plans import adapters
+
+    s = Settings(percent=96, use_phash=True, thumbnail_count=4)
+    rows = compare.snapshot(adapters.media(spark, "/root/testdata/sf0.001"), s)
+    got = {(r.a, r.b) for r in compare.similar_pairs(rows.filter("NOT is_image"), s).collect()}
+    facts = {r.idx: r for r in rows.filter("NOT is_image").collect()}
+    want = {
+        (a, b) for a in facts for b in facts
+        if a < b and bin((facts[a].phash ^ facts[b].phash) & (2**64 - 1)).count("1") <= 2 and abs(facts[a].duration - facts[b].duration) <= 0.2 * min(facts[a].duration, facts[b].duration)
+    }
+    assert got == want and got
+
+
+def test_lifecycle(spark, tmp_path):
+    import json
+    import zipfile
+
+    from twinreel.operators import maintenance
+    from twinreel.plans import adapters
+    from twinreel.sources import sinks
+    from twinreel.streaming import lifecycle
+
+    said, now = [], iter([0.0, 0.1, 0.4, 0.5])
+    report = lifecycle.Progress(lambda *x: said.append(x), clock=lambda: next(now))
+    assert [report("s", k, 4) for k in (1, 2, 3, 4)] == [True, False, True, True] and len(said) == 3
+    with lifecycle.cancellable(spark, "t"):
+        assert spark.range(3).count() == 3
+    lifecycle.cancel(spark, "t")
+    assert one(spark, lifecycle.key_of(F.lit("/a/b.mp4"))) == __import__("xxhash").xxh64("/a/b.mp4".encode("utf-16-le")).hexdigest()
+    rows = adapters.twins(spark, "/root/testdata/sf0.001").filter("group_id < 40")
+    assert ("size", "bigint") in lifecycle.expression_help(rows)
+    preset = json.dumps({"fileType": 1, "contains": ["*.copy"], "minMb": 1, "identical": 0, "dates": 1})
+    out = lifecycle.preset_filter(rows, preset).collect()
+    assert len(out) == rows.count() and any(r.checked for r in out)
+    assert lifecycle.preset_filter(rows, '{"expression": "fps > 30"}').filter("checked").count() > 0
+    doc = json.dumps({"version": 1, "groups": [{"GroupId": "g", "Items": [{"path": "p"}, None]}]})
+    with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
+        z.writestr("scan.json", "\ufeff" + doc)
+        z.writestr("../evil", "x")
+    (tmp_path / "r.json").write_text("[" + json.dumps({"GroupId": "h", "Items": [{"path": "q"}]}) + "]")
+    assert [tuple(r) for r in lifecycle.imported_results(spark, str(tmp_path / "r.zip"), "struct<path:string>").collect()] == [("g", "p")]
+    assert [tuple(r) for r in lifecycle.imported_results(spark, str(tmp_path / "r.json"), "struct<path:string>").collect()] == [("h", "q")]
+    for n in (3, 5):
+        sinks.write_once(spark.range(n), str(tmp_path / "table"))
+        assert spark.read.parquet(str(tmp_path / "table")).count() == n
+    assert [p.name for p in tmp_path.iterdir() if ".new-" in p.name or ".old-" in p.name] == []
+    (tmp_path / "bad.json").write_text("{")
+    names = [sinks.quarantined(spark, str(tmp_path / "bad.json"))]
+    (tmp_path / "bad.json").write_text("{")
+    names.append(sinks.quarantined(spark, str(tmp_path / "bad.json")))
+    assert len(set(names)) == 2 and all(n and ".corrupt-" in n for n in names) and sinks.quarantined(spark, str(tmp_path / "bad.json")) is None
+    assert maintenance.normalised_paths(["/a/b/", "/a/./b", " ", "/c"]) == ["/a/b", "/c"]
+
+
+def test_listing_and_exports_of_files(spark, tmp_path):
+    from twinreel.sources import sinks
+
+    for name in ("a/x.mp4", "a/skip/y.mkv", "a/z.txt", "b.JPG"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345")
+    got = {r.path.rsplit("/", 1)[1]: r for r in T.listing(spark, str(tmp_path), excluded=(f"{tmp_path}/a/skip",)).collect()}
+    assert set(got) == {"x.mp4", "b.JPG"} and got["b.JPG"].is_image and got["x.mp4"].file_size == 5 and got["x.mp4"].folder.endswith("/a")
+    assert {r.path.rsplit("/", 1)[1] for r in T.listing(spark, str(tmp_path), images=False).collect()} == {"x.mp4", "y.mkv"}
+    entries = T.synthetic_catalog(spark, 20, copies=5)
+    assert entries.select("frame").distinct().count() == 4 and entries.select("path").distinct().count() == 20
+    assert {len(r.frame) for r in entries.collect()} == {1024} and all(5 <= r.duration_s < 3600 for r in entries.collect())
+    text = sinks.catalog_json(spark.createDataFrame([("/a", 5)], "path string, file_size bigint")).select("json")
+    text.coalesce(1).write.text(str(tmp_path / "export"))
+    assert T.catalog_from_json(spark, str(tmp_path / "export")).first()["file_size"] == 5
+
+
+def test_dct_hash_is_summed_in_order():
+    frames = [np.zeros(1024), np.arange(1024) % 256, np.repeat(np.arange(32) * 8, 32), np.tile(np.arange(32) * 8, 32), np.tile([0, 255], 512)]
+    table, alpha = media.cosines(), np.float32(np.sqrt(2 / 32))
+    for frame in frames:
+        x = frame.astype(np.float32).reshape(32, 32)
+        rows = np.zeros((32, 8), np.float32)
+        cells = np.zeros((8, 8), np.float32)
+        for y in range(32):
+            for u in range(8):
+                total = np.float32(0)
+                for k in range(32):
+                    total = np.float32(total + np.float32(x[y, k] * table[u, k]))
+                rows[y, u] = alpha * total
+        for v in range(8):
+            for u in range(8):
+                total = np.float32(0)
+                for y in range(32):
+                    total = np.float32(total + np.float32(rows[y, u] * table[v, y]))
+                cells[v, u] = alpha * total
+        flat = cells.ravel()
+        middle = np.float32((np.sort(flat)[31] + np.sort(flat)[32]) * np.float32(0.5))
+        want = sum(1 << i for i in range(64) if flat[i] > middle)
+        assert media.dct_phash(frame) & (2**64 - 1) == want
+
+
 def test_partial_clips_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     long = [int(x) for x in rng.integers(1, 2**32, 30)]
@@ -155,8 +301,25 @@ def test_fingerprint_does_not_depend_on_chunks(spark):
     for i in range(0, len(samples), 1000):
         parts.feed(samples[i : i + 1000])
     assert whole.finish() == parts.finish() and len(whole.out) >= 3
-    df = spark.createDataFrame([("p", i // 9000, samples[i : i + 9000].tolist()) for i in range(0, len(samples), 9000)], "path string, seq int, samples array<short>")
-    assert ingest.fingerprint_stream(df).first()["fp"] == whole.out
+    rows = [("p", i // 9000, samples[i : i + 9000].tolist()) for i in range(0, len(samples), 9000)]
+    df = spark.createDataFrame(rows, "path string, seq int, samples array<short>")
+    assert ingest.fingerprints(df).first()["fp"] == whole.out
+
+
+def test_fingerprint_stream_keeps_state_between_batches(spark, tmp_path):
+    t = np.arange(11025 * 4) / 11025
+    samples = (np.sin(2 * np.pi * 440 * t) * 12000).astype(np.int16)
+    rows = [(p, i // 9000, samples[i : i + 9000].tolist()) for p in ("p", "q") for i in range(0, len(samples), 9000)]
+    schema = "path string, seq int, samples array<short>"
+    for batch in (rows[1:2], rows[:1] + rows[2:4], rows[4:]):  # the second chunk comes first
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = ingest.fingerprint_stream(stream).writeStream.outputMode("update").format("memory").queryName("fps").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    whole = media.Fingerprint()
+    whole.feed(samples)
+    last = {r.path: r.fp for r in spark.sql("SELECT path, max_by(fp, next) AS fp FROM fps GROUP BY path").collect()}
+    assert last == {"p": whole.finish(), "q": whole.out}
 
 
 def test_dct_hash_ignores_brightness():
@@ -170,5 +333,9 @@ def test_streaming_upsert(spark, tmp_path):
     for i, rows in enumerate(([(1, 1, 1), (2, 5, 1)], [(1, 2, 2)], [(3, 9, 3), (2, 4, 0)])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     ingest.upsert_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, str(tmp_path / "out"), str(tmp_path / "cp"), "k", "t")
-    last = max((p.name for p in (tmp_path / "out").iterdir()), key=lambda n: int(n[1:]))
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / last)).collect())) == [(1, 2, 2), (2, 5, 1), (3, 9, 3)]
+    out = str(tmp_path / "out")
+    current = lambda: sorted(map(tuple, ingest.upserted_table(spark, out, schema).collect()))
+    assert current() == [(1, 2, 2), (2, 5, 1), (3, 9, 3)]
+    spark.createDataFrame([(3, 10, 4), (9, 1, 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ingest.upsert_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, out, str(tmp_path / "cp"), "k", "t")
+    assert current() == [(1, 2, 2), (2, 5, 1), (3, 10, 4), (9, 1, 1)]

@@ -48,11 +48,14 @@ def median_of_64(values: Column) -> Column:
 
 def median_signature(values: Column) -> Column:
     """64-bit hash: bit i is set where value i is above the median (the tail of the perceptual hash)."""
-    bits = F.transform(values, lambda x, i: F.when(x > median_of_64(values), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(
-        F.zip_with(bits, F.sequence(F.lit(0), F.lit(63)), lambda b, i: F.call_function("shiftleft", b, i)),
-        F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x),
-    )
+
+    def bits(median: Column) -> Column:
+        one = F.lit(1).cast("long")
+        marks = F.transform(values, lambda x, i: F.when(x > median, F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(marks, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+
+    # one-element transform: the median is computed once, not for each value
+    return F.get(F.transform(F.array(median_of_64(values)), bits), 0)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -63,13 +66,13 @@ def is_silent(fingerprint: Column) -> Column:
     return (F.size(fingerprint) > 0) & F.forall(fingerprint, lambda x: x == 0)
 
 
-def audio_flags(flags: Column, fingerprint: Column, has_track: Column) -> Column:
-    """Flags after fingerprinting: error (null), no track, silent."""
+def audio_flags(flags: Column, fingerprint: Column) -> Column:
+    """Flags after fingerprinting: error (null), no usable track (empty), silent."""
     from ..settings import AUDIO_ERROR, NO_AUDIO_TRACK, SILENT_AUDIO
 
     return (
-        F.when(~has_track, flags.bitwiseOR(F.lit(NO_AUDIO_TRACK)))
-        .when(fingerprint.isNull(), flags.bitwiseOR(F.lit(AUDIO_ERROR)))
+        F.when(fingerprint.isNull(), flags.bitwiseOR(F.lit(AUDIO_ERROR)))
+        .when(F.size(fingerprint) == 0, flags.bitwiseOR(F.lit(NO_AUDIO_TRACK)))
         .when(is_silent(fingerprint), flags.bitwiseOR(F.lit(SILENT_AUDIO)))
         .otherwise(flags)
     )

@@ -78,6 +78,18 @@ def exif_timestamp(value: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy:MM:dd HH:mm:ss")))
 
 
+def whole_seconds(value: Column) -> Column:
+    """A time without its milliseconds."""
+    return F.date_trunc("second", value)
+
+
+def creation_time(value: Column) -> Column:
+    """A container's creation time: an ISO text, UTC where it names no zone; else null."""
+    iso = value.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$")
+    zoned = F.when(value.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), value).otherwise(F.concat(value, F.lit("Z")))
+    return F.when(iso, F.try_to_timestamp(zoned))
+
+
 def folder_of(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 

@@ -20,6 +20,18 @@ def tolerance(s: Settings, duration: Column) -> Column:
     return F.least(t, F.lit(float(s.duration_max_s))) if s.duration_max_s > 0 else t
 
 
+def duration_buckets(s: Settings, d: Column, width: float | None = None) -> tuple[Column, Column]:
+    """The bucket of a duration, and those in which durations within its tolerance lie."""
+    tol = tolerance(s, d)
+    if width is None and s.duration_percent > 0 and s.duration_max_s <= 0:
+        step = F.lit(1 + s.duration_percent / 100.0)
+        bucket = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) / F.log(step))
+    else:
+        size = F.lit(float(width or max(1.0, s.duration_max_s or s.duration_min_s)))
+        bucket = lambda x: F.floor(x / size)
+    return bucket(d), F.sequence(bucket(d - tol), bucket(d + tol))
+
+
 def band_join(rows: DataFrame, s: Settings, id_col: str = "idx", duration_col: str = "duration", width: float | None = None) -> DataFrame:
     """Pairs a < b whose durations differ by no more than the smaller tolerance of the two.
 
@@ -27,16 +39,11 @@ def band_join(rows: DataFrame, s: Settings, id_col: str = "idx", duration_col: s
     allowed), so a row probes at most a few buckets at any length: an equi-join and a residual
     filter instead of comparing all pairs.
     """
-    d, tol = F.col(duration_col), tolerance(s, F.col(duration_col))
-    if width is None and s.duration_percent > 0 and s.duration_max_s <= 0:
-        step = F.lit(1 + s.duration_percent / 100.0)
-        bucket = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) / F.log(step))
-    else:
-        size = F.lit(float(width or max(1.0, s.duration_max_s or s.duration_min_s)))
-        bucket = lambda x: F.floor(x / size)
-    left = rows.withColumn("bucket", F.explode(F.sequence(bucket(d - tol), bucket(d + tol))))
+    tol = tolerance(s, F.col(duration_col))
+    own, probes = duration_buckets(s, F.col(duration_col), width)
+    left = rows.withColumn("bucket", F.explode(probes))
     a = left.select("bucket", *(F.col(c).alias(f"{c}_a") for c in rows.columns), tol.alias("tol_a"))
-    b = rows.select(bucket(d).alias("bucket"), *(F.col(c).alias(f"{c}_b") for c in rows.columns), tol.alias("tol_b"))
+    b = rows.select(own.alias("bucket"), *(F.col(c).alias(f"{c}_b") for c in rows.columns), tol.alias("tol_b"))
     near = F.abs(F.col(f"{duration_col}_a") - F.col(f"{duration_col}_b")) <= F.least("tol_a", "tol_b")
     return a.join(b, "bucket").filter((F.col(f"{id_col}_a") < F.col(f"{id_col}_b")) & near).drop("bucket", "tol_a", "tol_b")
 
@@ -209,10 +216,10 @@ def visual_gate(matches: DataFrame, frames: DataFrame, threshold: float) -> Data
     return matches.join(mean, ["source", "clip"], "left").filter(F.coalesce(F.col("visual") >= threshold, F.lit(True)))
 
 
-def sample_seconds(clip_duration: Column, n: int) -> Column:
-    """1, 2 or 3 seconds at which a clip is looked at, none within 0.1 s of either end."""
-    shares = {1: [0.5], 2: [1 / 3, 2 / 3], 3: [0.25, 0.5, 0.75]}[n]
-    return F.filter(F.array(*(clip_duration * x for x in shares)), lambda t: (t > 0.1) & (t < clip_duration - 0.1))
+def sample_seconds(clip_duration: Column) -> Column:
+    """The seconds at which a clip is looked at: three from nine seconds on, two from three on."""
+    at = lambda *shares: F.array(*(clip_duration * F.lit(x) for x in shares))
+    return F.when(clip_duration >= 9, at(0.25, 0.5, 0.75)).when(clip_duration >= 3, at(0.33, 0.66)).otherwise(at(0.5))
 
 
 def blacklisted_groups(rows: DataFrame, blacklist: DataFrame) -> DataFrame:

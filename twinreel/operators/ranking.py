@@ -94,12 +94,9 @@ def check_by_order(rows: DataFrame, *keys: Column) -> DataFrame:
     return keepers(rows, list(keys)).withColumn("checked", ~F.col("keeper")).drop("keeper")
 
 
-IDENTITY = {
-    "full": ["size", "duration", "frame_size", "fps", "bitrate"],
-    "but_size": ["duration", "frame_size", "fps", "bitrate"],
-    "but_quality": [],
-    "length": ["duration"],
-}
+_FACTS = ["duration", "frame_size", "format", "audio_format", "audio_channel", "audio_sample_rate", "bitrate", "fps"]
+#: Columns in which rows of a group must agree (nulls agree) to be identical at a level.
+IDENTITY = {"full": ["size", *_FACTS], "but_size": _FACTS, "but_quality": [], "length": ["duration"]}
 
 
 def check_identical(rows: DataFrame, level: str = "full") -> DataFrame:
@@ -117,6 +114,97 @@ def check_hundred_percent(rows: DataFrame) -> DataFrame:
     return rows.withColumn("checked", whole & (F.row_number().over(_group().orderBy("pos")) > 1))
 
 
+def custom_selection(rows: DataFrame, identity: int = 0, date_order: int = 0) -> DataFrame:
+    """rows with checked after a custom selection over those given (filtered before).
+
+    Of each group the first row's set counts: the rows of its group (0), those identical to it in
+    full (1) or but for the size (2). All of a set are checked; by rising (1) or falling (2) date
+    the foremost is spared, unless it is the group's first row, which stands in its set twice.
+    Mode 3 takes what differs from a group's first row, whatever its group, so with several groups
+    every row is checked (dates are not read there). Rows outside of any set keep their mark.
+    """
+    held = F.coalesce("checked", F.lit(False))
+    keys = {0: [], 1: IDENTITY["full"], 2: IDENTITY["but_size"], 3: IDENTITY["full"]}[identity]
+    lead = F.first(F.struct(*keys, F.col("pos").alias("pos_"))).over(_group().orderBy("pos"))
+    out = rows.withColumn("lead_", lead)
+    same, leads = F.lit(True), F.col("pos") == F.col("lead_.pos_")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"lead_.{k}"))
+    if identity == 3:
+        several = rows.agg((F.min("group_id") != F.max("group_id")).alias("several_"))
+        out = out.join(F.broadcast(several))
+        return out.withColumn("checked", F.when(F.col("several_") | leads | ~same, True).otherwise(held)).drop("lead_", "several_")
+    out = out.withColumn("in_", same).withColumn("leads_", leads)
+    spared = F.lit(False)
+    if date_order:
+        date = F.asc("date_created") if date_order == 1 else F.desc("date_created")
+        place = F.row_number().over(Window.partitionBy("group_id", "in_").orderBy(date, F.desc("leads_"), "pos"))
+        spared = (place == 1) & ~F.col("leads_")
+    return out.withColumn("checked", F.when(F.col("in_"), ~spared).otherwise(held)).drop("lead_", "in_", "leads_")
+
+
+AUTO_MODES = ("lowest_quality", "smallest_file", "oldest", "newest", "hundred_percent")
+
+
+def auto_select(rows: DataFrame, mode: str) -> DataFrame:
+    """checked by one of the named modes: what is kept is the best, largest, newest, oldest or
+    first row."""
+    if mode == "lowest_quality":
+        keys = [c.key() for c in (CRITERIA[n] for n in WEB_CRITERIA)]
+    elif mode == "hundred_percent":
+        return check_hundred_percent(rows)
+    else:
+        keys = {"smallest_file": [F.desc("size")], "oldest": [F.desc("date_created")], "newest": [F.asc("date_created")]}[mode]
+    return check_by_order(rows, *keys)
+
+
+def keep_best_in_group(rows: DataFrame, group: Column, names: list[str]) -> DataFrame:
+    """checked in the groups that a condition picks: all but the best; elsewhere as before."""
+    out = keepers(rows, [c.key() for c in resolved_criteria(names)])
+    return out.withColumn("checked", F.when(group, ~F.col("keeper")).otherwise(F.col("checked"))).drop("keeper")
+
+
+def keep_rows(rows: DataFrame, kept: Column) -> DataFrame:
+    """checked in groups with a kept row: all but the kept ones; elsewhere as before."""
+    any_kept = F.max(F.col("k_").cast("int")).over(_group()) == 1
+    out = rows.withColumn("k_", F.coalesce(kept, F.lit(False)))
+    return out.withColumn("checked", F.when(any_kept, ~F.col("k_")).otherwise(F.col("checked"))).drop("k_")
+
+
+def scoped(rows: DataFrame, highlighted: Column) -> DataFrame:
+    """The highlighted rows if there are several, else all."""
+    n = rows.agg(F.count_if(highlighted).alias("n_"))
+    return rows.withColumn("h_", highlighted).join(F.broadcast(n)).filter((F.col("n_") < 2) | F.col("h_")).drop("h_", "n_")
+
+
+def group_headers(rows: DataFrame) -> DataFrame:
+    """For each group: rows, checked and hidden ones, whether all are checked, best similarity, size."""
+    return rows.groupBy("group_id").agg(
+        F.count("*").alias("n"), F.count_if("checked").alias("n_checked"), F.count_if(~F.col("visible")).alias("n_hidden"),
+        F.bool_and("checked").alias("whole"), F.max("similarity").alias("best_similarity"), F.sum(F.greatest("size", F.lit(0))).alias("total_size"),
+    )
+
+
+def selected_size(rows: DataFrame) -> DataFrame:
+    """Statistics over the visible groups: groups, rows, bytes, what could be saved, what is checked."""
+    size = F.greatest("size", F.lit(0))
+    per = rows.groupBy("group_id").agg(F.count("*").alias("n"), F.sum(size).alias("total"), F.max(size).alias("largest"), F.sum(F.when(F.col("checked"), size).otherwise(0)).alias("picked"))
+    return per.agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_items"), F.sum("total").alias("total_size"), F.sum(F.col("total") - F.col("largest")).alias("savings"), F.sum("picked").alias("selected_size"))
+
+
+WITHIN_GROUP = {
+    "similarity": ("similarity", False), "size": ("size", False), "duration": ("duration", False), "bitrate": ("bitrate", False),
+    "resolution": ("frame_size", False), "date": ("date_created", False), "name": ("name", True),
+}
+
+
+def places_in_group(sort: str) -> Column:
+    """A row's place in its group by one of the named sorts, from 1."""
+    column, rising = WITHIN_GROUP.get(sort, WITHIN_GROUP["similarity"])
+    value = F.element_at(F.split("path", "/"), -1) if column == "name" else F.col(column)
+    return F.row_number().over(_group().orderBy(value.asc() if rising else value.desc(), "pos"))
+
+
 def inverted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("checked", ~F.col("checked"))
 
@@ -159,15 +247,29 @@ def relative_duration(rows: DataFrame) -> DataFrame:
 
 
 def group_navigation(rows: DataFrame) -> DataFrame:
-    """group_id, next_group, previous_group, around the ends.
+    """group_id, next_group, previous_group, around the ends: neighbours are those whose places
+    in the order are one apart."""
+    from ..sources.tables import cut
 
-    One row for each group is ordered, by ranges of ids; only the two ends meet the rest.
-    """
-    groups = rows.select("group_id").distinct()
-    ends = groups.agg(F.min("group_id").alias("first_"), F.max("group_id").alias("last_"))
-    order = Window.orderBy("group_id")
-    out = groups.withColumn("n_", F.lead("group_id").over(order)).withColumn("p_", F.lag("group_id").over(order)).join(F.broadcast(ends))
-    return out.select("group_id", F.coalesce("n_", "first_").alias("next_group"), F.coalesce("p_", "last_").alias("previous_group"))
+    groups = cut(ordinals(rows.select("group_id").distinct(), [F.asc("group_id")], "at"))
+    n = groups.agg(F.count("*").alias("n_"))
+    placed = groups.join(F.broadcast(n))
+    ring = lambda step: F.pmod(F.col("at") + step, F.col("n_"))
+    other = lambda name: groups.select(F.col("at").alias(f"at_{name}"), F.col("group_id").alias(name))
+    out = placed.withColumn("at_next_group", ring(1)).withColumn("at_previous_group", ring(-1))
+    return out.join(other("next_group"), "at_next_group").join(other("previous_group"), "at_previous_group").select("group_id", "next_group", "previous_group")
+
+
+def ordinals(rows: DataFrame, order: list[Column], name: str = "ordinal") -> DataFrame:
+    """rows with their place in a total order, from 0: ranges are sorted by themselves, and only
+    their sizes (a row for each partition) are added up in one task."""
+    from ..sources.tables import cut
+
+    dealt = cut(rows.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("part_").agg(F.count("*").alias("n_")).withColumn("start_", F.coalesce(F.sum("n_").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(starts.drop("n_")), "part_").withColumn(name, (F.col("start_") + place).cast("long")).drop("part_", "start_")
 
 
 def sort_keys(order: str, ascending: bool = True) -> tuple[dict[str, Column], list[Column]]:
@@ -184,9 +286,9 @@ def sorted_rows(rows: DataFrame, order: str, ascending: bool = True) -> DataFram
     return rows.withColumns(helpers).orderBy(*keys) if helpers else rows.orderBy(*keys)
 
 
-def first_claims(matches: DataFrame) -> DataFrame:
+def first_claims(matches: DataFrame, order: str = "source") -> DataFrame:
     """Each clip at the first source that has it; the group is the source."""
-    of = Window.partitionBy("clip").orderBy("source")
+    of = Window.partitionBy("clip").orderBy(order)
     return matches.withColumn("r_", F.row_number().over(of)).filter("r_ = 1").drop("r_").withColumn("group_id", F.col("source"))
 
 

@@ -56,14 +56,26 @@ def phash_pairs(spark, sf):
     return pairs.filter(F.col("bits") <= bits).select("idx_a", "idx_b", "bits")
 
 
-@query(
-    f"WITH {_E}, {_SIG}, m AS (SELECT idx, (u & 65535)::BIGINT * 281474976710656 // 1 AS x FROM sig), h AS (SELECT idx, (u & 65535)::BIGINT AS low FROM sig) "
-    "SELECT a.idx AS a, b.idx AS b, bit_count(xor(a.low, b.low))::INT AS bits FROM h a JOIN h b ON a.idx < b.idx WHERE bit_count(xor(a.low, b.low)) <= 1"
+_NEAR = (
+    "n AS (SELECT idx, phash FROM sig UNION ALL SELECT idx + 1000000, xor(phash, (1::BIGINT << (idx % 62)::INT)) FROM sig "
+    "UNION ALL SELECT idx + 2000000, xor(phash, (1::BIGINT << (idx % 31)::INT) | (1::BIGINT << (idx % 31 + 31)::INT)) FROM sig)"
 )
+
+
+def _near_hashes(spark, sf):
+    """Whole 64-bit hashes, and two variants of each that differ in one and in two bits."""
+    s = A.frames(spark, sf).select("idx", K.median_signature(F.col("values")).alias("phash"))
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+    at = F.col("idx") % 31
+    one = s.select((F.col("idx") + 1000000).alias("idx"), F.col("phash").bitwiseXOR(bit(F.col("idx") % 62)).alias("phash"))
+    two = s.select((F.col("idx") + 2000000).alias("idx"), F.col("phash").bitwiseXOR(bit(at).bitwiseOR(bit(at + 31))).alias("phash"))
+    return T.cut(s.unionByName(one).unionByName(two))
+
+
+@query(f"WITH {_E}, {_SIG}, {_NEAR} SELECT a.idx AS a, b.idx AS b, bit_count(xor(a.phash, b.phash))::INT AS bits FROM n a JOIN n b ON a.idx < b.idx WHERE bit_count(xor(a.phash, b.phash)) <= 3")
 def phash_band_join(spark, sf):
-    """Exact join of hashes within one bit by bands (16-bit hashes, so that some are near)."""
-    s = T.cut(A.frames(spark, sf).select("idx", K.median_signature(F.col("values")).bitwiseAND(F.lit(65535)).alias("phash")))
-    return J.hamming_join(s, 1)
+    """Exact join of whole hashes within three bits by bands."""
+    return J.hamming_join(_near_hashes(spark, sf), 3)
 
 
 _DIFF = "list_sum(list_transform(range(1, 65), lambda i: abs(a.gray[i] - b.gray[i])))::DOUBLE / (64 * 256)"
@@ -125,10 +137,10 @@ def chroma_codes(spark, sf):
 
 
 @query(
-    "SELECT user_id, (" + " + ".join(f"CASE WHEN sum((event_id >> {i}) & 1) >= count(*) // 2 + 1 THEN {1 << i} ELSE 0 END" for i in range(16)) + ")::BIGINT AS vote FROM events GROUP BY user_id"
+    "SELECT user_id, (" + " + ".join(f"CASE WHEN sum((event_id * 40503 % 4294967296 >> {i}) & 1) >= count(*) // 2 + 1 THEN {1 << i} ELSE 0 END" for i in range(32)) + ")::BIGINT AS vote FROM events GROUP BY user_id"
 )
 def majority_votes(spark, sf):
-    return T.read(spark, sf, "events").groupBy("user_id").agg(K.majority_vote(F.col("event_id"), 16).alias("vote"))
+    return T.read(spark, sf, "events").groupBy("user_id").agg(K.majority_vote(F.col("event_id") * 40503 % (1 << 32), 32).alias("vote"))
 
 
 # ---- joins --------------------------------------------------------------------------------------
@@ -194,8 +206,8 @@ def blacklist_pruned(spark, sf):
 
 
 _REL = (
-    "m AS (SELECT p_partkey AS path, p_size AS size, round(p_retailprice) AS modified, length(p_name)::DOUBLE AS duration FROM part WHERE p_partkey % 40 = 0), "
-    "n AS (SELECT p_partkey AS new_path, p_size AS size, round(p_retailprice) AS modified, length(p_name)::DOUBLE AS duration FROM part WHERE p_partkey % 40 = 1)"
+    "m AS (SELECT p_partkey AS path, p_size AS size, p_partkey % 997 AS modified, length(p_name)::DOUBLE AS duration FROM part), "
+    "n AS (SELECT s_suppkey + 1000000000 AS new_path, (s_suppkey % 50 + 1)::INT AS size, s_suppkey % 997 AS modified, length(s_name)::DOUBLE AS duration FROM supplier)"
 )
 
 
@@ -205,8 +217,12 @@ _REL = (
     "x AS (SELECT path, new_path, CASE WHEN k = 1 THEN 'size' WHEN kt = 1 AND t THEN 'size_time' WHEN kt <> 1 AND kl = 1 AND l THEN 'size_duration' END AS confidence FROM w) SELECT * FROM x WHERE confidence IS NOT NULL"
 )
 def relocation(spark, sf):
-    p = T.read(spark, sf, "part").select(F.col("p_partkey").alias("path"), F.col("p_size").alias("size"), F.round("p_retailprice").alias("modified"), F.length("p_name").cast("double").alias("duration"))
-    return J.relocation_matches(p.filter("path % 40 = 0"), p.filter("path % 40 = 1"))
+    """All parts as missing entries, all suppliers as the files that may be them."""
+    p = T.read(spark, sf, "part").select(F.col("p_partkey").alias("path"), F.col("p_size").alias("size"), (F.col("p_partkey") % 997).alias("modified"), F.length("p_name").cast("double").alias("duration"))
+    n = T.read(spark, sf, "supplier").select(
+        (F.col("s_suppkey") + 1000000000).alias("path"), (F.col("s_suppkey") % 50 + 1).cast("int").alias("size"), (F.col("s_suppkey") % 997).alias("modified"), F.length("s_name").cast("double").alias("duration")
+    )
+    return J.relocation_matches(p, n)
 
 
 @query(
@@ -251,11 +267,11 @@ def reason_counts(spark, sf):
     return P.reason_counts(_reasons(spark, sf))
 
 
-@query(f"WITH {_C} SELECT idx FROM c WHERE starts_with(folder, '/www.ththwh.example.org/') OR folder = '/www.ththwh.example.org' OR starts_with(folder, '/blog.')")
+@query(f"WITH {_C} SELECT idx, starts_with(folder, '/www.ththwh.example.org/') OR folder = '/www.ththwh.example.org' OR starts_with(folder, '/blog.ththan.example.net/') OR folder = '/blog.ththan.example.net' AS below, folder IN ('/www.ththwh.example.org', '/blog.ththan.example.net') AS exact FROM c")
 def include_list(spark, sf):
-    hosts = ("/www.ththwh.example.org",)
-    c = A.catalog(spark, sf)
-    return c.filter(P.in_include_list(F.col("folder"), hosts) | F.col("folder").startswith("/blog.")).select("idx")
+    hosts = ("/www.ththwh.example.org", "/blog.ththan.example.net/")
+    test = lambda below: P.in_include_list(F.col("folder"), hosts, below)
+    return A.catalog(spark, sf).select("idx", test(True).alias("below"), test(False).alias("exact"))
 
 
 @query(f"WITH {_C} SELECT idx, path ILIKE '%/blog._%/en/%' AS patterned, lower(path) LIKE '%blog%' AS contained FROM c")
@@ -318,14 +334,11 @@ def exact_copy_groups(spark, sf):
 
 
 @query(
-    f"WITH RECURSIVE {_E}, {_SIG}, e AS (SELECT a.idx AS a, b.idx AS b FROM sig a JOIN sig b ON a.idx <> b.idx AND bit_count(xor(a.phash, b.phash)) <= 18), "
+    f"WITH RECURSIVE {_E}, {_SIG}, {_NEAR}, e AS (SELECT a.idx AS a, b.idx AS b FROM n a JOIN n b ON a.idx <> b.idx AND bit_count(xor(a.phash, b.phash)) <= 3), "
     "r(n, o) AS (SELECT a, a FROM e UNION SELECT r.n, e.b FROM r JOIN e ON e.a = r.o) SELECT n AS node, min(o) AS component FROM r GROUP BY n"
 )
 def connected_components(spark, sf):
-    s = T.cut(A.frames(spark, sf).select("idx", K.median_signature(F.col("values")).alias("phash")))
-    a, b = s.select(F.col("idx").alias("a"), F.col("phash").alias("x")), s.select(F.col("idx").alias("b"), F.col("phash").alias("y"))
-    edges = a.join(b, (F.col("a") < F.col("b")) & (K.hamming(F.col("x"), F.col("y")) <= 18)).select("a", "b")
-    return G.connected_components(edges)
+    return G.connected_components(J.hamming_join(_near_hashes(spark, sf), 3))
 
 
 @query()
@@ -395,18 +408,6 @@ _order("select_oldest", lambda: [F.desc("date_created")], "date_created DESC")
 _order("select_newest", lambda: [F.asc("date_created")], "date_created")
 _order("select_all_but_smallest", lambda: [F.asc("size")], "size")
 
-_SAME = "size, duration, frame_size, fps, bitrate"
-
-
-@query(
-    f"WITH {_G}, s AS (SELECT *, count(*) OVER w AS n, min(pos) OVER w AS p FROM g WINDOW w AS (PARTITION BY group_id, fps)), "
-    "t AS (SELECT *, min(CASE WHEN n > 1 THEN p END) OVER (PARTITION BY group_id) AS q FROM s) SELECT group_id, pos, coalesce(n > 1 AND p = q AND pos <> p, false) AS checked FROM t"
-)
-def select_identical(spark, sf):
-    R.IDENTITY.setdefault("fps", ["fps"])
-    return R.check_identical(A.groups(spark, sf), "fps").select("group_id", "pos", "checked")
-
-
 @query(f"WITH {_G} SELECT group_id, pos, bool_and(similarity >= 100) OVER w AND row_number() OVER (PARTITION BY group_id ORDER BY pos) > 1 AS checked FROM g WINDOW w AS (PARTITION BY group_id)")
 def select_hundred_percent(spark, sf):
     return R.check_hundred_percent(A.groups(spark, sf)).select("group_id", "pos", "checked")
@@ -456,19 +457,14 @@ def group_navigation(spark, sf):
     return R.group_navigation(A.groups(spark, sf))
 
 
-@query(f"WITH {_G}, t AS (SELECT *, sum(size) OVER (PARTITION BY group_id) AS total FROM g) SELECT group_id, pos, total::BIGINT AS group_total FROM t ORDER BY total DESC, group_id, pos LIMIT 500")
+@query(f"WITH {_G} SELECT group_id, pos, (sum(size) OVER (PARTITION BY group_id))::BIGINT AS group_total FROM g")
 def top_groups_by_size(spark, sf):
-    return R.sorted_rows(A.groups(spark, sf), "group_total", ascending=False).limit(500).select("group_id", "pos", "group_total")
+    """All rows with the total size of their group, by which they are ordered."""
+    return R.sorted_rows(A.groups(spark, sf), "group_total", ascending=False).select("group_id", "pos", "group_total")
 
 
 # ---- sources, sinks, scalars --------------------------------------------------------------------
 
-@query(f"WITH {_G} SELECT group_id, pos, group_id || ',' || format('{{:.1f}}', similarity::DOUBLE) || ',' || path || ',' || size || ',' || format('{{:.3f}}', duration::DOUBLE) || ',' || format('{{:.2f}}', fps::DOUBLE) AS line FROM g")
-def results_csv(spark, sf):
-    rows = A.groups(spark, sf)
-    return sinks.results_csv(rows.withColumn("similarity", F.col("similarity").cast("double")))
-
-
 @query(
     f"WITH {_G} SELECT group_id, '{{\"GroupId\":\"' || group_id || '\",\"Items\":[' || string_agg('{{\"path\":\"' || path || '\",\"similarity\":' || similarity || '}}', ',' ORDER BY similarity DESC, pos) || ']}}' AS json FROM g GROUP BY group_id"
     .replace("{{", "{").replace("}}", "}")
@@ -513,11 +509,6 @@ def catalog_upsert(spark, sf):
     return T.upserted(old, new, "path", ["size"], ["hash"])
 
 
-@query("SELECT event_id, (props::JSON ->> 'k')::INT AS k FROM events")
-def probe_json(spark, sf):
-    return T.read(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
-
-
 @query(
     "SELECT o_orderkey AS id, CASE WHEN b = 0 THEN '0 B' WHEN b < 1024 THEN format('{:.1f} B', b::DOUBLE) WHEN b < 1048576 THEN format('{:.1f} KB', round(b / 1024.0::DOUBLE, 1)) ELSE format('{:.1f} MB', round(b / 1048576.0::DOUBLE, 1)) END AS bytes_text, "
     "trunc((b::FLOAT / 1024.0::FLOAT)::FLOAT / 1024.0::FLOAT)::BIGINT AS mb FROM (SELECT o_orderkey, (o_orderkey * o_orderkey % 100000000) AS b FROM orders)"
@@ -564,3 +555,6 @@ def latest_rows(spark, sf):
 def flagship(spark, sf):
     """Pairs of near-equal signatures within a label."""
     return phash_pairs(spark, sf)
+
+
+from . import more  # noqa: E402, F401 - registers its queries

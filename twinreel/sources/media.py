@@ -15,13 +15,53 @@ TAPS = np.array([0.25, 0.5, 1.0, 0.5, 0.25]) / 2.5
 def dct_phash(frame: np.ndarray) -> int:
     """64-bit hash of a 32 x 32 frame: the 8 x 8 lowest frequencies but the constant ones of a
     DCT, bit k set where the k-th is above their median. All in float32; as a signed long."""
+    return int(dct_phashes(np.asarray(frame).reshape(1, 1024))[0])
+
+
+def cosines() -> np.ndarray:
+    """float32 table of the DCT: row k - 1 for frequency k of 1..8, 32 places each."""
     k = np.arange(1, 9, dtype=np.float64)[:, None]
-    basis = np.cos((2 * np.arange(32)[None, :] + 1) * k * np.pi / 64).astype(np.float32)
-    cells = (basis @ np.asarray(frame, np.float32).reshape(32, 32) @ basis.T).astype(np.float32).ravel() * np.float32(2 / 32)
-    ordered = np.sort(cells)
-    median = (ordered[31] + ordered[32]) / np.float32(2)
-    value = int(sum(1 << i for i in np.flatnonzero(cells > median)))
-    return value - (1 << 64) if value >> 63 else value
+    return np.cos((2 * np.arange(32)[None, :] + 1) * k * np.pi / 64).astype(np.float32)
+
+
+def dct_phashes(frames: np.ndarray) -> np.ndarray:
+    """dct_phash of each row of a (n, 1024) array. Sums are added up place after place in float32,
+    first along rows, then along columns: other orders round otherwise and change bits."""
+    table, alpha = cosines(), np.float32(np.sqrt(2 / 32))
+    pixels = frames.astype(np.float32).reshape(-1, 32, 32)
+    rows = np.zeros((len(pixels), 32, 8), np.float32)
+    for x in range(32):
+        rows += pixels[:, :, x, None] * table[None, None, :, x]
+    rows *= alpha
+    cells = np.zeros((len(pixels), 8, 8), np.float32)  # vertical frequency, horizontal frequency
+    for y in range(32):
+        cells += rows[:, y, None, :] * table[None, :, y, None]
+    cells = (cells * alpha).reshape(-1, 64)
+    ordered = np.sort(cells, axis=1)
+    median = (ordered[:, 31] + ordered[:, 32]) * np.float32(0.5)
+    bits = (cells > median[:, None]).astype(np.uint64) << np.arange(64, dtype=np.uint64)
+    return np.bitwise_or.reduce(bits, axis=1).view(np.int64)
+
+
+def with_phash(rows, column: str = "frame", name: str = "phash"):
+    """rows with the hash of a 32 x 32 frame (binary); null for frames of another size."""
+    at = rows.columns.index(column)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            frames = batch.column(at).to_pylist()
+            fit = [i for i, f in enumerate(frames) if f is not None and len(f) == 1024]
+            values = np.zeros(len(frames), np.int64)
+            if fit:
+                values[fit] = dct_phashes(np.frombuffer(b"".join(frames[i] for i in fit), np.uint8).reshape(-1, 1024))
+            missing = np.ones(len(frames), bool)
+            missing[fit] = False
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, mask=missing)], [*batch.schema.names, name])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{schema}, `{name}` bigint")
 
 
 def pitch_classes() -> np.ndarray:
@@ -103,10 +143,57 @@ def jpeg_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
+def exif_block(data: bytes) -> bytes:
+    """The TIFF part of a JPEG, PNG or WebP that has one; else the data themselves."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        at = 8
+        while at + 8 <= len(data):
+            size = int.from_bytes(data[at : at + 4], "big")
+            if data[at + 4 : at + 8] == b"eXIf":
+                return data[at + 8 : at + 8 + size]
+            at += 12 + size
+        return b""
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        at = 12
+        while at + 8 <= len(data):
+            size = int.from_bytes(data[at + 4 : at + 8], "little")
+            if data[at : at + 4] == b"EXIF":
+                block = data[at + 8 : at + 8 + size]
+                return block[6:] if block[:6] == b"Exif\0\0" else block
+            at += 8 + size + size % 2
+        return b""
+    at = data.find(b"Exif\0\0")
+    return data[at + 6 :] if at >= 0 else data
+
+
+def header_facts(rows, column: str = "content"):
+    """rows with width, height and taken (date) read from the headers of image files."""
+    from pyspark.sql import functions as F
+
+    from .tables import image_size
+
+    at = rows.columns.index(column)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            data = [d or b"" for d in batch.column(at).to_pylist()]
+            sizes, dates = [jpeg_size(d) or (None, None) for d in data], [exif_date(d) for d in data]
+            extra = [pa.array([s[0] for s in sizes], pa.int32()), pa.array([s[1] for s in sizes], pa.int32()), pa.array([d and d.isoformat(" ") for d in dates], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "jpeg_w", "jpeg_h", "taken_text"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    out = rows.mapInArrow(run, f"{schema}, jpeg_w int, jpeg_h int, taken_text string")
+    size = image_size(F.col(column))
+    return out.select(
+        *rows.columns, F.coalesce(size["width"], "jpeg_w").alias("width"), F.coalesce(size["height"], "jpeg_h").alias("height"), F.try_to_timestamp("taken_text").alias("taken")
+    )
+
+
 def exif_date(data: bytes) -> datetime | None:
     """Date taken of a JPEG or TIFF: the original date before the change date."""
-    at = data.find(b"Exif\0\0")
-    tiff = data[at + 6 :] if at >= 0 else data
+    tiff = exif_block(data)
     if tiff[:2] not in (b"II", b"MM"):
         return None
     e = "<" if tiff[:2] == b"II" else ">"

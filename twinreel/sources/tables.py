@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +15,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder named by spark.checkpoint.dir (one under /tmp if unset)."""
+    """df checkpointed in the folder named by spark.checkpoint.dir. Where none is set, a session on
+    one machine (tests) gets a temporary one; on a cluster that is an error."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -31,14 +37,18 @@ CATALOG = (
 )
 
 
-def listing(spark: SparkSession, folder: str, images: bool = True) -> DataFrame:
-    """path, file_size, date_modified of the media files below a folder; contents are not read."""
-    from ..functions.scalars import media_type
+def listing(spark: SparkSession, folder: str, images: bool = True, recursive: bool = True, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """path, folder, file_size, date_modified, is_image of the media files below a folder; contents
+    are not read. Files below the excluded folders (whole names or patterns) are left out."""
+    from ..functions.scalars import folder_of, media_type
+    from ..operators.filters import in_black_list
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    files = files.select("path", F.col("length").alias("file_size"), F.col("modificationTime").alias("date_modified"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
+    path = F.regexp_replace("path", "^file:/+", "/")
+    files = files.select(path.alias("path"), folder_of(path).alias("folder"), F.col("length").alias("file_size"), F.col("modificationTime").alias("date_modified"))
     kind = media_type(F.col("path"))
-    return files.withColumn("is_image", kind == "image").filter(kind.isNotNull() & (F.lit(images) | (kind == "video")))
+    files = files.withColumn("is_image", kind == "image").filter(kind.isNotNull() & (F.lit(images) | (kind == "video")))
+    return files.filter(~in_black_list(F.col("folder"), excluded)) if excluded else files
 
 
 def upserted(catalog: DataFrame, files: DataFrame, key: str, facts: list[str], cached: list[str]) -> DataFrame:
@@ -63,21 +73,27 @@ def catalog_from_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CATALOG).option("multiLine", True).json(path)
 
 
-def blacklist_entries(text: DataFrame) -> DataFrame:
-    """entry_id, path of a blacklist document (column value): a bare array of arrays, or an
+def catalog_entries(text: DataFrame, schema: str = CATALOG) -> DataFrame:
+    """Entries of exported documents (column value), one each; what is no such document goes."""
+    return text.select(F.from_json("value", schema).alias("e")).filter("e IS NOT NULL").select("e.*")
+
+
+def blacklist_entries(text: DataFrame, keep: str | None = None) -> DataFrame:
+    """entry_id, path (and the column keep) of a blacklist document (column value): a bare array of arrays, or an
     object with version and groups; anything else is empty."""
     groups = F.coalesce(
         F.from_json("value", "array<array<string>>"), F.from_json("value", "struct<version:int,groups:array<array<string>>>")["groups"]
     )
-    return text.select(F.posexplode(groups).alias("entry_id", "paths")).select("entry_id", F.explode("paths").alias("path"))
+    own = [keep] if keep else []
+    return text.select(*own, F.posexplode(groups).alias("entry_id", "paths")).select(*own, "entry_id", F.explode("paths").alias("path"))
 
 
 def result_items(text: DataFrame, item: str) -> DataFrame:
     """Items of a result document: an array of groups, or an object with version and groups; null items go."""
-    groups = F.coalesce(
-        F.from_json("value", f"array<struct<GroupId:string,Items:array<{item}>>>"),
-        F.from_json("value", f"struct<version:int,groups:array<struct<GroupId:string,Items:array<{item}>>>>")["groups"],
-    )
+    group = f"array<struct<GroupId:string,Items:array<{item}>>>"
+    # an object read as an array would be an array of one
+    bare = F.ltrim("value").startswith("[")
+    groups = F.when(bare, F.from_json("value", group)).otherwise(F.from_json("value", f"struct<version:int,groups:{group}>")["groups"])
     rows = text.select(F.explode(groups).alias("g")).select("g.GroupId", F.explode("g.Items").alias("item")).filter("item IS NOT NULL")
     return rows.select(F.col("GroupId").alias("group_id"), "item.*")
 

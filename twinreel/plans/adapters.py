@@ -29,7 +29,7 @@ def groups(spark: SparkSession, sf: str) -> DataFrame:
     """Result rows: the line items of an order are a duplicate group."""
     r = read(spark, sf, "lineitem")
     return r.select(
-        F.col("l_orderkey").alias("group_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).cast("long").alias("pos"),
+        F.col("l_orderkey").alias("group_id"), (((F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey") % 1000) * 100 + F.col("l_quantity")).cast("long").alias("pos"),
         F.concat(F.lit("/lib/"), F.col("l_suppkey").cast("string"), F.lit("/"), F.col("l_partkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit(".mp4")).alias("path"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("size"), F.col("l_quantity").cast("int").alias("duration"),
         (F.col("l_partkey") % 4 * 480).cast("int").alias("frame_size"), (F.col("l_linenumber") % 3 * 30).cast("int").alias("fps"),
@@ -45,7 +45,7 @@ def groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 GROUPS_SQL = """
-SELECT l_orderkey AS group_id, (l_linenumber * 1000000 + l_partkey)::BIGINT AS pos,
+SELECT l_orderkey AS group_id, (((l_linenumber::BIGINT * 1000000 + l_partkey) * 1000 + l_suppkey % 1000) * 100 + l_quantity)::BIGINT AS pos,
        '/lib/' || l_suppkey || '/' || l_partkey || '_' || l_linenumber || '.mp4' AS path,
        round(l_extendedprice * 100)::BIGINT AS size, l_quantity::INT AS duration, (l_partkey % 4 * 480)::INT AS frame_size,
        (l_linenumber % 3 * 30)::INT AS fps, round(l_tax * 100)::INT AS bitrate, (l_suppkey % 3 * 22050)::INT AS audio_sample_rate,
@@ -62,13 +62,13 @@ FROM lineitem
 def twins(spark: SparkSession, sf: str) -> DataFrame:
     """groups() with each row once more, under another path, and every third copy of another size."""
     g = groups(spark, sf)
-    copy = g.withColumn("pos", F.col("pos") + 10**12).withColumn("path", F.concat("path", F.lit(".copy")))
+    copy = g.withColumn("pos", F.col("pos") + 10**13).withColumn("path", F.concat("path", F.lit(".copy")))
     return g.unionByName(copy.withColumn("size", F.when(F.col("pos") % 3 == 0, F.col("size") + 1).otherwise(F.col("size"))))
 
 
 TWINS_SQL = f"""
 SELECT * FROM ({GROUPS_SQL}) UNION ALL
-SELECT * REPLACE (pos + 1000000000000 AS pos, path || '.copy' AS path, CASE WHEN (pos + 1000000000000) % 3 = 0 THEN size + 1 ELSE size END AS size) FROM ({GROUPS_SQL})
+SELECT * REPLACE (pos + 10000000000000 AS pos, path || '.copy' AS path, CASE WHEN (pos + 10000000000000) % 3 = 0 THEN size + 1 ELSE size END AS size) FROM ({GROUPS_SQL})
 """
 
 FRAMES_SQL = """

@@ -472,7 +472,11 @@ def first_errors(spark, sf):
     return T.read(spark, sf, "events").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list("event_id")), 1, 3).alias("first"))
 
 
-_DONE = f"{_T}, b AS (SELECT DISTINCT path FROM t WHERE group_id % 5 = 0), k AS (SELECT * FROM t WHERE group_id NOT IN (SELECT group_id FROM t GROUP BY 1 HAVING bool_and(path IN (SELECT path FROM b))))"
+_DONE = (
+    f"{_T}, p AS (SELECT DISTINCT group_id, path FROM t), n AS (SELECT group_id, count(*) AS n FROM p GROUP BY 1), "
+    "h AS (SELECT p.group_id, b.group_id AS e, count(*) AS h FROM p JOIN p b USING (path) WHERE b.group_id % 5 = 0 GROUP BY ALL), "
+    "k AS (SELECT * FROM t WHERE group_id NOT IN (SELECT group_id FROM h JOIN n USING (group_id) WHERE h = n))"
+)
 
 
 @query(f"WITH {_DONE} SELECT group_id, pos, row_number() OVER (PARTITION BY group_id ORDER BY CASE WHEN NOT is_image THEN duration END DESC NULLS LAST, frame_size DESC NULLS LAST, CASE WHEN NOT is_image THEN fps END DESC NULLS LAST, CASE WHEN NOT is_image THEN bitrate END DESC NULLS LAST, CASE WHEN NOT is_image THEN audio_sample_rate END DESC NULLS LAST, size, pos) > 1 AS checked, size = min(size) OVER (PARTITION BY group_id) AS best_size FROM k")

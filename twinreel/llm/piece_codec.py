@@ -63,6 +63,8 @@ class Codec:
         self.vocabulary = Vocabulary(path)
         self.known: dict[str, tuple[str, int, str, int]] = {}
         self.older: dict[str, tuple[str, int, str, int]] = {}
+        #: units that do not decode to themselves, or whose ids are the library's
+        self.odd: set[str] = set()
         self.mismatches = 0
         sp, byte_of = self.vocabulary.library, {i: b for b, i in self.vocabulary.byte_ids.items()}
         #: what each id decodes to: text, or a byte
@@ -96,7 +98,10 @@ class Codec:
             if wrong:
                 self.mismatches += 1
                 ids = expected
-            self.known[unit] = ("," + ",".join(map(str, ids)), len(ids), self.decode(ids), wrong)
+            text = self.decode(ids)
+            if wrong or text != unit:
+                self.odd.add(unit)
+            self.known[unit] = ("," + ",".join(map(str, ids)), len(ids), text, wrong)
 
     def encode(self, texts: list[str]) -> list[tuple[str, int, str, int]]:
         """(ids joined by commas, their number, decoded text, units set right) of each text."""
@@ -104,7 +109,7 @@ class Codec:
         if len(self.known) > MEMORY:
             self.known, self.older = {}, self.known
         new = []
-        for u in {u for units in cut for u in units if u not in self.known}:
+        for u in set().union(*cut).difference(self.known):
             if had := self.older.get(u):
                 self.known[u] = had
             else:
@@ -112,11 +117,16 @@ class Codec:
         self.learn(new)
         out = []
         for units in cut:
-            hits = [self.known[u] for u in units]
-            out.append(("".join([h[0] for h in hits])[1:], sum([h[1] for h in hits]), "".join([h[2] for h in hits])[1:], sum([h[3] for h in hits])))
+            hits = list(map(self.known.__getitem__, units))
+            ids = "".join([h[0] for h in hits])
+            decoded, wrong = (units, 0) if self.odd.isdisjoint(units) else ([h[2] for h in hits], sum([h[3] for h in hits]))
+            out.append((ids[1:], ids.count(","), "".join(decoded)[1:], wrong))
         for u in new:
             if len(u) > LONG_UNIT:
                 del self.known[u]
+                self.odd.discard(u)
+        if len(self.odd) > MEMORY:
+            self.known, self.older, self.odd = {}, {}, set()
         return out
 
     def checked(self, texts: list[str]) -> list[tuple[str, int, str, int]]:

@@ -26,10 +26,10 @@ class Counter(dict):
 
     def count(self, texts: list[str]) -> list[int]:
         cut = [self.vocabulary.units(t) for t in texts]
-        new = list({u for units in cut for u in units if u not in self})
+        new = list(set().union(*cut).difference(self))
         if len(self) + len(new) > MEMORY + len(self.vocabulary.shortcut):
             self.reset()
-            new = list({u for units in cut for u in units if u not in self})
+            new = list(set().union(*cut).difference(self))
         self.update(zip(new, map(len, self.vocabulary.library_ids(new)), strict=True))
         out = [sum(map(self.__getitem__, units)) for units in cut]
         for u in new:

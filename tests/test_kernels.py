@@ -339,3 +339,34 @@ def test_streaming_upsert(spark, tmp_path):
     spark.createDataFrame([(3, 10, 4), (9, 1, 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     ingest.upsert_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, out, str(tmp_path / "cp"), "k", "t")
     assert current() == [(1, 2, 2), (2, 5, 1), (3, 10, 4), (9, 1, 1)]
+
+
+def test_commands(spark, tmp_path):
+    from twinreel import cli
+    from twinreel.plans import adapters
+
+    library, catalog = tmp_path / "lib", str(tmp_path / "catalog")
+    library.mkdir()
+    for name in ("a.mp4", "b.mkv", "c.txt"):
+        (library / name).write_bytes(b"123")
+    do = lambda *words: cli.run(list(words), spark)
+    assert do("scan", "--catalog", catalog, "--include", str(library)) == 0
+    rows = spark.read.parquet(catalog)
+    assert sorted(r.path.rsplit("/", 1)[1] for r in rows.collect()) == ["a.mp4", "b.mkv"]
+    spark.createDataFrame([(r.path, 7) for r in rows.collect()], "path string, hash int").join(rows, "path").write.parquet(catalog + "2")
+    (library / "a.mp4").write_bytes(b"12345")
+    assert do("scan", "--catalog", catalog + "2", "--include", str(library)) == 0
+    assert {(r.path.rsplit("/", 1)[1], r.file_size, r.hash) for r in spark.read.parquet(catalog + "2").collect()} == {("a.mp4", 5, None), ("b.mkv", 3, 7)}
+    assert do("compare", "--catalog", catalog, "--output", str(tmp_path / "none")) == 1
+    adapters.media(spark, "/root/testdata/sf0.001").filter("idx % 1000000 < 60").write.parquet(str(tmp_path / "media"))
+    (tmp_path / "s.json").write_text('{"Percent": 94, "ThumbnailCount": 4}')
+    assert do("compare", "--catalog", str(tmp_path / "media"), "--output", str(tmp_path / "found"), "--settings", str(tmp_path / "s.json")) == 0
+    assert spark.read.parquet(str(tmp_path / "found")).count() > 10
+    adapters.groups(spark, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "results"))
+    assert do("mark", "--results", str(tmp_path / "results"), "--strategy", "Smallest-File", "--output", str(tmp_path / "plan")) == 0
+    plan = spark.read.parquet(str(tmp_path / "plan"))
+    assert plan.count() and {r.action for r in plan.collect()} == {"delete"}
+    assert do("mark", "--results", str(tmp_path / "results"), "--strategy", "best", "--output", str(tmp_path / "plan")) == 1
+    assert do("db", "export", "--catalog", catalog, "--output", str(tmp_path / "json")) == 0 and spark.read.text(str(tmp_path / "json")).count() == 2
+    assert do("db", "clear", "--catalog", catalog) == 1 and do("db", "clear", "--catalog", catalog, "--yes") == 0
+    assert spark.read.parquet(catalog).count() == 0 and do("db", "export", "--catalog", catalog, "--output", str(tmp_path / "x")) == 1

@@ -26,6 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 STREAM = (
     "struct<index:string,codec_name:string,codec_long_name:string,codec_type:string,pixel_format:string,width:int,height:int,"
     "sample_rate:int,channel_layout:string,bit_rate:bigint,frame_rate:float,channels:int,hdr_format:string>"

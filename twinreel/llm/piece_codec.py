@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from .common import worker_state
 from .pieces import SPACE, Vocabulary
 
-#: Entries of each of the two halves of a worker's memory of encoded units (about 60 MB each).
+#: Entries of each of the two halves of a worker's memory of encoded units (about 100 MB each).
 #: A full half becomes the older one; units seen again come back from it.
-MEMORY = 250_000
+MEMORY = 400_000
 LONG_UNIT = 64
 #: Every batch compares one whole text in this many with the library's ids and decode().
 WHOLE_TEXTS = 16

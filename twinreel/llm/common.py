@@ -101,6 +101,12 @@ def worker_state(key: str, make):
     return held[key]
 
 
+def forget() -> None:
+    """Drop what this worker remembers: workers that idle while later stages run keep theirs."""
+    sys.modules.setdefault("_twinreel_worker", types.ModuleType("_twinreel_worker")).__dict__.setdefault("held", {}).clear()
+    trim()
+
+
 #: Most bits of the bitmap of marked(), as a power of two, and bits for each key. A bitmap of
 #: 2**26 bits is a broadcast of a million rows of 12 bytes.
 MARK_BITS, MARK_ROOM = 26, 8

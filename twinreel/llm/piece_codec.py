@@ -9,7 +9,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_state
+from .common import forget, worker_state
 from .pieces import SPACE, Vocabulary
 
 #: Entries of each of the two halves of a worker's memory of encoded units (about 100 MB each).
@@ -59,8 +59,8 @@ def merge(symbols: list[str], score: dict[str, tuple[float, int]]) -> list[str]:
 
 
 class Codec:
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, path: str, memory: int = MEMORY):
+        self.vocabulary, self.memory = Vocabulary(path), memory
         self.known: dict[str, tuple[str, int, str, int]] = {}
         self.older: dict[str, tuple[str, int, str, int]] = {}
         #: units that do not decode to themselves, or whose ids are the library's
@@ -106,7 +106,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[str, int, str, int]]:
         """(ids joined by commas, their number, decoded text, units set right) of each text."""
         cut = [self.vocabulary.units(t) for t in texts]
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.memory:
             self.known, self.older = {}, self.known
         new = []
         for u in set().union(*cut).difference(self.known):
@@ -125,7 +125,7 @@ class Codec:
             if len(u) > LONG_UNIT:
                 del self.known[u]
                 self.odd.discard(u)
-        if len(self.odd) > MEMORY:
+        if len(self.odd) > self.memory:
             self.known, self.older, self.odd = {}, {}, set()
         return out
 
@@ -140,7 +140,7 @@ class Codec:
         return out
 
 
-def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, memory: int = MEMORY, remember: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_corrected for each row of docs; no shuffle.
 
     With keep_text also ids (array<int>) and decoded. Null texts are encoded as empty: no ids,
@@ -148,6 +148,8 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     rows. Whole texts of any length; no sampling, no begin or end ids. Every unit is checked
     against the library, and one whole text in WHOLE_TEXTS; where they differ, the library's
     result counts, and n_corrected says in how many places of a text. Other columns are not read.
+    memory: encoded units that a worker holds, in each of two halves; with remember=False it drops
+    them at the end of each task. Both change the time and memory that it takes, not its rows.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_corrected"] + ["ids", "decoded"] * keep_text
@@ -156,7 +158,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def encode(batches):
         import pyarrow as pa
 
-        codec = worker_state(f"codec_{model}", lambda: Codec(model))
+        codec = worker_state(f"codec_{model}_{memory}", lambda: Codec(model, memory))
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
@@ -173,5 +175,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                     ids = [[int(x) for x in g[0].split(",")] if g[0] else [] for g in got]
                     columns += [pa.array(ids, pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        if not remember:
+            forget()
 
     return base.mapInArrow(encode, schema)

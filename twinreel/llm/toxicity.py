@@ -10,7 +10,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trim, worker_state
+from .common import forget, trim, worker_state
 
 #: Subsequences of three letters within SPAN characters; each gap costs a factor of DECAY.
 SPAN, DECAY = 6, 0.75
@@ -396,7 +396,7 @@ def toxicity_filter(docs: DataFrame, known: DataFrame, labels: DataFrame, thresh
                 part = batch.slice(low, 256)
                 values = scores([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array(values < threshold))
-        trim()
+        forget()  # the stages after this one share the workers
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -18,6 +18,10 @@ from twinreel.llm.entry import piece_model
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
+#: Encoded units that a worker remembers, in each of two halves: stages share an executor's memory.
+UNITS = 150_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go; rows without an id are judged as well."""
     return toxicity.toxicity_filter(docs, docs, read(spark, sf_dir, "labels"))
@@ -72,7 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each remaining document and repetition: its ids and what they decode to, as digests."""
-    return piece_codec.encode_decode(docs, piece_model())
+    return piece_codec.encode_decode(docs, piece_model(), memory=UNITS, remember=False)
 
 
 STAGES = [

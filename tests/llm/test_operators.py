@@ -50,9 +50,12 @@ def test_tokens_equal_the_library(spark):
 
 
 def test_units_and_agenda_equal_the_library_on_random_texts():
-    codec, counter, sp = piece_codec.Codec(entry.piece_model()), token_counts.Counter(entry.piece_model()), library()
-    assert codec.vocabulary.proven and all(re.compile(pieces.UNIT).fullmatch(p.replace("▁", " ")) for p in codec.vocabulary.ids)
-    assert all(len(sp.encode("\n" + s)) == 3 for s in random.Random(1).sample(sorted(codec.vocabulary.shortcut), 500))
+    model, proof, sp = entry.piece_model(), pieces.prove(entry.piece_model()), library()
+    codec, counter = piece_codec.Codec(model, proof), token_counts.Counter(model, proof)
+    assert proof.proven and all(re.compile(pieces.UNIT).fullmatch(p.replace("▁", " ")) for p in codec.vocabulary.ids)
+    assert all(len(sp.encode("\n" + s)) == 3 for s in random.Random(1).sample(sorted(proof.shortcut), 500))
+    with pytest.raises(ValueError, match="not the model that was proven"):
+        pieces.Vocabulary(model, proof._replace(digest=""))
     rng, parts = random.Random(2), [*"abe \n\t▁.,;12²éü漢🎉\x00-_()", "  ", "the", "ing", "<s>", "</s>"]
     texts = ["".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(1500)] + ["", " ", "a" * 3000]
     want = sp.encode(texts)

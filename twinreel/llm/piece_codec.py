@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, worker_state
-from .pieces import SPACE, Vocabulary
+from .pieces import SPACE, Proof, Vocabulary, prove
 
 #: Entries of each of the two halves of a worker's memory of encoded units (about 100 MB each).
 #: A full half becomes the older one; units seen again come back from it.
@@ -59,8 +59,8 @@ def merge(symbols: list[str], score: dict[str, tuple[float, int]]) -> list[str]:
 
 
 class Codec:
-    def __init__(self, path: str, memory: int = MEMORY):
-        self.vocabulary, self.memory = Vocabulary(path), memory
+    def __init__(self, path: str, proof: Proof, memory: int = MEMORY):
+        self.vocabulary, self.memory = Vocabulary(path, proof), memory
         self.known: dict[str, tuple[str, int, str, int]] = {}
         self.older: dict[str, tuple[str, int, str, int]] = {}
         #: units that do not decode to themselves, or whose ids are the library's
@@ -151,6 +151,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     memory: encoded units that a worker holds, in each of two halves; with remember=False it drops
     them at the end of each task. Both change the time and memory that it takes, not its rows.
     """
+    proof = prove(model)._replace(shortcut=frozenset())  # every unit goes through the agenda
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_corrected"] + ["ids", "decoded"] * keep_text
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_corrected long" + ", ids array<int>, decoded string" * keep_text
@@ -158,7 +159,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def encode(batches):
         import pyarrow as pa
 
-        codec = worker_state(f"codec_{model}_{memory}", lambda: Codec(model, memory))
+        codec = worker_state(f"codec_{proof.digest}_{memory}", lambda: Codec(model, proof, memory))
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             for low in range(0, batch.num_rows, 256):

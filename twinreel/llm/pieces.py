@@ -2,12 +2,16 @@
 
 A merge can only ever join two characters that stand side by side in some vocabulary string.
 UNIT cuts only between characters of which no string holds such a pair; `proven_unit` checks
-that against the whole vocabulary, and where the proof fails the unit is the whole text.
+that against the whole vocabulary, and where the proof fails the unit is the whole text. The
+proof is made once, on the driver (`prove`); workers get what it found.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
+from typing import NamedTuple
 
 SPACE = "▁"
 #: White space belongs to the unit after it; letters and other characters never share a piece.
@@ -15,33 +19,54 @@ SPACE = "▁"
 UNIT = r" *(?:[^\W\d_²³¹]+|(?:(?! )[\W\d_²³¹])+)| +"
 
 
+class Proof(NamedTuple):
+    """What is proven of a model file, named by its digest."""
+
+    digest: str
+    #: no string crosses a unit's boundary
+    proven: bool
+    #: strings (with plain spaces) that the library encodes alone as one token
+    shortcut: frozenset
+
+
+def _load(path: str):
+    """(digest, library, id and score by string, id by byte) of a model file."""
+    import sentencepiece
+
+    with open(path, "rb") as file:
+        model = file.read()
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    ids, byte_ids = {}, {}
+    for i in range(sp.get_piece_size()):
+        piece = sp.id_to_piece(i)
+        if sp.is_byte(i):
+            byte_ids[int(piece[1:-1], 16)] = i
+        elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+            ids[piece] = (sp.get_score(i), i)
+    return hashlib.sha256(model).hexdigest(), sp, ids, byte_ids
+
+
+@functools.lru_cache(maxsize=4)
+def prove(path: str) -> Proof:
+    """Prove the units of a model and find its single tokens; about as large as its vocabulary."""
+    digest, sp, ids, _ = _load(path)
+    unit, strings = re.compile(UNIT), [p.replace(SPACE, " ") for p in ids]
+    # a line break must be a byte, else it cannot keep the dummy prefix from a unit
+    if not all(map(unit.fullmatch, strings)) or any("\n" in s for s in strings) or len(sp.encode("\n")) != 2:
+        return Proof(digest, False, frozenset())
+    alone = zip(strings, sp.encode(["\n" + s for s in strings], num_threads=1), strict=True)
+    return Proof(digest, True, frozenset(s for s, found in alone if len(found) == 3))
+
+
 class Vocabulary:
     """The strings of a sentencepiece model that merges can make: score and id by string."""
 
-    def __init__(self, path: str):
-        import sentencepiece
-
-        self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.ids: dict[str, tuple[float, int]] = {}
-        self.byte_ids: dict[int, int] = {}
-        for i in range(sp.get_piece_size()):
-            piece = sp.id_to_piece(i)
-            if sp.is_byte(i):
-                self.byte_ids[int(piece[1:-1], 16)] = i
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                self.ids[piece] = (sp.get_score(i), i)
-        unit = re.compile(UNIT)
-        whole = all(unit.fullmatch(p.replace(SPACE, " ")) for p in self.ids)
-        # a line break must be a byte, else it cannot keep the dummy prefix from a unit
-        self.proven = whole and not any("\n" in p for p in self.ids) and len(sp.encode("\n")) == 2
-        self.unit = unit if self.proven else re.compile(r"(?s).+")
-        self.shortcut = self._single_tokens() if self.proven else frozenset()
-
-    def _single_tokens(self) -> frozenset:
-        """Vocabulary strings (with plain spaces) that the library encodes alone as one token."""
-        strings = [p.replace(SPACE, " ") for p in self.ids]
-        alone = zip(strings, self.library.encode(["\n" + s for s in strings], num_threads=1), strict=True)
-        return frozenset(s for s, ids in alone if len(ids) == 3 and self.unit.fullmatch(s))
+    def __init__(self, path: str, proof: Proof):
+        digest, self.library, self.ids, self.byte_ids = _load(path)
+        if digest != proof.digest:
+            raise ValueError(f"{path} is not the model that was proven")
+        self.proven, self.shortcut = proof.proven, proof.shortcut
+        self.unit = re.compile(UNIT if proof.proven else r"(?s).+")
 
     def units(self, text: str) -> list[str]:
         """The units of a text in order, with the dummy prefix that the library adds."""

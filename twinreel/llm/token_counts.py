@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import worker_state
-from .pieces import Vocabulary
+from .pieces import Proof, Vocabulary, prove
 
 #: Entries of a worker's memory of merged units (about 40 MB); it starts anew beyond that.
 MEMORY = 300_000
@@ -16,8 +16,8 @@ LONG_UNIT = 64
 class Counter(dict):
     """Unit -> number of tokens: 1 for the proven single tokens, else merged by the library."""
 
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, path: str, proof: Proof):
+        self.vocabulary = Vocabulary(path, proof)
         self.reset()
 
     def reset(self):
@@ -42,15 +42,17 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs; no shuffle.
 
     Null texts count as empty (0 bytes, 0 tokens); null ids and repeated rows are ordinary
-    rows; an empty table gives no rows. Texts are never cut. Other columns are not read.
+    rows; an empty table gives no rows. Texts are never cut. Other columns are not read. Which
+    strings are one token is proven here, once; a worker whose model file differs fails.
     """
+    proof = prove(model)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
 
     def count(batches):
         import pyarrow as pa
 
-        counter = worker_state(f"counter_{model}", lambda: Counter(model))
+        counter = worker_state(f"counter_{proof.digest}", lambda: Counter(model, proof))
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)

@@ -89,6 +89,17 @@ def settled(spark: SparkSession, build, name: str) -> DataFrame:
     return out
 
 
+#: Bytes of an Arrow batch of texts, unless the session sets its own.
+BATCH_BYTES = 4_000_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, as texts have no bounded length: ten thousand of them are
+    held by the executor and by its worker at once otherwise. A session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, spark.conf.get(name, str(BATCH_BYTES)))
+
+
 def worker_state(key: str, make):
     """One value per Python worker, kept between tasks until another operator makes its own: the
     stages of a pipeline share workers, and what one remembers is of no use to the next."""

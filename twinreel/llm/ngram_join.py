@@ -14,7 +14,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import marked, settled, stored, trim, worker_state
+from .common import marked, settled, stored, text_batches, trim, worker_state
 
 #: Upper end of a band over its lower end.
 BAND = 1.5
@@ -316,6 +316,7 @@ def _joined(
     still apart under a key is compared in tiles of bounded size by bit counts. Nothing is
     dropped: every pair under a key is one component or compared.
     """
+    text_batches(docs.sparkSession)
     ends = bands(percent)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

@@ -9,7 +9,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, worker_state
+from .common import forget, text_batches, worker_state
 from .pieces import SPACE, Proof, Vocabulary, prove
 
 #: Entries of each of the two halves of a worker's memory of encoded units (about 100 MB each).
@@ -151,6 +151,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     memory: encoded units that a worker holds, in each of two halves; with remember=False it drops
     them at the end of each task. Both change the time and memory that it takes, not its rows.
     """
+    text_batches(docs.sparkSession)
     proof = prove(model)._replace(shortcut=frozenset())  # every unit goes through the agenda
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_corrected"] + ["ids", "decoded"] * keep_text

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_state
+from .common import text_batches, worker_state
 from .pieces import Proof, Vocabulary, prove
 
 #: Entries of a worker's memory of merged units (about 40 MB); it starts anew beyond that.
@@ -45,6 +45,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
     rows; an empty table gives no rows. Texts are never cut. Other columns are not read. Which
     strings are one token is proven here, once; a worker whose model file differs fails.
     """
+    text_batches(docs.sparkSession)
     proof = prove(model)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))

@@ -10,7 +10,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, trim, worker_state
+from .common import forget, text_batches, trim, worker_state
 
 #: Subsequences of three letters within SPAN characters; each gap costs a factor of DECAY.
 SPAN, DECAY = 6, 0.75
@@ -27,6 +27,8 @@ TRAIN_ROWS, TRAIN_CHARS = 6000, 40_000_000
 THRESHOLD = 0.3
 #: Entries of a worker's memory of words; it starts anew beyond that.
 MEMORY = 250_000
+#: Words that are compared at once.
+WORDS_AT_ONCE = 2048
 #: A word is also read without each of its letters in turn, at this share of the kernel value.
 DELETED = 0.97
 #: Landmarks of clean words that look most like the toxic ones.
@@ -137,9 +139,10 @@ class Kernel:
     turn, so a letter put into a short word costs little.
     """
 
-    def __init__(self, landmarks: list[str]):
+    def __init__(self, landmarks: list[str], memory: int = MEMORY):
         import numpy as np
 
+        self.memory = memory
         self.landmarks, self.alphabet = landmarks, Alphabet(landmarks)
         self.side = len(self.alphabet.known) + 1
         row, sub, value = features(landmarks, self.alphabet)
@@ -174,10 +177,10 @@ class Kernel:
     def learn(self, words: list[str]) -> None:
         import numpy as np
 
-        if len(self.near) + len(words) > MEMORY:
+        if len(self.near) + len(words) > self.memory:
             self.near.clear()
-        for low in range(0, len(words), 8192):
-            part = words[low : low + 8192]
+        for low in range(0, len(words), WORDS_AT_ONCE):
+            part = words[low : low + WORDS_AT_ONCE]
             rows, owner = [], []
             for i, w in enumerate(part):
                 for piece in pieces_of(w):
@@ -190,8 +193,8 @@ class Kernel:
             close = np.flatnonzero(k.max(axis=1, initial=0) >= NEAR)
             found = [(owner[at[i]], k[i]) for i in close]
             shorter = [(w[:j] + w[j + 1 :], owner[at[i]]) for i in close if k[i].max() < DELETED for w in [rows[at[i]]] if len(w) > 3 for j in range(len(w))]
-            for first in range(0, len(shorter), 8192):
-                some = shorter[first : first + 8192]
+            for first in range(0, len(shorter), WORDS_AT_ONCE):
+                some = shorter[first : first + WORDS_AT_ONCE]
                 at, k = self.values([w for w, _ in some])
                 found += [(some[j][1], DELETED * v) for j, v in zip(at.tolist(), k, strict=True) if v.max() >= NEAR]
             for i, v in found:
@@ -365,27 +368,29 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS,
     return [t for t, _ in rows_], [y for _, y in rows_]
 
 
-def scorer(model: dict):
+def scorer(model: dict, memory: int = MEMORY):
     """Function texts -> scores, for use on executors; the landmarks' kernel is kept in the worker."""
-    name = "kernel_" + hashlib.md5(" ".join(model["landmarks"]).encode()).hexdigest()
+    name = f"kernel_{memory}_" + hashlib.md5(" ".join(model["landmarks"]).encode()).hexdigest()
 
     def scores(texts: list[str]):
-        kernel = worker_state(name, lambda: Kernel(model["landmarks"])) if model["landmarks"] else None
+        kernel = worker_state(name, lambda: Kernel(model["landmarks"], memory)) if model["landmarks"] else None
         return score(model, texts, kernel)
 
     return scores
 
 
-def toxicity_filter(docs: DataFrame, known: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity_filter(docs: DataFrame, known: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, memory: int = MEMORY) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns; nothing is joined.
 
     The model is fitted on labelled rows of `known` as in toxicity_scores; without labels of
     both kinds nothing can be judged and every row stays. Null texts are scored as empty.
+    memory: words that a worker remembers; it changes time and memory, not rows.
     """
+    text_batches(docs.sparkSession)
     model = fit(*training_sample(known, labels))
     if not model["landmarks"]:
         return docs
-    scores = scorer(model)
+    scores = scorer(model, memory)
     at = docs.columns.index("text")
 
     def run(batches):
@@ -409,6 +414,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS,
     of both kinds every score is the smoothed share of toxic labels. A null id is not held out.
     Repeated rows are ordinary rows; an empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     scores = scorer(fit(*training_sample(docs, labels, rows)))
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -18,13 +18,14 @@ from twinreel.llm.entry import piece_model
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-#: Encoded units that a worker remembers, in each of two halves: stages share an executor's memory.
-UNITS = 150_000
+#: Encoded units that a worker remembers, in each of two halves, and words that are scored: stages
+#: share an executor's memory.
+UNITS, WORDS = 150_000, 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go; rows without an id are judged as well."""
-    return toxicity.toxicity_filter(docs, docs, read(spark, sf_dir, "labels"))
+    return toxicity.toxicity_filter(docs, docs, read(spark, sf_dir, "labels"), memory=WORDS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

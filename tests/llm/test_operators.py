@@ -405,6 +405,19 @@ def test_toxicity_tolerates_another_letter_in_short_words_of_any_script():
     assert min(say("ru", w) for w in ("идиот", "Идиот", "идижот", "дурщак", "д у р а к")) >= 0.3
 
 
+def test_toxicity_scores_do_not_depend_on_what_a_worker_remembers():
+    rng, clean = random.Random(11), "the and for with that from this are was have been more than".split()
+    words = ["".join(rng.choices("bcdfghlmnprst", k=7)) for _ in range(600)]
+    texts = [" ".join(rng.sample(words, 12) + clean + ["nitwit"] * (k % 3 == 0)) for k in range(300)]
+    model = toxicity.fit(texts, [int(k % 3 == 0) for k in range(300)])
+    whole = toxicity.score(model, texts, toxicity.Kernel(model["landmarks"]))
+    assert ((whole >= 0.3) == [k % 3 == 0 for k in range(300)]).all()
+    for memory in (0, 40, 200):
+        kernel = toxicity.Kernel(model["landmarks"], memory)
+        parts = [x for low in range(0, 300, 5) for x in toxicity.score(model, texts[low : low + 5], kernel)]
+        assert parts == pytest.approx(whole.tolist())
+
+
 def test_toxicity_kernel_equals_the_naive_one():
     from itertools import combinations
 

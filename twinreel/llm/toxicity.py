@@ -177,8 +177,6 @@ class Kernel:
     def learn(self, words: list[str]) -> None:
         import numpy as np
 
-        if len(self.near) + len(words) > self.memory:
-            self.near.clear()
         for low in range(0, len(words), WORDS_AT_ONCE):
             part = words[low : low + WORDS_AT_ONCE]
             rows, owner = [], []
@@ -201,17 +199,22 @@ class Kernel:
                 had, v = self.near[part[i]], np.where(v >= NEAR, v, 0)
                 self.near[part[i]] = v if had is None else np.maximum(had, v)
 
+    def remember(self, words: set[str]) -> None:
+        """Learn the words that are not known. Where they would be too many with the known ones,
+        memory starts anew with all of these words, known ones too."""
+        new = words - self.near.keys()
+        if len(self.near) + len(new) > self.memory:
+            self.near.clear()
+            new = words
+        self.learn(list(new))
+
     def pooled(self, texts: list[str]):
         """A row for each text: the best value of each landmark, and counts of near words."""
         import numpy as np
 
         cut = [words_of(t) for t in texts]
         out = np.zeros((len(texts), len(self.landmarks) + len(LEVELS)))
-        new = list({w for words in cut for w in words if w not in self.near})
-        if len(self.near) + len(new) > MEMORY:
-            self.near.clear()
-            new = list({w for words in cut for w in words})
-        self.learn(new)
+        self.remember({w for words in cut for w in words})
         for x, words in zip(out, cut, strict=True):
             hits = [h for h in map(self.near.get, words) if h is not None]
             if hits:
@@ -270,7 +273,7 @@ def distorted(texts: list[str], kernel: Kernel) -> list[str]:
     out, letters = [], [chr(c) for c in kernel.alphabet.known]
     for text in texts:
         words = words_of(text)
-        kernel.learn(list({w for w in words if w not in kernel.near}))
+        kernel.remember(set(words))
         for i, w in enumerate(words):
             near = kernel.near.get(w)
             if near is not None and near.max() > DELETED and len(w) > 3:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, line_dedup, mixing, ngram_join, piece_codec, quality, token_counts, topk, toxicity
+from . import exact_dedup, html_extract, lexical, line_dedup, merkle, mixing, ngram_join, piece_codec, quality, secrets, token_counts, topk, toxicity
 from .common import read
 
 
@@ -52,6 +52,18 @@ def op10_exact_top_k(spark, sf_dir):
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.tamper_check(read(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark, sf_dir):
+    return secrets.secrets(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return found
@@ -64,4 +76,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_dedup": exact_dedup.SQL,
         "op6_ngram_join": ngram_join.SQL,
         "op10_exact_top_k": topk.SQL,
+        "op11_lexical_search": lexical.SQL,
+        "op12_merkle_manifest": merkle.SQL,
     }

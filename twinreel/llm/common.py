@@ -59,12 +59,15 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{table}"
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet").option("path", path).saveAsTable(table)
     _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _NAMES[path] = table
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.table(table)
 
 
 _TABLES: dict[str, list[str]] = {}
+#: Names in the session's catalog by the tables' paths.
+_NAMES: dict[str, str] = {}
 
 
 def drop_stored(spark: SparkSession, since: int = 0) -> None:
@@ -73,6 +76,8 @@ def drop_stored(spark: SparkSession, since: int = 0) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     paths = _TABLES.get(spark.sparkContext.applicationId, [])
     for path in paths[since:]:
+        if path in _NAMES:
+            spark.sql(f"DROP TABLE IF EXISTS {_NAMES.pop(path)}")
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
     del paths[since:]
@@ -123,22 +128,46 @@ def forget() -> None:
 MARK_BITS, MARK_ROOM = 26, 8
 
 
+def free_names(columns: list[str], *stems: str) -> list[str]:
+    """Names for helper columns that no column has, in any case of letters: a stem, with as many
+    underscores as that takes."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def _bits_for(keys: DataFrame) -> int | None:
     """Size of the bitmap of `keys`; None where it would pass MARK_BITS: then every row moves."""
     bits = max(10, (keys.count() * MARK_ROOM * 2).bit_length() - 1)
     return bits if bits <= MARK_BITS else None
 
 
-def _with_mark(rows: DataFrame, keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """rows with tw_mark: false where the key is certainly not in `keys`. The broadcast side is a
-    bitmap in words of 64 bits. JVM only."""
+def _with_mark(rows: DataFrame, keys: DataFrame, key: str, bits: int, name: str) -> DataFrame:
+    """rows with the column `name`: false where the key is certainly not in `keys`. The broadcast
+    side is a bitmap in words of 64 bits. JVM only; helper columns have names that rows has not."""
+    at, word, marks = free_names([*rows.columns, name], "tw_place", "tw_word", "tw_marks")
     place = F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))
-    word = lambda df: df.withColumn("tw_place", place).withColumn("tw_word", F.shiftright("tw_place", 6).cast("int"))
-    bit = "shiftleft(1L, cast(tw_place & 63 AS int))"
-    marks = word(keys.select(key).filter(F.col(key).isNotNull())).groupBy("tw_word").agg(F.expr(f"bit_or({bit})").alias("tw_marks"))
-    found = word(rows).join(F.broadcast(marks), "tw_word", "left")
-    flag = F.coalesce(F.expr(f"(tw_marks & {bit}) <> 0"), F.lit(False)) & F.col(key).isNotNull()
-    return found.withColumn("tw_mark", flag).drop("tw_word", "tw_place", "tw_marks")
+    placed = lambda df: df.withColumn(at, place).withColumn(word, F.shiftright(at, 6).cast("int"))
+    bit = f"shiftleft(1L, cast(`{at}` & 63 AS int))"
+    bitmap = placed(keys.select(key).filter(F.col(key).isNotNull())).groupBy(word).agg(F.expr(f"bit_or({bit})").alias(marks))
+    found = placed(rows).join(F.broadcast(bitmap), word, "left")
+    flag = F.coalesce(F.expr(f"(`{marks}` & {bit}) <> 0"), F.lit(False)) & F.col(key).isNotNull()
+    return found.withColumn(name, flag).drop(word, at, marks)
+
+
+def parted(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose key may be in `keys`, and those whose key certainly is not (None where the
+    bitmap has no room for the keys: then all may)."""
+    bits = _bits_for(keys)
+    if bits is None:
+        return rows, None
+    (mark,) = free_names(rows.columns, "tw_mark")
+    both = _with_mark(rows, keys, key, bits, mark)
+    return both.filter(F.col(mark)).drop(mark), both.filter(~F.col(mark)).drop(mark)
 
 
 def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -147,32 +176,48 @@ def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     Rows let through in error go in the join that has to follow; with more keys than the bitmap
     has room for, all rows with a key are let through. Null keys go.
     """
-    bits = _bits_for(keys)
-    if bits is None:
-        return rows.filter(F.col(key).isNotNull())
-    return _with_mark(rows, keys, key, bits).filter("tw_mark").drop("tw_mark")
+    return parted(rows, keys, key)[0].filter(F.col(key).isNotNull())
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """The rows whose key is not in `gone`; only rows that may go move to the anti-join (all, with
     more keys than the bitmap has room for)."""
-    bits = _bits_for(gone)
-    if bits is None:
-        return rows.join(gone.select(key).hint("merge"), key, "left_anti").select(rows.columns)
-    found = _with_mark(rows, gone, key, bits)
-    left = found.filter("tw_mark").drop("tw_mark").join(gone.select(key).hint("merge"), key, "left_anti")
-    return found.filter("NOT tw_mark").drop("tw_mark").select(rows.columns).union(left.select(rows.columns))
+    may, rest = parted(rows, gone, key)
+    left = may.join(gone.select(key).hint("merge"), key, "left_anti").select(rows.columns)
+    return left if rest is None else rest.select(rows.columns).union(left)
 
 
 def marked_left_join(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """rows left-joined with `found`, which has a row for a key at most; only rows whose key may
-    be in `found` move (all, with more keys than the bitmap has room for)."""
-    bits = _bits_for(found)
-    if bits is None:
-        return rows.join(found.hint("merge"), key, "left")
-    both = _with_mark(rows, found, key, bits)
-    hit = both.filter("tw_mark").drop("tw_mark").join(found.hint("merge"), key, "left")
-    return hit.unionByName(both.filter("NOT tw_mark").drop("tw_mark"), allowMissingColumns=True)
+    """rows left-joined with `found`, which has a row for a key at most and no other column of
+    rows; only rows whose key may be in `found` move (all, with more keys than the bitmap has
+    room for)."""
+    may, rest = parted(rows, found, key)
+    hit = may.join(found.hint("merge"), key, "left")
+    return hit if rest is None else hit.unionByName(rest, allowMissingColumns=True)
+
+
+#: A key with more rows is dealt out to SALTS tasks in salted_join.
+HOT_ROWS, SALTS = 10_000, 16
+
+
+def salted_join(rows: DataFrame, found: DataFrame, key: list[str], n: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with `found`, which has a row for a key at most, and in `n` how many rows have it.
+
+    Rows of hot keys go to one of SALTS places by a hash of the columns `spread`, and the one row
+    of `found` to all of them. A bitmap of the hot keys, at most one for HOT_ROWS rows, tells both
+    sides which they are; where it errs both sides err alike.
+    """
+    mark, salt = free_names([*rows.columns, *found.columns], "tw_hot", "tw_salt")
+    (one,) = free_names([*rows.columns, *found.columns], "tw_key")
+    whole = lambda df: df.withColumn(one, F.xxhash64(*key))
+    rows, found = whole(rows), whole(found)
+    hot = found.filter(F.col(n) > HOT_ROWS).select(one)
+    bits = _bits_for(hot)
+    mark_ = lambda df: df.withColumn(mark, F.lit(True)) if bits is None else _with_mark(df, hot, one, bits, mark)
+    dealt = mark_(rows).withColumn(salt, F.when(F.col(mark), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    every = F.when(F.col(mark), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    copied = mark_(found).withColumn(salt, F.explode(every))
+    return dealt.drop(mark, one).join(copied.drop(mark, one), [*key, salt], how).drop(salt)
 
 
 def trim() -> None:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import marked, stored
+from .common import marked, salted_join, stored
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stay: str = "max", hash_bytes: int = 16, full_bytes: int = 32) -> DataFrame:
@@ -41,7 +41,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own = doubtful.groupBy("h", "t").agg(F.count("*").alias("n"), best("doc_id").alias("keep"))
         by_text = doubtful.groupBy("doc_id", "sha", "h", "t").agg(F.count("*").alias("copies")).join(own, ["h", "t"]).select("doc_id", "sha", "copies", "n", "keep")
         rows, classes = (x.join(unclear, ["h", "full"], "left_anti") for x in (rows, classes))
-    out = rows.join(classes.withColumn("grouped", F.lit(True)), ["h", "full"], "left").select(
+    out = salted_join(rows, classes.withColumn("grouped", F.lit(True)), ["h", "full"], "n", ["doc_id"], "left").select(
         "doc_id", "sha", "copies", F.coalesce("n", F.lit(1)).alias("n"), F.when(F.col("grouped"), F.col("keep")).otherwise(F.col("doc_id")).alias("keep")
     )
     if unclear.limit(1).count():

@@ -8,13 +8,14 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, text_batches
 
 # HTML's element kinds and the words that name parts of a page.
-TOKEN = re.compile(r"<(?:!--|([/]?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[!?][^>]*>)")
+# A tag that is not closed ends before the next one, a declaration that is not with the page: what follows is read once.
+TOKEN = re.compile(r"<(?:!--|([/]?)([a-zA-Z][^\s<>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)(?:>|(?=<))|[!?][^>]*(?:>|\Z))")
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp".split())
+RAW = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in "script style textarea title xmp".split()}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output q ruby rt rp s "
     "samp small span strike strong sub sup time tt u var wbr".split()
@@ -70,13 +71,17 @@ class Page:
 
     dropped: elements that are no article by their tag, role or style (with all inside them);
     doubtful: those that classes name as something else, which judge() then decides by content.
+    Work and memory grow with the page's length, however deep or broken its markup: an element
+    holds its own step of its path, and the depths at which a tag is open are kept by tag.
     """
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.path, self.dropped, self.doubtful = [-1], ["#"], [""], [False], [False]
+        self.parent, self.tag, self.step, self.dropped, self.doubtful = [-1], ["#"], [""], [False], [False]
+        self.main = [False]
         self.all_blocks: list[tuple[int, str]] = []
         self.words: list[set] = [set()]
         self._stack, self._buffer, self._skipped = [0], [], []
+        self._depths: dict[str, list[int]] = {}
         self._read(html)
         self.judge()
         self.blocks = [(at, text) for at, text in self.all_blocks if not self.dropped[at]]
@@ -107,18 +112,27 @@ class Page:
         given = names.get("class", "").split()
         classes = sorted({re.sub(r"\d+", "0", c.lower()) for c in given})
         words = {w for c in [*classes, names.get("id", "").lower()] for w in re.split(r"[^a-z]+", c) if w}
-        bad = tag in DROPPED_TAGS or self._hidden(names) or tag == "header" and not self._within_main()
+        within = self.main[at]
+        bad = tag in DROPPED_TAGS or self._hidden(names) or tag == "header" and not within
         self.parent.append(at)
         self.tag.append(tag)
         self.words.append(words)
+        self.main.append(within or tag in ("article", "main"))
         self.dropped.append(self.dropped[at] or bad)
-        named = "header" in words and words.isdisjoint(("article", "post", "entry", "content")) and not self._within_main()
+        named = "header" in words and words.isdisjoint(("article", "post", "entry", "content")) and not within
         self.doubtful.append(tag not in ("html", "body") and (named or suspect([*given, names.get("id", "")])))
-        self.path.append(f"{self.path[at]}>{'.'.join([tag, *classes])}")
+        self.step.append(".".join([tag, *classes]).replace(">", " "))
+        self._depths.setdefault(tag, []).append(len(self._stack))
         self._stack.append(len(self.tag) - 1)
 
-    def _within_main(self) -> bool:
-        return any(self.tag[i] in ("article", "main") for i in self._stack)
+    def _close(self, depth: int) -> None:
+        for i in reversed(self._stack[depth:]):
+            self._depths[self.tag[i]].pop()
+        del self._stack[depth:]
+
+    def _deepest(self, tags) -> int:
+        """Depth of the deepest open element of these tags; 0 for none."""
+        return max((self._depths[t][-1] for t in tags if self._depths.get(t)), default=0)
 
     def judge(self) -> None:
         """Drop the doubtful elements that their content does not clear.
@@ -173,28 +187,20 @@ class Page:
             if self.dropped[self.parent[i]]:
                 self.dropped[i] = True
             elif self.doubtful[i] and i not in cleared:
-                within = self.parent[i]
-                self.dropped[i] = not (within in cleared and self._below(place, i) and size[i] > MOST * size[place])
-
-    def _below(self, place: int, i: int) -> bool:
-        while i > place:
-            i = self.parent[i]
-        return i == place
+                # of what holds something cleared, only the place itself is above such a part
+                self.dropped[i] = not (self.parent[i] == place and size[i] > MOST * size[place])
 
     def _close_implied(self, tag: str) -> None:
-        ends, stops = ({"p"}, {"td", "th", "button", "table"}) if tag in ENDS_P else SIBLINGS.get(tag, (None, None))
-        if ends is None:
-            return
-        for depth in range(len(self._stack) - 1, 0, -1):
-            name = self.tag[self._stack[depth]]
-            if name in ends:
-                del self._stack[depth:]
-                return
-            if name in stops or (ends == {"p"} and name not in INLINE):
-                return
+        if tag in ENDS_P:  # a paragraph is open only at the top: inline elements are not on the stack
+            if self.tag[self._stack[-1]] == "p":
+                self._close(len(self._stack) - 1)
+        elif tag in SIBLINGS:
+            ends, stops = SIBLINGS[tag]
+            if (depth := self._deepest(ends)) > self._deepest(stops - ends):
+                self._close(depth)
 
     def _read(self, html: str) -> None:
-        at, lower = 0, None
+        at = 0
         while m := TOKEN.search(html, at):
             if m.start() > at:
                 self._text(html[at : m.start()])
@@ -215,11 +221,8 @@ class Page:
                 if inline:  # inline elements are open only while their text is skipped
                     if self._skipped and self._skipped[-1] == tag:
                         self._skipped.pop()
-                else:
-                    for depth in range(len(self._stack) - 1, 0, -1):
-                        if self.tag[self._stack[depth]] == tag:
-                            del self._stack[depth:]
-                            break
+                elif self._depths.get(tag):
+                    self._close(self._depths[tag][-1])
                 continue
             if inline and tag not in VOID:
                 if self._skipped:
@@ -231,11 +234,11 @@ class Page:
                         self._skipped.append(tag)
                         self._buffer.append(" ")
             if tag in RAW:
-                lower = lower or html.lower()
-                end = lower.find(f"</{tag}", at) if len(lower) == len(html) else html.find(f"</{tag}", at)
-                if tag in ("xmp",):
-                    self._text(html[at : len(html) if end < 0 else end])
-                at = len(html) if end < 0 else end
+                found = RAW[tag].search(html, at)
+                end = found.start() if found else len(html)
+                if tag == "xmp":
+                    self._text(html[at:end])
+                at = end
                 continue
             if inline or tag in VOID:
                 continue
@@ -264,13 +267,20 @@ class Page:
         named = lambda i: self.tag[i] in ("article", "main") or self.words[i] & MAIN_WORDS
         places = [i for i in range(1, len(self.tag)) if score[i] and self.tag[i] in CONTAINERS]
         best = max(places, key=lambda i: (score[i] * (MAIN_BONUS if named(i) else 1), -i), default=None)
-        return "" if best is None else self.path[best]
+        steps = []
+        while best:
+            steps.append(self.step[best])
+            best = self.parent[best]
+        return "".join(f">{x}" for x in reversed(steps))
 
     def text_at(self, path: str) -> str | None:
         """The blocks inside the elements at a path; None if the page has no such element."""
-        inside = [False] * len(self.tag)
+        steps = path.split(">")[1:]
+        inside, along = [False] * len(self.tag), [0] * len(self.tag)  # along: steps of the path that lead here, or -1
         for i in range(1, len(self.tag)):
-            inside[i] = inside[self.parent[i]] or (self.path[i] == path and not self.dropped[i])
+            done = along[self.parent[i]]
+            along[i] = done + 1 if 0 <= done < len(steps) and self.step[i] == steps[done] else -1
+            inside[i] = inside[self.parent[i]] or (along[i] == len(steps) and not self.dropped[i])
         if not any(inside):
             return None
         return "\n".join(text for at, text in self.blocks if inside[at])
@@ -295,6 +305,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     winners (a row for each host) are broadcast only below the planner's size limit; beyond it
     pages and winners meet under the host and one of SALTS numbers.
     """
+    text_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     base = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import marked, marked_left_join, stored
+from .common import marked, marked_left_join, salted_join, stored
 
 #: A boundary follows a line when the first hex digit of its rolling hash is below this.
 BOUNDARY_BELOW = "5"
@@ -113,9 +113,23 @@ def _is_first() -> Column:
 
 
 def _repeated(rows: DataFrame, name: str) -> DataFrame:
-    """h, first of the hashes that occur more than once."""
+    """h, first, n of the hashes that occur more than once."""
     counted = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
-    return stored(counted.filter("n > 1").select("h", "first"), name)
+    return stored(counted.filter("n > 1").select("h", "first", "n"), name)
+
+
+def _kept_lines(lines: Column, removed: Column) -> Column:
+    """The lines outside the spans (start, lines). The places of lines that go are sorted once and
+    become one mark for each line, so a text of many lines and spans costs no more than its sort."""
+    spans = F.transform(removed, lambda r: F.sequence(r["start"], r["start"] + r["lines"] - 1))
+    gone = F.array_sort(F.array_distinct(F.flatten(spans)))
+
+    def marks(places: Column) -> Column:
+        free = lambda x, k: x - F.coalesce(F.get(places, k - 1), F.lit(-1)) - 1
+        return F.flatten(F.transform(places, lambda x, k: F.concat(F.array_repeat(F.lit(False), free(x, k)), F.array(F.lit(True)))))
+
+    bound = F.get(F.transform(F.array(gone), marks), 0)  # one-element transforms: each is computed once
+    return F.get(F.transform(F.array(bound), lambda m: F.filter(lines, lambda _, i: ~F.coalesce(F.get(m, i), F.lit(False)))), 0)
 
 
 def line_dedup(
@@ -151,12 +165,12 @@ def line_dedup(
     # chunks that the bitmap lets through in error meet no repeated hash
     found = stored(marked(chunks.select("doc_id", "sha", "start", "lines", "h", "chunk"), repeats, "h"), "line-chunks")
     same, later = _by_bytes(found, "line-bytes")
-    places = found.select("h", "doc_id", "sha", "start", "lines").join(repeats, "h").filter(~_is_first())
+    places = salted_join(found.select("h", "doc_id", "sha", "start", "lines"), repeats, ["h"], "n", ["doc_id", "start"]).filter(~_is_first())
     gone = places.join(same, "h", "left_semi").select("doc_id", "sha", "start", "lines")
     gone = gone.union(places.join(later, ["doc_id", "sha", "start"], "left_semi").select("doc_id", "sha", "start", "lines"))
 
     pairs = _repeated(windows.select("h", "doc_id", "start"), "line-pairs")
-    at = marked(windows, pairs, "h").join(pairs, "h").select("doc_id", "sha", "start", "h", "words", "next_words", _is_first().alias("stays")).distinct()
+    at = salted_join(marked(windows, pairs, "h"), pairs, ["h"], "n", ["doc_id", "start"]).select("doc_id", "sha", "start", "h", "words", "next_words", _is_first().alias("stays")).distinct()
     number = F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy("start"))
     runs = (
         at.withColumn("run", F.col("start") - number).groupBy("doc_id", "sha", "run")
@@ -172,15 +186,16 @@ def line_dedup(
     removed = gone.union(grown.withColumn("lines", F.lit(2))).groupBy("doc_id", "sha").agg(F.collect_set(F.struct("start", "lines")).alias("removed"))
     key = lambda: F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.hex("sha")).alias("tw_key")
     joined = marked_left_join(keyed.select("doc_id", "text", key()), stored(removed.select(key(), "removed"), "line-removed"), "tw_key")
-    inside = lambda i: F.exists("removed", lambda r: (i >= r["start"]) & (i < r["start"] + r["lines"]))
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~inside(i))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    return joined.select(
+    kept = F.when(F.col("removed").isNotNull(), _kept_lines(lines, F.col("removed")))
+    # used twice below, computed once here: as one expression in both places it is evaluated wrongly
+    done = joined.select("doc_id", "text", n_lines.alias("n_lines"), kept.alias("kept"))
+    return done.select(
         "doc_id",
-        F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        n_lines.cast("long").alias("n_lines"),
-        F.when(F.col("removed").isNull(), 0).otherwise(n_lines - F.size(kept)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join("kept", "\n"), "text").alias("text"),
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.coalesce(F.col("n_lines") - F.size("kept"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -64,7 +64,9 @@ def mix(
     and repeated rows are ordinary rows. Empty input gives no rows. A column row_col that numbers
     the rows is carried through.
     Hot sources: positions in a source are sums over hash buckets (16**bucket_digits a source)
-    and then inside a bucket, so no task holds a whole source.
+    and then inside a bucket, so no task holds a whole source. The hash is of id and text, so rows
+    of one id (or none) spread as well; rows that repeat both are one row until the end, when
+    their copies take the places one after the other (with row_col each is a row of its own).
     """
     row = [row_col] if row_col else []
     base = docs.select(
@@ -72,9 +74,16 @@ def mix(
         F.col("doc_id").cast("long").alias("doc_id"),
         (size if size is not None else n_words(F.col("text"))).alias("size"),
         F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))).alias("key"),
-    ).withColumn("draw", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+        F.md5(
+            F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))
+        ).alias("draw"),
+    )
+    if row_col:
+        base = base.withColumn("n", F.lit(1).cast("long"))
+    else:
+        base = base.groupBy("doc_id", "size", "key", "draw").agg(F.count("*").alias("n"))
     base = stored(base.withColumn("bucket", F.substring("draw", 1, bucket_digits)), "mix-sizes")
-    buckets = base.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size"))
+    buckets = base.groupBy("key", "bucket").agg(F.sum(F.col("size") * F.col("n")).alias("bucket_size"))
     targets = source_targets(buckets.groupBy("key").agg(F.sum("bucket_size").alias("source_size")), weights, max_epochs)
     ahead = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = stored(
@@ -86,9 +95,10 @@ def mix(
     inside = Window.partitionBy("key", "bucket").orderBy("draw", "doc_id", "size", *row).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    placed = base.withColumn("upto", F.sum("size").over(inside)).join(starts, ["key", "bucket"])
+    placed = base.withColumn("upto", F.sum(F.col("size") * F.col("n")).over(inside)).join(starts, ["key", "bucket"])
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    middle = F.col("start") + F.col("upto") - F.col("size") / 2
+    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    middle = F.col("start") + F.col("upto") - F.col("size") * (F.col("n") - F.col("copy")) - F.col("size") / 2
     return (
         placed.withColumn("times", F.floor(ratio))
         .withColumn("extra", middle < F.col("target") - F.col("times") * F.col("source_size"))
@@ -108,7 +118,7 @@ WITH base AS (
   SELECT doc_id,
          len(list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda w: w <> ''))::BIGINT AS size,
          CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS draw
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS draw
   FROM documents),
 src AS (SELECT key, sum(size)::BIGINT AS source_size FROM base GROUP BY key),
 ranked AS (

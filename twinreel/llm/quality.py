@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, marked, stored, trim
+from .common import bucketed, marked, settled, stored, text_batches, trim
 
 #: n-grams are of ORDER code points of CODE_BITS; documents are scored in blocks of BLOCK_CHARS.
 ORDER, CODE_BITS, BLOCK_CHARS = 4, 21, 16_000_000
@@ -13,16 +13,21 @@ ORDER, CODE_BITS, BLOCK_CHARS = 4, 21, 16_000_000
 SLICE = 500_000
 #: Perplexities are compared in thousandths of their logarithm.
 STEP = 1000
-#: Documents outside these quantiles of the trusted texts of their language go.
-LOW, HIGH = 0.003, 0.997
+#: Documents outside these quantiles of the trusted texts of their language go; the upper bound also
+#: leaves MARGIN times the distance from the median to it, as a small share has seen few texts.
+LOW, HIGH, MARGIN = 0.003, 0.99, 0.25
+#: One in HELD trusted documents, by a hash of the id, gives the upper threshold and trains nothing.
+HELD = 4
+#: A language with fewer held trusted documents goes by the threshold of all languages.
+FEW = 8
 
 
-def slices(texts: list[str]):
+def slices(texts: list[str], skip: list[bool] | None = None):
     """Lists of (number of the text, its part with the ORDER - 1 code points before it, or blanks),
-    of about SLICE code points each."""
+    of about SLICE code points each. skip: texts that begin with the code points before them."""
     out, size = [], 0
     for i, text in enumerate(texts):
-        text = "\0" * (ORDER - 1) + text
+        text = text if skip and skip[i] else "\0" * (ORDER - 1) + text
         for low in range(0, max(1, len(text) - ORDER + 1), SLICE):
             part = text[low : low + SLICE + ORDER - 1]
             out.append((i, part))
@@ -139,29 +144,42 @@ def gram_costs(asked: DataFrame, model: tuple[list, list, float]) -> DataFrame:
 def gram_scores(base: DataFrame, model: tuple[list, list, float]) -> DataFrame:
     """doc_id, lang, n_symbols, cost for each row of base(doc_id, lang, text).
 
-    Documents stay where they are read, in blocks of bounded size. A block's distinct n-grams are joined with the model
-    and come back to it as one table, so that rows move for n-grams of blocks, not of documents.
+    Documents stay where they are read, in blocks of BLOCK_CHARS; a longer text is cut into parts,
+    each with the code points before it, and the parts' costs are added up. A block's distinct
+    n-grams are joined with the model and come back to it as one table, so that rows move for
+    n-grams of blocks, not of documents, and no row holds more than the table of one block.
     """
+    text_batches(base.sparkSession)
+    whole = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text")
+    names = ["row", "doc_id", "lang", "skip", "text"]
 
     def pack(batches):
-        import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        for batch in batches:
-            of = np.cumsum(pc.utf8_length(batch.column(2)).to_numpy(zero_copy_only=False)) // BLOCK_CHARS
-            ends = np.r_[np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)]
-            starts = np.r_[0, ends[:-1]]
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                if b > a:
-                    part = pa.RecordBatch.from_arrays([batch.column(x) for x in range(3)], ["doc_id", "lang", "text"]).slice(a, b - a)
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                        writer.write_batch(part)
-                    yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows"])
+        rows, size = [], 0
 
+        def packed():
+            part = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()), strict=True)], names)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row, doc_id, lang, text = (batch.column(c)[k].as_py() for c in range(4))
+                for low in range(0, max(1, len(text)), BLOCK_CHARS):
+                    part = text[max(0, low - ORDER + 1) : low + BLOCK_CHARS]
+                    if rows and size + len(part) > BLOCK_CHARS:
+                        yield packed()
+                        rows, size = [], 0
+                    rows.append((row, doc_id, lang, low > 0, part))
+                    size += len(part)
+        if rows:
+            yield packed()
+
+    packed = whole.mapInArrow(pack, "rows binary")
     # blocks are stored once, compressed and dealt out by their number: only the tables move to them
-    packed = base.mapInArrow(pack, "rows binary")
     rows = bucketed(packed.select(F.monotonically_increasing_id().alias("block"), "rows"), "block", "quality-blocks")
 
     def ask(batches):
@@ -170,10 +188,11 @@ def gram_scores(base: DataFrame, model: tuple[list, list, float]) -> DataFrame:
 
         for batch in batches:
             for k in range(batch.num_rows):
-                text = pa.ipc.open_stream(batch.column("rows")[k].as_buffer()).read_next_batch().column("text")
+                here = pa.ipc.open_stream(batch.column("rows")[k].as_buffer()).read_next_batch()
+                text, skip = here.column("text"), here.column("skip").to_pylist()
                 keys = np.zeros((0, 2), np.int64)
                 for low in range(0, len(text), 1024):
-                    for some in slices(text.slice(low, 1024).to_pylist()):
+                    for some in slices(text.slice(low, 1024).to_pylist(), skip[low : low + 1024]):
                         keys = unique_rows(np.concatenate([keys, np.stack(code_grams([x for _, x in some])[:2], 1)]))
                 block = pa.array(np.full(len(keys), batch.column("block")[k].as_py(), np.int64))
                 yield pa.RecordBatch.from_arrays([block, pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["block", "before", "code"])
@@ -194,23 +213,24 @@ def gram_scores(base: DataFrame, model: tuple[list, list, float]) -> DataFrame:
                 contexts = before[starts]
                 place = (np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(before)])) << CODE_BITS) | code
                 here = pa.ipc.open_stream(batch.column("rows")[k].as_buffer()).read_next_batch()
-                text = here.column("text")
+                text, skip = here.column("text"), here.column("skip").to_pylist()
                 total, size = np.zeros(len(text)), np.zeros(len(text), np.int64)
                 for low in range(0, len(text), 1024):
-                    for some in slices(text.slice(low, 1024).to_pylist()):
+                    for some in slices(text.slice(low, 1024).to_pylist(), skip[low : low + 1024]):
                         b, c, of, sizes = code_grams([x for _, x in some], places=True)
                         each = cost[np.searchsorted(place, (np.searchsorted(contexts, b) << CODE_BITS) | c)][of] if len(b) else np.zeros(0)
                         at = np.array([low + i for i, _ in some])
                         np.add.at(size, at, sizes)
                         np.add.at(total, np.repeat(at, sizes), each)
-                mean = pa.array(np.where(size > 0, total / np.maximum(size, 1), 0.0), pa.float64(), mask=size == 0)
-                yield pa.RecordBatch.from_arrays([here.column("doc_id"), here.column("lang"), pa.array(size, pa.int64()), mean], ["doc_id", "lang", "n_symbols", "cost"])
+                yield pa.RecordBatch.from_arrays([*(here.column(c) for c in names[:3]), pa.array(size, pa.int64()), pa.array(total)], [*names[:3], "n_symbols", "total"])
         trim()
 
     asked = stored(rows.mapInArrow(ask, "block long, before long, code long"), "quality-asked")
     costs = stored(gram_costs(asked.select("before", "code").distinct(), model), "quality-costs")
     tables = asked.join(costs, ["before", "code"]).groupBy("block").agg(F.collect_list(F.struct("before", "code", "cost")).alias("table"))
-    return rows.join(tables.hint("merge"), "block", "left").select("rows", "table").mapInArrow(score, "doc_id long, lang string, n_symbols long, cost double")
+    parts = rows.join(tables.hint("merge"), "block", "left").select("rows", "table").mapInArrow(score, "row long, doc_id long, lang string, n_symbols long, total double")
+    added = parts.groupBy("row", "doc_id", "lang").agg(F.sum("n_symbols").alias("n_symbols"), F.sum("total").alias("total"))
+    return added.select("doc_id", "lang", "n_symbols", F.when(F.col("n_symbols") > 0, F.col("total") / F.col("n_symbols")).alias("cost"))
 
 
 def unique_rows(keys):
@@ -221,38 +241,60 @@ def unique_rows(keys):
     return keys[np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)][: len(keys)]]
 
 
+def held(doc_id):
+    return F.pmod(F.xxhash64(doc_id), F.lit(HELD)) == 0
+
+
 def quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, kept for each row of docs.
 
-    Trusted are the documents that labels.quality marks 1; all of them train the model and give
-    the thresholds: a document is kept if the logarithm of its perplexity lies between the low
-    and the high quantile of trusted documents of its language (of all trusted ones where the
-    language has none). Null and empty texts have perplexity null and are not kept. Without
-    trusted text nothing can be judged and every text that is not empty is kept. Null languages
-    are a language; null ids are never trusted; repeated rows are ordinary rows.
+    Trusted are the documents that labels.quality marks 1. One in HELD of them trains nothing and
+    gives the upper threshold, as the model knows the others better than any text it has not seen:
+    the high quantile of their log-perplexities and MARGIN of its distance from their median. The
+    lower threshold is the low quantile of all trusted ones. Both are those of a document's
+    language; a language with fewer than FEW held documents goes by those of all. A document
+    between them is kept. Null and empty texts have perplexity null and are not kept. Without trusted text nothing can
+    be judged and every text that is not empty is kept; where none is held, trained ones stand in.
+    Null languages are a language; null ids are never trusted; repeated rows are ordinary rows.
     """
+    return settled(docs.sparkSession, lambda: _quality(docs, labels, low, high), "quality-result")
+
+
+def limits(trusted: DataFrame, low: float, high: float) -> DataFrame:
+    """lang (null: all), n, least, most of trusted(lang, cost, held): thresholds in STEPs.
+
+    Costs are counted in bins before anything moves, so quantiles cost a row for each bin.
+    """
+    one = F.col("held").cast("int")
+    bins = trusted.groupBy("lang", F.floor(F.col("cost") * STEP).alias("bin")).agg(F.count("*").alias("n"), F.sum(one).alias("held"))
+    both = bins.unionByName(bins.groupBy(F.lit(None).cast("string").alias("lang"), "bin").agg(F.sum("n").alias("n"), F.sum("held").alias("held")))
+    of = Window.partitionBy("lang")
+    both = both.withColumn("judges", F.when(F.sum("held").over(of) > 0, F.col("held")).otherwise(F.col("n")))
+    upto = of.orderBy("bin")
+    share = lambda c: F.sum(c).over(upto) / F.sum(c).over(of)
+    first = lambda c, q: F.min(F.when(F.col(c) >= q, F.col("bin")))
+    found = both.withColumn("share", share("n")).withColumn("judged", share("judges")).groupBy("lang").agg(
+        F.sum("judges").alias("n"), first("share", low).alias("least"), first("judged", 0.5).alias("middle"), first("judged", high).alias("top")
+    )
+    return found.select("lang", "n", "least", (F.col("top") + F.ceil((F.col("top") - F.col("middle")) * MARGIN)).alias("most"))
+
+
+def _quality(docs: DataFrame, labels: DataFrame, low: float, high: float) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    train = good.filter(~held(F.col("doc_id")))
     # trusted texts do not move: those that the bitmap lets through in error are counted and taken off
-    may = marked(base, good, "doc_id")
-    wrong = stored(may.select("doc_id").join(good.hint("merge"), "doc_id", "left_anti").distinct(), "quality-wrong")
+    may = marked(base, train, "doc_id")
+    wrong = stored(may.select("doc_id").join(train.hint("merge"), "doc_id", "left_anti").distinct(), "quality-wrong")
     off = marked(base, wrong, "doc_id").join(wrong.hint("merge"), "doc_id", "left_semi")
     model = gram_tables(gram_counts(may.select("text", F.lit(1).alias("sign")).union(off.select("text", F.lit(-1)))))
     scored = stored(gram_scores(base, model), "quality-scores")
-    trusted = scored.filter("cost IS NOT NULL").join(good, "doc_id", "left_semi")
-    bins = trusted.groupBy("lang", F.floor(F.col("cost") * STEP).alias("bin")).agg(F.count("*").alias("n"))
-    both = bins.unionByName(bins.groupBy(F.lit(None).cast("string").alias("lang"), "bin").agg(F.sum("n").alias("n")))
-    upto = Window.partitionBy("lang").orderBy("bin")
-    share = F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy("lang"))
-    limits = both.withColumn("share", share).groupBy("lang").agg(
-        F.min(F.when(F.col("share") >= low, F.col("bin"))).alias("least"), F.min(F.when(F.col("share") >= high, F.col("bin"))).alias("most")
-    )
-    limits = stored(limits, "quality-limits")
-    overall = limits.filter("lang IS NULL").select(F.col("least").alias("any_least"), F.col("most").alias("any_most"))
-    fallback = overall.agg(F.max("any_least").alias("any_least"), F.max("any_most").alias("any_most")).first()
-    own = limits.filter("lang IS NOT NULL")
+    trusted = scored.filter("cost IS NOT NULL").join(good, "doc_id", "left_semi").withColumn("held", held(F.col("doc_id")))
+    bounds = stored(limits(trusted, low, high), "quality-limits")
+    fallback = bounds.filter("lang IS NULL").agg(F.max("least").alias("least"), F.max("most").alias("most")).first()
+    own = bounds.filter(F.col("lang").isNotNull() & (F.col("n") >= FEW)).select("lang", "least", "most")
     bin_ = F.floor(F.col("cost") * STEP)
-    least, most = F.coalesce("least", F.lit(fallback["any_least"])), F.coalesce("most", F.lit(fallback["any_most"]))
+    least, most = F.coalesce("least", F.lit(fallback["least"])), F.coalesce("most", F.lit(fallback["most"]))
     inside = F.coalesce((bin_ >= least) & (bin_ <= most), F.lit(True))
     return scored.join(own, "lang", "left").select(
         "doc_id", "lang", "n_symbols", F.exp("cost").alias("perplexity"), (F.col("cost").isNotNull() & inside).alias("kept")

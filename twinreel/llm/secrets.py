@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _bits_for, _with_mark, marked, marked_left_join, shared_dir, stored, text_batches, trim
+from .common import marked, marked_left_join, parted, shared_dir, stored, text_batches, trim
 
 # The formats of secrets.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -128,12 +128,12 @@ def update(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text
         known = texts.select("blob").distinct().join(todo.select("blob"), "blob", "left_anti") if runs else None
         special = todo.filter(~alone).select("blob")
         special = stored(special if known is None else special.union(known), "secrets-special")
-        bits = _bits_for(special)
-        both = texts.withColumn("tw_mark", F.lit(True)) if bits is None else _with_mark(texts, special, "blob", bits)
-        here = both.filter("NOT tw_mark").select("blob", "text", F.lit(None).cast("array<string>").alias("rules"))
-        moved = marked(both.filter("tw_mark").select("blob", "text"), todo, "blob").groupBy("blob").agg(F.first("text").alias("text"))
+        may, alone_here = parted(texts, special, "blob")
+        moved = marked(may, todo, "blob").groupBy("blob").agg(F.first("text").alias("text"))
         moved = moved.join(todo.select("blob", "rules").hint("merge"), "blob").select("blob", "text", "rules")
-        scan(here.union(moved), rules).write.parquet(part)
+        if alone_here is not None:
+            moved = moved.union(alone_here.select("blob", "text", F.lit(None).cast("array<string>")))
+        scan(moved, rules).write.parquet(part)
     return spark.createDataFrame([], LEDGER) if nothing else spark.read.schema(LEDGER).parquet(part)
 
 

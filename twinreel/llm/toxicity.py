@@ -16,12 +16,24 @@ from .common import forget, text_batches, trim, worker_state
 SPAN, DECAY = 6, 0.75
 #: Kernel values below NEAR count as 0; words longer than WINDOW letters are read in windows.
 NEAR, WINDOW = 0.4, 24
+#: Stands before a word, so that subsequences know its beginning.
+START = "^"
 LANDMARKS = 72
 #: Least log-likelihood ratio of a landmark.
-EVIDENCE = 9
+EVIDENCE = 8
+#: Landmarks are words, or beginnings of words of so many characters (START counts).
+STEMS = range(5, 9)
+#: A text speaks for a landmark if it has it, or has it at these shares of its words, in two words.
+SHARES = (0.0, 0.006, 0.012)
 #: Two landmarks are no more alike than this.
 ALIKE = 0.75
-LEVELS = (0.55, 0.75, 0.9)
+#: Power of the kernel of two words in the kernel of two texts; words of a text are counted by PARTS.
+POWER, PARTS = 4, 100
+#: Level at which a text's map saturates.
+FULL = 4.0
+RIDGE = 0.1
+#: Margins that scores are calibrated with come from models of the other folds.
+FOLDS = 3
 #: Bounds of the training sample: rows and characters (of whole texts).
 TRAIN_ROWS, TRAIN_CHARS = 6000, 40_000_000
 THRESHOLD = 0.3
@@ -31,8 +43,6 @@ MEMORY = 250_000
 WORDS_AT_ONCE = 2048
 #: A word is also read without each of its letters in turn, at this share of the kernel value.
 DELETED = 0.97
-#: Landmarks of clean words that look most like the toxic ones.
-CLEAN_LANDMARKS = 8
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_]\s+){2,}[^\W\d_](?!\S)")
 _HINT = re.compile(r"\s[^\W\d_]\s+[^\W\d_]\s")
 _OTHER = re.compile(r"[^\w\s]+|_+")
@@ -52,13 +62,14 @@ def words_of(text: str) -> list[str]:
 
 
 def pieces_of(word: str) -> list[str]:
-    """The word, or half-overlapping windows of a long one; nothing for less than three letters
-    (no subsequence of three) and for numbers."""
+    """The word after START, or half-overlapping windows of a long one; nothing for less than three
+    letters and for numbers."""
     if len(word) < 3 or word.isdigit():
         return []
+    whole = START + word
     if len(word) <= WINDOW:
-        return [word]
-    return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+        return [whole]
+    return [whole[i : i + WINDOW] for i in range(0, len(whole) - WINDOW // 2, WINDOW // 2)]
 
 
 class Alphabet:
@@ -190,7 +201,7 @@ class Kernel:
             at, k = self.values(rows)
             close = np.flatnonzero(k.max(axis=1, initial=0) >= NEAR)
             found = [(owner[at[i]], k[i]) for i in close]
-            shorter = [(w[:j] + w[j + 1 :], owner[at[i]]) for i in close if k[i].max() < DELETED for w in [rows[at[i]]] if len(w) > 3 for j in range(len(w))]
+            shorter = [(w[:j] + w[j + 1 :], owner[at[i]]) for i in close if k[i].max() < DELETED for w in [rows[at[i]]] if len(w) > 4 for j in range(1, len(w))]
             for first in range(0, len(shorter), WORDS_AT_ONCE):
                 some = shorter[first : first + WORDS_AT_ONCE]
                 at, k = self.values([w for w, _ in some])
@@ -208,61 +219,63 @@ class Kernel:
             new = words
         self.learn(list(new))
 
-    def pooled(self, texts: list[str]):
-        """A row for each text: the best value of each landmark, and counts of near words."""
+    def summed(self, texts: list[str]):
+        """A row for each text: the kernel of the text to each landmark, which is the mean over its
+        words of the kernel of words to the power of POWER, times PARTS."""
         import numpy as np
 
         cut = [words_of(t) for t in texts]
-        out = np.zeros((len(texts), len(self.landmarks) + len(LEVELS)))
+        out = np.zeros((len(texts), len(self.landmarks)))
         self.remember({w for words in cut for w in words})
         for x, words in zip(out, cut, strict=True):
             hits = [h for h in map(self.near.get, words) if h is not None]
             if hits:
-                k = np.stack(hits)
-                x[: k.shape[1]] = k.max(axis=0) ** 2
-                best = k.max(axis=1)
-                x[k.shape[1] :] = [np.log1p((best >= level).sum()) for level in LEVELS]
+                x[:] = (np.stack(hits).astype(np.float64) ** POWER).sum(axis=0) * PARTS / len(words)
         return out
 
 
 def choose_landmarks(texts: list[str], toxic: list[int]) -> list[str]:
-    """Words whose texts are toxic far more often than the rest, no two too alike; then the clean
-    words that are most like them."""
+    """Words and beginnings of words that toxic texts have far more often than the rest, or have a
+    far greater share of, no two too alike. Only what two toxic texts have is counted in the rest."""
     import numpy as np
 
-    seen = {0: Counter(), 1: Counter()}
-    for text, y in dict(zip(texts, toxic, strict=True)).items():  # copies of a text are one text
-        seen[y].update({w for w in words_of(text) if 3 <= len(w) <= WINDOW and not w.isdigit()})
     n1 = sum(toxic)
     n0 = len(toxic) - n1
 
-    def strength(w):  # signed log-likelihood ratio of the word against the label
-        a, b = seen[1][w], seen[0][w]
+    def parts(text):  # what a text speaks for: (word or stem, which of SHARES)
+        words = Counter(w for w in words_of(text) if 3 <= len(w) <= WINDOW and not w.isdigit())
+        often, kinds = Counter(), Counter()
+        for w, n in words.items():
+            for x in {(START + w)[:k] for k in STEMS if k <= len(w)} | {START + w}:
+                often[x] += n
+                kinds[x] += 1
+        size = words.total()
+        return [(x, k) for x, n in often.items() for k, share in enumerate(SHARES) if not share or (n >= share * size and kinds[x] > 1)]
+
+    single = dict(zip(texts, toxic, strict=True))  # copies of a text are one text
+    bad = Counter(x for t, y in single.items() if y for x in parts(t))
+    bad = Counter({x: n for x, n in bad.items() if n > 1})
+    clean = Counter(x for t, y in single.items() if not y for x in parts(t) if x in bad)
+
+    def strength(x):  # signed log-likelihood ratio against the label
+        a, b = bad[x], clean[x]
         p = (a + b) / (n0 + n1)
-        g = sum(x * np.log(x / (n * p)) for x, n in ((a, n1), (b, n0)) if x)
+        g = sum(v * np.log(v / (n * p)) for v, n in ((a, n1), (b, n0)) if v)
         return g if a * n0 > b * n1 else -g
 
-    ranked = sorted(((strength(w), w) for w in seen[1] if seen[1][w] >= 2), key=lambda x: (-x[0], x[1]))
+    strongest: dict[str, float] = {}
+    for x in bad:
+        strongest[x[0]] = max(strongest.get(x[0], 0.0), strength(x))
+    ranked = sorted(((g, x) for x, g in strongest.items() if g > EVIDENCE), key=lambda v: (-v[0], -len(v[1]), v[1]))
     chosen: list[str] = []
-
-    def take(pool, limit):
-        for w in pool:
-            if len(chosen) >= limit:
-                return
-            row, sub, value = features([w, *chosen], Alphabet([w, *chosen]))
-            mine = dict(zip(sub[row == 0].tolist(), value[row == 0], strict=True))
-            alike = np.bincount(row, [mine.get(s, 0) * v for s, v in zip(sub.tolist(), value, strict=True)], minlength=len(chosen) + 1)[1:]
-            if not len(alike) or alike.max() < ALIKE:
-                chosen.append(w)
-
-    take((w for g, w in ranked[: LANDMARKS * 8] if g > EVIDENCE), LANDMARKS)
-    if chosen:
-        clean = sorted(w for w in seen[0] if seen[1][w] * n0 <= seen[0][w] * n1)
-        kernel, like = Kernel(chosen), []
-        for low in range(0, len(clean), 8192):
-            at, k = kernel.values(clean[low : low + 8192])
-            like += [(-float(v.max()), clean[low + i]) for i, v in zip(at.tolist(), k, strict=True) if v.max() >= NEAR]
-        take((w for _, w in sorted(like)), len(chosen) + CLEAN_LANDMARKS)
+    for _, w in ranked[: LANDMARKS * 12]:
+        row, sub, value = features([w, *chosen], Alphabet([w, *chosen]))
+        mine = dict(zip(sub[row == 0].tolist(), value[row == 0], strict=True))
+        alike = np.bincount(row, [mine.get(s, 0) * v for s, v in zip(sub.tolist(), value, strict=True)], minlength=len(chosen) + 1)[1:]
+        if not len(alike) or alike.max() < ALIKE:
+            chosen.append(w)
+        if len(chosen) == LANDMARKS:
+            break
     return chosen
 
 
@@ -270,7 +283,7 @@ def distorted(texts: list[str], kernel: Kernel) -> list[str]:
     """The texts with a letter inserted in each word that is a landmark (the place and the
     letter, another one of the landmarks' alphabet, follow from the word and its position), so
     that the fit tolerates such words."""
-    out, letters = [], [chr(c) for c in kernel.alphabet.known]
+    out, letters = [], [chr(c) for c in kernel.alphabet.known if chr(c) != START]
     for text in texts:
         words = words_of(text)
         kernel.remember(set(words))
@@ -283,46 +296,74 @@ def distorted(texts: list[str], kernel: Kernel) -> list[str]:
     return out
 
 
-def fit(texts: list[str], toxic: list[int]) -> dict:
-    """A model: landmarks, Nyström weights, and the scale that turns margins into scores."""
+def nystrom_root(kernel: Kernel):
+    """The inverse square root of the kernel of the landmarks, as texts of one word."""
     import numpy as np
 
-    base = (sum(toxic) + 1) / (len(toxic) + 2)
-    landmarks = choose_landmarks(texts, toxic) if len(set(toxic)) == 2 else []
-    if not landmarks:
-        return {"landmarks": [], "base": base}
-    kernel = Kernel(landmarks)
-    extra = distorted([t for t, y in zip(texts, toxic, strict=True) if y], kernel)
-    texts, toxic = texts + extra, toxic + [1] * len(extra)
-    x = np.vstack([kernel.pooled(texts[i : i + 256]) for i in range(0, len(texts), 256)])
-    m = len(landmarks)
-    row, sub, value = features(landmarks, kernel.alphabet)
-    dense = np.zeros((m, kernel.side**3))
+    row, sub, value = features(kernel.landmarks, kernel.alphabet)
+    dense = np.zeros((len(kernel.landmarks), kernel.side**3))
     dense[row, sub] = value
-    gram, vectors = np.linalg.eigh(dense @ dense.T)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(gram, 1e-2))) @ vectors.T
-    z = np.hstack([x[:, :m] @ root, x[:, m:], np.ones((len(x), 1))])
-    y = np.where(np.array(toxic) == 1, 1.0, -1.0)
+    gram = dense @ dense.T
+    size, vectors = np.linalg.eigh(np.where(gram >= NEAR, gram, 0) ** POWER)
+    return vectors @ np.diag(1 / np.sqrt(np.maximum(size, 1e-2))) @ vectors.T
+
+
+def mapped(summed, root):
+    """Nyström map of texts, scaled so that it saturates, and a constant. The scale depends on each
+    text alone, so the product of two maps is a kernel still."""
+    import numpy as np
+
+    z = summed @ root
+    return np.hstack([z / np.sqrt(FULL + (z**2).sum(axis=1, keepdims=True)), np.ones((len(z), 1))])
+
+
+def svm(z, y):
+    """Weights of least squared hinge loss: Newton steps over the texts inside the margin."""
+    import numpy as np
+
     w = np.zeros(z.shape[1])
-    ridge = np.full(len(w), 1.0)
+    ridge = np.full(len(w), RIDGE)
     ridge[-1] = 1e-3
-    for _ in range(50):  # squared hinge: Newton steps over the texts inside the margin
+    for _ in range(50):
         active = y * (z @ w) < 1
         step = np.linalg.solve(np.diag(ridge) + z[active].T @ z[active], z[active].T @ y[active])
         if np.abs(step - w).max() < 1e-9:
             break
         w = step
-    own = len(texts) - len(extra)  # scores are those of the sample as it is
-    margin, t = (z @ w)[:own], ((y + 1) / 2)[:own]
-    ab = np.zeros(2)
+    return w
+
+
+def fit(texts: list[str], toxic: list[int]) -> dict:
+    """A model: landmarks, Nyström root and weights, and the scale that turns margins into scores,
+    which comes from the margins of texts under models that have not seen them."""
+    import numpy as np
+
+    base = (sum(toxic) + 1) / (len(toxic) + 2)
+    landmarks = choose_landmarks(texts, toxic) if len(set(toxic)) == 2 else []
+    if not landmarks:
+        return {"landmarks": [], "base": base}
+    kernel, own = Kernel(landmarks), len(texts)
+    source = np.array([*range(own), *(i for i, y in enumerate(toxic) if y)])
+    every = texts + distorted([t for t, y in zip(texts, toxic, strict=True) if y], kernel)
+    x = np.vstack([kernel.summed(every[i : i + 256]) for i in range(0, len(every), 256)])
+    root = nystrom_root(kernel)
+    z, y = mapped(x, root), np.where(np.array(toxic)[source] == 1, 1.0, -1.0)
+    margin, fold = np.zeros(own), np.zeros(own, np.int64)
+    for label in (-1, 1):  # each fold has its share of either label
+        at = np.flatnonzero(y[:own] == label)
+        fold[at] = np.arange(len(at)) % FOLDS
+    for k in range(FOLDS):
+        margin[fold == k] = z[:own][fold == k] @ svm(z[fold[source] != k], y[fold[source] != k])
+    n1 = sum(toxic)
+    t, ab = np.where(y[:own] == 1, (n1 + 1) / (n1 + 2), 1 / (own - n1 + 2)), np.zeros(2)
     for _ in range(50):  # margins to probabilities
-        g = np.c_[margin, np.ones(len(margin))]
+        g = np.c_[margin, np.ones(own)]
         p = 1 / (1 + np.exp(-np.clip(g @ ab, -30, 30)))
-        ab = ab + np.linalg.solve(g.T @ (g * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), g.T @ (t - p) - 1e-6 * ab)
-    del x, z, kernel, extra
+        ab = ab + np.linalg.solve(g.T @ (g * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), g.T @ (t - p) - 1e-3 * ab)
+    weights = svm(z, y)
+    del x, z, kernel, every
     trim()
-    linear = np.r_[root @ w[:m], w[m:]]  # root is symmetric: weights of the pooled values themselves
-    return {"landmarks": landmarks, "weights": linear.tolist(), "scale": ab.tolist(), "base": base}
+    return {"landmarks": landmarks, "root": root.tolist(), "weights": weights.tolist(), "scale": ab.tolist(), "base": base}
 
 
 def score(model: dict, texts: list[str], kernel: Kernel | None):
@@ -330,8 +371,7 @@ def score(model: dict, texts: list[str], kernel: Kernel | None):
 
     if not model["landmarks"]:
         return np.full(len(texts), model["base"])
-    x, w = kernel.pooled(texts), np.array(model["weights"])
-    margin = x @ w[:-1] + w[-1]
+    margin = mapped(kernel.summed(texts), np.array(model["root"])) @ np.array(model["weights"])
     return 1 / (1 + np.exp(-np.clip(margin * model["scale"][0] + model["scale"][1], -30, 30)))
 
 
@@ -341,8 +381,9 @@ def held_out(doc_id):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[list[str], list[int]]:
-    """At most `rows` labelled texts outside the held-out part, in the order of a hash of the id,
-    and of these as many as have at most `chars` characters together.
+    """At most `rows` labelled texts outside the held-out part, in the order of a hash of the id; a
+    text that would bring them beyond `chars` characters together is left out, shorter ones after
+    it are not.
 
     Which rows they are is decided by ids and lengths; only their texts go to the driver.
     """
@@ -358,9 +399,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS,
     lengths = found.select("draw", "doc_id", size.alias("n"), F.xxhash64("text").alias("sum")).orderBy("draw", "doc_id", "n", "sum").limit(rows).collect()
     total, wanted = 0, []
     for r in lengths:
+        if total + r["n"] > chars:
+            continue
         total += r["n"]
-        if total > chars:
-            break
         wanted.append((r["doc_id"], r["sum"]))
     if not wanted:
         return [], []

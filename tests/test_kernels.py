@@ -1,3 +1,4 @@
+import lists
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -115,12 +116,12 @@ def test_duplicates_equal_a_program_over_lists(spark):
             labels[a] = labels[b] = min(labels[a], labels[b])
     alike, want = (lambda x, y: (min(x, y), max(x, y)) in like), {}
     for component in set(labels.values()):
-        found, _ = G.guarded_groups([p for p in pairs if labels[p[0]] == component], alike)
+        found, _ = lists.guarded_groups([p for p in pairs if labels[p[0]] == component], alike)
         groups = {}
         for m, (g, *_x) in found.items():
             groups.setdefault(g, []).append(m)
         for members in groups.values():
-            for part in [sorted(members)] if len(members) < 3 else G.pruned(members, alike):
+            for part in [sorted(members)] if len(members) < 3 else lists.pruned(members, alike):
                 want |= {m: (min(part), round(found[m][1], 9), found[m][2]) for m in part}
     got = {r.idx: (r.group_id, round(r.difference, 9), r.flags) for r in compare.find_duplicates(catalog, s).collect()}
     assert got == want and len({g for g, *_x in want.values()}) > 3 and any(f for *_x, f in want.values())
@@ -237,13 +238,66 @@ def test_partial_clips_equal_brute_force(spark):
 
 def test_grouping():
     alike = lambda x, y: {x, y} != {2, 3}
-    found, blocked = G.guarded_groups([(1, 2, 0.1, 0), (1, 4, 0.2, 1), (3, 5, 0.1, 0), (4, 5, 0.3, 0)], alike)
+    found, blocked = lists.guarded_groups([(1, 2, 0.1, 0), (1, 4, 0.2, 1), (3, 5, 0.1, 0), (4, 5, 0.3, 0)], alike)
     assert blocked == 0 and {m: v[0] for m, v in found.items()} == {1: 1, 2: 1, 4: 1, 3: 1, 5: 1}
     chain = {(1, 2), (2, 3), (3, 4), (4, 5)}
-    parts = G.pruned([1, 2, 3, 4, 5], lambda x, y: (min(x, y), max(x, y)) in chain)
+    parts = lists.pruned([1, 2, 3, 4, 5], lambda x, y: (min(x, y), max(x, y)) in chain)
     assert all(len(p) >= 2 for p in parts) and len({m for p in parts for m in p}) == sum(map(len, parts))
 
 
+def listed_groups(pairs, close):
+    """{member: (group id, difference, flags)} by the list programs, component by component."""
+    alike = lambda x, y: (min(x, y), max(x, y)) in close
+    root = {n: n for p in pairs for n in p[:2]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b, *_ in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {}
+    for c in {find(n) for n in root}:
+        found, _ = lists.guarded_groups(sorted(p for p in pairs if find(p[0]) == c), alike)
+        of = {}
+        for m, (g, *_f) in found.items():
+            of.setdefault(g, []).append(m)
+        for members in of.values():
+            for part in [sorted(members)] if len(members) < 3 else lists.pruned(members, alike):
+                want |= {m: (min(part), *found[m][1:]) for m in part}
+    return want
+
+
+@pytest.mark.parametrize(("seed", "share"), [(1, 0.5), (2, 0.95)])
+def test_groups_in_rows_and_in_rounds_equal_the_list_programs(spark, monkeypatch, seed, share):
+    rng = np.random.default_rng(seed)
+    edges = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 24, (60, 2)) if a != b} | {(100 + i, 101 + i) for i in range(9)} | {(200, 201)})
+    pairs = [(a, b, round(float(rng.random()), 3), int(rng.integers(0, 2))) for a, b in edges]
+    close = {(a, b) for a in range(0, 130) for b in range(a + 1, 130) if rng.random() < share} | {(a, b) for a, b in edges if rng.random() < share}
+    want = listed_groups(pairs, close)
+    frame = spark.createDataFrame(pairs, "a long, b long, difference double, flags int")
+    similar = spark.createDataFrame(sorted(close), "a long, b long")
+    got = lambda n: {r.member: (r.group_id, r.difference, r.flags) for r in G.duplicate_groups(frame, similar, links_at_once=n).collect()}
+    assert got(1000) == want
+    monkeypatch.setattr(G, "LEAST_SHARE", 0.04 if seed == 1 else 0.3)
+    assert got(10) == want
+
+
+def test_replay_and_pruning_of_a_large_component():
+    import time
+
+    began, n = time.time(), 100_000
+    chain = [(i, i + 1, 0.1, 0, i, i + 1, False, False) for i in range(n)]
+    label, facts = G.replay(chain, {(i, i + 1) for i in range(n)})
+    assert label[0] == label[1] == 0 and label[2] == 2 and len(facts) == n + 1 - (n + 1) % 2
+    star = [(0, i, 0.1, 0, 0, i, False, False) for i in range(1, n)]
+    label, _ = G.replay(star, {(0, i) for i in range(1, n)})
+    assert set(label.values()) == {0}
+    assert G.pruned(list(range(n)), [(0, i) for i in range(1, n)]) == [[0, n - 2, n - 1]]
+    assert time.time() - began < 30
+
+
 def test_components_and_groups_do_not_depend_on_order(spark):
     rng = np.random.default_rng(4)
     edges = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (50, 2)) if a != b})

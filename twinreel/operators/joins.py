@@ -119,12 +119,32 @@ def hamming_join(rows: DataFrame, bits: int, id_col: str = "idx", hash_col: str
 TILE_BLOCKS = 100_000
 
 
+#: Bytes of spectra that are held at once; longer items go plane by plane.
+SPECTRA_BYTES = 64_000_000
+PLANES = (14, 16, 20, 24, 28, 32)
+
+
+def planes_for(similarity: float, blocks: int) -> int:
+    """How many of the 32 bit planes to compare first, for clips of `blocks` blocks or more.
+
+    The planes left out can add a block's worth of equal bits each, no more. With as many planes
+    as here, fingerprints that have nothing in common stay below what is asked for even so, by six
+    standard deviations of a sum of coin flips.
+    """
+    asked = 64 * similarity - 32  # equal less differing bits of a block
+    for k in PLANES[:-1]:
+        if (asked - (32 - k)) * blocks >= 6 * (k * blocks) ** 0.5:
+            return k
+    return PLANES[-1]
+
+
 def clip_search(s: Settings):
     """Batches of tiles (sources, clips) to source, clip, similarity, at.
 
-    The differing bits at all places of all pairs of a tile come from one product of spectra: the
-    32 bits of a block are planes of +1 and -1, whose correlation counts equal less differing
-    bits. The sums are whole numbers far below what float64 keeps, so rounding makes them exact.
+    The equal less differing bits at all places of all pairs of a tile come from one product of
+    spectra: the bits of a block are planes of +1 and -1, and their correlations add up. Some
+    planes bound the sum of all from above, in single precision with room for its error; where
+    the bound reaches what is asked for the bits of that place are counted.
     """
     ratio_least, similarity = s.partial_min_ratio, s.partial_similarity
 
@@ -132,17 +152,45 @@ def clip_search(s: Settings):
         import numpy as np
         import pyarrow as pa
 
+        bits = np.arange(32, dtype=np.uint32)[:, None]
+
         def rows(side):
-            found = [(x["idx"], x["duration"], np.array(x["fp"], dtype=np.int64).astype(np.uint32)) for x in side]
+            """Items (idx, duration, blocks) by rising length, without a copy into lists."""
+            fp = side.field("fp")
+            ends = fp.offsets.to_numpy()
+            blocks = fp.values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint32)
+            ids, lasts = side.field("idx").to_numpy(zero_copy_only=False), side.field("duration").to_numpy(zero_copy_only=False)
+            found = [(int(ids[k]), float(lasts[k]), blocks[ends[k] - ends[0] : ends[k + 1] - ends[0]]) for k in range(len(side))]
             return sorted(found, key=lambda x: (len(x[2]), x[0]))
 
-        def spectra(group, length, conjugate):
-            planes = np.zeros((len(group), 32, length))
+        def spectra(group, length, planes, conjugate):
+            """Frequencies x items x planes."""
+            some = np.zeros((len(group), len(planes), length), np.float32)
             for k, (_, _, fp) in enumerate(group):
-                planes[k, :, : len(fp)] = ((fp[None, :] >> np.arange(32, dtype=np.uint32)[:, None]) & 1) * 2.0 - 1.0
-            f = np.fft.rfft(planes, axis=2)
+                some[k, :, : len(fp)] = ((fp[None, :] >> bits[planes]) & 1) * np.float32(2) - 1
+            f = np.fft.rfft(some, axis=2)
             return np.ascontiguousarray((np.conj(f) if conjugate else f).transpose(2, 0, 1))
 
+        def correlated(sources, clips, length, k):
+            """Places x sources x clips: the sum of the correlations of the first k planes."""
+            step = k if 8 * length * k * max(len(sources), len(clips)) <= SPECTRA_BYTES else 1
+            total = 0
+            for low in range(0, k, step):
+                planes = list(range(low, min(k, low + step)))
+                total = total + spectra(sources, length, planes, False) @ spectra(clips, length, planes, True).transpose(0, 2, 1)
+            return np.fft.irfft(total, length, axis=0)
+
+        def best_place(source, clip, bounds, least):
+            """(differing bits, place) of the best of the places whose bound reaches `least`."""
+            places = np.flatnonzero(bounds >= least)
+            best = (32 * len(clip) + 1, -1)
+            for low in range(0, len(places), step := max(1, 1_000_000 // len(clip))):
+                some = places[low : low + step]
+                apart = np.bitwise_count(source[some[:, None] + np.arange(len(clip))] ^ clip).sum(axis=1, dtype=np.int64)
+                at = int(apart.argmin())
+                best = min(best, (int(apart[at]), int(some[at])))
+            return best
+
         def tile(sources, clips):
             at_once = lambda length: max(1, min(96, 2**21 // length // 8))
             start = 0
@@ -154,30 +202,31 @@ def clip_search(s: Settings):
                 group, start = sources[start:stop], stop
                 least, most = min(x[1] for x in group), max(x[1] for x in group)
                 fit = [c for c in clips if len(c[2]) < len(group[-1][2]) and c[1] / least >= ratio_least and c[1] / most < 0.95]
-                of = spectra(group, length, False) if fit else None
+                ids_s, d_s, n_s = (np.array([f(x) for x in group])[:, None] for f in (lambda x: x[0], lambda x: x[1], lambda x: len(x[2])))
                 for at in range(0, len(fit), at_once(length)):
                     part = fit[at : at + at_once(length)]
-                    same = np.rint(np.fft.irfft(of @ spectra(part, length, True).transpose(0, 2, 1), length, axis=0))
-                    ids_s, d_s, n_s = (np.array([f(x) for x in group])[:, None] for f in (lambda x: x[0], lambda x: x[1], lambda x: len(x[2])))
                     ids_c, d_c, n_c = (np.array([f(x) for x in part])[None, :] for f in (lambda x: x[0], lambda x: x[1], lambda x: len(x[2])))
+                    ratio = d_c / d_s
+                    met = (ids_s != ids_c) & (ratio >= ratio_least) & (ratio < 0.95) & (n_c < n_s)
+                    if not met.any():
+                        continue
+                    k = planes_for(similarity, len(part[0][2]))
+                    same = correlated(group, part, length, k)
                     same[np.arange(length)[:, None, None] > (n_s - n_c)[None]] = -np.inf
-                    best = same.argmax(axis=0)
-                    top = np.take_along_axis(same, best[None], 0)[0]
-                    with np.errstate(invalid="ignore"):
-                        bits = (n_c * 32 - top) / 2
                     budget = np.trunc((np.float32(1) - np.float32(similarity)) * (n_c * 32).astype(np.float32))
-                    ratio = d_c / d_s
-                    ok = (ids_s != ids_c) & (ratio >= ratio_least) & (ratio < 0.95) & (n_c < n_s) & (bits <= budget)
-                    i, j = np.nonzero(ok)
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids_s[i, 0], pa.int64()), pa.array(ids_c[0, j], pa.int64()), pa.array(1 - bits[i, j] / (n_c[0, j] * 32)), pa.array(best[i, j], pa.int32())],
-                            ["source", "clip", "similarity", "at"],
-                        )
+                    asked = 32 * n_c - 2 * budget - (32 - k) * n_c - (2 + 1e-4 * 32 * n_c)
+                    found = []
+                    for i, j in np.argwhere(met & (same.max(axis=0) >= asked)).tolist():
+                        apart, place = best_place(group[i][2], part[j][2], same[: len(group[i][2]) - len(part[j][2]) + 1, i, j], asked[0, j])
+                        if apart <= budget[0, j]:
+                            found.append((group[i][0], part[j][0], 1 - apart / (32 * len(part[j][2])), place))
+                    if found:
+                        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], ["source", "clip", "similarity", "at"])
 
         for batch in batches:
             for k in range(batch.num_rows):
-                yield from tile(rows(batch.column("sources")[k].as_py()), rows(batch.column("clips")[k].as_py()))
+                yield from tile(rows(batch.column("sources")[k].values), rows(batch.column("clips")[k].values))
 
     return search
 
@@ -188,21 +237,24 @@ def partial_clips(items: DataFrame, s: Settings) -> DataFrame:
     items: idx (whole numbers), duration, fp (32-bit blocks as longs). Sources are at least a
     second, clips from partial_min_ratio up to below 0.95 of them and shorter in blocks.
     Candidates meet on logarithmic duration buckets, all of them, in tiles of bounded size; the
-    place is the first of least difference. The work grows with the square of a bucket: at a
-    similarity near that of chance no equal part of two fingerprints can be asked for.
+    place is the first of least difference. The work grows with the square of a bucket: no block
+    of two similar fingerprints need be equal, or nearly so, so no key brings all of them
+    together; half of the bit planes settle most pairs at the default similarity.
     """
     import math
 
     usable = items.filter(
         F.col("idx").isNotNull() & (F.size("fp") >= 2) & ~K.is_silent(F.col("fp")) & ~F.exists("fp", lambda x: x.isNull()) & (F.col("duration") >= 1)
-    ).select(F.col("idx").cast("long").alias("idx"), "duration", "fp", F.floor(F.log2("duration")).alias("bucket"))
+    ).select(F.col("idx").cast("long").alias("idx"), F.col("duration").cast("double").alias("duration"), "fp", F.floor(F.log2("duration")).alias("bucket"))
     reach = math.ceil(math.log2(1 / s.partial_min_ratio))
     parts = usable.groupBy("bucket").agg(F.ceil(F.sum(F.size("fp")) / TILE_BLOCKS).cast("int").alias("parts"))
     dealt = usable.join(F.broadcast(parts), "bucket").withColumn("part", F.pmod(F.xxhash64("idx"), F.col("parts")))
     tiles = dealt.groupBy("bucket", "part").agg(F.collect_list(F.struct("idx", "duration", "fp")).alias("rows"))
     source = tiles.select(F.explode(F.sequence(F.col("bucket") - reach, F.col("bucket"))).alias("bucket"), F.col("rows").alias("sources"))
     clip = tiles.select("bucket", F.col("rows").alias("clips"))
-    met = source.join(clip, "bucket").repartition(128)
+    # pairs of tiles are dealt out evenly: to a few for each task that the session runs at once
+    tasks = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * items.sparkSession.sparkContext.defaultParallelism)
+    met = source.join(clip, "bucket").repartition(tasks)
     found = met.select("sources", "clips").mapInArrow(clip_search(s), "source long, clip long, similarity double, at int")
     return found.select(*(F.col(c).cast(items.schema["idx"].dataType) for c in ("source", "clip")), "similarity", "at")
 

@@ -80,6 +80,49 @@ def test_hamming_join_is_exact(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize(("options", "crowded"), [({"compare_flipped": True}, 2000), ({"ignore_black_pixels": True}, 9), ({"use_phash": True, "percent": 95.0}, 4)])
+def test_candidates_hold_every_similar_pair(spark, monkeypatch, options, crowded):
+    """Pairs of all rows against candidates by pivots, stripes, parts of hashes and tiles of crowded keys."""
+    from twinreel.operators import compare
+
+    monkeypatch.setattr(compare, "CROWDED", crowded)
+    s = Settings(**{"percent": 96.0} | options)
+    rng, rows = np.random.default_rng(17), []
+    bases = [rng.integers(0, 256, (8, 8)) for _ in range(25)] + [np.full((8, 8), v) for v in (0, 255, 40)]
+    for k in range(140):
+        x = np.clip(bases[k % len(bases)] + rng.integers(-9, 10, (8, 8)), 0, 255).astype(np.uint8)
+        x = x[:, ::-1] if rng.random() < 0.3 else x
+        h = int(rng.integers(-(2**62), 2**62)) if k % 4 else 77 ^ (1 << int(rng.integers(0, 60))) ^ (1 << int(rng.integers(0, 60)))
+        rows.append((k, k % 3 == 0, 100.0 if k % 2 else float(rng.integers(90, 130)), f"/x/{k % 4}", k, 1, k, h, 1, x.tobytes()))
+    frame = spark.createDataFrame(rows, "idx long, is_image boolean, duration double, folder string, file_size long, dev long, ino long, phash long, n_frames int, frames binary")
+    met = [(r.a, r.b) for r in compare.candidate_pairs(frame, s).collect()]
+    assert len(met) == len(set(met))
+    got = {(r.a, r.b): (round(r.difference, 9), r.flags) for r in compare.similar_pairs(frame, s).collect()}
+
+    def apart(x, y):
+        keep = (x > K.BLACK) & (y > K.BLACK) if s.ignore_black_pixels else np.ones(x.shape, bool)
+        return float(np.abs(x.astype(int) - y.astype(int))[keep].mean() / 256) if keep.any() else 9.0
+
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] >= b[0] or a[1] != b[1] or not (a[1] or abs(a[2] - b[2]) <= 0.2 * min(a[2], b[2])):
+                continue
+            if s.use_phash and not a[1]:
+                n = bin((a[7] ^ b[7]) & (2**64 - 1)).count("1")
+                if n <= s.phash_bits:
+                    want[a[0], b[0]] = (round(n / 64, 9), 0)
+                continue
+            x, y = (np.frombuffer(r[9], np.uint8).reshape(8, 8) for r in (a, b))
+            plain, turned = apart(x, y), apart(x[:, ::-1], y) if s.compare_flipped else 9.0
+            if min(plain, turned) <= s.gray_limit:
+                flip = turned <= s.gray_limit and (plain > s.gray_limit or turned < plain)
+                want[a[0], b[0]] = (round(turned if flip else plain, 9), int(flip))
+    assert got == want and len(want) > 20
+    if not s.ignore_black_pixels:  # candidates are near the number of results, far from all pairs
+        assert len(met) <= 2 * len(want) + 20
+
+
 def test_duplicates_equal_a_program_over_lists(spark):
     """find_duplicates against pairs of all entries, groups and splits replayed in order."""
     from twinreel.operators import compare

@@ -82,62 +82,111 @@ def frame_differences(s: Settings):
     return run
 
 
-def similar_pairs(rows: DataFrame, s: Settings, within: str | None = None, gates: bool = True) -> DataFrame:
-    """a, b, difference, flags: pairs a < b of snapshot rows that the similarity predicate holds for.
-
-    Images meet images and videos videos, whose durations must be near; the folder gate and the
-    hard-link test apply (not with gates=False, which compares what shares the column `within`).
-    Candidates come from an equi-join: duration buckets, and bands of the mean brightness, as two
-    frames differ on average by no less than their means do. Left-out pixels have no such bound,
-    nor have hashes: then durations (and folders, in one folder only) alone deal candidates out.
+#: Stripes of rows of pixels whose mean brightness bounds the difference of frames from below.
+STRIPES = 8
+#: Rows under one candidate key that one tile holds; a key with more is split into tiles.
+CROWDED = 2_000
+
+
+def stripe_means(batches):
+    """mapInArrow: (idx, n_frames, frames) -> idx, means: of each of STRIPES equal parts of the
+    frames, in bytes. Mirrored frames have the same ones, as parts are of whole rows of pixels;
+    where rows do not divide so, each part stands for the whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for n, f in zip(batch.column("n_frames").to_pylist(), batch.column("frames").to_pylist(), strict=True):
+            x = np.frombuffer(f, np.uint8)
+            whole = len(x) and n * int(round((len(x) / n) ** 0.5)) % STRIPES == 0
+            out.append(x.reshape(STRIPES, -1).mean(axis=1).tolist() if whole else [float(x.mean())] * STRIPES if len(x) else None)
+        yield pa.RecordBatch.from_arrays([batch.column("idx"), pa.array(out, pa.list_(pa.float64()))], ["idx", "means"])
+
+
+def candidate_pairs(rows: DataFrame, s: Settings, within: str | None = None, gates: bool = True) -> DataFrame:
+    """a, b, is_image, bits: pairs a < b that may be similar; bits for videos compared by hashes.
+
+    Only ids and facts meet, no frames. Frames are points of a space with the mean difference of
+    bytes as its metric, and no pair is farther apart there than its distances to a fixed frame
+    are: all black, and black above and white below, give a grid of two dimensions, and the means
+    of stripes a sum that bounds the difference once more. Videos in hash mode meet under a
+    duration and one of as many parts of the hash as may differ, and one more; images keep the
+    grid. Left-out pixels have no such bound: durations and folders alone deal those out. A
+    crowded key is split into tiles, so that no task meets all of it.
     """
-    bright = not (s.use_phash or s.ignore_black_pixels or s.ignore_white_pixels)
+    apart = not (s.ignore_black_pixels or s.ignore_white_pixels)
     own, probes = joins.duration_buckets(s, F.col("duration"))
-    image = F.col("is_image")
-    d_own = F.when(image | F.lit(not gates), F.lit(0).cast("long")).otherwise(own)
-    d_probe = F.when(image | F.lit(not gates), F.array(F.lit(0).cast("long"))).otherwise(probes)
-    rows = rows.withColumn("mean_", mean_byte(F.col("frames")) / 256)
-    band = F.floor(F.col("mean_") / F.lit(max(s.gray_limit * 1.000001, 1e-4))) if bright else F.lit(0).cast("long")
-    reach = F.sequence(band - 1, band + 1) if bright else F.array(band)
-    keys = ["is_image", "d_", "m_"] + ([within] if within else [])
-    rows = rows.withColumn("folder_key", joins.folder_key(F.col("folder"), s.folder_depth))
+    image, zero = F.col("is_image"), F.lit(0).cast("long")
+    hashed = ~image & F.lit(s.use_phash)
+    facts = rows.withColumn("folder_key", joins.folder_key(F.col("folder"), s.folder_depth))
+    if apart:
+        means = rows.select(F.col("idx").cast("long").alias("idx"), "n_frames", "frames").mapInArrow(stripe_means, "idx long, means array<double>")
+        facts = facts.drop("frames").join(means.withColumnRenamed("idx", "idx_"), F.col("idx") == F.col("idx_"), "left").drop("idx_")
+        half = lambda at: F.aggregate(F.slice("means", at, STRIPES // 2), F.lit(0.0), lambda t, x: t + x) / (STRIPES // 2)
+        cell = lambda x: F.floor(x / 256 / F.lit(max(s.gray_limit * 1.000001, 1e-4)))
+        upper, lower = half(1), half(STRIPES // 2 + 1)
+        spots = [F.when(hashed | F.col("means").isNull(), zero).otherwise(cell(x)) for x in ((upper + lower) / 2, (upper - lower) / 2)]
+    else:
+        facts, spots = facts.drop("frames").withColumn("means", F.lit(None).cast("array<double>")), [zero, zero]
+    near = lambda x: F.when(hashed | F.col("means").isNull(), F.array(x)).otherwise(F.sequence(x - 1, x + 1))
+    parts = s.phash_bits + 1
+    ends = [round(64 * i / parts) for i in range(parts + 1)]
+    piece = lambda h, i: F.shiftrightunsigned(h, ends[i]).bitwiseAND(F.lit((1 << (ends[i + 1] - ends[i])) - 1 if ends[i + 1] - ends[i] < 64 else -1))
+    part = lambda i: F.struct(F.lit(i).alias("part"), piece(F.col("phash"), i).cast("long").alias("value"))
+    # hashes without one, and rows compared by frames, have a single part
+    pieces = F.when(hashed & F.col("phash").isNotNull(), F.array(*map(part, range(parts)))).otherwise(F.array(F.struct(F.lit(0).alias("part"), zero.alias("value"))))
+    d_own = F.when(image | F.lit(not gates), zero).otherwise(own)
+    d_probe = F.when(image | F.lit(not gates), F.array(zero)).otherwise(probes)
+    facts = facts.filter(~hashed | F.col("phash").isNotNull()).withColumn("piece", F.explode(pieces))
+    facts = cut(facts.select("*", spots[0].alias("m_"), spots[1].alias("c_"), F.col("piece.part").alias("p_"), F.col("piece.value").alias("v_")).drop("piece"))
+    keys = ["is_image", "d_", "m_", "c_", "p_", "v_"] + ([within] if within else [])
     if gates and s.folder_match == "same":
         keys.append("folder_key")
-    facts = ["idx", "duration", "file_size", "dev", "ino", "phash", "n_frames", "frames"] + ["folder_key"] * ("folder_key" not in keys)
-    side = lambda df, x: df.select(*keys, *(F.col(c).alias(f"{c}_{x}") for c in facts))
-    a = side(rows.withColumn("d_", F.explode(d_probe)).withColumn("m_", F.explode(reach)), "a")
-    b = side(rows.withColumn("d_", d_own).withColumn("m_", band), "b")
-    met = a.join(b, keys).filter("idx_a < idx_b")
+    kept = ["idx", "duration", "file_size", "dev", "ino", "phash", "n_frames", "means"] + ["folder_key"] * ("folder_key" not in keys)
+    side = lambda df, x: df.select(*keys, "tile", *(F.col(c).alias(f"{c}_{x}") for c in kept))
+    b = facts.withColumn("d_", d_own)
+    crowded = cut(b.groupBy(*keys).agg(F.ceil(F.count("*") / CROWDED).cast("int").alias("tiles")).filter("tiles > 1"))
+    # nulls among the keys match nothing, here as in the join of both sides
+    b = b.join(crowded, keys, "left").withColumn("tile", F.coalesce(F.pmod(F.xxhash64("idx"), F.col("tiles")), zero))
+    a = facts.withColumn("d_", F.explode(d_probe)).withColumn("m_", F.explode(near(F.col("m_")))).withColumn("c_", F.explode(near(F.col("c_"))))
+    a = a.join(crowded, keys, "left").withColumn("tile", F.explode(F.sequence(zero, F.coalesce("tiles", F.lit(1)).cast("long") - 1)))
+    met = side(a, "a").join(side(b, "b"), [*keys, "tile"]).filter("idx_a < idx_b")
     if gates:
-        near = F.abs(F.col("duration_a") - F.col("duration_b")) <= F.least(joins.tolerance(s, F.col("duration_a")), joins.tolerance(s, F.col("duration_b")))
-        met = met.filter(image | near)
+        close = F.abs(F.col("duration_a") - F.col("duration_b")) <= F.least(joins.tolerance(s, F.col("duration_a")), joins.tolerance(s, F.col("duration_b")))
+        met = met.filter(image | close)
         if s.folder_match == "different":
             met = met.filter("folder_key_a <> folder_key_b")
         if s.exclude_hard_links:
             fact = lambda x: {"dev": F.col(f"dev_{x}"), "ino": F.col(f"ino_{x}"), "size": F.col(f"file_size_{x}"), "duration": F.when(~image, F.col(f"duration_{x}"))}
             met = met.filter(joins.not_hard_links(fact("a"), fact("b")))
-    met = met.withColumnRenamed("idx_a", "a").withColumnRenamed("idx_b", "b")
-    by_frames = met if not s.use_phash else met.filter(image)
-    found = by_frames.filter("n_frames_a = n_frames_b").select("a", "b", F.col("n_frames_a").alias("n_frames"), "frames_a", "frames_b")
+    bits = F.when(hashed, K.hamming(F.col("phash_a"), F.col("phash_b")))
+    first = F.lit(parts)
+    for i in reversed(range(parts)):  # a pair counts at the first part that agrees
+        first = F.when(piece(F.col("phash_a"), i) == piece(F.col("phash_b"), i), F.lit(i)).otherwise(first)
+    total = F.aggregate(F.zip_with("means_a", "means_b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda t, x: t + x) / (STRIPES * 256)
+    may = F.coalesce(total <= s.gray_limit * 1.000001 + 1e-9, F.lit(True)) & (F.col("n_frames_a") == F.col("n_frames_b"))
+    met = met.withColumn("bits", bits).filter(F.when(hashed, (F.col("bits") <= s.phash_bits) & (F.col("p_") == first)).otherwise(may))
+    return met.select(F.col("idx_a").cast("long").alias("a"), F.col("idx_b").cast("long").alias("b"), "is_image", "bits", F.col("n_frames_a").alias("n_frames"))
+
+
+def similar_pairs(rows: DataFrame, s: Settings, within: str | None = None, gates: bool = True) -> DataFrame:
+    """a, b, difference, flags: pairs a < b of snapshot rows that the similarity predicate holds for.
+
+    Images meet images and videos videos, whose durations must be near; the folder gate and the
+    hard-link test apply (not with gates=False, which compares what shares the column `within`).
+    Frames are fetched by id for the candidates that are left (see candidate_pairs).
+    """
+    met = cut(candidate_pairs(rows, s, within, gates))
+    shot = lambda x: rows.select(F.col("idx").cast("long").alias(x), F.col("frames").alias(f"frames_{x}"))
+    found = met.filter("bits IS NULL").join(shot("a"), "a").join(shot("b"), "b").select("a", "b", "n_frames", "frames_a", "frames_b")
     found = found.mapInArrow(frame_differences(s), "a long, b long, difference double, flags int")
     if s.use_phash:
-        apart = K.hamming(F.col("phash_a"), F.col("phash_b"))
-        hashed = met.filter(~image & (apart <= s.phash_bits)).select(F.col("a").cast("long"), F.col("b").cast("long"), (apart / 64).alias("difference"), F.lit(0).alias("flags"))
+        hashed = met.filter("bits IS NOT NULL").select("a", "b", (F.col("bits") / 64).alias("difference"), F.lit(0).alias("flags"))
         found = found.unionByName(hashed)
     return found
 
 
-def mean_byte(frames: Column) -> Column:
-    """Mean of the bytes of a binary, from its hexadecimal text: two counts a digit."""
-    text = F.hex(frames)
-    digits = "0123456789ABCDEF"
-    high = F.regexp_replace(text, "(.).", "$1")
-    low = F.regexp_replace(text, ".(.)", "$1")
-    count = lambda t, c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
-    total = sum((count(high, c) * (16 * v) + count(low, c) * v for v, c in enumerate(digits) if v), F.lit(0))
-    return F.try_divide(total.cast("double"), F.octet_length(frames))
-
-
 def find_duplicates(catalog: DataFrame, s: Settings) -> DataFrame:
     """group_id, idx, path, difference, similarity, flags: the duplicate rows of a catalog.
 

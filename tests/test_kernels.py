@@ -171,6 +171,23 @@ def test_duplicates_equal_a_program_over_lists(spark):
     assert all(by[m]["is_image"] == by[g]["is_image"] for m, (g, *_x) in got.items())
 
 
+def test_sizes_that_the_planner_knows_stay_real_over_rounds(spark):
+    """A chain takes many rounds; a plan over its labels must know the table, not a product of estimates."""
+    from twinreel.operators import grouping
+    from twinreel.sources.tables import cut, dropped
+
+    links = spark.createDataFrame([(k, k + 1) for k in range(400)], "a long, b long")
+    labels = grouping.connected_components(links)
+    assert {r.component for r in labels.collect()} == {0} and labels.count() == 401
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size(labels) < 1 << 20
+    table = cut(labels.join(links, labels.node == links.a))
+    assert size(table) < 1 << 20 and table.count() == 400
+    (file,) = {f.rsplit("/", 1)[0].removeprefix("file:") for f in table.inputFiles()}
+    dropped(table)
+    assert not __import__("os").path.exists(file)
+
+
 def test_hash_mode_and_unknown_frames(spark):
     from twinreel.operators import compare
     from twinreel.plans import adapters

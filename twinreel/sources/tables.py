@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +15,49 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Folders of tables that cut() has written, while their frames are in use here.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Where none is set, a session on one machine (tests)
+    gets a temporary one; on a cluster that is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder named by spark.checkpoint.dir. Where none is set, a session on
-    one machine (tests) gets a temporary one; on a cluster that is an error."""
+    """df written as a table to the shared folder and read back: lineage ends here.
+
+    The planner then knows the table's real size. A checkpoint instead keeps the estimate of the
+    plan before it, which each join multiplies: over the rounds of an iteration its digits double,
+    until planning alone never ends. Tables go when the driver ends, or with dropped().
+    """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    path = f"{scratch_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where, store = _store(spark, path)
+    store.deleteOnExit(where)
+    back = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[back] = path
+    return back
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the table of a frame that cut() gave; whatever reads it must be done."""
+    if path := _WRITTEN.pop(df, None):
+        where, store = _store(df.sparkSession, path)
+        store.delete(where, True)
+
+
+def _store(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:

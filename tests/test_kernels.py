@@ -436,6 +436,34 @@ def test_fingerprint_stream_keeps_state_between_batches(spark, tmp_path):
     assert last == {"p": whole.finish(), "q": whole.out}
 
 
+def test_fingerprint_state_of_an_abandoned_file_ends(spark, tmp_path):
+    """p is left after two of its chunks: it ends once with what it has; its next chunk comes too
+    late and is dropped. q goes on."""
+    from datetime import datetime, timedelta
+
+    t = np.arange(11025 * 4) / 11025
+    samples = (np.sin(2 * np.pi * 440 * t) * 12000).astype(np.int16)
+    at = lambda minutes: datetime(2024, 1, 1) + timedelta(minutes=minutes)
+    chunk = lambda p, k, minutes: (p, k, samples[k * 9000 : (k + 1) * 9000].tolist(), at(minutes))
+    schema = "path string, seq int, samples array<short>, arrived timestamp"
+    batches = [[chunk("p", 0, 0), chunk("q", 0, 0)], [chunk("p", 1, 1), chunk("q", 1, 1)], [chunk("q", 2, 30)], [chunk("p", 2, 2), chunk("q", 3, 31)], [chunk("q", 4, 32)]]
+    source = str(tmp_path / "in")
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(spark.createDataFrame([], schema).schema).parquet(source)
+        found = ingest.fingerprint_stream(stream, keep_s=300, late="5 minutes")
+        run = found.writeStream.outputMode("update").foreachBatch(lambda df, e, k=k: df.write.mode("overwrite").parquet(str(tmp_path / f"out{k}-{e}")))
+        run.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out*")).collect()
+    whole, half = media.Fingerprint(), media.Fingerprint()
+    whole.feed(samples)
+    half.feed(samples[:18000])
+    (end,) = [r for r in rows if r.ended]
+    assert (end.path, end.next, end.fp) == ("p", 2, half.finish())
+    assert max(r.next for r in rows if r.path == "p") == 2
+    assert max((r.next, r.fp) for r in rows if r.path == "q") == (5, whole.finish())
+
+
 def test_dct_hash_ignores_brightness():
     frame = np.random.default_rng(5).integers(0, 200, 1024)
     assert media.dct_phash(frame) == media.dct_phash(frame + 20)

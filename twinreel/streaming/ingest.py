@@ -76,16 +76,20 @@ def upsert_stream(spark: SparkSession, source: str, schema, target: str, checkpo
     return query
 
 
-FINGERPRINT_STATE = "rest binary, frames binary, idx long, codes array<long>, emitted array<long>, next long, waiting array<struct<seq:long,samples:array<int>>>"
+FINGERPRINT_STATE = "rest binary, frames binary, idx long, codes array<long>, emitted array<long>, next long, waiting array<struct<seq:long,samples:array<int>>>, latest long"
 
 
-def fingerprint_stream(chunks: DataFrame) -> DataFrame:
-    """path, next, fp of a stream of audio chunks (path, seq from 0, samples array<int>).
+def fingerprint_stream(chunks: DataFrame, keep_s: int | None = None, late: str = "10 minutes") -> DataFrame:
+    """path, next, fp, ended of a stream of audio chunks (path, seq from 0, samples array<int>).
 
     Chunks of a file may have any size and come in any order and batch: state holds the samples
     not yet framed, the filter, the codes of the open second and chunks that came too early. Each
     batch gives the fingerprint so far of the files that it touched; with its open second where
     nothing is waiting.
+
+    keep_s: chunks then have a column arrived (timestamp), and a file of which nothing arrives for so
+    many seconds of event time is given once more, as ended, and its state goes. Chunks that are
+    `late` behind the newest are dropped. Without it state stays for good and nothing ends.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -95,28 +99,41 @@ def fingerprint_stream(chunks: DataFrame) -> DataFrame:
 
         from ..sources.media import Fingerprint
 
-        fp, due, waiting = Fingerprint(), 0, {}
+        fp, due, waiting, latest = Fingerprint(), 0, {}, 0
         if state.exists:
-            rest, frames, fp.index, codes, out, due, early = state.get
+            rest, frames, fp.index, codes, out, due, early, latest = state.get
             fp.rest = np.frombuffer(rest, np.float64)
             fp.frames = list(np.frombuffer(frames, np.float64).reshape(-1, 12))
             fp.codes, fp.out = list(codes), list(out)
             waiting = {x["seq"]: x["samples"] for x in early}
-        for pdf in batches:
+        ended = state.hasTimedOut
+        for pdf in () if ended else batches:
             waiting |= dict(zip(pdf["seq"], pdf["samples"], strict=True))
+            if keep_s is not None:
+                latest = max(latest, int(pdf["arrived"].max().timestamp() * 1000))
         while due in waiting:
             fp.feed(np.asarray(waiting.pop(due), np.int64))
             due += 1
         frames = np.asarray(fp.frames, np.float64).tobytes() if fp.frames else b""
-        state.update((fp.rest.tobytes(), frames, fp.index, list(fp.codes), list(fp.out), due, [(int(k), [int(x) for x in v]) for k, v in waiting.items()]))
+        if ended:
+            state.remove()
+        else:
+            early = [(int(k), [int(x) for x in v]) for k, v in waiting.items()]
+            state.update((fp.rest.tobytes(), frames, fp.index, list(fp.codes), list(fp.out), due, early, latest))
+            if keep_s is not None:
+                state.setTimeoutTimestamp(latest + keep_s * 1000)
         whole = list(fp.out)
         open_second = Fingerprint()
         open_second.codes = list(fp.codes)
         whole += open_second.finish() or []
-        yield pd.DataFrame({"path": [key[0]], "next": [due], "fp": [whole]})
-
-    slim = chunks.select("path", F.col("seq").cast("long").alias("seq"), F.col("samples").cast("array<int>").alias("samples"))
-    return slim.groupBy("path").applyInPandasWithState(run, "path string, next long, fp array<bigint>", FINGERPRINT_STATE, "update", GroupStateTimeout.NoTimeout)
+        yield pd.DataFrame({"path": [key[0]], "next": [due], "fp": [whole], "ended": [ended]})
+
+    timed = [] if keep_s is None else ["arrived"]
+    slim = chunks.select("path", F.col("seq").cast("long").alias("seq"), F.col("samples").cast("array<int>").alias("samples"), *timed)
+    if timed:
+        slim = slim.withWatermark("arrived", late)
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return slim.groupBy("path").applyInPandasWithState(run, "path string, next long, fp array<bigint>, ended boolean", FINGERPRINT_STATE, "update", timeout)
 
 
 def fingerprints(chunks: DataFrame) -> DataFrame:

@@ -614,6 +614,12 @@ def test_top_k_takes_rows_that_repeat_an_id(spark):
     assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
 
 
+def test_top_k_sends_no_copies_of_queries_through_the_driver(spark):
+    rows = [(i, [float(i % 7), float(i % 11)]) for i in range(300)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 30
+
+
 def test_pipeline_stages(spark):
     table = read(spark, SF, "documents")
     rows = table.withColumn("extra", F.lit(1))

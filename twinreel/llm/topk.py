@@ -158,7 +158,8 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     Method: every pair of blocks is scored in each round; rounds of histograms with ever finer
     bins give the exact k-th score of each query; a last round keeps what is not below it.
     No row travels but packed blocks, histogram counts and the winners. Query tiles are copied
-    to the parts of the candidates; candidates once for every GROUP of tiles.
+    to the parts of the candidates; candidates once for every GROUP of tiles. Both are shuffled:
+    the planner does not count the copies, and would send them all through the driver.
     """
     spark = table.sparkSession
     vectors = stored(_vectors(table, id_col, vector_col), "topk-vectors")
@@ -166,7 +167,6 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     tiles = max(1, math.ceil(queries.count() / TILE))
     groups = math.ceil(tiles / GROUP)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, math.ceil(2 * parts / groups))
     tile_of = F.pmod(F.xxhash64("row"), F.lit(tiles)).cast("int")
     packed = "rows binary, ids binary, dim int, kind string, data binary"
     group_of = lambda tile: (tile / GROUP).cast("int").alias("group")
@@ -176,12 +176,13 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
         .select("tile", group_of(F.col("tile")), *(F.col(c).alias(f"q_{c}") for c in ("rows", "ids", "dim", "kind", "data"))),
         "topk-queries",
     )
-    salt_of = F.pmod(F.xxhash64("rows"), F.lit(salts)).cast("int")
     blocks = stored(
-        vectors.select(F.lit(0).alias("k"), "row", "vec_id", "v").mapInArrow(_pack(BLOCK, "k"), f"k int, {packed}").drop("k").withColumn("salt", salt_of),
-        "topk-blocks",
+        vectors.select(F.lit(0).alias("k"), "row", "vec_id", "v").mapInArrow(_pack(BLOCK, "k"), f"k int, {packed}").drop("k"), "topk-blocks",
     )
-    left = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # more parts than blocks would only be more copies of the queries
+    salts = max(1, min(math.ceil(2 * parts / groups), blocks.count()))
+    salt_of = F.pmod(F.xxhash64("rows"), F.lit(salts)).cast("int")
+    left = blocks.withColumn("salt", salt_of).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def pairs(chosen: DataFrame | None) -> DataFrame:
         q = packed_q
@@ -189,8 +190,8 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
             of_tile = chosen.groupBy(F.pmod(F.xxhash64("query"), F.lit(tiles)).cast("int").alias("tile")).agg(
                 F.collect_list("query").alias("t_ids"), F.collect_list("bin").alias("t_bins")
             )
-            q = q.join(of_tile, "tile")
-        return left.join(q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["group", "salt"])
+            q = q.join(of_tile.hint("merge"), "tile")
+        return left.join(q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge"), ["group", "salt"])
 
     chosen, above, last = None, None, None
     for shift in shifts:

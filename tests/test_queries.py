@@ -62,3 +62,17 @@ def test_missing_entries_where_paths_repeat(spark, tmp_path):
     pages = "SELECT * FROM given_pages UNION ALL SELECT * REPLACE (page_id + 1000 AS page_id) FROM given_pages UNION ALL SELECT * REPLACE (NULL AS url) FROM given_pages WHERE page_id = 1"
     got, want = of_tables(spark, tmp_path, "missing_entries", pages=pages)
     assert got == want and got
+
+
+def test_relative_size_of_exact_halves(spark, tmp_path):
+    """0.5 % is +0%, 1.5 % is +2%, 2.5 % is +2%."""
+    items = "SELECT * REPLACE (l_orderkey % 3 AS l_orderkey, 200.0 + l_linenumber - 1 AS l_extendedprice) FROM given_lineitem"
+    got, want = of_tables(spark, tmp_path, "relative_size", lineitem=items)
+    assert got == want and {r[0] for r in got} >= {"best", "+0%", "+1%", "+2%"}
+
+
+def test_blacklist_entries_of_equal_paths(spark, tmp_path):
+    """Entries whose documents are the same stay apart."""
+    items = "SELECT * REPLACE (l_linenumber % 2 AS l_suppkey, l_partkey % 5 AS l_partkey) FROM given_lineitem"
+    got, want = of_tables(spark, tmp_path, "blacklist_round_trip", lineitem=items)
+    assert got == want and len(got) == 10

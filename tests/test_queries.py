@@ -76,3 +76,12 @@ def test_blacklist_entries_of_equal_paths(spark, tmp_path):
     items = "SELECT * REPLACE (l_linenumber % 2 AS l_suppkey, l_partkey % 5 AS l_partkey) FROM given_lineitem"
     got, want = of_tables(spark, tmp_path, "blacklist_round_trip", lineitem=items)
     assert got == want and len(got) == 10
+
+
+def test_orders_write_their_keys_alone(spark, monkeypatch):
+    from twinreel.sources import tables
+
+    written, cut = [], tables.cut
+    monkeypatch.setattr(tables, "cut", lambda df: written.append(set(df.columns)) or cut(df))
+    assert QUERIES["sorted_by_group_total_up"](spark, SF).count() > 0
+    assert written == [{"group_id", "pos", "group_total", "part_"}]

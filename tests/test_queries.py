@@ -85,3 +85,39 @@ def test_orders_write_their_keys_alone(spark, monkeypatch):
     monkeypatch.setattr(tables, "cut", lambda df: written.append(set(df.columns)) or cut(df))
     assert QUERIES["sorted_by_group_total_up"](spark, SF).count() > 0
     assert written == [{"group_id", "pos", "group_total", "part_"}]
+
+
+def most_rows(spark, df):
+    """The most rows that a join of a query's plan gives when it runs."""
+    import re
+
+    df.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    run = store.executionsList().apply(store.executionsList().size() - 1).executionId()
+    values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes().iterator()
+    while nodes.hasNext():
+        node = nodes.next()
+        metrics = node.metrics().iterator() if "Join" in node.name() else iter(())
+        while hasattr(metrics, "hasNext") and metrics.hasNext():
+            m = metrics.next()
+            if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                most = max(most, int(re.sub(r"\D", "", values.apply(m.accumulatorId()))))
+    return most
+
+
+def test_relocation_lists_no_pairs(spark, tmp_path):
+    """A thousand parts and a thousand suppliers of one size: no join of all with all."""
+    part = "SELECT * REPLACE (i::BIGINT * 7 AS p_partkey, 6::INT AS p_size, repeat('x', (i % 40)::INT) AS p_name) FROM (FROM given_part LIMIT 1), range(1000) t(i)"
+    supplier = "SELECT * REPLACE (i::BIGINT * 50 + 5 AS s_suppkey, CASE WHEN i = 3 THEN repeat('y', 39) ELSE 'zz' END AS s_name) FROM (FROM given_supplier LIMIT 1), range(1000) t(i)"
+    got, want = of_tables(spark, tmp_path, "relocation", part=part, supplier=supplier)
+    assert got == want and got
+    assert most_rows(spark, QUERIES["relocation"](spark, str(tmp_path))) < 50_000
+
+
+def test_blacklist_meets_groups_under_rare_paths(spark, tmp_path):
+    """A path that all groups and entries have gives no pairs of all of them."""
+    items = "SELECT * REPLACE (i::BIGINT AS l_orderkey, CASE WHEN k = 0 THEN 7 ELSE 100 + i // 2 END::BIGINT AS l_partkey) FROM (FROM given_lineitem LIMIT 1), range(900) t(i), range(2) u(k)"
+    got, want = of_tables(spark, tmp_path, "blacklist_containment", lineitem=items)
+    assert got == want and got
+    assert most_rows(spark, QUERIES["blacklist_containment"](spark, str(tmp_path))) < 50_000

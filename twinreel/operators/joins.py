@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..settings import Settings
+from ..sources.tables import cut
 
 
 def tolerance(s: Settings, duration: Column) -> Column:
@@ -274,12 +275,33 @@ def sample_seconds(clip_duration: Column) -> Column:
     return F.when(clip_duration >= 9, at(0.25, 0.5, 0.75)).when(clip_duration >= 3, at(0.33, 0.66)).otherwise(at(0.5))
 
 
+#: Entries from which on a path of a blacklist is common: groups are looked up by another one.
+COMMON = 64
+
+
 def blacklisted_groups(rows: DataFrame, blacklist: DataFrame) -> DataFrame:
-    """group_id of groups all of whose paths are in one entry of the blacklist (entry_id, path)."""
-    of_group = rows.select("group_id", "path").distinct()
-    size = of_group.groupBy("group_id").agg(F.count("*").alias("size"))
-    hits = of_group.join(blacklist.select("entry_id", "path").distinct(), "path").groupBy("group_id", "entry_id").agg(F.count("*").alias("hits"))
-    return hits.join(size, "group_id").filter("hits = size").select("group_id").distinct()
+    """group_id of groups all of whose paths are in one entry of the blacklist (entry_id, path).
+
+    A group meets entries under one of its paths, a rare one if it has any; of these only entries
+    that are no smaller and whose bits (one for each path, by its hash) hold all of the group's go
+    on, and their paths are counted.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("path"), F.lit(64)).cast("int"))
+    of_group = rows.filter("group_id IS NOT NULL").select("group_id", "path").repartition("group_id").distinct()
+    black = blacklist.filter("path IS NOT NULL").select("entry_id", "path").repartition("entry_id").distinct()
+    often = cut(blacklist.groupBy("path").agg(F.count("*").alias("often")).filter(F.col("often") > COMMON))
+    met = F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "path")).alias("met")
+    group = of_group.join(often, "path", "left").groupBy("group_id").agg(F.count("*").alias("size"), F.bit_or(bit).alias("bits"), F.count("path").alias("known"), met)
+    group = group.filter("known = size").select("group_id", "size", "bits", F.col("met.path").alias("path"))
+    whole = Window.partitionBy("entry_id")
+    entry = black.withColumn("entry_size", F.count("*").over(whole)).withColumn("entry_bits", F.bit_or(bit).over(whole))
+    may = (F.col("size") <= F.col("entry_size")) & (F.col("bits").bitwiseAND(F.bitwise_not("entry_bits")) == 0)
+    may = group.join(entry, "path").filter(may).select("group_id", "entry_id", "size")
+    held = black.select(F.col("entry_id").alias("of"), F.col("path").alias("held"))
+    hits = may.filter("size > 1").join(of_group.select("group_id", F.col("path").alias("own")), "group_id")
+    hits = hits.join(held, F.col("entry_id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("held")))
+    hits = hits.groupBy("group_id", "entry_id", "size").agg(F.count("*").alias("hits")).filter("hits = size")
+    return may.filter("size = 1").select("group_id").unionByName(hits.select("group_id")).distinct()
 
 
 def pruned_blacklist(blacklist: DataFrame, listing: DataFrame) -> DataFrame:

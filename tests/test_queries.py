@@ -121,3 +121,11 @@ def test_blacklist_meets_groups_under_rare_paths(spark, tmp_path):
     got, want = of_tables(spark, tmp_path, "blacklist_containment", lineitem=items)
     assert got == want and got
     assert most_rows(spark, QUERIES["blacklist_containment"](spark, str(tmp_path))) < 50_000
+
+
+@pytest.mark.parametrize("name", ["places_in_group", "finished_results"])
+def test_windows_over_groups_take_more_partitions_not_larger_ones(spark, monkeypatch, name):
+    from twinreel.operators import ranking
+
+    monkeypatch.setattr(ranking, "ROWS_AT_ONCE", 100)
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= 50

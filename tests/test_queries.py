@@ -129,3 +129,21 @@ def test_windows_over_groups_take_more_partitions_not_larger_ones(spark, monkeyp
 
     monkeypatch.setattr(ranking, "ROWS_AT_ONCE", 100)
     assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= 50
+
+
+PAIRS = ["gray_pairs", "gray_flip_pairs", "gray_pairs_masked", "compare_pairs", "compare_pairs_gated", "compare_images_masked"]
+
+
+@pytest.mark.parametrize("name", PAIRS)
+def test_frames_are_compared_without_a_row_for_each_candidate(spark, name):
+    assert most_rows(spark, QUERIES[name](spark, SF)) < (1600 if name.startswith("compare") else 100)
+
+
+@pytest.mark.parametrize("name", PAIRS)
+def test_frames_in_many_small_tiles(spark, duck, monkeypatch, name):
+    from twinreel.operators import tiles
+
+    monkeypatch.setattr(tiles, "TILE", 60)
+    monkeypatch.setattr(tiles, "AT_ONCE", 500)
+    got, want = QUERIES[name](spark, SF).toPandas(), duck.execute(SQL[name]).df()
+    assert rows(got) == rows(want) and len(got)

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..settings import FLIPPED, SILENT_AUDIO, Settings
+from ..settings import SILENT_AUDIO, Settings
 from ..sources.tables import cut
-from . import filters, grouping, joins, ranking
+from . import filters, grouping, joins, ranking, tiles
 
 
 def snapshot(catalog: DataFrame, s: Settings) -> DataFrame:
@@ -33,55 +33,6 @@ def snapshot(catalog: DataFrame, s: Settings) -> DataFrame:
     return out.withColumn("n_frames", F.size("frames_")).withColumn("frames", whole).drop("frames_", "gray")
 
 
-def frame_differences(s: Settings):
-    """mapInArrow: (a, b, n_frames, frames_a, frames_b) -> a, b, difference, flags of similar ones.
-
-    The difference is the mean over the positions of mean absolute differences of bytes over 256;
-    with pixels left out, a frame without any pixel left matches nothing. Mirrored frames count if
-    the plain ones do not, or less than they.
-    """
-    black, white, mirror, limit = s.ignore_black_pixels, s.ignore_white_pixels, s.compare_flipped, s.gray_limit
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        def differences(x, y):
-            apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).astype(np.float64)
-            if not (black or white):
-                return apart.mean(axis=(2, 3)).mean(axis=1) / 256
-            keep = np.ones(x.shape, bool)
-            if black:
-                keep &= (x > K.BLACK) & (y > K.BLACK)
-            if white:
-                keep &= (x < K.WHITE) & (y < K.WHITE)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                return ((apart * keep).sum(axis=(2, 3)) / keep.sum(axis=(2, 3)) / 256).mean(axis=1)
-
-        for batch in batches:
-            a, b = batch.column("frames_a").to_pylist(), batch.column("frames_b").to_pylist()
-            n = batch.column("n_frames").to_pylist()
-            out, flags = np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows, np.int32)
-            kinds: dict = {}
-            for i in range(batch.num_rows):
-                if len(a[i]) == len(b[i]) and len(a[i]):
-                    kinds.setdefault((n[i], len(a[i])), []).append(i)
-            for (count, size), at in kinds.items():
-                side = int(round((size / count) ** 0.5))
-                x, y = (np.frombuffer(b"".join(f[i] for i in at), np.uint8).reshape(len(at), count, side, side) for f in (a, b))
-                plain = differences(x, y)
-                best = np.where(plain <= limit, plain, np.nan)
-                if mirror:
-                    turned = differences(x[..., ::-1], y)
-                    better = (turned <= limit) & (np.isnan(best) | (turned < best))
-                    best, flags[at] = np.where(better, turned, best), np.where(better, FLIPPED, 0)
-                out[at] = best
-            ok = pa.array(~np.isnan(out))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out), pa.array(flags)], ["a", "b", "difference", "flags"]).filter(ok)
-
-    return run
-
-
 #: Stripes of rows of pixels whose mean brightness bounds the difference of frames from below.
 STRIPES = 8
 #: Rows under one candidate key that one tile holds; a key with more is split into tiles.
@@ -104,6 +55,31 @@ def stripe_means(batches):
         yield pa.RecordBatch.from_arrays([batch.column("idx"), pa.array(out, pa.list_(pa.float64()))], ["idx", "means"])
 
 
+def cells(s: Settings):
+    """mapInArrow: (idx, n_frames, frames) -> idx, m_, c_: the cell of the mean of the frames' bytes, and of
+    how far those of their halves are apart. Similar frames, mirrored or not, are in neighbouring
+    cells of each; left-out pixels have no such bound, and all are in one cell."""
+    masked, width = s.ignore_black_pixels or s.ignore_white_pixels, max(s.gray_limit * 1.000001, 1e-4) * 256
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for n, f in zip(batch.column("n_frames").to_pylist(), batch.column("frames").to_pylist(), strict=True):
+                x = np.frombuffer(f, np.uint8)
+                if masked or not len(x):
+                    out.append((0, 0))
+                    continue
+                whole = n * int(round((len(x) / n) ** 0.5)) % STRIPES == 0
+                upper, lower = x.reshape(2, -1).mean(axis=1) if whole else (x.mean(), x.mean())
+                out.append((int(np.floor((upper + lower) / 2 / width)), int(np.floor((upper - lower) / 2 / width))))
+            yield pa.RecordBatch.from_arrays([batch.column("idx"), *(pa.array([c[k] for c in out], pa.int64()) for k in (0, 1))], ["idx", "m_", "c_"])
+
+    return run
+
+
 def candidate_pairs(rows: DataFrame, s: Settings, within: str | None = None, gates: bool = True) -> DataFrame:
     """a, b, is_image, bits: pairs a < b that may be similar; bits for videos compared by hashes.
 
@@ -175,15 +151,22 @@ def similar_pairs(rows: DataFrame, s: Settings, within: str | None = None, gates
 
     Images meet images and videos videos, whose durations must be near; the folder gate and the
     hard-link test apply (not with gates=False, which compares what shares the column `within`).
-    Frames are fetched by id for the candidates that are left (see candidate_pairs).
+    Frames are compared in tiles (see tiles), which meet by durations and cells of brightness; videos
+    in hash mode meet under parts of their hashes (see candidate_pairs).
     """
-    met = cut(candidate_pairs(rows, s, within, gates))
-    shot = lambda x: rows.select(F.col("idx").cast("long").alias(x), F.col("frames").alias(f"frames_{x}"))
-    found = met.filter("bits IS NULL").join(shot("a"), "a").join(shot("b"), "b").select("a", "b", "n_frames", "frames_a", "frames_b")
-    found = found.mapInArrow(frame_differences(s), "a long, b long, difference double, flags int")
+    framed = rows.filter("is_image") if s.use_phash else rows
+    own, probes = joins.duration_buckets(s, F.col("duration"))
+    zero = F.lit(0).cast("long")
+    still = F.col("is_image") | F.lit(not gates)
+    spots = framed.select(F.col("idx").cast("long").alias("idx"), "n_frames", "frames").mapInArrow(cells(s), "idx long, m_ long, c_ long")
+    framed = framed.withColumn("folder_key", joins.folder_key(F.col("folder"), s.folder_depth)).withColumn("idx", F.col("idx").cast("long")).join(spots, "idx")
+    buckets = {"bucket": F.when(still, zero).otherwise(own), "low": F.when(still, zero).otherwise(F.array_min(probes)), "high": F.when(still, zero).otherwise(F.array_max(probes))}
+    keys = ["is_image"] + ([within] if within else []) + ["folder_key"] * (gates and s.folder_match == "same")
+    columns = ["n_frames", "frames", "m_", "c_", *buckets, *dict.fromkeys([*keys, *tiles.FACTS])]
+    found = tiles.similar_in_tiles(framed.withColumns(buckets).withColumn("id", F.col("idx")).select("id", *columns), s, keys, gates)
     if s.use_phash:
-        hashed = met.filter("bits IS NOT NULL").select("a", "b", (F.col("bits") / 64).alias("difference"), F.lit(0).alias("flags"))
-        found = found.unionByName(hashed)
+        met = cut(candidate_pairs(rows.filter("NOT is_image"), s, within, gates))
+        found = found.unionByName(met.select("a", "b", (F.col("bits") / 64).alias("difference"), F.lit(0).alias("flags")))
     return found
 
 

@@ -147,3 +147,13 @@ def test_frames_in_many_small_tiles(spark, duck, monkeypatch, name):
     monkeypatch.setattr(tiles, "AT_ONCE", 500)
     got, want = QUERIES[name](spark, SF).toPandas(), duck.execute(SQL[name]).df()
     assert rows(got) == rows(want) and len(got)
+
+
+def test_hashes_of_many_frames_are_those_of_each(monkeypatch):
+    import numpy as np
+
+    from twinreel.sources import media
+
+    frames = np.random.default_rng(3).integers(0, 256, (70, 1024)).astype(np.uint8)
+    monkeypatch.setattr(media, "AT_ONCE", 16)
+    assert media.dct_phashes(frames).tolist() == [media.dct_phash(f) for f in frames]

@@ -157,3 +157,12 @@ def test_hashes_of_many_frames_are_those_of_each(monkeypatch):
     frames = np.random.default_rng(3).integers(0, 256, (70, 1024)).astype(np.uint8)
     monkeypatch.setattr(media, "AT_ONCE", 16)
     assert media.dct_phashes(frames).tolist() == [media.dct_phash(f) for f in frames]
+
+
+def test_cleared_catalog_reads_its_table(spark):
+    from twinreel.operators import maintenance
+    from twinreel.plans import adapters
+
+    catalog = adapters.catalog(spark, SF)
+    assert sum(r.entries for r in QUERIES["cleared_catalog"](spark, SF).collect()) == catalog.count() > 0
+    assert maintenance.cleared(catalog).count() == 0

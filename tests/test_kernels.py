@@ -358,6 +358,47 @@ def test_replay_and_pruning_of_a_large_component():
     assert time.time() - began < 30
 
 
+@pytest.mark.parametrize(("seed", "n", "spread", "held"), [(1, 90, 60, 10), (2, 150, 40, 10**9), (3, 120, 48, 500), (4, 140, 30, 0)])
+def test_groups_of_points_equal_the_list_programs(spark, monkeypatch, seed, n, spread, held):
+    """Links of some pairs, closeness from the points: hashes within 9 bits, and frames within the limit."""
+    monkeypatch.setattr(G, "LINKS_HELD", held)
+    monkeypatch.setattr(G, "POINTS_AT_ONCE", 200)
+    monkeypatch.setattr(G, "THINNED_AT_ONCE", 50)
+    rng, s = np.random.default_rng(seed), Settings(percent=94)
+    for kind in (0, 1):
+        if kind:
+            base = rng.integers(0, 256, (4, 64))
+            points = np.clip(base[rng.integers(0, 4, n)] + rng.integers(-spread, spread + 1, (n, 64)), 0, 255).astype(np.uint8)
+            alike = lambda i, j: float(np.abs(points[i].astype(int) - points[j]).mean() / 256) <= s.gray_limit
+        else:
+            base = rng.integers(0, 256, (3, 8), dtype=np.uint8)
+            flip = np.packbits(rng.random((n, 64)) < spread / 500, axis=1)
+            points = base[rng.integers(0, 3, n)] ^ flip
+            alike = lambda i, j: int(np.bitwise_count(points[i] ^ points[j]).sum()) <= 9
+        close = {(i, j) for i in range(n) for j in range(i + 1, n) if alike(i, j)}
+        linked = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, n, (3 * n, 2)) if a != b} | {p for p in close if rng.random() < 0.7}
+        pairs = [(a, b, round(float(rng.random()), 3), int(rng.integers(0, 2))) for a, b in sorted(linked)]
+        frame = spark.createDataFrame(pairs, "a long, b long, difference double, flags int").repartition(5)
+        rows = spark.createDataFrame([(i, kind, bytearray(p.tobytes())) for i, p in enumerate(points)], "node long, n int, point binary")
+        got = {r.member: (r.group_id, r.difference, r.flags) for r in G.duplicate_groups_near(frame, rows, G.nearness(s, 9)).collect()}
+        assert got == listed_groups(pairs, close) and len(set(g for g, *_x in got.values())) > 1
+
+
+def test_duplicates_write_no_tables_that_grow_with_the_links(spark, monkeypatch):
+    """300 entries that are all alike: 44,850 links, but components, replay and pruning write rows for each entry."""
+    from twinreel.operators import compare
+
+    sizes, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: sizes.append((table := cut(df)).count()) or table)
+    rows = spark.range(300).selectExpr(
+        "id AS idx", "concat('/x/', id) AS path", "'/x' AS folder", "true AS is_image", "true AS has_media", "0 AS flags", "0.0D AS duration", "id AS file_size", "id AS dev", "id AS ino",
+        "map(0.0D, unhex(repeat(lpad(hex(id % 3), 2, '0'), 64))) AS gray", "0L AS phash",
+    )
+    found = compare.find_duplicates(rows, Settings(percent=96)).collect()
+    assert len(found) == 300 and {r.group_id for r in found} == {0}
+    assert max(sizes) <= 3000
+
+
 def test_components_and_groups_do_not_depend_on_order(spark):
     rng = np.random.default_rng(4)
     edges = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (50, 2)) if a != b})

@@ -368,7 +368,7 @@ def test_groups_of_points_equal_the_list_programs(spark, monkeypatch, seed, n, s
     for kind in (0, 1):
         if kind:
             base = rng.integers(0, 256, (4, 64))
-            points = np.clip(base[rng.integers(0, 4, n)] + rng.integers(-spread, spread + 1, (n, 64)), 0, 255).astype(np.uint8)
+            points = np.clip(base[rng.integers(0, 4, n)] + rng.integers(-spread // 2, spread // 2 + 1, (n, 64)), 0, 255).astype(np.uint8)
             alike = lambda i, j: float(np.abs(points[i].astype(int) - points[j]).mean() / 256) <= s.gray_limit
         else:
             base = rng.integers(0, 256, (3, 8), dtype=np.uint8)

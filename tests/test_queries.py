@@ -5,6 +5,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from twinreel.plans.queries import QUERIES, SQL
 
@@ -87,6 +88,18 @@ def test_orders_write_their_keys_alone(spark, monkeypatch):
     assert written == [{"group_id", "pos", "group_total", "part_"}]
 
 
+def test_orders_move_rows_once_after_their_keys(spark):
+    """Ranges are written in order: places are not dealt out and sorted again by partition."""
+    from twinreel.operators import ranking
+
+    rows = spark.range(500).selectExpr("pmod(hash(id), 90) AS x", "id")
+    out = ranking.ordinals(rows, [F.desc("x"), F.asc("id")], "place")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "row_number" not in plan
+    got = [r.id for r in out.orderBy("place").collect()]
+    assert got == [r.id for r in rows.orderBy(F.desc("x"), "id").collect()] and [r.place for r in out.orderBy("place").collect()] == list(range(500))
+
+
 def most_rows(spark, df):
     """The most rows that a join of a query's plan gives when it runs."""
     import re

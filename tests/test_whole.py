@@ -28,3 +28,22 @@ def test_partial_clip_pairs_compares_all_documents(spark, tmp_path):
     got = QUERIES["partial_clip_pairs"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r.source, r.clip): (r.similarity, r["at"]) for r in got} == want
     assert {(8, 9), (7, 11), (6, 12)} <= set(want)
+
+
+def test_pairs_of_tiles_are_not_moved(spark, monkeypatch):
+    """Tiles are read from their table by the tasks that compare them; no exchange carries pairs of them."""
+    from pyspark.sql import functions as F
+
+    from twinreel.operators import joins
+    from twinreel.settings import Settings
+
+    monkeypatch.setattr(joins, "TILE_BLOCKS", 200)
+    items = spark.range(60).select("id", F.sequence(60 - F.col("id"), 60 + F.col("id")).alias("n")).selectExpr("id AS idx", "cast(20 + id AS double) AS duration", "transform(n, x -> pmod(xxhash64(x), 4294967296)) AS fp")
+    found = joins.partial_clips(items, Settings(partial_similarity=0.8))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    rows = {r.idx: (r.duration, r.fp) for r in items.collect()}
+    got = {(r.source, r.clip): r["at"] for r in found.collect()}
+    inside = lambda a, b: next((o for o in range(len(a) - len(b) + 1) if a[o : o + len(b)] == b), None)
+    want = {(s, c): at for s, (d, a) in rows.items() for c, (e, b) in rows.items() if s != c and 2 <= len(b) < len(a) and e / d < 0.95 and (at := inside(a, b)) is not None}
+    assert want and want.items() <= got.items()

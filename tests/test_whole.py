@@ -47,3 +47,19 @@ def test_pairs_of_tiles_are_not_moved(spark, monkeypatch):
     inside = lambda a, b: next((o for o in range(len(a) - len(b) + 1) if a[o : o + len(b)] == b), None)
     want = {(s, c): at for s, (d, a) in rows.items() for c, (e, b) in rows.items() if s != c and 2 <= len(b) < len(a) and e / d < 0.95 and (at := inside(a, b)) is not None}
     assert want and want.items() <= got.items()
+
+
+def test_pairs_of_a_crowded_block_are_listed_by_many_tasks(spark, monkeypatch):
+    """One block holds nearly all rows: its pairs are whole, also of repeated ids, and dealt to tasks."""
+    from pyspark.sql import functions as F
+
+    from twinreel.operators import joins
+
+    monkeypatch.setattr(joins, "TILE_ROWS", 50, raising=False)
+    given = [("en", k % 390, k) for k in range(400)] + [("de", k, -k) for k in range(5)] + [("fr", 7, 1), ("en", None, 3), (None, 8, 2), (None, 9, 2)]
+    rows = spark.createDataFrame(given, "key string, idx int, n int")
+    found = joins.pairs_within(rows, ["key"], "idx").withColumn("task", F.spark_partition_id()).collect()
+    want = sorted((k, a, m, b, n) for k, a, m in given for j, b, n in given if k is not None and k == j and None not in (a, b) and a < b)
+    assert sorted((r.key, r.idx_a, r.n_a, r.idx_b, r.n_b) for r in found) == want
+    tasks = [r.task for r in found]
+    assert max(map(tasks.count, set(tasks))) < len(want) / 3

@@ -3,9 +3,12 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
+from twinreel.operators import joins
 from twinreel.plans.queries import QUERIES
-from twinreel.settings import clip_bits
+from twinreel.settings import Settings, clip_bits
 
 
 def test_partial_clip_pairs_compares_all_documents(spark, tmp_path):
@@ -63,3 +66,46 @@ def test_pairs_of_a_crowded_block_are_listed_by_many_tasks(spark, monkeypatch):
     assert sorted((r.key, r.idx_a, r.n_a, r.idx_b, r.n_b) for r in found) == want
     tasks = [r.task for r in found]
     assert max(map(tasks.count, set(tasks))) < len(want) / 3
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.88, 0.9, 0.95, 1.0])
+def test_clips_are_found_by_windows_as_by_brute_force(monkeypatch, similarity):
+    """From 0.9 on no spectra are needed, but where windows are alike; bits differ up to the budget and beyond."""
+    rng = np.random.default_rng(5)
+    s = Settings(partial_similarity=similarity)
+    blocks = lambda n: rng.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32)
+    items = [(k, float(rng.integers(50, 90)), blocks(int(rng.integers(20, 70)))) for k in range(30)]
+    for k in range(120):
+        long = items[int(rng.integers(0, 30))][2]
+        n = 2 * int(rng.integers(1, (len(long) - 1) // 2 + 1)) if k % 2 else int(rng.integers(13, len(long)))
+        at = int(rng.integers(0, len(long) - n + 1))
+        clip, apart = long[at : at + n].copy(), max(0, clip_bits(similarity, n) + int(rng.integers(-2, 3)))
+        for b in np.arange(apart) * (32 * n) // max(1, apart) if k % 3 else rng.choice(32 * n, apart, replace=False):
+            clip[b // 32] ^= np.uint32(1) << np.uint32(b % 32)
+        items.append((100 + k, float(rng.integers(10, 60)), clip))
+
+    def found(items):
+        kind = pa.list_(pa.struct([("idx", pa.int64()), ("duration", pa.float64()), ("fp", pa.list_(pa.int64()))]))
+        side = pa.array([[{"idx": i, "duration": d, "fp": fp.tolist()} for i, d, fp in items]], kind)
+        batch = pa.RecordBatch.from_arrays([side, side], ["sources", "clips"])
+        got = [r for out in joins.clip_search(s)([batch]) for r in out.to_pylist()]
+        assert len({(r["source"], r["clip"]) for r in got}) == len(got)
+        return {(r["source"], r["clip"]): (r["similarity"], r["at"]) for r in got}
+
+    def listed(items):
+        want = {}
+        for i, d, long in items:
+            for j, e, clip in items:
+                n = len(clip)
+                if i != j and n < len(long) and 0.10 <= e / d < 0.95:
+                    apart = [int(np.bitwise_count(long[o : o + n] ^ clip).sum()) for o in range(len(long) - n + 1)]
+                    if min(apart) <= clip_bits(similarity, n):
+                        want[i, j] = (1 - min(apart) / (32 * n), apart.index(min(apart)))
+        return want
+
+    again = np.resize(blocks(3), 60)
+    alike = [(900 + k, 80.0, again) for k in range(20)] + [(930 + k, 30.0, again[k : 24 + k]) for k in range(20)]
+    assert found(alike) == listed(alike) != {}
+    if similarity >= 0.9:
+        monkeypatch.setattr(np.fft, "rfft", None)
+    assert found(items) == listed(items) and len(listed(items)) > 50

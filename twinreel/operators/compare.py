@@ -224,7 +224,7 @@ def find_partial_clips(catalog: DataFrame, s: Settings, grouped: DataFrame, fram
     places = cut(longest_first(rows.select("idx", "duration", "path")))
     found = joins.partial_clips(rows.select("idx", "duration", "fp"), s)
     source = places.select(F.col("idx").alias("source"), F.col("place"))
-    claims = ranking.first_claims(found.join(source, "source"), order="place")
+    claims = cut(ranking.first_claims(found.join(source, "source"), order="place"))  # read twice: as sources, as clips
     if s.partial_require_visual and frames is not None:
         claims = verified_clips(claims, rows, frames, s).withColumn("group_id", F.col("source"))
     out = ranking.clip_rows(claims.select("group_id", "source", "clip", "similarity", "at"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..settings import Settings
+from ..settings import Settings, clip_bits
 from ..sources.tables import cut
 from .tiles import BATCH_BYTES
 
@@ -140,10 +140,71 @@ def planes_for(similarity: float, blocks: int) -> int:
     return PLANES[-1]
 
 
+#: Differing bits of two adjacent blocks up to which two of their eight parts must agree.
+WINDOW_BITS = 6
+#: Pairs of windows that are looked at for each pair of items before spectra are cheaper, and at once.
+WINDOWS_A_PAIR, WINDOWS_AT_ONCE = 64, 1 << 20
+
+
+def window_places(sources, clips, bits: int, most: int):
+    """Pairs of windows, two adjacent blocks each, that differ in at most `bits` (of WINDOW_BITS) bits:
+    (source, clip, place) of each, in items (idx, duration, blocks); None beyond `most` pairs looked at.
+
+    All windows of sources meet every other one of clips. Eight parts take four bits of either block;
+    as many bits leave two parts equal, so windows meet under pairs of parts and count at the first.
+    """
+    import itertools
+
+    import numpy as np
+
+    def windows(group, step):
+        fps = [x[2] for x in group]
+        size = np.array([len(fp) for fp in fps])
+        flat = np.concatenate(fps).astype(np.uint64)
+        owner = np.repeat(np.arange(len(fps)), size)
+        offset = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        at = np.flatnonzero((offset + 1 < size[owner]) & (offset % step == 0))
+        word = flat[at] | flat[at + 1] << np.uint64(32)
+        parts = [((word >> np.uint64(4 * i) & np.uint64(15)) | (word >> np.uint64(32 + 4 * i) & np.uint64(15)) << np.uint64(4)).astype(np.uint16) for i in range(8)]
+        return word, owner[at], offset[at], parts
+
+    word_s, owner_s, offset_s, parts_s = windows(sources, 1)
+    word_c, owner_c, offset_c, parts_c = windows(clips, 2)
+    part = [np.uint64(15 << 4 * i | 15 << (32 + 4 * i)) for i in range(8)]
+    looked, found = 0, []
+    for i, j in itertools.combinations(range(8), 2):
+        key_s, key_c = parts_s[i] | parts_s[j] << np.uint16(8), parts_c[i] | parts_c[j] << np.uint16(8)
+        order = np.argsort(key_s, kind="stable")
+        held = np.bincount(key_s, minlength=1 << 16)
+        start, n = (np.cumsum(held) - held)[key_c], held[key_c]
+        ends = np.cumsum(n)
+        looked += int(n.sum())
+        if looked > most:
+            return None
+        low = 0
+        while low < len(n):
+            before = int(ends[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + WINDOWS_AT_ONCE, "right")))
+            m = n[low:high]
+            c = np.repeat(np.arange(low, high), m)
+            t = order[np.arange(len(c)) + np.repeat(start[low:high] - (ends[low:high] - m - before), m)]
+            low = high
+            apart = word_s[t] ^ word_c[c]
+            ok = np.flatnonzero(np.bitwise_count(apart) <= bits)
+            for k in range(j):
+                if k != i:
+                    ok = ok[apart[ok] & part[k] != 0]
+            t, c = t[ok], c[ok]
+            found.append(np.stack([owner_s[t], owner_c[c], offset_s[t] - offset_c[c]]))
+    return np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+
+
 def clip_search(s: Settings):
     """Batches of tiles (sources, clips) to source, clip, similarity, at.
 
-    The equal less differing bits at all places of all pairs of a tile come from one product of
+    Of clips with few bits to spare, some two adjacent blocks of a place that counts differ in
+    WINDOW_BITS bits or fewer: the bits of such places are counted (see window_places). For the
+    others, and where windows are too much alike, spectra tell places. The equal less differing bits at all places of all pairs of a tile come from one product of
     spectra: the bits of a block are planes of +1 and -1, and their correlations add up. Some
     planes bound the sum of all from above, in single precision with room for its error; where
     the bound reaches what is asked for the bits of that place are counted.
@@ -193,7 +254,43 @@ def clip_search(s: Settings):
                 best = min(best, (int(apart[at]), int(some[at])))
             return best
 
+        def by_windows(sources, clips):
+            """The record batch of a tile whose clips are all `few`; None where windows are too much alike."""
+            r = max(clip_bits(similarity, len(c[2])) // (len(c[2]) // 2) for c in clips)
+            places = window_places(sources, clips, r, WINDOWS_A_PAIR * len(sources) * len(clips))
+            if places is None:
+                return None
+            (ids_s, ids_c), (d_s, d_c), (n_s, n_c) = (tuple(np.array([f(x) for x in g]) for g in (sources, clips)) for f in (lambda x: x[0], lambda x: x[1], lambda x: len(x[2])))
+            i, j, place = places
+            ratio = d_c[j] / d_s[i]
+            ok = (place >= 0) & (place + n_c[j] <= n_s[i]) & (n_c[j] < n_s[i]) & (ids_s[i] != ids_c[j]) & (ratio >= ratio_least) & (ratio < 0.95)
+            i, j, place = np.unique(places[:, ok], axis=1) if ok.any() else places[:, ok]
+            first_s, first_c = np.cumsum(n_s) - n_s, np.cumsum(n_c) - n_c
+            flat_s, flat_c = (np.concatenate([x[2] for x in g]) for g in (sources, clips))
+            apart = np.zeros(len(i), np.int64)
+            for n in np.unique(n_c[j]).tolist():
+                of = np.flatnonzero(n_c[j] == n)
+                for low in range(0, len(of), step := max(1, 1_000_000 // n)):
+                    k, run = of[low : low + step], np.arange(n)
+                    apart[k] = np.bitwise_count(flat_s[(first_s[i[k]] + place[k])[:, None] + run] ^ flat_c[first_c[j[k]][:, None] + run]).sum(axis=1, dtype=np.int64)
+            budget = np.array([clip_bits(similarity, n) for n in n_c.tolist()])
+            k = np.flatnonzero(apart <= budget[j])
+            k = k[np.lexsort((place[k], apart[k], j[k], i[k]))]
+            pair = i[k] * len(clips) + j[k]
+            k = k[np.flatnonzero(np.diff(pair, prepend=-1))]  # the best place of each pair
+            columns = [ids_s[i[k]], ids_c[j[k]], 1 - apart[k] / (32 * n_c[j[k]]), place[k].astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["source", "clip", "similarity", "at"])
+
         def tile(sources, clips):
+            most, least = max(x[1] for x in sources), min(x[1] for x in sources)
+            clips = [c for c in clips if len(c[2]) < len(sources[-1][2]) and c[1] / least >= ratio_least and c[1] / most < 0.95]
+            few = [c for c in clips if clip_bits(similarity, len(c[2])) // (len(c[2]) // 2) <= WINDOW_BITS]
+            if few and (found := by_windows(sources, few)) is not None:
+                yield found
+                clips = [c for c in clips if clip_bits(similarity, len(c[2])) // (len(c[2]) // 2) > WINDOW_BITS]
+            yield from by_spectra(sources, clips)
+
+        def by_spectra(sources, clips):
             at_once = lambda length: max(1, min(96, 2**21 // length // 8))
             start = 0
             while start < len(sources):
@@ -240,27 +337,34 @@ def partial_clips(items: DataFrame, s: Settings) -> DataFrame:
     second, clips from partial_min_ratio up to below 0.95 of them and shorter in blocks.
     Candidates meet on logarithmic duration buckets, all of them, in tiles of bounded size that are
     written once; every task reads its tiles of either side from there, so pairs of tiles take no
-    disk. The place is the first of least difference. The work grows with the square of a bucket: no block
-    of two similar fingerprints need be equal, or nearly so, so no key brings all of them
-    together; half of the bit planes settle most pairs at the default similarity.
+    disk, and those none of whose lengths fit are left out. The place is the first of least
+    difference. The work grows with the square of a bucket: no block of two similar fingerprints
+    need be equal, so no key brings all of them together in few; from a similarity of about 0.9 on
+    parts of adjacent blocks leave few places to look at, below it half of the bit planes settle
+    most pairs at the default similarity.
     """
     import math
 
     usable = items.filter(
-        F.col("idx").isNotNull() & (F.size("fp") >= 2) & ~K.is_silent(F.col("fp")) & ~F.exists("fp", lambda x: x.isNull()) & (F.col("duration") >= 1)
+        F.col("idx").isNotNull() & (F.size("fp") >= 2) & ~K.is_silent(F.col("fp")) & ~F.exists("fp", lambda x: x.isNull()) & (F.col("duration") >= 1) & ~F.isnan("duration")
     ).select(F.col("idx").cast("long").alias("idx"), F.col("duration").cast("double").alias("duration"), "fp", F.floor(F.log2("duration")).alias("bucket"))
     reach = math.ceil(math.log2(1 / s.partial_min_ratio))
     parts = usable.groupBy("bucket").agg(F.ceil(F.sum(F.size("fp")) / TILE_BLOCKS).cast("int").alias("parts"))
-    dealt = usable.join(F.broadcast(parts), "bucket").withColumn("part", F.pmod(F.xxhash64("idx"), F.col("parts")))
-    tiles = dealt.groupBy("bucket", "part").agg(F.collect_list(F.struct("idx", "duration", "fp")).alias("rows"))
+    dealt = usable.withColumn("blocks", F.size("fp")).join(F.broadcast(parts), "bucket").withColumn("part", F.pmod(F.xxhash64("idx"), F.col("parts")))
+    tiles = dealt.groupBy("bucket", "part").agg(
+        F.collect_list(F.struct("idx", "duration", "fp")).alias("rows"), *(f(c).alias(f"{c}_{n}") for c in ("duration", "blocks") for n, f in (("min", F.min), ("max", F.max)))
+    )
     spark = items.sparkSession
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     spark.conf.set(name, spark.conf.get(name, str(BATCH_BYTES)))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     tiles = cut(tiles.repartition(tasks))
-    source, clip = tiles.select(F.col("bucket").alias("bucket_s"), F.col("rows").alias("sources")), tiles.select("bucket", F.col("rows").alias("clips"))
+    source, clip = tiles.select(*(F.col(c).alias(f"{c}_s") for c in tiles.columns if c not in ("part", "rows")), F.col("rows").alias("sources")), tiles.withColumnRenamed("rows", "clips")
+    reached = F.col("bucket").between(F.col("bucket_s") - reach, F.col("bucket_s"))
+    fits = (F.col("blocks_min") < F.col("blocks_max_s")) & (F.col("duration_min") / F.col("duration_max_s") < 0.95)
+    fits &= F.col("duration_max") / F.col("duration_min_s") >= F.lit(float(s.partial_min_ratio))
     # a nested loop over files that both sides read again: an equi-join would move each tile once for each pair
-    met = source.join(clip.hint("shuffle_replicate_nl"), F.col("bucket").between(F.col("bucket_s") - reach, F.col("bucket_s")))
+    met = source.join(clip.hint("shuffle_replicate_nl"), reached & fits)
     found = met.select("sources", "clips").mapInArrow(clip_search(s), "source long, clip long, similarity double, at int")
     return found.select(*(F.col(c).cast(items.schema["idx"].dataType) for c in ("source", "clip")), "similarity", "at")
 

@@ -52,6 +52,28 @@ def test_pairs_of_tiles_are_not_moved(spark, monkeypatch):
     assert want and want.items() <= got.items()
 
 
+def test_spectra_of_clips_are_made_once_for_many_sources(monkeypatch):
+    """A tile of fingerprints of one length: each is transformed about once a side, and pairs equal brute force."""
+    rng, done, plain = np.random.default_rng(5), [], np.fft.rfft
+    monkeypatch.setattr(np.fft, "rfft", lambda x, *a, **k: done.append(x.size) or plain(x, *a, **k))
+    words = rng.integers(0, 2**32, 40)
+    fps = [rng.choice(words, int(n)).tolist() for n in rng.integers(100, 129, 300)]
+    fps += [f[9:99] for f in fps[:300]]
+    items = pa.array([[{"idx": k, "duration": 1000.0 if k < 300 else 800.0, "fp": f} for k, f in enumerate(fps)]], pa.list_(pa.struct([("idx", pa.int64()), ("duration", pa.float64()), ("fp", pa.list_(pa.int64()))])))
+    batch = pa.RecordBatch.from_arrays([items, items], ["sources", "clips"])
+    got = {(r["source"], r["clip"]): (r["similarity"], r["at"]) for out in joins.clip_search(Settings(partial_similarity=0.55))([batch]) for r in out.to_pylist()}
+    want = {}
+    for s, long in enumerate(fps[:300]):
+        long = np.array(long, np.uint32)
+        for c, short in enumerate(fps[300:], 300):
+            n = len(short)
+            apart = np.bitwise_count(np.lib.stride_tricks.sliding_window_view(long, n) ^ np.array(short, np.uint32)).sum(axis=1)
+            if apart.min() <= clip_bits(0.55, n):
+                want[s, c] = (1 - int(apart.min()) / (32 * n), int(apart.argmin()))
+    assert len(want) >= 300 and got == want
+    assert sum(done) <= 2 * 32 * 128 * 600
+
+
 def test_pairs_of_a_crowded_block_are_listed_by_many_tasks(spark, monkeypatch):
     """One block holds nearly all rows: its pairs are whole, also of repeated ids, and dealt to tasks."""
     from pyspark.sql import functions as F

@@ -74,6 +74,79 @@ def test_spectra_of_clips_are_made_once_for_many_sources(monkeypatch):
     assert sum(done) <= 2 * 32 * 128 * 600
 
 
+def _tile(rng, n, base, folders, frames, side):
+    """Items of a tile: bytes that are alike, durations from 60 to 120."""
+    body = np.clip(rng.integers(60, 200, (1, frames * side * side)) + rng.integers(-70, 70, (n, frames * side * side)), 0, 255).astype(np.uint8)
+    return [
+        {"id": base + k, "n_frames": frames, "frames": body[k].tobytes(), "duration": 60.0 + float(rng.integers(0, 61)), "file_size": k % 5, "dev": k % 2, "ino": k % 3, "folder_key": folders[k % len(folders)]}
+        for k in range(n)
+    ]
+
+
+def _compared(a, b, s, gates):
+    from twinreel.operators import tiles
+
+    batch = pa.RecordBatch.from_arrays([pa.array([a]), pa.array([b or a]), pa.array([b is None]), pa.array([False])], ["a_items", "b_items", "same", "image"])
+    rows = [r for out in tiles.compared(s, gates)([batch]) for r in out.to_pylist()]
+    got = {(r["a"], r["b"]): (r["difference"], r["flags"]) for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+@pytest.mark.parametrize("more", [{"ignore_black_pixels": True, "ignore_white_pixels": True}, {}, {"compare_flipped": True}])
+def test_differences_come_from_the_sums_of_tiles(monkeypatch, more):
+    """No pair is compared a second time for its difference, which is the same to the last bit."""
+    from twinreel.operators import tiles
+
+    exact = tiles.exact_differences
+    monkeypatch.setattr(tiles, "exact_differences", lambda *_: pytest.fail("compared again"))
+    s, rng = Settings(percent=74, **more), np.random.default_rng(11)
+    a, b = _tile(rng, 40, 0, ["x"], 3, 5), _tile(rng, 50, 100, ["x"], 3, 5)
+    shaped = lambda r: np.frombuffer(r["frames"], np.uint8).reshape(1, 3, 5, 5)
+    for left, right in ((a, b), (a, None)):
+        want = {}
+        for x in left:
+            for y in right or left:
+                if x["id"] < y["id"]:
+                    plain, turned = (float(exact(v, shaped(y), s)[0]) for v in (shaped(x), shaped(x)[..., ::-1]))
+                    flip = s.compare_flipped and turned <= s.gray_limit and not plain <= min(turned, s.gray_limit)
+                    if flip or plain <= s.gray_limit:
+                        want[x["id"], y["id"]] = (turned, 1) if flip else (plain, 0)
+        assert want and _compared(left, right, s, False) == want
+
+
+def test_only_near_durations_are_compared(spark, monkeypatch):
+    """Rows of two tiles whose durations are apart are not compared; crowded folders do not meet themselves."""
+    from twinreel.operators import compare, tiles
+
+    seen, plain = [], tiles.may_be_near
+    monkeypatch.setattr(tiles, "may_be_near", lambda x, y, *a: seen.append(len(x) * len(y)) or plain(x, y, *a))
+    monkeypatch.setattr(tiles, "AT_ONCE", 1000)
+    s = Settings(percent=80, duration_percent=5, folder_match="different", exclude_hard_links=True)
+    rng = np.random.default_rng(12)
+    a = _tile(rng, 200, 0, ["x", "y", None], 1, 8)
+    got = _compared(a, None, s, True)
+    image = lambda r: np.frombuffer(r["frames"], np.uint8).astype(int)
+    want = set()
+    for x in a:
+        for y in a:
+            if x["id"] < y["id"] and abs(x["duration"] - y["duration"]) <= 0.05 * min(x["duration"], y["duration"]):
+                linked = all(x[c] == y[c] for c in ("dev", "ino", "file_size", "duration"))
+                apart = None not in (x["folder_key"], y["folder_key"]) and x["folder_key"] != y["folder_key"]
+                if apart and not linked and np.abs(image(x) - image(y)).mean() / 256 <= s.gray_limit:
+                    want.add((x["id"], y["id"]))
+    assert want and set(got) == want
+    assert sum(seen) < 200 * 200 / 4
+    monkeypatch.undo()
+    monkeypatch.setattr(tiles, "TILE", 20)
+    rows = [(r["id"], "/" + r["folder_key"], False, bytearray(r["frames"]), 1, r["duration"], r["file_size"], r["dev"], r["ino"]) for r in a if r["folder_key"]]
+    df = spark.createDataFrame(rows, "idx long, folder string, is_image boolean, frames binary, n_frames int, duration double, file_size long, dev long, ino long")
+    for few in (tiles.READ_AGAIN, 0):
+        monkeypatch.setattr(tiles, "READ_AGAIN", few)
+        found = [(r.a, r.b) for r in compare.similar_pairs(df, s).select("a", "b").collect()]
+        assert len(found) == len(want) and set(found) == want
+
+
 def test_pairs_of_a_crowded_block_are_listed_by_many_tasks(spark, monkeypatch):
     """One block holds nearly all rows: its pairs are whole, also of repeated ids, and dealt to tasks."""
     from pyspark.sql import functions as F

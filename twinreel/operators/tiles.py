@@ -50,7 +50,7 @@ def sums(x, y, n: int, s: Settings):
     black, white, pixels = s.ignore_black_pixels, s.ignore_white_pixels, x.shape[1]
     fine = max(int(np.abs(x).max(initial=0)), int(np.abs(y).max(initial=0))) <= 255
     kind, run = (np.int16, 128) if fine else (np.int64, pixels)
-    total = np.int32 if fine and pixels * 255 < 2**31 else np.int64
+    total = np.int32 if fine and pixels * 255 < 2**30 else np.int64
     x, y = np.ascontiguousarray(x.T, dtype=kind), np.ascontiguousarray(y.T, dtype=kind)
     shape = (x.shape[1], y.shape[1])
     one, part = np.empty(shape, kind), np.empty(shape, kind)
@@ -67,16 +67,22 @@ def sums(x, y, n: int, s: Settings):
             if black or white:
                 few.fill(0)
             for p in range(start, min(ends[1], start + run)):
-                np.subtract(x[p][:, None], y[p][None, :], out=one)
-                np.abs(one, out=one)
                 if black or white:
+                    np.subtract(x[p][:, None], y[p][None, :], out=one)
+                    np.abs(one, out=one)
                     np.bitwise_and(kept_x[p][:, None], kept_y[p][None, :], out=mask)
                     np.subtract(few, mask, out=few)
                     np.bitwise_and(one, mask, out=one)
+                else:  # the difference is twice the greater one less both
+                    np.maximum(x[p][:, None], y[p][None, :], out=one)
                 np.add(part, one, out=part)
             apart += part
             if black or white:
                 left += few
+        if not (black or white):
+            apart *= 2
+            for one_side, by in ((x, (slice(None), None)), (y, (None, slice(None)))):
+                apart -= one_side[slice(*ends)].sum(axis=0, dtype=total)[by]
         out.append((apart, left))
     return out
 
@@ -129,7 +135,7 @@ def compared(s: Settings, gates: bool, video: bool = True):
             else:
                 facts[c] = col.fill_null(float("nan") if c == "duration" else NONE).to_numpy(zero_copy_only=False)
         kinds: dict = {}
-        for i in np.argsort(ids, kind="stable").tolist():
+        for i in np.argsort(facts["duration"], kind="stable").tolist() if gates else range(len(ids)):
             if len(rows[i]):
                 kinds.setdefault((int(n[i]), len(rows[i])), []).append(i)
         return {k: (ids[at], np.stack([rows[i] for i in at]).astype(np.int16 if rows[at[0]].dtype == np.uint8 else np.int64), {c: v[at] for c, v in facts.items()}) for k, at in kinds.items()}
@@ -175,14 +181,23 @@ def compared(s: Settings, gates: bool, video: bool = True):
             step = max(1, AT_ONCE // len(y) // n)
             for low in range(0, len(x), step):
                 some = x[low : low + step]
-                first = low if same else 0  # of a tile with itself, by rising ids
-                others = y[first:]
+                first, end = low if same else 0, len(y)  # of a tile with itself each pair once
+                if gates and not image:  # by rising durations
+                    length, longest = g["duration"], f["duration"][low : low + step][-1]
+                    reach = float(tolerance(np.array([longest]))[0]) * (1 + 1e-9) + 1e-6
+                    first = max(first, int(np.searchsorted(length, f["duration"][low] - reach)))
+                    end = int(np.searchsorted(length, longest + reach, "right")) if longest == longest else end
+                others = y[first:end]
+                if not len(others):
+                    continue
                 plain = sums(some, others, n, s)
                 near = may_be_near(some, others, n, s, plain)
                 if mirror:
                     turned = sums(mirror(some), others, n, s)
                     near |= may_be_near(some, others, n, s, turned)
-                near &= (ids_a[low : low + step, None] < ids_b[None, first:]) if same else (ids_a[low : low + step, None] != ids_b[None, :])
+                if same:
+                    near &= np.arange(low, low + len(some))[:, None] < np.arange(first, end)[None, :]
+                near &= ids_a[low : low + step, None] != ids_b[None, first:end]
                 i, j = np.nonzero(near)
                 if gates and len(i):
                     ok = passes(f, i + low, g, j + first, image)
@@ -248,7 +263,8 @@ def similar_in_tiles(rows: DataFrame, s: Settings, keys: list[str], gates: bool
     if tiles.count() <= READ_AGAIN:
         # a nested loop over files that both sides read again: an equi-join would move each tile once for each pair
         x, y = (tiles.select(*(F.col(c).alias(f"{c}_{k}") for c in [*at, *folder, "no", "low", "high"]), F.col("items").alias(f"{k}_items")) for k in "ab")
-        met = (F.col("no_a") <= F.col("no_b")) & F.col("bucket_b").between(F.col("low_a"), F.col("high_a"))
+        # each pair once, in an order that has nothing to do with files: so all pairs of files have as much to do
+        met = (F.xxhash64("no_a") <= F.xxhash64("no_b")) & F.col("bucket_b").between(F.col("low_a"), F.col("high_a"))
         for c in at:
             if c != "bucket":
                 met &= F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) <= 1 if c in spots else F.col(f"{c}_a") == F.col(f"{c}_b")
